@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, langid, licenses, pii, secrets, toxicity
+from . import decontaminate, exact, jaccard, langid, licenses, pii, secrets, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_benchmark_decontamination": decontaminate.query,
         "op6_language_id": langid.query,
         "op7_license_scans": licenses.query,
+        "op9_ngram_jaccard_join": jaccard.query,
     }
 
 
