@@ -15,6 +15,7 @@ would join two groups is missed.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,9 @@ from .words import Words, as_long, run_prints, words_of
 
 SHINGLE, PERCENT = 5, 80
 #: Slots of the sketch of shingle counts, longest l, and the cost of verifying a pair in lookups.
-SLOTS, MOST_MATCHES, VERIFY_COST = 1 << 17, 8, 50.0
+SLOTS, MOST_MATCHES, VERIFY_COST = 1 << 22, 8, 50.0
+#: Parts in which a task hands over its sketch, and streams in which each part is first summed.
+PARTS, STREAMS = 64, 8
 HUB_ROUNDS = 2
 
 
@@ -45,6 +48,10 @@ def sets_of(words: Words, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
             yield words.rows[i], np.zeros(0, np.uint64)
 
 
+#: Sketch counts are kept as logarithms in steps of 1 / LOG, so that 16 bits hold any count.
+LOG = 1024.0
+
+
 def class_of(prints: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(prints.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -56,11 +63,11 @@ def needed(n: int) -> int:
 
 def prefix_of(prints: np.ndarray, slots: np.ndarray, noise: float) -> tuple[np.ndarray, int, np.ndarray]:
     """Prefix shingles in the common order, the class's l, and the least l at which each is in the prefix."""
-    n, count = len(prints), slots[(prints & np.uint64(len(slots) - 1)).astype(np.int64)]
+    n, rank = len(prints), slots[(prints & np.uint64(len(slots) - 1)).astype(np.int64)]
     base = n - needed(n) + 1
     most = min(MOST_MATCHES, needed(n))
-    order = np.lexsort((prints, count))[: base + most - 1]
-    cost = np.cumsum(np.maximum(0.0, count[order] - noise))[base - 1 :]
+    order = np.lexsort((prints, rank))[: base + most - 1]
+    cost = np.cumsum(np.maximum(0.0, np.exp2(rank[order] / LOG) - 1.0 - noise))[base - 1 :]
     ells = np.arange(1, len(cost) + 1)
     ell = int(np.argmin(cost + VERIFY_COST * cost / ells + 0.5 * ells)) + 1
     order = order[: base + ell - 1]
@@ -102,23 +109,18 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
 
     def sketch(state, doc_id, prints):
-        total = state.setdefault("n", np.zeros(SLOTS, np.int64))
         if len(prints):
-            total += np.bincount((prints & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(prints) > SLOTS // 16 else 0
-            if len(prints) <= SLOTS // 16:
-                np.add.at(total, (prints & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-        return [(doc_id, len(prints), class_of(prints) if len(prints) else None, None)]
+            np.add.at(state.setdefault("n", np.zeros(SLOTS, np.int32)), (prints & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        return [(doc_id, len(prints), class_of(prints) if len(prints) else None, None, None)]
 
     def counts(state):
         if "n" in state:
-            rows = np.flatnonzero(state["n"])
-            yield [None] * len(rows), [None] * len(rows), state["n"][rows], rows.astype(np.int32)
+            parts = np.minimum(state["n"], 255).astype(np.uint8).reshape(PARTS, -1)  # a task's count of one slot: an ordering needs no more
+            yield [None] * PARTS, [None] * PARTS, [None] * PARTS, list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in parts]
 
-    sizes = scratch.write(_scan(docs, "doc_id long, n long, cls long, slot int", sketch, counts), "sizes")
-    sums = sizes.filter("slot is not null").groupBy("slot").agg(F.sum("cls").alias("n")).toArrow()  # at most SLOTS rows
-    slots = np.zeros(SLOTS, np.int64)
-    slots[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
-    shared = spark.sparkContext.broadcast((slots, float(np.median(slots))))
+    sizes = scratch.write(_scan(docs, "doc_id long, n long, cls long, part int, counts binary", sketch, counts), "sizes")
+    slots = _summed(sizes.filter("part is not null").select("part", "counts"))
+    shared = spark.sparkContext.broadcast(((np.log2(1.0 + slots) * LOG).astype(np.uint16), float(np.median(slots))))
 
     def tokens(state, doc_id, prints):
         if not len(prints) or (c := class_of(prints)) in (seen := state.setdefault("seen", set())):
@@ -158,11 +160,30 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     pairs = _cross_pairs(lists, label).join(tried, ["u", "v"], "left_anti")
     found = scratch.write(_verified(scratch.write(pairs, "cross"), sets), "foundcross")
     label = components(links.unionByName(found), scratch, "stars_")
-    by_class = sizes.filter("slot is null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("d")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    by_class = sizes.filter("part is null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("d")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     by_class = scratch.write(by_class, "classes")
     roots = by_class.groupBy("label").agg(F.min("d").alias("component_id"))
     named = by_class.join(roots, "label").select("cls", "component_id")
-    return sizes.filter("slot is null").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return sizes.filter("part is null").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _summed(parts: DataFrame) -> np.ndarray:
+    """The sketch of all tasks: parts are summed in streams, then over streams; 8 bytes a slot reach the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = zlib.decompress(counts)
+                values = np.frombuffer(raw, np.uint8 if len(raw) == SLOTS // PARTS else np.int64)
+                sums[part] = sums.get(part, 0) + values.astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    streams = parts.withColumn("s", F.spark_partition_id() % STREAMS).repartition("part", "s").select("part", "counts")
+    total = np.zeros((PARTS, SLOTS // PARTS), np.int64)
+    for row in streams.mapInArrow(add, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").collect():
+        total[row["part"]] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+    return total.ravel()
 
 
 def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
