@@ -7,9 +7,9 @@ class picks its own l by the estimated cost of its candidates: a longer prefix c
 asks for more matches before a pair is verified. A pair is judged at the smaller of its two l.
 
 Groups are found without listing all pairs within them. First each class is verified against one hub, the
-smallest class with which it shares most prefix shingles, and groups are merged; this is repeated among
-groups. Then every remaining candidate pair between different groups is verified, so no link that
-would join two groups is missed.
+smallest of a shingle's classes with which it shares most prefix shingles, and groups are merged. Then every
+remaining candidate pair between different groups is verified on whole sets, so no link that would join
+two groups is missed. Only the texts of classes that can have a candidate are shuffled.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ from .words import Words, as_long, run_prints, words_of
 
 SHINGLE, PERCENT = 5, 80
 #: Slots of the sketch of shingle counts, longest l, and the cost of verifying a pair in lookups.
-SLOTS, MOST_MATCHES, VERIFY_COST = 1 << 22, 8, 50.0
+SLOTS, MOST_MATCHES, VERIFY_COST = 1 << 22, 16, 50.0
+#: Other documents that are taken to share a shingle whose count does not stand out of the sketch's noise.
+UNSEEN = 0.05
 #: Parts in which a task hands over its sketch, and streams in which each part is first summed.
 PARTS, STREAMS = 64, 8
-HUB_ROUNDS = 2
 
 
 def sets_of(words: Words, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
@@ -66,8 +67,8 @@ def prefix_of(prints: np.ndarray, slots: np.ndarray, noise: float) -> tuple[np.n
     n, rank = len(prints), slots[(prints & np.uint64(len(slots) - 1)).astype(np.int64)]
     base = n - needed(n) + 1
     most = min(MOST_MATCHES, needed(n))
-    order = np.lexsort((prints, rank))[: base + most - 1]
-    cost = np.cumsum(np.maximum(0.0, np.exp2(rank[order] / LOG) - 1.0 - noise))[base - 1 :]
+    order = np.argsort(rank, kind="stable")[: base + most - 1]  # prints are sorted
+    cost = np.cumsum(np.maximum(UNSEEN, np.exp2(rank[order] / LOG) - 1.0 - noise))[base - 1 :]
     ells = np.arange(1, len(cost) + 1)
     ell = int(np.argmin(cost + VERIFY_COST * cost / ells + 0.5 * ells)) + 1
     order = order[: base + ell - 1]
@@ -75,7 +76,7 @@ def prefix_of(prints: np.ndarray, slots: np.ndarray, noise: float) -> tuple[np.n
 
 
 def _scan(docs: DataFrame, schema: str, of_set, at_end=None) -> DataFrame:
-    """Rows that ``of_set(id, prints)`` yields for the documents and ``at_end(state)`` at a task's end; state is a dict."""
+    """Rows that ``of_set(state, (doc_id, key), prints)`` returns for each document and ``at_end(state)`` at a task's end."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +84,7 @@ def _scan(docs: DataFrame, schema: str, of_set, at_end=None) -> DataFrame:
         kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
         types = [kinds[x.split()[1]] for x in schema.split(", ")]
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
+            ids, rows = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), []
             for words in words_of(batch.column(1), lower=True):
                 for i, prints in sets_of(words):
                     rows += of_set(state, ids[i], prints)
@@ -106,19 +107,19 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = scratch or Scratch(spark, "near")
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(doc_id, text) key")
 
     def sketch(state, doc_id, prints):
         if len(prints):
-            np.add.at(state.setdefault("n", np.zeros(SLOTS, np.int32)), (prints & np.uint64(SLOTS - 1)).astype(np.int64), 1)
-        return [(doc_id, len(prints), class_of(prints) if len(prints) else None, None, None)]
+            state.setdefault("n", np.zeros(SLOTS, np.int32))[(prints & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # slots that two shingles of a text share count once
+        return [(doc_id[0], len(prints), class_of(prints) if len(prints) else None, doc_id[1], None, None)]
 
     def counts(state):
         if "n" in state:
             parts = np.minimum(state["n"], 255).astype(np.uint8).reshape(PARTS, -1)  # a task's count of one slot: an ordering needs no more
-            yield [None] * PARTS, [None] * PARTS, [None] * PARTS, list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in parts]
+            yield *([None] * PARTS for _ in range(4)), list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in parts]
 
-    sizes = scratch.write(_scan(docs, "doc_id long, n long, cls long, part int, counts binary", sketch, counts), "sizes")
+    sizes = scratch.write(_scan(docs, "doc_id long, n long, cls long, key long, part int, counts binary", sketch, counts), "sizes")
     slots = _summed(sizes.filter("part is not null").select("part", "counts"))
     shared = spark.sparkContext.broadcast(((np.log2(1.0 + slots) * LOG).astype(np.uint16), float(np.median(slots))))
 
@@ -139,27 +140,20 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         seen.add(c)
         first, ell, level = prefix_of(prints, *shared.value)
         hit = bloom.contains(filter_bits.value, first)
-        return [(doc_id, c, len(prints), ell, as_long(first[hit]).tolist(), level[hit].tolist(), prints.tobytes())] if hit.any() else []
+        return [(c, len(prints), ell, as_long(first[hit]).tolist(), level[hit].tolist())] if hit.any() else []
 
-    raw = scratch.write(_scan(docs, "doc_id long, cls long, n long, ell int, t array<long>, level array<int>, prints binary", entries), "entries")
+    raw = _scan(docs, "cls long, n long, ell int, t array<long>, level array<int>", entries)
     lists = raw.select("cls", "n", "ell", F.explode(F.arrays_zip("t", "level")).alias("x")).select(F.col("x.t").alias("t"), "cls", "n", "ell", F.col("x.level").alias("level"))
     lists = lists.groupBy("t", "cls").agg(*(F.first(c).alias(c) for c in ("n", "ell", "level")))
     lists = scratch.write(lists.join(often, "t", "left_semi"), "lists")
-    # one row of each class that has its set: the smallest id
-    one = scratch.write(raw.select("cls", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("d")).groupBy("cls").agg(F.min("d").alias("d")), "one")
-    sets = raw.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 62)))).join(one, ["cls", "d"]).dropDuplicates(["cls"]).select("cls", "prints")
-    sets = scratch.write(sets, "sets")
-
-    links = label = tried = None
-    for i in range(HUB_ROUNDS):
-        pairs = scratch.write(_hub_pairs(lists, label), f"hubs{i}")
-        found = scratch.write(_verified(pairs, sets), f"found{i}")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        label = scratch.write(components(links, scratch, f"stars{i}_"), f"label{i}")
-    pairs = _cross_pairs(lists, label).join(tried, ["u", "v"], "left_anti")
-    found = scratch.write(_verified(scratch.write(pairs, "cross"), sets), "foundcross")
-    label = components(links.unionByName(found), scratch, "stars_")
+    lists = scratch.write(_labelled(lists, None).drop("label"), "meeting")
+    texts = _texts(docs, sizes, lists, scratch)
+
+    pairs = scratch.write(_hub_pairs(lists), "hubs")
+    links = scratch.write(_verified(pairs, texts), "found")
+    label = scratch.write(components(links, scratch, "hub_stars"), "labels")
+    others = scratch.write(_cross_pairs(lists, label).join(pairs, ["u", "v"], "left_anti"), "cross")
+    label = components(links.unionByName(_verified(others, texts)), scratch, "stars")
     by_class = sizes.filter("part is null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("d")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     by_class = scratch.write(by_class, "classes")
     roots = by_class.groupBy("label").agg(F.min("d").alias("component_id"))
@@ -196,12 +190,35 @@ def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
     return own.join(several, "t", "left_semi")
 
 
-def _hub_pairs(lists: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(u, v), u < v: each class with the hub that it shares most prefix shingles with, of another group."""
-    own = _labelled(lists, label)
-    hubs = own.groupBy("t").agg(F.min(F.struct("label", "cls", "n")).alias("h")).select("t", F.col("h.label").alias("hub_label"), F.col("h.cls").alias("hub"), F.col("h.n").alias("hub_n"))
-    near = own.join(hubs, "t").filter("label <> hub_label and 100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
-    best = near.groupBy("cls", "hub").agg(F.count("*").alias("k")).groupBy("cls").agg(F.max(F.struct("k", "hub")).alias("h"))
+def _texts(docs: DataFrame, sizes: DataFrame, lists: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls, text): one text of each class that can be in a candidate pair.
+
+    A pair is judged at the smaller l of its classes, so a class with fewer prefix shingles in company
+    than its own l and than the least l on any of them is in no pair.
+    """
+    least = lists.groupBy("t").agg(F.min("ell").alias("m"))
+    able = lists.join(least, "t").groupBy("cls").agg(F.count("*").alias("k"), F.min("m").alias("m")).filter("k >= m").select("cls")
+    one = sizes.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key")).join(able, "cls", "left_semi")
+    one = scratch.write(one, "able")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(one, "key"))
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.contains(bits.value, batch.column("key").to_numpy().view(np.uint64))))
+
+    found = docs.select("key", "text").mapInArrow(wanted, "key long, text string").join(one, "key")
+    found = scratch.write(found.select("cls", "text"), "texts")
+    n, distinct = found.agg(F.count("cls"), F.countDistinct("cls")).first()
+    return found if n == distinct else scratch.write(found.dropDuplicates(["cls"]), "single_texts")
+
+
+def _hub_pairs(lists: DataFrame) -> DataFrame:
+    """(u, v), u < v: each class with the hub that it shares most prefix shingles with, if those are enough for a candidate."""
+    hubs = lists.groupBy("t").agg(F.min(F.struct("cls", "n", "ell", "level")).alias("h"))
+    near = lists.join(hubs, "t").filter("cls <> h.cls and 100 * least(n, h.n) >= 80 * greatest(n, h.n)")
+    ell = F.least("ell", "h.ell")
+    counted = near.filter(F.greatest("level", "h.level") <= ell).groupBy("cls", F.col("h.cls").alias("hub")).agg(F.count("*").alias("k"), F.first(ell).alias("m")).filter("k >= m")
+    best = counted.groupBy("cls").agg(F.max(F.struct("k", "hub")).alias("h"))
     return best.select(F.least("cls", "h.hub").alias("u"), F.greatest("cls", "h.hub").alias("v")).distinct()
 
 
@@ -221,21 +238,21 @@ def _cross_pairs(lists: DataFrame, label: DataFrame) -> DataFrame:
     return counted.filter("k >= ell").select("u", "v")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` that link: 100 * common >= 80 * union."""
-    both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("prints").alias("a")), "u").join(sets.select(F.col("cls").alias("v"), F.col("prints").alias("b")), "v")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs(u, v)`` that link: 100 * common >= 80 * union, on their whole sets."""
+    left, right = texts.select(F.col("cls").alias("u"), F.col("text").alias("a")), texts.select(F.col("cls").alias("v"), F.col("text").alias("b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            a, b = ([x for words in words_of(batch.column(c), lower=True) for _, x in sets_of(words)] for c in ("a", "b"))
             keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                at = np.searchsorted(a, b)
-                common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-                keep.append(100 * common >= PERCENT * (len(a) + len(b) - common))
+            for x, y in zip(a, b, strict=True):
+                at = np.searchsorted(x, y)
+                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
