@@ -6,10 +6,12 @@ tau = ceil(0.8 n) common elements share l elements among their first n - tau + l
 class picks its own l by the estimated cost of its candidates: a longer prefix costs more lookups but
 asks for more matches before a pair is verified. A pair is judged at the smaller of its two l.
 
-Groups are found without listing all pairs within them. First each class is verified against one hub, the
-smallest of a shingle's classes with which it shares most prefix shingles, and groups are merged. Then every
+Groups are found without listing all pairs within them. First each class is verified against one hub: of
+the classes that stand highest on its shingles by the company that their prefixes have, the one with which
+it shares most prefix shingles. Linked classes are merged. Then every
 remaining candidate pair between different groups is verified on whole sets, so no link that would join
-two groups is missed. Only the texts of classes that can have a candidate are shuffled.
+two groups is missed. Shingles on which many classes meet make no pairs: their classes are compared in
+blocks of bounded size, of which only links between groups come out. Only the texts of classes that can have a candidate are shuffled.
 """
 
 from __future__ import annotations
@@ -57,6 +59,10 @@ def class_of(prints: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(prints.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Classes on a shingle above which they are compared in blocks, and bytes of text in a block.
+CROWD, BLOCK_BYTES = 100, 64 << 10
+
+
 def needed(n: int) -> int:
     """Common elements that a link asks of a set of size n at least."""
     return -(-PERCENT * n // 100)
@@ -152,8 +158,11 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     pairs = scratch.write(_hub_pairs(lists), "hubs")
     links = scratch.write(_verified(pairs, texts), "found")
     label = scratch.write(components(links, scratch, "hub_stars"), "labels")
-    others = scratch.write(_cross_pairs(lists, label).join(pairs, ["u", "v"], "left_anti"), "cross")
-    label = components(links.unionByName(_verified(others, texts)), scratch, "stars")
+    own = scratch.write(_labelled(_central(lists), label), "apart")
+    crowded = scratch.write(own.groupBy("t").agg(F.count("*").alias("k"), F.max(F.struct("score", "cls")).alias("h")).filter(F.col("k") > CROWD).select("t", F.col("h.cls").alias("hub")), "crowded")
+    others = scratch.write(_cross_pairs(own.join(crowded, "t", "left_anti")).join(pairs, ["u", "v"], "left_anti"), "cross")
+    within = scratch.write(_block_links(own.join(crowded, "t").select("hub", "cls", "label").distinct(), texts), "block_links")
+    label = components(links.unionByName(_verified(others, texts)).unionByName(within), scratch, "stars")
     by_class = sizes.filter("part is null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("d")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     by_class = scratch.write(by_class, "classes")
     roots = by_class.groupBy("label").agg(F.min("d").alias("component_id"))
@@ -212,9 +221,17 @@ def _texts(docs: DataFrame, sizes: DataFrame, lists: DataFrame, scratch: Scratch
     return found if n == distinct else scratch.write(found.dropDuplicates(["cls"]), "single_texts")
 
 
+def _central(lists: DataFrame) -> DataFrame:
+    """Entries with how much company their class's prefix has: the original of many copies has most."""
+    crowd = lists.groupBy("t").agg(F.count("*").alias("df"))
+    score = lists.join(crowd, "t").groupBy("cls", "n").agg(F.sum("df").alias("df")).select("cls", (F.col("df") / F.col("n")).alias("score"))
+    return lists.join(score, "cls")
+
+
 def _hub_pairs(lists: DataFrame) -> DataFrame:
     """(u, v), u < v: each class with the hub that it shares most prefix shingles with, if those are enough for a candidate."""
-    hubs = lists.groupBy("t").agg(F.min(F.struct("cls", "n", "ell", "level")).alias("h"))
+    lists = _central(lists)
+    hubs = lists.groupBy("t").agg(F.max(F.struct("score", "cls", "n", "ell", "level")).alias("h"))
     near = lists.join(hubs, "t").filter("cls <> h.cls and 100 * least(n, h.n) >= 80 * greatest(n, h.n)")
     ell = F.least("ell", "h.ell")
     counted = near.filter(F.greatest("level", "h.level") <= ell).groupBy("cls", F.col("h.cls").alias("hub")).agg(F.count("*").alias("k"), F.first(ell).alias("m")).filter("k >= m")
@@ -222,13 +239,61 @@ def _hub_pairs(lists: DataFrame) -> DataFrame:
     return best.select(F.least("cls", "h.hub").alias("u"), F.greatest("cls", "h.hub").alias("v")).distinct()
 
 
-def _cross_pairs(lists: DataFrame, label: DataFrame) -> DataFrame:
+def _block_links(crowds: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) links between groups among the classes of each crowd: those outside its largest group against all.
+
+    Both sides are cut into blocks of about ``BLOCK_BYTES``; a class has at most one link to each group from a block.
+    """
+    rows = crowds.join(texts, "cls").withColumn("bytes", F.octet_length("text") + 64)
+    big = rows.groupBy("hub", "label").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes")).groupBy("hub").agg(F.max(F.struct("k", "label", "bytes")).alias("b"), F.sum("bytes").alias("all"))
+    rows = rows.join(big.select("hub", F.col("b.label").alias("big"), (F.col("all") - F.col("b.bytes")).alias("rest"), "all"), "hub")
+
+    def blocks(some: DataFrame, total: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("cls"), F.ceil(F.col(total) / BLOCK_BYTES))
+        return some.groupBy("hub", block.alias(f"block_{name}")).agg(F.collect_list(F.struct("cls", "label", "text")).alias(name))
+
+    both = blocks(rows.filter("label <> big"), "rest", "a").join(blocks(rows, "all", "b"), "hub")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                out += _links_of(a.values, b.values)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return both.select("a", "b").mapInArrow(compare, "u long, v long").distinct()
+
+
+def _links_of(a: pa.StructArray, b: pa.StructArray) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks that have different labels."""
+    sets, sizes, owner = [], [], []
+    for side in (a, b):
+        own = [x for words in words_of(side.field("text"), lower=True) for _, x in sets_of(words)]
+        sizes.append(np.array([len(x) for x in own]))
+        sets.append(np.concatenate(own))
+        owner.append(np.repeat(np.arange(len(own)), sizes[-1]))
+    order = np.argsort(sets[1], kind="stable")
+    values, theirs = sets[1][order], owner[1][order]
+    low, high = np.searchsorted(values, sets[0], "left"), np.searchsorted(values, sets[0], "right")
+    n = high - low
+    mine = np.repeat(owner[0], n)
+    at = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    common = np.bincount(mine * len(b) + theirs[at], minlength=len(a) * len(b)).reshape(len(a), len(b))
+    label_a, label_b = a.field("label").to_numpy(), b.field("label").to_numpy()
+    linked = (100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - common)) & (label_a[:, None] != label_b[None, :])
+    cls_a, cls_b, out = a.field("cls").to_numpy(), b.field("cls").to_numpy(), []
+    for i in np.flatnonzero(linked.any(1)):
+        hits = np.flatnonzero(linked[i])
+        out += [(int(cls_a[i]), int(cls_b[hits[j]])) for j in np.unique(label_b[hits], return_index=True)[1]]
+    return out
+
+
+def _cross_pairs(own: DataFrame) -> DataFrame:
     """(u, v) of every candidate pair of classes in different groups.
 
     On each shingle the group with most entries meets all others, and the others meet one another; the
     entries of one group never meet.
     """
-    own = _labelled(lists, label)
     big = own.groupBy("t", "label").agg(F.count("*").alias("k")).groupBy("t").agg(F.max(F.struct("k", "label")).alias("b")).select("t", F.col("b.label").alias("big"))
     own = own.join(big, "t")
     a, b = own.filter("label <> big").alias("a"), own.alias("b")
