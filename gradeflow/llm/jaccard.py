@@ -60,7 +60,7 @@ def class_of(prints: np.ndarray) -> int:
 
 
 #: Classes on a shingle above which they are compared in blocks, and bytes of text in a block.
-CROWD, BLOCK_BYTES = 100, 64 << 10
+CROWD, BLOCK_BYTES = 300, 128 << 10
 
 
 def needed(n: int) -> int:
@@ -151,14 +151,14 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     raw = _scan(docs, "cls long, n long, ell int, t array<long>, level array<int>", entries)
     lists = raw.select("cls", "n", "ell", F.explode(F.arrays_zip("t", "level")).alias("x")).select(F.col("x.t").alias("t"), "cls", "n", "ell", F.col("x.level").alias("level"))
     lists = lists.groupBy("t", "cls").agg(*(F.first(c).alias(c) for c in ("n", "ell", "level")))
-    lists = scratch.write(lists.join(often, "t", "left_semi"), "lists")
-    lists = scratch.write(_labelled(lists, None).drop("label"), "meeting")
+    lists = scratch.write(_meeting(scratch.write(lists, "lists")), "meeting")
+    scratch.drop("often", "lists")
     texts = _texts(docs, sizes, lists, scratch)
 
     pairs = scratch.write(_hub_pairs(lists), "hubs")
     links = scratch.write(_verified(pairs, texts), "found")
     label = scratch.write(components(links, scratch, "hub_stars"), "labels")
-    own = scratch.write(_labelled(_central(lists), label), "apart")
+    own = scratch.write(_labelled(lists, label), "apart")
     crowded = scratch.write(own.groupBy("t").agg(F.count("*").alias("k"), F.max(F.struct("score", "cls")).alias("h")).filter(F.col("k") > CROWD).select("t", F.col("h.cls").alias("hub")), "crowded")
     others = scratch.write(_cross_pairs(own.join(crowded, "t", "left_anti")).join(pairs, ["u", "v"], "left_anti"), "cross")
     within = scratch.write(_block_links(own.join(crowded, "t").select("hub", "cls", "label").distinct(), texts), "block_links")
@@ -189,12 +189,20 @@ def _summed(parts: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def _labelled(lists: DataFrame, label: DataFrame | None) -> DataFrame:
+def _meeting(lists: DataFrame) -> DataFrame:
+    """Entries of shingles on which several classes meet, with the least l there (``m``) and the class's score.
+
+    The score is how much company a class's prefix has: the original of many copies has most.
+    """
+    by_shingle = lists.groupBy("t").agg(F.count("*").alias("df"), F.min("ell").alias("m")).filter("df > 1")
+    met = lists.join(by_shingle, "t")
+    score = met.groupBy("cls", "n").agg(F.sum("df").alias("df")).select("cls", (F.col("df") / F.col("n")).alias("score"))
+    return met.drop("df").join(score, "cls")
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
     """Entries with their group; only shingles on which several groups meet."""
-    if label is None:
-        own = lists.withColumn("label", F.col("cls"))
-    else:
-        own = lists.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    own = lists.join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     several = own.groupBy("t").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("t")
     return own.join(several, "t", "left_semi")
 
@@ -205,8 +213,7 @@ def _texts(docs: DataFrame, sizes: DataFrame, lists: DataFrame, scratch: Scratch
     A pair is judged at the smaller l of its classes, so a class with fewer prefix shingles in company
     than its own l and than the least l on any of them is in no pair.
     """
-    least = lists.groupBy("t").agg(F.min("ell").alias("m"))
-    able = lists.join(least, "t").groupBy("cls").agg(F.count("*").alias("k"), F.min("m").alias("m")).filter("k >= m").select("cls")
+    able = lists.groupBy("cls").agg(F.count("*").alias("k"), F.min("m").alias("m")).filter("k >= m").select("cls")
     one = sizes.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key")).join(able, "cls", "left_semi")
     one = scratch.write(one, "able")
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(one, "key"))
@@ -221,16 +228,8 @@ def _texts(docs: DataFrame, sizes: DataFrame, lists: DataFrame, scratch: Scratch
     return found if n == distinct else scratch.write(found.dropDuplicates(["cls"]), "single_texts")
 
 
-def _central(lists: DataFrame) -> DataFrame:
-    """Entries with how much company their class's prefix has: the original of many copies has most."""
-    crowd = lists.groupBy("t").agg(F.count("*").alias("df"))
-    score = lists.join(crowd, "t").groupBy("cls", "n").agg(F.sum("df").alias("df")).select("cls", (F.col("df") / F.col("n")).alias("score"))
-    return lists.join(score, "cls")
-
-
 def _hub_pairs(lists: DataFrame) -> DataFrame:
     """(u, v), u < v: each class with the hub that it shares most prefix shingles with, if those are enough for a candidate."""
-    lists = _central(lists)
     hubs = lists.groupBy("t").agg(F.max(F.struct("score", "cls", "n", "ell", "level")).alias("h"))
     near = lists.join(hubs, "t").filter("cls <> h.cls and 100 * least(n, h.n) >= 80 * greatest(n, h.n)")
     ell = F.least("ell", "h.ell")
