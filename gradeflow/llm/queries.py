@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, jaccard, langid, licenses, pii, secrets, toxicity
+from . import decontaminate, exact, jaccard, langid, licenses, pii, secrets, substrings, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_language_id": langid.query,
         "op7_license_scans": licenses.query,
         "op9_ngram_jaccard_join": jaccard.query,
+        "op10_substring_dedup": substrings.query,
     }
 
 
