@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of one Arrow batch. Texts can be 100 kB each, so the default of 10,000 rows could be a GB.
 ARROW_ROWS = 256
@@ -41,6 +42,12 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def with_fields(df: DataFrame, fields: str) -> StructType:
+    """The schema of ``df`` with further nullable fields, such as ``"tokens array<int>, n long"``."""
+    more = StructType.fromDDL(fields)
+    return StructType([StructField(f.name, f.dataType, True) for f in [*df.schema.fields, *more.fields]])
+
+
 class Scratch:
     """Tables of one run, written to the shared folder: they cut lineage and survive the loss of executors.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, table
+from .common import bounded_batches, fold, table, with_fields
 
 #: Hashed feature space, documents a language in the training sample, and the longest text of that sample.
 BITS, PER_LANG, MAX_CHARS = 14, 400, 20_000
@@ -172,14 +172,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the feature space's size
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     kept = docs.select(*(f"`{c}`" for c in rest))
-    schema = kept.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [shared.value.predict(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(scan, schema)
+    return kept.mapInArrow(scan, with_fields(kept, "lang_pred string, score double"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, jaccard, langid, licenses, pii, secrets, substrings, toxicity
+from . import decontaminate, exact, jaccard, langid, licenses, pieces, pii, secrets, substrings, toxicity
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_toxicity": toxicity.query,
         "op2_secret_scans": secrets.query,
         "op3_exact_dedup": exact.query,
@@ -14,6 +21,7 @@ def queries() -> dict:
         "op5_benchmark_decontamination": decontaminate.query,
         "op6_language_id": langid.query,
         "op7_license_scans": licenses.query,
+        "op8_sentencepiece": pieces.query,
         "op9_ngram_jaccard_join": jaccard.query,
         "op10_substring_dedup": substrings.query,
     }
