@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Longest unit whose boundaries fit a 64-bit set; longer ones are merged by a heap.
 MOST_CHARS = 61
 #: Units whose ids are broadcast (some 20 bytes each), and units a task counts before it hands them on.
-HOT_UNITS, HELD_UNITS = 4_000_000, 300_000
+HOT_UNITS, HELD_UNITS = 4_000_000, 100_000
 SPACE = "▁"
 _codes = _Powers(np.uint64(0x9E3779B97F4A7C15))
 
@@ -145,30 +145,47 @@ def count_units(docs: DataFrame, shared) -> DataFrame:
 
 
 def lattice(units: DataFrame, vocabulary: Vocabulary, unigram: bool = False) -> DataFrame:
-    """(unit, n, ids) of ``units(unit, n)`` of at most ``MOST_CHARS`` characters."""
+    """(unit, n, ids) of ``units(unit, n)`` of at most ``MOST_CHARS`` characters.
+
+    An edge is one long: rank of its cost, start, length and id from high to low bits, so that edges sort
+    by rank and then from the left. Characters without a piece have id 0 and are spelled in bytes.
+    """
     spark = units.sparkSession
-    rows = [(p, i, float(-s)) for i, (p, s, ok) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.normal, strict=True)) if ok]
-    pieces = spark.createDataFrame(rows, "piece string, id int, cost double")  # the model's size
-    at = units.withColumn("size", F.length("unit")).select("unit", "n", "size", F.explode(F.sequence(F.lit(1), "size")).alias("a"))
-    parts = at.select("unit", "n", "size", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("size") - F.col("a") + 1))).alias("k"))
-    parts = parts.withColumn("piece", F.expr("substring(unit, a, k)"))
-    edges = parts.join(F.broadcast(pieces), "piece", "left").filter("id is not null or k = 1")
-    raw = F.encode("piece", "UTF-8")
-    spelled = F.transform(F.sequence(F.lit(1), F.length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int") + F.lit(vocabulary.first_byte))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelled)
-    ends = F.expr("shiftleft(1L, a - 1) | shiftleft(1L, a - 1 + k)")
-    inside = F.expr("shiftleft(shiftleft(1L, k - 1) - 1L, a)")
-    by_unit = edges.select("unit", "n", "size", F.struct(F.coalesce("cost", F.lit(1e12)).alias("cost"), "a", "k", ends.alias("ends"), inside.alias("inside"), ids.alias("ids")).alias("e")).groupBy("unit").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list("e")).alias("edges"))
+    costs = sorted({-s for s, ok in zip(vocabulary.scores, vocabulary.normal, strict=True) if ok})
+    place = {c: i for i, c in enumerate(costs)}
+    rows = [(p, len(p) << 20 | i | place[-s] << 32, float(-s)) for i, (p, s, ok) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.normal, strict=True)) if ok]
+    pieces = spark.createDataFrame(rows, "piece string, code long, cost double")  # the model's size
+    at = units.select("unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("a"))
+    parts = at.select("unit", "n", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("unit") - F.col("a") + 1))).alias("k"))
+    parts = parts.select("unit", "n", "a", "k", F.expr("substring(unit, a, k)").alias("piece"))
+    edges = parts.join(F.broadcast(pieces), "piece", "left").filter("code is not null or k = 1")
+    size = F.length("unit").alias("size")
+    spelled = f"transform(sequence(1, octet_length(substring(unit, a(e), 1))), i -> cast(conv(hex(substring(encode(substring(unit, a(e), 1), 'UTF-8'), i, 1)), 16, 10) as int) + {vocabulary.first_byte})"
+    fields = {"a(e)": "cast(shiftright(e, 26) & 63 as int)", "k(e)": "cast(shiftright(e, 20) & 63 as int)", "id(e)": "cast(e & 1048575 as int)"}
+
+    def of(expression: str):
+        for name, field in fields.items():
+            expression = expression.replace(name, field)
+        return F.expr(expression)
+
     if unigram:
-        # state: for each end, the best (cost, edge's place) so far; edges by end, each reads its start
-        fold = """aggregate(array_sort(edges, (x, y) -> (x.a + x.k) - (y.a + y.k)), array_insert(array_repeat(struct(cast(1e300 as double) as cost, cast(array() as array<int>) as ids), size), 1, struct(cast(0 as double) as cost, cast(array() as array<int>) as ids)),
-            (s, e) -> if(s[e.a - 1].cost + e.cost < s[e.a - 1 + e.k].cost, transform(s, (x, i) -> if(i = e.a - 1 + e.k, struct(s[e.a - 1].cost + e.cost as cost, concat(s[e.a - 1].ids, e.ids) as ids), x)), s), s -> s[size].ids)"""
-        return by_unit.select("unit", "n", F.expr(fold).alias("ids"))
-    merges = by_unit.withColumn("m", F.expr("filter(edges, e -> e.k > 1)"))
-    fold = """aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1L, (s, x) -> coalesce(s & ~ get(filter(m, e -> (s & e.ends) = e.ends and bit_count(s & e.inside) = 1), 0).inside, s))"""
-    done = merges.withColumn("s", F.expr(fold))
-    path = "flatten(transform(array_sort(filter(edges, e -> (s & e.ends) = e.ends and (s & e.inside) = 0), (x, y) -> x.a - y.a), e -> e.ids))"
-    return done.select("unit", "n", F.expr(path).alias("ids"))
+        best = edges.select("unit", "n", F.struct((F.col("a") + F.col("k")).alias("z"), "a", "k", F.coalesce("cost", F.lit(1e12)).alias("cost"), F.coalesce(F.col("code"), F.lit(1 << 20)).bitwiseOR(F.shiftleft(F.col("a").cast("long"), 26)).alias("e")).alias("e"))
+        by_unit = best.groupBy("unit", "n").agg(F.sort_array(F.collect_list("e")).alias("edges")).withColumn("size", size)
+        # state: for each end the least cost and the edges to it; edges come by their end
+        empty = "cast(array() as array<bigint>) as path"
+        fold = f"""aggregate(edges, array_insert(array_repeat(struct(cast(1e300 as double) as cost, {empty}), size), 1, struct(cast(0 as double) as cost, {empty})),
+            (s, e) -> if(s[e.a - 1].cost + e.cost < s[e.z - 1].cost, transform(s, (x, i) -> if(i = e.z - 1, struct(s[e.a - 1].cost + e.cost as cost, concat(s[e.a - 1].path, array(e.e)) as path), x)), s), s -> s[size].path)"""
+        path = by_unit.withColumn("path", F.expr(fold))
+    else:
+        code = F.coalesce(F.col("code"), F.lit(1 << 20)).bitwiseOR(F.shiftleft(F.col("a").cast("long"), 26))
+        by_unit = edges.select("unit", "n", code.alias("e")).groupBy("unit", "n").agg(F.sort_array(F.collect_list("e")).alias("edges")).withColumn("size", size)
+        merges = by_unit.withColumn("m", of("transform(filter(edges, e -> k(e) > 1), e -> struct(shiftleft(1L, a(e) - 1) | shiftleft(1L, a(e) - 1 + k(e)) as ends, shiftleft(shiftleft(1L, k(e) - 1) - 1L, a(e)) as inside))"))
+        fold = "aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1L, (s, x) -> coalesce(s & ~ get(filter(m, e -> (s & e.ends) = e.ends and bit_count(s & e.inside) = 1), 0).inside, s))"
+        done = merges.select("unit", "n", "edges", F.expr(f"if(size(m) = 0, shiftleft(1L, size + 1) - 1L, {fold})").alias("s"))
+        # edges on the final boundaries, from the left: the start stands above the length and id
+        path = done.withColumn("path", of("array_sort(transform(filter(edges, e -> (s & (shiftleft(1L, a(e) - 1) | shiftleft(1L, a(e) - 1 + k(e)))) = (shiftleft(1L, a(e) - 1) | shiftleft(1L, a(e) - 1 + k(e))) and (s & shiftleft(shiftleft(1L, k(e) - 1) - 1L, a(e))) = 0), e -> e & 4294967295L))"))
+    ids = of(f"if(exists(path, e -> id(e) = 0), flatten(transform(path, e -> if(id(e) = 0, {spelled}, array(id(e))))), transform(path, e -> id(e)))")
+    return path.select("unit", "n", ids.alias("ids"))
 
 
 class UnitTable:
