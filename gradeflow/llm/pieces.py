@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +48,14 @@ class Vocabulary:
         letters = sorted({c for p, ok in zip(self.pieces, self.normal, strict=True) if ok and len(p) > 1 for c in p})
         self.index = np.zeros(0x110000, np.uint16)
         self.index[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-        self.crossed = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        n = len(letters) + 1
+        self.starts, self.inner, self.stops, self.three = (np.zeros(shape, bool) for shape in [(n, n)] * 3 + [(n, n, n)])
         for p, ok in zip(self.pieces, self.normal, strict=True):
             if ok and len(p) > 1:
                 rows = self.index[[ord(c) for c in p]]
-                self.crossed[rows[:-1], rows[1:]] = True
+                self.starts[rows[0], rows[1]] = self.stops[rows[-2], rows[-1]] = True
+                self.inner[rows[:-1], rows[1:]] = True
+                self.three[rows[:-2], rows[1:-1], rows[2:]] = True
         self.longest = max((len(p) for p, ok in zip(self.pieces, self.normal, strict=True) if ok), default=1)
 
     @staticmethod
@@ -78,12 +82,26 @@ class Vocabulary:
         edges = np.cumsum([0, *map(len, flat)])
         rows = self.index[codes]
         cut = np.ones(len(codes) + 1, bool)
-        cut[1:-1] = ~self.crossed[rows[:-1], rows[1:]]
+        if len(codes) > 1:
+            # a piece across x|y starts at x or holds what stands before it, and ends at y or holds what follows
+            x, y = rows[:-1], rows[1:]
+            three = np.zeros(len(codes), bool)
+            three[1:-1] = self.three[rows[:-2], rows[1:-1], rows[2:]]
+            cut[1:-1] = ~(self.inner[x, y] & (self.starts[x, y] | three[:-1]) & (self.stops[x, y] | three[1:]))
         cut[edges] = True
         at = np.flatnonzero(cut)
         return codes, at[:-1], at[1:], np.searchsorted(at[:-1], edges)
 
 
+def slices(batch: pa.RecordBatch, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each; a longer text is a part by itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def unit_prints(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _codes.get(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
@@ -129,7 +147,7 @@ def count_units(docs: DataFrame, shared) -> DataFrame:
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             codes, starts, ends, _ = shared.value.units(batch.column(0).to_pylist())
             prints, at, n = np.unique(unit_prints(codes, starts, ends), return_index=True, return_counts=True)
             for h, i, k in zip(prints.tolist(), at.tolist(), n.tolist(), strict=True):
@@ -158,7 +176,10 @@ def lattice(units: DataFrame, vocabulary: Vocabulary, unigram: bool = False) ->
     at = units.select("unit", "n", F.explode(F.sequence(F.lit(1), F.length("unit"))).alias("a"))
     parts = at.select("unit", "n", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.length("unit") - F.col("a") + 1))).alias("k"))
     parts = parts.select("unit", "n", "a", "k", F.expr("substring(unit, a, k)").alias("piece"))
-    edges = parts.join(F.broadcast(pieces), "piece", "left").filter("code is not null or k = 1")
+    by_hash = pieces.select(F.xxhash64("piece").alias("h"), F.col("piece").alias("p"), "code", "cost")
+    edges = parts.withColumn("h", F.xxhash64("piece")).join(F.broadcast(by_hash), "h", "left").filter("(p is not null and p = piece) or k = 1")
+    same = F.col("p").eqNullSafe(F.col("piece"))
+    edges = edges.withColumn("code", F.when(same, F.col("code"))).withColumn("cost", F.when(same, F.col("cost")))
     size = F.length("unit").alias("size")
     spelled = f"transform(sequence(1, octet_length(substring(unit, a(e), 1))), i -> cast(conv(hex(substring(encode(substring(unit, a(e), 1), 'UTF-8'), i, 1)), 16, 10) as int) + {vocabulary.first_byte})"
     fields = {"a(e)": "cast(shiftright(e, 26) & 63 as int)", "k(e)": "cast(shiftright(e, 20) & 63 as int)", "id(e)": "cast(e & 1048575 as int)"}
@@ -225,7 +246,8 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([merge_long(u, ids, first_byte) for u in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["unit", "n", "ids"])
 
-    short = units.filter(F.length("unit") <= MOST_CHARS).repartition("unit")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    short = units.filter(F.length("unit") <= MOST_CHARS).repartition(tasks, "unit")
     known = lattice(short, vocabulary).unionByName(units.filter(F.length("unit") > MOST_CHARS).mapInArrow(long_units, "unit string, n long, ids array<int>"))
     known = scratch.write(known, "known")
     least, total = 1, 0
@@ -245,7 +267,12 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
             yield pa.RecordBatch.from_arrays([pa.array(unit_prints(codes, edges[:-1], edges[1:]).view(np.int64)), pa.array(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)), pa.array([np.asarray(x.values, np.int32).tobytes() for x in lists], pa.binary())], names=["h", "k", "ids"])
 
     got = known.filter((F.col("n") >= least) & (F.size("ids") < 65536)).select("unit", "ids").mapInArrow(packed, "h long, k int, ids binary").toArrow()  # at most hot_units rows
-    flat = np.frombuffer(b"".join(x.as_py() for chunk in got.column(2).chunks for x in chunk), np.int32)
+    parts = [np.zeros(0, np.uint8)]
+    for chunk in got.column(2).chunks:
+        at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[at[0] : at[-1]])
+    flat = np.concatenate(parts).view(np.int32)
+    del parts
     hot = UnitTable(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy(), flat.astype(np.uint16) if len(vocabulary.pieces) < 65536 else flat)
     del got
     hot_shared = spark.sparkContext.broadcast(hot)
@@ -254,7 +281,7 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units_known = hot_shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             codes, starts, ends, first = shared.value.units(texts)
             at, hit = units_known.find(unit_prints(codes, starts, ends))
