@@ -149,7 +149,11 @@ def count_units(docs: DataFrame, shared) -> DataFrame:
 
         for batch in (part for whole in batches for part in slices(whole)):
             codes, starts, ends, _ = shared.value.units(batch.column(0).to_pylist())
-            prints, at, n = np.unique(unit_prints(codes, starts, ends), return_index=True, return_counts=True)
+            prints = unit_prints(codes, starts, ends)
+            order = np.argsort(prints)
+            prints = prints[order]
+            heads = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
+            prints, at, n = prints[heads], order[heads], np.diff(np.append(heads, len(order)))
             for h, i, k in zip(prints.tolist(), at.tolist(), n.tolist(), strict=True):
                 if h in held:
                     held[h][1] += k
@@ -201,7 +205,7 @@ def lattice(units: DataFrame, vocabulary: Vocabulary, unigram: bool = False) ->
         code = F.coalesce(F.col("code"), F.lit(1 << 20)).bitwiseOR(F.shiftleft(F.col("a").cast("long"), 26))
         by_unit = edges.select("unit", "n", code.alias("e")).groupBy("unit", "n").agg(F.sort_array(F.collect_list("e")).alias("edges")).withColumn("size", size)
         merges = by_unit.withColumn("m", of("transform(filter(edges, e -> k(e) > 1), e -> struct(shiftleft(1L, a(e) - 1) | shiftleft(1L, a(e) - 1 + k(e)) as ends, shiftleft(shiftleft(1L, k(e) - 1) - 1L, a(e)) as inside))"))
-        fold = "aggregate(sequence(1, size), shiftleft(1L, size + 1) - 1L, (s, x) -> coalesce(s & ~ get(filter(m, e -> (s & e.ends) = e.ends and bit_count(s & e.inside) = 1), 0).inside, s))"
+        fold = "aggregate(sequence(1, greatest(1, least(size - 1, size(m)))), shiftleft(1L, size + 1) - 1L, (s, x) -> coalesce(s & ~ get(filter(m, e -> (s & e.ends) = e.ends and bit_count(s & e.inside) = 1), 0).inside, s))"
         done = merges.select("unit", "n", "edges", F.expr(f"if(size(m) = 0, shiftleft(1L, size + 1) - 1L, {fold})").alias("s"))
         # edges on the final boundaries, from the left: the start stands above the length and id
         path = done.withColumn("path", of("array_sort(transform(filter(edges, e -> (s & (shiftleft(1L, a(e) - 1) | shiftleft(1L, a(e) - 1 + k(e)))) = (shiftleft(1L, a(e) - 1) | shiftleft(1L, a(e) - 1 + k(e))) and (s & shiftleft(shiftleft(1L, k(e) - 1) - 1L, a(e))) = 0), e -> e & 4294967295L))"))
@@ -226,8 +230,21 @@ class UnitTable:
         return at, (self.prints[at] == prints) & (self.sizes[at] > 0)
 
 
+def text_of(tokens: np.ndarray, meaning: list[bytes]) -> str:
+    """What ids stand for, without the space that encoding puts in front."""
+    out = b"".join(map(meaning.__getitem__, tokens.tolist()))
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+
+
+def same(text: str | None, tokens: np.ndarray | None, meaning: list[bytes]) -> bool:
+    """Whether ids decode to their text; the escape character itself decodes to a space, by the model's design."""
+    return text is None or text_of(tokens, meaning) == text.replace(SPACE, " ")
+
+
 def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> DataFrame:
-    """All columns of ``docs`` and ``tokens`` array<int>, ``n_tokens`` from its ``text``; columns of these names are replaced.
+    """All columns of ``docs`` and ``tokens`` array<int>, ``n_tokens``, ``round_trip`` from its ``text``; columns of these names are replaced.
+
+    ``round_trip`` says whether the ids, decoded, give the text.
 
     The ids are those of the model's own encoder. A null text has null tokens and 0, an empty one an
     empty list. Repeated rows get the same ids, an empty table gives an empty result.
@@ -237,7 +254,8 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
     scratch = Scratch(spark, "pieces")
     vocabulary = Vocabulary.load(model)
     shared = spark.sparkContext.broadcast(vocabulary)
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in ("tokens", "n_tokens")))
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in ("tokens", "n_tokens", "round_trip")))
+    meaning = spark.sparkContext.broadcast(vocabulary.bytes_of())
     ids = {p: (s, i) for i, (p, s, ok) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.normal, strict=True)) if ok}
     first_byte = vocabulary.first_byte
     units = scratch.write(count_units(docs, shared), "units")
@@ -297,9 +315,11 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
             counts = np.where(bad, 0, ends_of[first[1:]] - ends_of[first[:-1]])
             cold = [[_text(codes, starts[i], ends[i]) for i in first[d] + np.flatnonzero(~hit[first[d] : first[d + 1]])] if m else None for d, m in enumerate(miss.tolist())]
             cold = [sorted(set(x)) if x else None for x in cold]
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int64()), pa.array(cold, pa.list_(pa.string()))], names=[*names, "tokens", "n_tokens", "_cold"])
+            edges = ends_of[first].tolist()
+            agree = [m > 0 or same(t, values[a:b], meaning.value) for t, m, a, b in zip(texts, miss.tolist(), edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int64()), pa.array(agree, pa.bool_()), pa.array(cold, pa.list_(pa.string()))], names=[*names, "tokens", "n_tokens", "round_trip", "_cold"])
 
-    encoded = docs.mapInArrow(first_pass, with_fields(docs, "tokens array<int>, n_tokens long, _cold array<string>"))
+    encoded = docs.mapInArrow(first_pass, with_fields(docs, "tokens array<int>, n_tokens long, round_trip boolean, _cold array<string>"))
     if covered and not len(np.flatnonzero(hot.sizes == 0)):
         return encoded.drop("_cold")
     encoded = scratch.write(encoded.withColumn("_row", F.monotonically_increasing_id()), "encoded")
@@ -309,7 +329,7 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units_known = hot_shared.value
         for batch in batches:
-            out = []
+            out, agree = [], []
             for text, own in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_ids")).to_pylist(), strict=True):
                 more = {x["unit"]: x["ids"] for x in own}
                 codes, starts, ends, _ = shared.value.units([text])
@@ -319,10 +339,11 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
                     b = int(units_known.begin[j]) if ok else 0
                     tokens += units_known.ids[b : b + int(units_known.sizes[j])].tolist() if ok else more[_text(codes, starts[i], ends[i])]
                 out.append(tokens)
+                agree.append(same(text, np.array(tokens, np.int32), meaning.value))
             keep = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.int32())), pa.array([len(x) for x in out], pa.int64())], names=[*names, "tokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.int32())), pa.array([len(x) for x in out], pa.int64()), pa.array(agree, pa.bool_())], names=[*names, "tokens", "n_tokens", "round_trip"])
 
-    late = encoded.filter("_cold is not null").drop("tokens", "n_tokens", "_cold").join(rest, "_row").drop("_row").mapInArrow(second_pass, with_fields(docs, "tokens array<int>, n_tokens long"))
+    late = encoded.filter("_cold is not null").drop("tokens", "n_tokens", "round_trip", "_cold").join(rest, "_row").drop("_row").mapInArrow(second_pass, with_fields(docs, "tokens array<int>, n_tokens long, round_trip boolean"))
     return encoded.filter("_cold is null").drop("_cold", "_row").unionByName(late)
 
 
@@ -334,16 +355,13 @@ def decode(rows: DataFrame, model: str = MODEL, column: str = "decoded") -> Data
     rows = rows.select(*(f"`{c}`" for c in rows.columns if c != column))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = meaning.value.__getitem__
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("tokens"))
-            out = [b"".join(map(of, x.values.to_numpy().tolist())) if x.is_valid else None for x in lists]
-            texts = [x if x is None else (x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in out]
+            texts = [text_of(x.values.to_numpy(), meaning.value) if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, column])
 
     return rows.mapInArrow(scan, with_fields(rows, f"{column} string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return rows.select("doc_id", "n_tokens", "tokens", F.col("decoded").eqNullSafe(F.translate("text", SPACE, " ")).alias("round_trip"))
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "tokens", "round_trip")
