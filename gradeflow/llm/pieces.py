@@ -31,6 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MOST_CHARS = 61
 #: Units whose ids are broadcast (some 20 bytes each), and units a task counts before it hands them on.
 HOT_UNITS, HELD_UNITS = 4_000_000, 100_000
+#: Units of a task whose edges are gathered in memory, about a kB each; with more, Spark sorts.
+HASHED_UNITS = 100_000
 SPACE = "▁"
 _codes = _Powers(np.uint64(0x9E3779B97F4A7C15))
 
@@ -267,7 +269,14 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     short = units.filter(F.length("unit") <= MOST_CHARS).repartition(tasks, "unit")
     known = lattice(short, vocabulary).unionByName(units.filter(F.length("unit") > MOST_CHARS).mapInArrow(long_units, "unit string, n long, ids array<int>"))
-    known = scratch.write(known, "known")
+    # a unit's edges are gathered by hashing, without a sort, while a task has no more units than this
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(HASHED_UNITS))
+    try:
+        known = scratch.write(known, "known")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     least, total = 1, 0
     by_count = known.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toArrow().to_pylist()  # as many rows as distinct counts
     for row in by_count:
