@@ -223,10 +223,19 @@ class UnitTable:
         twice = np.flatnonzero(self.prints[1:] == self.prints[:-1])
         self.sizes[twice] = self.sizes[twice + 1] = 0  # two units of one fingerprint: not found here
 
+        self.slots = None
+
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.prints, prints), max(0, len(self.prints) - 1))
+        """Places and whether they are right; by high bits first, by bisection where two units share those."""
         if not len(self.prints):
-            return at, np.zeros(len(prints), bool)
+            return np.zeros(len(prints), np.int64), np.zeros(len(prints), bool)
+        if self.slots is None:  # made in each worker
+            self.shift = np.uint64(64 - (len(self.prints).bit_length() + 1))
+            self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+            self.slots[self.prints >> self.shift] = np.arange(len(self.prints))
+        at = self.slots[prints >> self.shift].astype(np.int64)
+        miss = np.flatnonzero(self.prints[at] != prints)
+        at[miss] = np.minimum(np.searchsorted(self.prints, prints[miss]), len(self.prints) - 1)
         return at, (self.prints[at] == prints) & (self.sizes[at] > 0)
 
 
