@@ -242,7 +242,7 @@ class Scorer:
         return best
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
+def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 600, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
     """Windows take their text's label in the first round; then texts teach by their most toxic window.
 
     In later rounds a toxic text counts only if its most toxic window stands out from those of clean
@@ -266,7 +266,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, batch: int = 256
     rng = np.random.default_rng(seed)
     m, v, t = {k: np.zeros_like(net.p[k]) for k in trained}, {k: np.zeros_like(net.p[k]) for k in trained}, 0
     positives, negatives = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    for epoch in range(epochs):
+    for epoch in range(10 * epochs):  # small samples get more rounds
+        if epoch >= epochs and t >= least_steps:
+            break
         if not epoch:
             use = np.concatenate([positives, rng.choice(negatives, min(len(negatives), 8 * len(positives)), replace=False)])
         else:
