@@ -26,6 +26,8 @@ LEAST_TEXTS = 4
 #: The training sample: rows of each label, and the longest text.
 PER_LABEL, MAX_CHARS = 1_500, 8_000
 THRESHOLD = 0.7
+#: Steps at least in which windows take the label of their text, before texts teach by single windows.
+WARM_STEPS = 150
 #: Words of which a worker remembers the vectors.
 REMEMBERED = 200_000
 
@@ -243,7 +245,7 @@ class Scorer:
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 600, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
-    """Windows take their text's label in the first round; then texts teach by their most toxic window.
+    """Windows take their text's label in the first rounds; then texts teach by their most toxic window.
 
     In later rounds a toxic text counts only if its most toxic window stands out from those of clean
     texts, and the highest windows of clean texts are taken as hard examples.
@@ -269,7 +271,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int
     for epoch in range(10 * epochs):  # small samples get more rounds
         if epoch >= epochs and t >= least_steps:
             break
-        if not epoch:
+        if t < WARM_STEPS:
             use = np.concatenate([positives, rng.choice(negatives, min(len(negatives), 8 * len(positives)), replace=False)])
         else:
             projected = np.concatenate([net.words.project(net.word_vectors(prints[a : a + 8192], letters[a : a + 8192])) for a in range(0, len(prints), 8192)])
