@@ -26,8 +26,8 @@ LEAST_TEXTS = 4
 #: The training sample: rows of each label, and the longest text.
 PER_LABEL, MAX_CHARS = 1_500, 8_000
 THRESHOLD = 0.7
-#: Steps at least in which windows take the label of their text, before texts teach by single windows.
-WARM_STEPS = 150
+#: Texts by which the log-odds of a word are drawn to zero; windows read at least in a round of training.
+PRIOR, LEAST_WINDOWS = 8, 4_000
 #: Words of which a worker remembers the vectors.
 REMEMBERED = 200_000
 
@@ -179,11 +179,15 @@ class Network:
         g["words"] = np.zeros_like(self.p["words"])
         np.add.at(g["words"], rows, d_v[:, :DIM])
         d_cx = self.chars.back(d_v[:, DIM:], cx, g) * (letters > 0)[..., None]
-        g["chars"] = np.zeros_like(self.p["chars"])
-        np.add.at(g["chars"], letters.ravel(), d_cx.reshape(-1, CHAR_DIM))
+        g["chars"] = by_letter(d_cx, letters)
         return g, p
 
 
+def by_letter(d: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Sums of (n, t, d) gradients by letter: (256, d)."""
+    return np.stack([np.bincount(letters.ravel(), d[..., k].ravel(), 256) for k in range(d.shape[-1])], 1).astype(np.float32)
+
+
 def letters_of(words: Words, rows: np.ndarray) -> np.ndarray:
     """The first and last bytes of some words, (n, CHARS), 0 where there are fewer."""
     starts, sizes = words.starts[rows], words.ends[rows] - words.starts[rows]
@@ -244,11 +248,58 @@ class Scorer:
         return best
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int = 600, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict:
-    """Windows take their text's label in the first rounds; then texts teach by their most toxic window.
+class Adam:
+    """Adam's moments of some parameters, which are changed in place."""
+
+    def __init__(self, p: dict, rate: float = 0.01):
+        self.p, self.rate, self.t = p, rate, 0
+        self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+
+    def step(self, g: dict) -> None:
+        self.t += 1
+        for k, d in g.items():
+            self.m[k] += 0.1 * (d - self.m[k])
+            self.v[k] += 0.001 * (d * d - self.v[k])
+            self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)).astype(np.float32)
 
-    In later rounds a toxic text counts only if its most toxic window stands out from those of clean
-    texts, and the highest windows of clean texts are taken as hard examples.
+
+def word_lesson(net: Network, prints: np.ndarray, letters: np.ndarray, toxic: np.ndarray, clean: np.ndarray, texts: tuple[int, int], rng, steps: int = 2_000, batch: int = 512) -> np.ndarray:
+    """Teach the character reader which words favour toxic texts; returns the evidence of each word, 0 for most.
+
+    ``toxic`` and ``clean``: numbers of texts of each label with the word. Words drawn by these numbers, as many
+    from each, make the reader's logit the log-odds of a spelling, which new words share. The first place of a
+    word's embedding begins with its own log-odds, drawn to zero by ``PRIOR`` texts.
+    """
+    share = texts[0] / sum(texts)
+    odds = np.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share))) - np.log(share / (1 - share))
+    rows = net.rows_of(prints)
+    net.p["words"][rows[rows > 0], 0] = odds[rows > 0] / 2
+    head = {"hint": rng.normal(0, 0.3, 2 * CHAR_HIDDEN).astype(np.float32), "level": np.zeros(1, np.float32)}
+    taught = {k: x for k, x in net.p.items() if k == "chars" or (k[0] == "c" and k[1:2] in "fbA")} | head
+    adam = Adam(taught)
+    sums = np.cumsum(toxic), np.cumsum(clean)
+    for _ in range(steps):
+        ones, zeros = (np.searchsorted(c, rng.integers(0, c[-1], batch), side="right") for c in sums)
+        part, inverse = np.unique(np.concatenate([ones, zeros]), return_inverse=True)
+        drawn, hits = np.bincount(inverse), np.bincount(inverse[:batch], minlength=len(part))
+        g: dict = {}
+        here = letters[part]
+        mask = (here > 0).astype(np.float32)
+        x = net.p["chars"][here]
+        pooled = net.chars.pool(net.chars.project(net.p["chars"])[here], mask, keep=True)
+        d = ((sigmoid(pooled @ head["hint"] + head["level"]) * drawn - hits) / (2 * batch)).astype(np.float32)
+        g["hint"], g["level"] = pooled.T @ d, d.sum(keepdims=True)
+        g["chars"] = by_letter(net.chars.back(d[:, None] * head["hint"], x, g) * mask[..., None], here)
+        adam.step(g)
+    read = np.concatenate([net.word_vectors(prints[a : a + 8192], letters[a : a + 8192])[:, DIM:] @ head["hint"] + head["level"] for a in range(0, len(prints), 8192)])
+    return np.maximum(0, read - 1) + np.maximum(0, np.where(rows > 0, odds, 0) - 1)
+
+
+def train(texts: list[str], labels: list[int], rounds: int = 6, batch: int = 128, seed: int = 5) -> dict:
+    """Texts teach by their most toxic window: at first that with the most evidence of words, then that of the network.
+
+    A toxic text counts only if its most toxic window stands out from those of clean texts; clean texts
+    teach by their most toxic windows, the highest of all and some others.
     """
     net = Network()
     if not texts or len(set(labels)) < 2:
@@ -259,30 +310,33 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int
     _, index, rows = np.unique(words.prints, return_index=True, return_inverse=True)
     ids, docs = windows_of(words.counts, words.first[:-1])
     ids = np.where(ids >= 0, rows[np.maximum(ids, 0)], -1)
-    y = np.array(labels, np.float32)[docs]
+    label = np.array(labels, np.int64)
+    y = label[docs].astype(np.float32)
+    if not len(ids) or y.min() == y.max():
+        return train([], [])  # the texts of a label have no words
     prints, letters = words.prints[index], letters_of(words, index)
-    spread = np.bincount(np.unique(rows.astype(np.int64) * len(texts) + words.docs()) // len(texts), minlength=len(prints))
-    common = np.argsort(-spread, kind="stable")[:VOCABULARY]
-    net = Network(vocabulary=np.sort(prints[common[spread[common] >= LEAST_TEXTS]]))
-    trained = [k for k in net.p if k != "vocabulary"]
+    pairs = np.unique(rows.astype(np.int64) * len(texts) + words.docs())
+    spread = [np.bincount(pairs[label[pairs % len(texts)] == t] // len(texts), minlength=len(prints)) for t in (1, 0)]
+    common = np.argsort(-(spread[0] + spread[1]), kind="stable")[:VOCABULARY]
+    net = Network(vocabulary=np.sort(prints[common[(spread[0] + spread[1])[common] >= LEAST_TEXTS]]))
     rng = np.random.default_rng(seed)
-    m, v, t = {k: np.zeros_like(net.p[k]) for k in trained}, {k: np.zeros_like(net.p[k]) for k in trained}, 0
-    positives, negatives = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    for epoch in range(10 * epochs):  # small samples get more rounds
-        if epoch >= epochs and t >= least_steps:
-            break
-        if t < WARM_STEPS:
-            use = np.concatenate([positives, rng.choice(negatives, min(len(negatives), 8 * len(positives)), replace=False)])
-        else:
+    evidence = word_lesson(net, prints, letters, *spread, (int(label.sum()), int((1 - label).sum())), rng)
+    logit = np.where(ids >= 0, evidence[np.maximum(ids, 0)], 0).sum(1)
+    adam = Adam({k: x for k, x in net.p.items() if k != "vocabulary"})
+    negatives = np.flatnonzero(y == 0)
+    for turn in range(rounds):
+        if turn:
             projected = np.concatenate([net.words.project(net.word_vectors(prints[a : a + 8192], letters[a : a + 8192])) for a in range(0, len(prints), 8192)])
             logit = np.concatenate([net.logits(projected, ids[a : a + 4096]) for a in range(0, len(ids), 4096)])
-            order = np.lexsort((-logit, docs))
-            top = order[np.unique(docs[order], return_index=True)[1]]  # the most toxic window of each text
-            level = np.quantile(logit[top[y[top] == 0]], 0.9)
-            explained = top[(y[top] == 1) & (logit[top] > level)]  # labels that no window explains are left out
-            hard = np.argsort(-logit[negatives])[: 4 * len(top)]
-            easy = rng.choice(negatives, min(len(negatives), 4 * len(top)), replace=False)
-            use = np.concatenate([np.repeat(explained, 4), top[y[top] == 0], negatives[hard], easy])
+        order = np.lexsort((-logit, docs))
+        top = order[np.unique(docs[order], return_index=True)[1]]  # the most toxic window of each text
+        level = np.quantile(logit[top[y[top] == 0]], 0.95)
+        explained = top[(y[top] == 1) & (logit[top] > level)]  # labels that no window explains are left out
+        hard = negatives[np.argsort(-logit[negatives], kind="stable")[: len(top)]]
+        easy = rng.choice(negatives, min(len(negatives), 2 * len(top)), replace=False)
+        use = np.concatenate([np.repeat(explained, 4), top[y[top] == 0], hard, easy])
+        while len(use) < LEAST_WINDOWS:  # small samples are read more than once in a round
+            use = np.concatenate([use, use])
         rng.shuffle(use)
         for a in range(0, len(use), batch):
             part = use[a : a + batch]
@@ -291,11 +345,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, least_steps: int
             if here[0] < 0:
                 here, inverse = here[1:], inverse - 1
             g, _ = net.step(prints[here], letters[here], inverse, y[part], np.ones(len(part), np.float32))
-            t += 1
-            for k, d in g.items():
-                m[k] += 0.1 * (d - m[k])
-                v[k] += 0.001 * (d * d - v[k])
-                net.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+            adam.step(g)
     return net.p
 
 
