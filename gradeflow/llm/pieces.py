@@ -300,11 +300,11 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
         parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[at[0] : at[-1]])
     flat = np.concatenate(parts).view(np.int32)
     del parts
+    covered = least == 1 and got.num_rows == total  # units of 65,536 ids or more aren't in the table
     hot = UnitTable(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy(), flat.astype(np.uint16) if len(vocabulary.pieces) < 65536 else flat)
     del got
     hot_shared = spark.sparkContext.broadcast(hot)
     names = docs.columns
-    covered = least == 1
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units_known = hot_shared.value
@@ -325,7 +325,7 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
             cold = [[_text(codes, starts[i], ends[i]) for i in first[d] + np.flatnonzero(~hit[first[d] : first[d + 1]])] if m else None for d, m in enumerate(miss.tolist())]
             cold = [sorted(set(x)) if x else None for x in cold]
             edges = ends_of[first].tolist()
-            agree = [m > 0 or same(t, values[a:b], meaning.value) for t, m, a, b in zip(texts, miss.tolist(), edges[:-1], edges[1:], strict=True)]
+            agree = [None if m else same(t, values[a:b], meaning.value) for t, m, a, b in zip(texts, miss.tolist(), edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int64()), pa.array(agree, pa.bool_()), pa.array(cold, pa.list_(pa.string()))], names=[*names, "tokens", "n_tokens", "round_trip", "_cold"])
 
     encoded = docs.mapInArrow(first_pass, with_fields(docs, "tokens array<int>, n_tokens long, round_trip boolean, _cold array<string>"))

@@ -118,6 +118,18 @@ def test_pieces(docs, nothing):
     assert pieces.encode(nothing).count() == 0
 
 
+def test_pieces_of_one_unit_of_very_many_ids(spark):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(1)
+    texts = ["x" * 200_000, "".join(rng.choice("acgt") for _ in range(200_000)), "a short one", None]
+    assert any(len(model.encode(t)) >= 65536 for t in texts if t)
+    for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert r.round_trip and r.tokens == (None if r.text is None else model.encode(r.text))
+        assert r.n_tokens == len(r.tokens or [])
+
+
 def test_unigram_fold_takes_the_best_sum(spark):
     small = pieces.Vocabulary(["<unk>", *(f"<0x{i:02X}>" for i in range(256)), "a", "b", "ab", "ba", "aba"], [0.0] * 257 + [-1.0, -1.0, -1.5, -0.4, -3.0], [False] * 257 + [True] * 5, 1)
     units = spark.createDataFrame([("aba", 1), ("b", 1), ("abc", 1)], "unit string, n long")
