@@ -106,16 +106,30 @@ def card(text: str, move: Callable[[int, int, str], int]) -> str | None:
     return _refill(text, [d[0], *body, check])
 
 
+#: Country codes of one and two digits; all others have three.
+_ONE, _TWO = "[17]", "2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+_CODE = re.compile(f"{_ONE}|{_TWO}|[0-9]{{3}}")
+
+
+def _moved(text: str, d: list[int], keep: int, move: Callable[[int, int, str], int], tweak: str) -> str:
+    radices = [10] * (len(d) - keep)
+    return _refill(text, d[:keep] + _unmixed(move(_mixed(d[keep:], radices), _product(radices), tweak), radices))
+
+
 def phone(text: str, move: Callable[[int, int, str], int]) -> str | None:
-    """North American numbers: area and exchange codes start with 2 to 9; a country code stays."""
+    """Ten digits in the North American format; a country code stays."""
     d = _digits(text)
-    head, d = d[:-10], d[-10:]
-    if len(d) != 10 or head not in ([], [1]) or d[0] < 2 or d[3] < 2:
-        return None
-    radices = [8, 10, 10, 8, 10, 10, 10, 10, 10, 10]
-    low = [2, 0, 0, 2, 0, 0, 0, 0, 0, 0]
-    out = _unmixed(move(_mixed([a - b for a, b in zip(d, low, strict=True)], radices), _product(radices), "phone"), radices)
-    return _refill(text, head + [a + b for a, b in zip(out, low, strict=True)])
+    return _moved(text, d, len(d) - 10, move, "phone")
+
+
+def international(text: str, move: Callable[[int, int, str], int]) -> str | None:
+    """A country code and up to 15 digits in all; the code and a trunk zero in brackets stay."""
+    d = _digits(text)
+    zeros = 2 if text[0] == "0" else 0
+    code = _CODE.match("".join(map(str, d[zeros:])))[0]
+    keep = zeros + len(code) + ("(0)" in text)
+    n = len(d) - keep
+    return _moved(text, d, keep, move, "phone" if code == "1" and n == 10 else f"phone{code}.{n}")
 
 
 def ssn(text: str, move: Callable[[int, int, str], int]) -> str | None:
@@ -155,7 +169,10 @@ FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31)
 
 
 def date(text: str, move: Callable[[int, int, str], int]) -> str | None:
-    """Real dates from 1900 to 2099: year first, or day and month before the year (the reading that is valid, day first on a tie)."""
+    """Real dates from 1900 to 2099: year first, or day and month before the year (the reading that is valid, day first on a tie).
+
+    A one-digit day or month is a format of its own and stays one digit.
+    """
     parts = re.split(r"[-/.]", text)
     orders = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
     for order in orders:
@@ -165,14 +182,14 @@ def date(text: str, move: Callable[[int, int, str], int]) -> str | None:
         except ValueError:
             continue
         if FIRST <= day <= LAST:
-            new = datetime.date.fromordinal(FIRST + move(day - FIRST, LAST - FIRST + 1, "date"))
-            if order != "ymd":  # the reading must not change: a later reader tries day first
-                order_of = lambda x: (x.day, x.month) if order == "dmy" else (x.month, x.day)
-                while order == "mdy" and new.day <= 12:
-                    new = datetime.date.fromordinal(FIRST + move(new.toordinal() - FIRST, LAST - FIRST + 1, "date"))
-                a, b = order_of(new)
-                return f"{a:02d}{text[len(parts[0])]}{b:02d}{text[len(parts[0])]}{new.year:04d}"
-            return f"{new.year:04d}{text[4]}{new.month:02d}{text[4]}{new.day:02d}"
+            widths = {k: len(v) for k, v in zip(order, parts, strict=True)}
+            while True:  # the reading and the widths must not change: a later reader tries day first
+                day = FIRST + move(day - FIRST, LAST - FIRST + 1, "date")
+                new = datetime.date.fromordinal(day)
+                if (order != "mdy" or new.day > 12) and (widths["d"] > 1 or new.day < 10) and (widths["m"] > 1 or new.month < 10):
+                    break
+            values = {"y": new.year, "m": new.month, "d": new.day}
+            return text[len(parts[0])].join(f"{values[k]:0{widths[k]}d}" for k in order)
     return None
 
 
@@ -202,11 +219,29 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
     ("card", r"(?<![A-Za-z0-9])[1-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", card),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![A-Za-z0-9-])", ssn),
-    ("phone", r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])", phone),
+    ("phone", r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])", phone),
     ("ip", r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])", ip),
-    ("date", r"(?<![A-Za-z0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])", date),
+    ("date", r"(?<![A-Za-z0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?:(?=[Tt][0-9]{2}|[Zz](?![A-Za-z0-9]))|(?![A-Za-z0-9]|[./-][0-9]))", date),
+)
+
+
+_SHAPES = r"[0-9]{4}[-/.][0-9]{1,2}[-/.]|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4}(?![0-9])|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
+
+
+def _national(least: int, most: int) -> str:
+    """So many digits with separators; a date or an IP address after a blank isn't part of them."""
+    sep = rf"(?:[   ](?!{_SHAPES})|[./-])?"
+    return rf"(?:{sep}\(0\))?(?:{sep}\((?=[0-9]{{2,5}}\){sep}[0-9]))?(?:{sep}[0-9]\)?){{{least},{most}}}"
+
+
+#: Phones with '+' or 00 before a country code, 8 to 15 digits in all; after 00 a separator must follow the code.
+INTERNATIONAL = (
+    "phone",
+    rf"(?<![A-Za-z0-9+])(?!00[17][ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]))(?:\+ ?|(?<![0-9][ .-])00(?=(?:{_ONE}|{_TWO}|[0-9]{{3}})[   ./(-]))"
+    rf"(?:{_ONE}{_national(10, 10)}|(?:{_TWO}){_national(6, 13)}|(?!{_ONE}|{_TWO})[2-9][0-9]{{2}}{_national(5, 12)})(?![A-Za-z0-9])",
+    international,
 )
-_PATTERNS = [(name, re.compile(pattern), f) for name, pattern, f in KINDS]
+_PATTERNS = [(name, re.compile(pattern), f) for name, pattern, f in (*KINDS[:2], INTERNATIONAL, *KINDS[2:])]
 _ANY = re.compile("[0-9@]")
 
 
@@ -238,7 +273,8 @@ def mask_pii(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column
 
     A null text stays null with no spans; an empty one stays empty. Rows are independent: repeated rows
     give repeated results, a null id stays null, an empty table gives an empty one, and other columns are
-    not read. Where two kinds claim the same characters, the kind that stands first in ``KINDS`` has them.
+    not read. Where two kinds claim the same characters, the kind that stands first in ``KINDS`` has them,
+    but ``INTERNATIONAL`` phones come before cards.
     """
     bounded_batches(docs.sparkSession)
 

@@ -155,6 +155,29 @@ def test_pii():
     assert new != text and new.endswith("; 4111 1111 1111 1112 2024-02-30") and pii.pseudonymise(new, f.backward)[0] == text
 
 
+def test_pii_phones_and_dates_of_all_forms():
+    f = pii.Feistel(b"k")
+    phones = ["+1 (017) 555-7713", "(117) 055-7713", "017-155-7713", "+17435553824", "(743)-555-3824", "+49 (0)30 1234567", "+49 30 1234567", "0049 30 1234567", "+33 6 12 34 56 78", "+33 6.12.34.56.78", "+33\u00a06\u00a012\u00a034\u00a056\u00a078", "+34 612 345 678", "+351 21 123 4567", "+44 (20) 7946-0958", "001-743-5553"]
+    dates = ["2024-02-29T10:00", "2024-02-29T10:00:00Z", "2024-02-29Z", "5.3.2024", "3/25/2024", "25/3/2024", "2024-3-5", "05.03.2024", "2024/12/1"]
+    for kind, values in (("phone", phones), ("date", dates)):
+        for v in values:
+            text = f"see {v}, then {v}; +34 612 345 678 2024-02-29"
+            new, spans = pii.pseudonymise(text, f.forward)
+            assert [k for k, _, _ in spans] == [kind, kind, "phone", "date"], v
+            a, b = spans[0][1:]
+            assert new[a:b] != text[a:b] and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", text), v
+            assert pii.pseudonymise(new, f.backward)[0] == text, v
+            assert (a, b) == (4, 4 + len(re.split("[TZ]", v)[0])), v
+    for near in ("2024-02-29x", "2024-02-30T10:00", "1.2.3.2024", "+12 34", "7435553824", "2024-13-1"):
+        assert pii.pseudonymise(near, f.forward)[1] == [], near
+    rng = random.Random(5)
+    for _ in range(3000):  # no pseudonym is read differently
+        v = re.sub("0", lambda _: str(rng.randrange(10)), rng.choice(["(000) 000-0000", "000-000-0000", "+1 000 000 0000", "+49 000 0000000", "00.0.2024", "0/00/2024", "2024-0-0"]))
+        assert pii.pseudonymise(pii.pseudonymise(v, f.forward)[0], f.backward)[0] == v
+    days = [f"{d}.{m}.2000" for d in range(1, 10) for m in range(1, 10)]
+    assert len({pii.date(x, f.forward) for x in days}) == len(days)
+
+
 def test_licenses():
     flat = licenses.normalise("Under the MIT license; CC-BY-NC and Apache License, Version 2.0")
     assert sorted(licenses.base_places(flat)) == [(0, "mit"), (4, "cc-by-nc"), (8, "apache-2")]
