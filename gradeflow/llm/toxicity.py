@@ -2,23 +2,26 @@
 
 A word's vector joins an embedding with what a small bidirectional GRU and attention make of its
 characters. A second bidirectional GRU with attention reads windows of words; windows overlap by half
-and cover the whole text. A text's score is that of its most toxic window. Everything is numpy: forward
+and cover the whole text. A word longer than the character reader takes is read in overlapping pieces that
+cover it, each a word of its own to the window. A text's score is that of its most toxic window. Everything is numpy: forward
 and backward passes, and Adam.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fold, table
-from .words import NON_WORD, Words, words_of
+from .words import CHUNK, NON_WORD, Words, byte_prints, words_of
 
-#: Window and stride in words; characters of a word that are read (its start and end).
+#: Window and stride in words; bytes of a word, or of a piece of a longer one, that are read.
 WINDOW, STRIDE, CHARS = 24, 12, 16
 VOCABULARY, DIM, HIDDEN, CHAR_DIM, CHAR_HIDDEN = 1 << 13, 8, 8, 6, 6
 #: Texts of the sample that must have a word for it to get an embedding of its own; all others share one.
@@ -188,13 +191,42 @@ def by_letter(d: np.ndarray, letters: np.ndarray) -> np.ndarray:
     return np.stack([np.bincount(letters.ravel(), d[..., k].ravel(), 256) for k in range(d.shape[-1])], 1).astype(np.float32)
 
 
+def _breaks() -> str:
+    """A class of the blanks and punctuation outside ASCII, for Arrow's regular expressions."""
+    found = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "ZP" or c in (0x85, 0x200B, 0xFEFF)]
+    heads = [c for c, before in zip(found, [0, *found[:-1]], strict=True) if c != before + 1]
+    tails = [c for c, after in zip(found, [*found[1:], 0], strict=True) if c != after - 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(heads, tails, strict=True)) + "]"
+
+
+BREAKS = _breaks()
+
+
+def inputs_of(column: pa.Array, chunk: int = CHUNK) -> Iterator[Words]:
+    """Words of every text, which also end at blanks and punctuation outside ASCII; long ones in pieces."""
+    spaced = pc.replace_substring_regex(column, BREAKS, " ")
+    yield from map(in_pieces, words_of(spaced, lower=True, ends=NON_WORD, chunk=chunk))
+
+
+def in_pieces(words: Words) -> Words:
+    """Words of over CHARS bytes as pieces of CHARS bytes, of which each begins in the middle of that before; the last ends with the word."""
+    spare = np.maximum(words.ends - words.starts - CHARS, 0)
+    if not spare.any():
+        return words
+    step = CHARS // 2
+    n = 1 - (-spare // step)
+    upto = np.concatenate([[0], np.cumsum(n)])
+    word = np.repeat(np.arange(len(n)), n)
+    starts = words.starts[word] + np.minimum((np.arange(len(word)) - upto[word]) * step, spare[word])
+    ends = np.minimum(starts + CHARS, words.ends[word])
+    return Words(words.data, starts, ends, byte_prints(words.data, starts, ends), upto[words.first], words.rows)
+
+
 def letters_of(words: Words, rows: np.ndarray) -> np.ndarray:
-    """The first and last bytes of some words, (n, CHARS), 0 where there are fewer."""
+    """The bytes of some words, (n, CHARS), 0 where there are fewer."""
     starts, sizes = words.starts[rows], words.ends[rows] - words.starts[rows]
     at = np.arange(CHARS)
-    offset = np.where((at >= CHARS // 2) & (sizes[:, None] > CHARS), sizes[:, None] - CHARS + at, at)
-    inside = offset < sizes[:, None]
-    return np.where(inside, words.data[np.minimum(starts[:, None] + offset, len(words.data) - 1)], 0)
+    return np.where(at < sizes[:, None], words.data[np.minimum(starts[:, None] + at, len(words.data) - 1)], 0)
 
 
 def windows_of(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +268,7 @@ class Scorer:
     def score(self, column: pa.Array) -> np.ndarray:
         """The highest window probability of each text; 0 without words."""
         best = np.zeros(len(column))
-        for words in words_of(column, lower=True, ends=NON_WORD):
+        for words in inputs_of(column):
             if not len(words.prints):
                 continue
             projected, rows = self.project(words)
@@ -306,7 +338,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, batch: int = 128
         net.p["out"][:] = 0  # nothing to tell apart: every text scores near zero
         net.p["bias"][:] = -9
         return net.p
-    (words,) = words_of(pa.array(texts, pa.large_string()), lower=True, ends=NON_WORD, chunk=1 << 60)
+    (words,) = inputs_of(pa.array(texts, pa.large_string()), chunk=1 << 60)
     _, index, rows = np.unique(words.prints, return_index=True, return_inverse=True)
     ids, docs = windows_of(words.counts, words.first[:-1])
     ids = np.where(ids >= 0, rows[np.maximum(ids, 0)], -1)

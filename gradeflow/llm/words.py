@@ -124,11 +124,16 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.nd
     first[edges] = inside[1:-1][edges]
     last[edges - 1] = inside[1:-1][edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Words(data, starts, ends, byte_prints(data, starts, ends), np.searchsorted(starts, offsets), rows)
+
+
+def byte_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of byte ranges."""
+    size = len(data)
     up, down = _bytes.get(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-    prints = mix((sums[ends] - sums[starts]) * down[starts])
-    return Words(data, starts, ends, prints, np.searchsorted(starts, offsets), rows)
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def run_prints(prints: np.ndarray, n: int) -> np.ndarray:

@@ -201,6 +201,26 @@ def test_toxicity_gradient_and_training():
     assert (score[:120] < 0.7).all() and (score[120:160] >= 0.7).mean() > 0.9 and score[160] == score[161] == 0
 
 
+def test_toxicity_reads_all_of_long_words():
+    rng = random.Random(3)
+    clean = [" ".join(rng.choice("la lo li mo mi na no ri ro ta to".split()) for _ in range(40)) for _ in range(120)]
+    bad = [t.replace(" ", " scum ", 2) for t in clean[:40]]
+    scorer = toxicity.Scorer(toxicity.train(clean + bad, [0] * 120 + [1] * 40))
+    plain = scorer.score(pa.array(bad, pa.large_string()))
+    for blank in "\u00a0\u2003\u2014\uff0c\u3000\u3001\u200b":
+        assert (scorer.score(pa.array([t.replace(" ", blank) for t in bad], pa.large_string())) == plain).all()
+    long = "lalolimomina" * 20
+    glued = [long, long[:100] + "scum" + long[104:], long[:113] + "scumscum" + long[121:]]
+    score = scorer.score(pa.array(glued, pa.string()))
+    assert score[1] != score[0] and score[2] != score[0]
+    for size in (1, 16, 17, 24, 25, 1000):
+        text = "".join(chr(97 + rng.randrange(26)) for _ in range(size))
+        (words,) = toxicity.inputs_of(pa.array(["one", text, None, "two"]))
+        pieces_of = [(a - 3, b - 3) for a, b in zip(words.starts[words.first[1] : words.first[2]].tolist(), words.ends[words.first[1] : words.first[2]].tolist())]
+        assert {i for a, b in pieces_of for i in range(a, b)} == set(range(size)) and all(b - a <= toxicity.CHARS for a, b in pieces_of)
+        assert all(any(a <= i and min(i + 8, size) <= b for a, b in pieces_of) for i in range(max(1, size - 7))) and words.counts[[0, 2, 3]].tolist() == [1, 0, 1]
+
+
 def test_row_operators_take_odd_rows(spark, docs, nothing):
     for f in (secrets.scan_secrets, licenses.scan_licenses, lambda d: pii.mask_pii(d, b"k"), lambda d: toxicity.score_toxicity(d, toxicity.train([], []))):
         assert f(docs).count() == docs.count() and f(nothing).count() == 0
