@@ -1,8 +1,8 @@
 """Secret scan: known shapes by pattern, random strings by how badly a byte-pair vocabulary compresses them.
 
 Text that people write is covered by long vocabulary entries; a random key breaks into many short ones.
-A candidate string with few characters per token is therefore reported, unless it has the shape of a
-known digest or identifier.
+A candidate string with few characters per token is therefore reported, unless it is a number or has the
+shape of a known digest. Where the whole string has many, its parts that have few are reported.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: md5, sha1, sha224, sha256, sha384 and sha512 in hex; UUIDs; dates and plain numbers.
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9_/+-]+)=*")
-#: Words joined by separators, a number at the end of each at most: an identifier or a path.
-IDENTIFIER = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}[_/+-]+)*[A-Za-z]+[0-9]{0,4}")
+#: UUIDs inside a candidate, and what stands between separators.
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
+PART = re.compile(r"[^/_-]+")
+LEAST_CHARS = 16
 
 TOKENIZERS = "/opt/tokenizers"
 CHARS_PER_TOKEN = 2.2
@@ -53,15 +55,55 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def heaviest(weights: list[float]) -> list[tuple[int, int]]:
+    """All maximal runs of weights with a positive sum (Ruzzo and Tompa), as first and one past the last."""
+    total, held, over = 0.0, [], []  # begin, end, sum before, sum with
+    for i, w in enumerate(weights):
+        before, total = total, total + w
+        if w <= 0:
+            continue
+        new = (i, i + 1, before, total)
+        while True:
+            while held and held[-1][2] >= new[2]:
+                over.append(held.pop())  # can't grow by itself any more
+            if not held or held[-1][3] >= new[3]:
+                break
+            new = (held[-1][0], i + 1, held.pop()[2], total)
+        held.append(new)
+    out: list[tuple[int, int]] = []
+    for a, b, _, _ in sorted(held + over, key=lambda x: (x[0], -x[1])):
+        if not out or a >= out[-1][1]:  # else part of a longer one
+            out.append((a, b))
+    return out
+
+
+def random_parts(run: str, encode, least: float) -> list[tuple[int, int]]:
+    """Neighbouring parts of a run, between '/', '_' and '-', that together have under ``least`` characters a token."""
+    known = [m.span() for m in UUID.finditer(run)]
+    blocks: list[list[tuple[int, int]]] = [[]]
+    for m in PART.finditer(run):
+        if KNOWN.fullmatch(m[0]) and not m[0].isdigit() or any(a <= m.start() < b for a, b in known):
+            blocks.append([])
+        else:
+            blocks[-1].append(m.span())
+    found = []
+    for parts in blocks:
+        for i, j in heaviest([least * len(encode(run[max(a - 1, 0) : b])) - (b - max(a - 1, 0)) for a, b in parts]):
+            s = run[parts[i][0] : parts[j - 1][1]]
+            if len(s) >= LEAST_CHARS and not KNOWN.fullmatch(s) and len(s) < least * len(encode(s)):
+                found.append((parts[i][0], parts[j - 1][1]))
+    return found
+
+
 def random_spans(text: str, encode, least: float = CHARS_PER_TOKEN) -> list[tuple[str, int, int]]:
-    """Strings of letters and digits with under ``least`` characters a token."""
+    """Strings of letters and digits with under ``least`` characters a token, or such parts of them."""
     found = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)) or KNOWN.fullmatch(s) or IDENTIFIER.fullmatch(s):
+        if KNOWN.fullmatch(s):
             continue
-        if len(s) < least * len(encode(s)):
-            found.append(("random", m.start(), m.end()))
+        whole = len(s) < least * len(encode(s))
+        found += [("random", m.start() + a, m.start() + b) for a, b in ([(0, len(s))] if whole else random_parts(s, encode, least))]
     return found
 
 

@@ -145,6 +145,29 @@ def test_secrets():
     assert secrets.random_spans(f"see {key} and {'0a' * 20} and my_long_identifier_name2", encode) == [("random", 4, 4 + len(key))]
 
 
+def test_random_strings_of_letters_and_in_paths():
+    encode = secrets.encoder(open(f"{secrets.TOKENIZERS}/byte_bpe_50k.tiktoken", "rb").read()).encode_ordinary
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    path = "config/production/database/credentials/"
+    for _ in range(200):
+        for s in (key(letters, 24), key(letters + "0123456789", 16), key(letters + "0123456789", 20)):
+            assert secrets.random_spans(f"see {s} end", encode) == [("random", 4, 4 + len(s))]
+            ((_, a, b),) = secrets.random_spans(path + s + "/readme", encode)
+            assert a <= len(path) and b >= len(path) + len(s)
+    for s in ("internationalization", "my_long_identifier_name2", "src/main/java/com/example/service/UserAccountControllerTest", f"{path * 4}{'0a' * 20}/objects", "2024_01_02-03_04_05-06"):
+        assert secrets.random_spans(s, encode) == [], s
+
+    def brute(w):  # maximal: a run of positive sum, of which no proper start or end has a sum of 0 or less, in no longer one
+        good = [(a, b) for a in range(len(w)) for b in range(a + 1, len(w) + 1) if all(sum(w[a:k]) > 0 and sum(w[k:b]) > 0 for k in range(a + 1, b)) and sum(w[a:b]) > 0]
+        return [x for x in good if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in good)]
+
+    for _ in range(500):
+        w = [rng.randrange(-5, 6) for _ in range(rng.randrange(12))]
+        assert secrets.heaviest(w) == brute(w), w
+
+
 def test_pii():
     f = pii.Feistel(b"k")
     for n in (2, 97, 1000):
