@@ -88,8 +88,12 @@ class Notices:
         for i, runs in windows.items():
             label, size, _, matcher = self.matchers[i]
             for a, b in runs:
-                for m in matcher.finditer(text, max(0, a), min(len(text), b)):
-                    out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), size))
+                todo = [(max(0, a), min(len(text), b))]
+                while todo:  # the best match of a part comes first; the others stand before or after it
+                    a, b = todo.pop()
+                    if m := matcher.search(text, a, b):
+                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), size))
+                        todo += [(a, m.start()), (m.end(), b)]
         kept: list[tuple[str, int, int, int, int]] = []
         for x in sorted(out, key=lambda x: (x[3] / x[4], x[1], x[0], x[2])):  # versions of one notice differ by few edits
             if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):

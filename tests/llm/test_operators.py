@@ -208,6 +208,18 @@ def test_licenses():
     assert [x[0] for x in found] == ["gpl-3"]
 
 
+def test_edited_notices_beside_a_closer_copy():
+    exact, edited = "licensed under the apache license version 2 0", "licensd under the apache licence version 2 0"
+    for parts in ([edited, exact], [edited, edited, exact], [edited, "and", exact, "or", edited], [exact, edited, edited, exact, edited]):
+        flat = licenses.normalise(" ".join(parts)).decode()
+        at, expected = 1, []
+        for part in parts:
+            if len(part) > 3:
+                expected.append(("apache-2", at, at + len(part)))
+            at += len(part) + 1
+        assert sorted(x[:3] for x in licenses.Notices().search(flat)) == expected
+
+
 def test_language():
     rows = [(t, y) for i in range(40) for t, y in ((f"the house is over there {i}", "en"), (f"das haus ist nicht dort {i}", "de"))]
     model = langid.train(rows, np.ones(1 << langid.BITS))
