@@ -1,7 +1,7 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, DataFrame functions only.
+"""Benchmark decontamination: MinHash containment search with sketches by size, DataFrame functions only.
 
 Containment of a short item in a long document can't be read off two MinHash sketches of fixed size, so
-items are partitioned by their number of shingles and each partition has its own sketch size: the
+the size of an item's sketch follows its exact number of shingles; nothing is partitioned: it has the
 n - ceil(t * n) + 1 smallest shingle hashes of an item with n shingles. If a document contains a share t of
 the item's shingles, it contains at least one of those, so looking the sketches up among all the shingle
 hashes of a document misses nothing. Candidates are verified on the shingles themselves.
@@ -47,11 +47,11 @@ def item_shingles(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """(h, item_id, width, size_class): each item's smallest hashes, as many as its size asks for."""
+    """(h, item_id, width): each item's smallest hashes, as many as its size asks for."""
     hashed = items.withColumn("h", F.coalesce(*(F.when(F.col("width") == k, F.xxhash64(*(F.get(F.split("shingle", " "), F.lit(j)) for j in range(k)))) for k in range(SHINGLE, 0, -1))))
     by_item = hashed.groupBy("item_id", "width", "total").agg(F.sort_array(F.collect_list("h")).alias("hs"))  # an item's own shingles: short by nature
     sketch = F.col("total") - F.ceil(F.col("total") * F.lit(threshold) - 1e-9) + 1
-    return by_item.select("item_id", "width", F.floor(F.log2(F.col("total").cast("double"))).cast("int").alias("size_class"), F.explode(F.slice("hs", F.lit(1), sketch.cast("int"))).alias("h"))
+    return by_item.select("item_id", "width", F.explode(F.slice("hs", F.lit(1), sketch.cast("int"))).alias("h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:

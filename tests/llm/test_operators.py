@@ -107,6 +107,13 @@ def test_decontaminate(spark, docs, nothing, rows):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_sketch_size_follows_the_exact_size(spark):
+    bench = spark.createDataFrame([(n, prose(n, n + 4)) for n in (1, 6, 11, 40)], "item_id long, text string")
+    found = decontaminate.sketches(decontaminate.item_shingles(bench, 5), 0.8)
+    assert found.columns == ["item_id", "width", "h"]
+    assert {r.item_id: r["count"] for r in found.groupBy("item_id").count().collect()} == {1: 1, 6: 2, 11: 3, 40: 9}
+
+
 def test_pieces(docs, nothing):
     import sentencepiece
 
