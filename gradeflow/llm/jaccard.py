@@ -12,10 +12,14 @@ it shares most prefix shingles. Linked classes are merged. Then every
 remaining candidate pair between different groups is verified on whole sets, so no link that would join
 two groups is missed. Shingles on which many classes meet make no pairs: their classes are compared in
 blocks of bounded size, of which only links between groups come out. Only the texts of classes that can have a candidate are shuffled.
+
+Fingerprints have 64 bits. A link found by them is confirmed on the words themselves, and a class is told
+from others by 128 bits of two independent families of fingerprints.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import Scratch, bounded_batches, table
 from .components import components
-from .words import Words, as_long, run_prints, words_of
+from .words import LOWER, Words, as_long, run_prints, words_of
 
 SHINGLE, PERCENT = 5, 80
 #: Slots of the sketch of shingle counts, longest l, and the cost of verifying a pair in lookups.
@@ -41,26 +45,44 @@ PARTS, STREAMS = 64, 8
 
 def sets_of(words: Words, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(row of the batch, sorted distinct fingerprints) of every text; of all its words if there are fewer than ``n``."""
-    by_size = {k: run_prints(words.prints, k) for k in range(1, n + 1)}
+    runs = run_prints(words.prints, n)
     for i, (a, count) in enumerate(zip(words.first[:-1].tolist(), words.counts.tolist(), strict=True)):
         if count >= n:
-            yield words.rows[i], np.unique(by_size[n][a : a + count - n + 1])
-        elif count:
-            yield words.rows[i], by_size[count][a : a + 1]
+            yield words.rows[i], np.unique(runs[a : a + count - n + 1])
         else:
-            yield words.rows[i], np.zeros(0, np.uint64)
+            yield words.rows[i], run_prints(words.prints[a : a + count], count) if count else np.zeros(0, np.uint64)
 
 
 #: Sketch counts are kept as logarithms in steps of 1 / LOG, so that 16 bits hold any count.
 LOG = 1024.0
 
 
-def class_of(prints: np.ndarray) -> int:
+def digest_of(prints: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(prints.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-#: Classes on a shingle above which they are compared in blocks, and bytes of text in a block.
-CROWD, BLOCK_BYTES = 300, 128 << 10
+def second_digest(words: Words, i: int, n: int = SHINGLE) -> int:
+    """Of the set of the chunk's text ``i`` by the second family."""
+    a, b = int(words.first[i]), int(words.first[i + 1])
+    return digest_of(np.unique(run_prints(words.second(a, b), min(n, b - a), 1)))
+
+
+_LOWER = bytes(LOWER)
+
+
+def shingles(text: str, n: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """The set of a text in words."""
+    w = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return set(zip(*(w[i:] for i in range(n)), strict=False)) if len(w) >= n else {tuple(w)} if w else set()
+
+
+def linked(a: set, b: set) -> bool:
+    common = len(a & b)
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+#: Classes on a shingle above which they are compared in blocks, bytes of text in a block, and pairs of blocks for a task.
+CROWD, BLOCK_BYTES, BLOCK_PAIRS = 300, 128 << 10, 64
 
 
 def needed(n: int) -> int:
@@ -81,8 +103,12 @@ def prefix_of(prints: np.ndarray, slots: np.ndarray, noise: float) -> tuple[np.n
     return prints[order], ell, np.maximum(1, np.arange(1, len(order) + 1) - base + 1)
 
 
-def _scan(docs: DataFrame, schema: str, of_set, at_end=None) -> DataFrame:
-    """Rows that ``of_set(state, (doc_id, key), prints)`` returns for each document and ``at_end(state)`` at a task's end."""
+def _scan(docs: DataFrame, schema: str, of_set, at_end=None, clashes: frozenset[int] = frozenset()) -> DataFrame:
+    """Rows that ``of_set(state, (doc_id, key), prints, cls, alt)`` returns for each document and ``at_end(state)`` at a task's end.
+
+    ``cls`` is the digest of the set (None if it is empty), or where that is one of ``clashes`` the digest by
+    the second family, which ``alt()`` returns for any set.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +119,9 @@ def _scan(docs: DataFrame, schema: str, of_set, at_end=None) -> DataFrame:
             ids, rows = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)), []
             for words in words_of(batch.column(1), lower=True):
                 for i, prints in sets_of(words):
-                    rows += of_set(state, ids[i], prints)
+                    alt = functools.partial(second_digest, words, i - words.rows.start)
+                    cls = digest_of(prints) if len(prints) else None
+                    rows += of_set(state, ids[i], prints, alt() if cls in clashes else cls, alt)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for columns in at_end(state) if at_end else ():
@@ -106,49 +134,60 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs(doc_id, text)``.
 
     Words are runs of non-blank characters, A-Z in lower case. Null, empty and blank texts have no
-    shingles and are their own component. Repeated rows are in one component; a null id gives a null
-    component only where no row of the component has an id. Empty tables give an empty result, and other
-    columns are not read.
+    shingles and are their own component. Repeated rows are in one component, and texts of equal sets are
+    too; a null id gives a null component only where no row of the component has an id. A very long text
+    is read whole, in one piece of its own. Empty tables give an empty result, and other columns are not read.
     """
+    by_row, roots = _groups(docs, scratch or Scratch(docs.sparkSession, "near"))
+    named = by_row.join(roots.select("label", F.col("first.doc_id").alias("root")), "label", "left")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+
+
+def _groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n, label) of every row, label null without shingles, and (label, first, rows): the first (none, doc_id, key) and the number of rows of each label."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    scratch = scratch or Scratch(spark, "near")
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(doc_id, text) key")
+    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) key")  # a row is known by its id and a hash of its text
 
-    def sketch(state, doc_id, prints):
+    def sketch(state, doc_id, prints, cls, alt):
         if len(prints):
-            state.setdefault("n", np.zeros(SLOTS, np.int32))[(prints & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # slots that two shingles of a text share count once
-        return [(doc_id[0], len(prints), class_of(prints) if len(prints) else None, doc_id[1], None, None)]
+            if "n" not in state:
+                state["n"] = np.zeros(SLOTS, np.int32)
+            state["n"][(prints & np.uint64(SLOTS - 1)).astype(np.int64)] += 1  # slots that two shingles of a text share count once
+        return [(doc_id[0], len(prints), cls, None if cls is None else alt(), doc_id[1], None, None)]
 
     def counts(state):
         if "n" in state:
             parts = np.minimum(state["n"], 255).astype(np.uint8).reshape(PARTS, -1)  # a task's count of one slot: an ordering needs no more
-            yield *([None] * PARTS for _ in range(4)), list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in parts]
+            yield *([None] * PARTS for _ in range(5)), list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in parts]
 
-    sizes = scratch.write(_scan(docs, "doc_id long, n long, cls long, key long, part int, counts binary", sketch, counts), "sizes")
-    slots = _summed(sizes.filter("part is not null").select("part", "counts"))
+    scanned = scratch.write(_scan(docs, "doc_id long, n long, cls long, alt long, key long, part int, counts binary", sketch, counts), "sizes")
+    slots = _summed(scanned.filter("part is not null").select("part", "counts"))
     shared = spark.sparkContext.broadcast(((np.log2(1.0 + slots) * LOG).astype(np.uint16), float(np.median(slots))))
+    several = scanned.filter("cls is not null").groupBy("cls").agg(F.min("alt").alias("a"), F.max("alt").alias("b")).filter("a <> b").select("cls")
+    clashes = frozenset(r["cls"] for r in several.collect())  # 64-bit clashes of different sets: of n sets some n**2 / 2**65
+    sizes = scanned.filter("part is null").select("doc_id", "key", "n", (F.when(F.col("cls").isin(*clashes), F.col("alt")).otherwise(F.col("cls")) if clashes else F.col("cls")).alias("cls"))
 
-    def tokens(state, doc_id, prints):
-        if not len(prints) or (c := class_of(prints)) in (seen := state.setdefault("seen", set())):
+    def tokens(state, doc_id, prints, c, alt):
+        if c is None or c in (seen := state.setdefault("seen", set())):
             return []
         seen.add(c)
         first, _, _ = prefix_of(prints, *shared.value)
         return [(as_long(first).tolist(),)]
 
-    flat = _scan(docs, "t array<long>", tokens).select(F.explode("t").alias("t"))
+    flat = _scan(docs, "t array<long>", tokens, clashes=clashes).select(F.explode("t").alias("t"))
     often = scratch.write(flat.groupBy("t").agg(F.count("*").alias("n")).filter("n > 1").select("t"), "often")
     filter_bits = spark.sparkContext.broadcast(bloom.build(often, "t"))
 
-    def entries(state, doc_id, prints):
-        if not len(prints) or (c := class_of(prints)) in (seen := state.setdefault("seen", set())):
+    def entries(state, doc_id, prints, c, alt):
+        if c is None or c in (seen := state.setdefault("seen", set())):
             return []
         seen.add(c)
         first, ell, level = prefix_of(prints, *shared.value)
         hit = bloom.contains(filter_bits.value, first)
         return [(c, len(prints), ell, as_long(first[hit]).tolist(), level[hit].tolist())] if hit.any() else []
 
-    raw = _scan(docs, "cls long, n long, ell int, t array<long>, level array<int>", entries)
+    raw = _scan(docs, "cls long, n long, ell int, t array<long>, level array<int>", entries, clashes=clashes)
     lists = raw.select("cls", "n", "ell", F.explode(F.arrays_zip("t", "level")).alias("x")).select(F.col("x.t").alias("t"), "cls", "n", "ell", F.col("x.level").alias("level"))
     lists = lists.groupBy("t", "cls").agg(*(F.first(c).alias(c) for c in ("n", "ell", "level")))
     lists = scratch.write(_meeting(scratch.write(lists, "lists")), "meeting")
@@ -163,11 +202,11 @@ def near_groups(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     others = scratch.write(_cross_pairs(own.join(crowded, "t", "left_anti")).join(pairs, ["u", "v"], "left_anti"), "cross")
     within = scratch.write(_block_links(own.join(crowded, "t").select("hub", "cls", "label").distinct(), texts), "block_links")
     label = components(links.unionByName(_verified(others, texts)).unionByName(within), scratch, "stars")
-    by_class = sizes.filter("part is null and cls is not null").groupBy("cls").agg(F.min("doc_id").alias("d")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    by_class = sizes.filter("cls is not null").groupBy("cls").agg(first, F.count("*").alias("rows")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     by_class = scratch.write(by_class, "classes")
-    roots = by_class.groupBy("label").agg(F.min("d").alias("component_id"))
-    named = by_class.join(roots, "label").select("cls", "component_id")
-    return sizes.filter("part is null").join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    roots = by_class.groupBy("label").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    return sizes.join(by_class.select("cls", "label"), "cls", "left").select("doc_id", "key", "n", "label"), roots
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -214,16 +253,16 @@ def _texts(docs: DataFrame, sizes: DataFrame, lists: DataFrame, scratch: Scratch
     than its own l and than the least l on any of them is in no pair.
     """
     able = lists.groupBy("cls").agg(F.count("*").alias("k"), F.min("m").alias("m")).filter("k >= m").select("cls")
-    one = sizes.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key")).join(able, "cls", "left_semi")
-    one = scratch.write(one, "able")
+    one = sizes.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("key", "doc_id")).alias("r")).join(able, "cls", "left_semi")
+    one = scratch.write(one.select("cls", F.col("r.key").alias("key"), F.col("r.doc_id").alias("doc_id")), "able")
     bits = docs.sparkSession.sparkContext.broadcast(bloom.build(one, "key"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(bloom.contains(bits.value, batch.column("key").to_numpy().view(np.uint64))))
 
-    found = docs.select("key", "text").mapInArrow(wanted, "key long, text string").join(one, "key")
-    found = scratch.write(found.select("cls", "text"), "texts")
+    found = docs.select("key", "doc_id", "text").mapInArrow(wanted, "key long, doc_id long, text string").alias("d").join(one.alias("o"), F.expr("d.key = o.key and d.doc_id <=> o.doc_id"))
+    found = scratch.write(found.select("o.cls", "d.text"), "texts")
     n, distinct = found.agg(F.count("cls"), F.countDistinct("cls")).first()
     return found if n == distinct else scratch.write(found.dropDuplicates(["cls"]), "single_texts")
 
@@ -242,16 +281,20 @@ def _block_links(crowds: DataFrame, texts: DataFrame) -> DataFrame:
     """(u, v) links between groups among the classes of each crowd: those outside its largest group against all.
 
     Both sides are cut into blocks of about ``BLOCK_BYTES``; a class has at most one link to each group from a block.
+    A crowd of many blocks is dealt out: each task meets all blocks of the second side with some of the first.
     """
     rows = crowds.join(texts, "cls").withColumn("bytes", F.octet_length("text") + 64)
     big = rows.groupBy("hub", "label").agg(F.count("*").alias("k"), F.sum("bytes").alias("bytes")).groupBy("hub").agg(F.max(F.struct("k", "label", "bytes")).alias("b"), F.sum("bytes").alias("all"))
-    rows = rows.join(big.select("hub", F.col("b.label").alias("big"), (F.col("all") - F.col("b.bytes")).alias("rest"), "all"), "hub")
+    big = big.select("hub", F.col("b.label").alias("big"), F.ceil((F.col("all") - F.col("b.bytes")) / BLOCK_BYTES).alias("n_a"), F.ceil(F.col("all") / BLOCK_BYTES).alias("n_b")).filter("n_a > 0")
+    rows = rows.join(big.withColumn("parts", F.least("n_a", F.ceil(F.col("n_a") * F.col("n_b") / BLOCK_PAIRS)).cast("int")), "hub")
 
     def blocks(some: DataFrame, total: str, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("cls"), F.ceil(F.col(total) / BLOCK_BYTES))
-        return some.groupBy("hub", block.alias(f"block_{name}")).agg(F.collect_list(F.struct("cls", "label", "text")).alias(name))
+        block = F.pmod(F.xxhash64("cls"), F.col(total))
+        return some.groupBy("hub", "parts", block.alias(f"block_{name}")).agg(F.collect_list(F.struct("cls", "label", "text")).alias(name))
 
-    both = blocks(rows.filter("label <> big"), "rest", "a").join(blocks(rows, "all", "b"), "hub")
+    first = blocks(rows.filter("label <> big"), "n_a", "a").select("hub", F.pmod("block_a", "parts").cast("int").alias("part"), "a")
+    second = blocks(rows, "n_b", "b").select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "b")
+    both = first.join(second, ["hub", "part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,11 +322,15 @@ def _links_of(a: pa.StructArray, b: pa.StructArray) -> list[tuple[int, int]]:
     at = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
     common = np.bincount(mine * len(b) + theirs[at], minlength=len(a) * len(b)).reshape(len(a), len(b))
     label_a, label_b = a.field("label").to_numpy(), b.field("label").to_numpy()
-    linked = (100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - common)) & (label_a[:, None] != label_b[None, :])
+    near = (100 * common >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - common)) & (label_a[:, None] != label_b[None, :])
     cls_a, cls_b, out = a.field("cls").to_numpy(), b.field("cls").to_numpy(), []
-    for i in np.flatnonzero(linked.any(1)):
-        hits = np.flatnonzero(linked[i])
-        out += [(int(cls_a[i]), int(cls_b[hits[j]])) for j in np.unique(label_b[hits], return_index=True)[1]]
+    text_a, text_b = a.field("text"), b.field("text")
+    for i in np.flatnonzero(near.any(1)).tolist():
+        own, done = shingles(text_a[i].as_py()), set()
+        for j in np.flatnonzero(near[i]).tolist():
+            if label_b[j] not in done and linked(own, shingles(text_b[j].as_py())):
+                done.add(label_b[j])
+                out.append((int(cls_a[i]), int(cls_b[j])))
     return out
 
 
@@ -303,27 +350,41 @@ def _cross_pairs(own: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs(u, v)`` that link: 100 * common >= 80 * union, on their whole sets."""
+    """Those of ``pairs(u, v)`` that link: 100 * common >= 80 * union, on their whole sets, by fingerprints and then by words."""
     left, right = texts.select(F.col("cls").alias("u"), F.col("text").alias("a")), texts.select(F.col("cls").alias("v"), F.col("text").alias("b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([x for words in words_of(batch.column(c), lower=True) for _, x in sets_of(words)] for c in ("a", "b"))
             keep = []
-            for x, y in zip(a, b, strict=True):
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
                 at = np.searchsorted(x, y)
                 common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                near = 100 * common >= PERCENT * (len(x) + len(y) - common)
+                keep.append(near and linked(shingles(batch.column("a")[i].as_py()), shingles(batch.column("b")[i].as_py())))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of the smallest id of each group; all columns stay. Rows with a null id stay too."""
-    groups = near_groups(docs)
-    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group of linked documents; all columns stay as they are.
+
+    That of the smallest id stays, a null id after all others, on a tie that of the smallest text hash; of
+    rows that share both one stays. Rows without shingles are in no group and stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    by_row, roots = _groups(docs, scratch)
+    several = by_row.join(roots.filter("rows > 1"), "label")
+    judged = scratch.write(several.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first((F.col("first.key") == F.col("key")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))).alias("stays")), "judged")
+    marked = docs.alias("d").join(judged.filter("not stays").alias("j"), (F.col("j.key") == F.xxhash64("d.text")) & F.col("j.doc_id").eqNullSafe(F.col("d.doc_id").cast("long")), "left_anti").select("d.*")
+    twice = judged.filter("stays and n > 1")
+    if twice.isEmpty():
+        return marked
+    on = (F.col("j.key") == F.xxhash64("d.text")) & F.col("j.doc_id").eqNullSafe(F.col("d.doc_id").cast("long"))
+    single = marked.alias("d").join(twice.alias("j"), on, "left_anti").select("d.*")
+    repeated = marked.alias("d").join(twice.alias("j"), on, "left_semi").select("d.*")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,26 @@
 """Words and rolling fingerprints of whole Arrow batches, as numpy arrays.
 
 A word's 64-bit fingerprint is a polynomial over its bytes, read off prefix sums modulo 2**64, so no
-Python object is made for a word. Runs of words have a polynomial over mixed word fingerprints.
+Python object is made for a word. Runs of words have a polynomial over mixed word fingerprints. Such a
+polynomial has strings of 1,024 bytes and more that agree for every odd base, so words of over LONG bytes
+get a keyed digest instead. There are two families of fingerprints, with bases of their own: where equality
+must hold over a whole corpus, both are compared, 128 bits in all, or the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Odd bases of the polynomials over bytes and over words, one for each family.
+BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+STEPS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+#: Bytes of a word above which it is digested.
+LONG = 64
 #: Bytes of text handled in one go; a longer text is a chunk by itself.
 CHUNK = 1 << 20
 
@@ -53,7 +60,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes, _steps = _Powers(BASE), _Powers(STEP)
+_bytes, _steps = [_Powers(x) for x in BASES], [_Powers(x) for x in STEPS]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,6 +92,12 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
+    def second(self, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Fingerprints of the second family, of the words from a up to b."""
+        starts, ends = self.starts[a:b], self.ends[a:b]
+        low = int(starts[0]) if len(starts) else 0
+        return byte_prints(self.data[low : int(ends[-1]) if len(ends) else 0], starts - low, ends - low, 1)
+
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; nulls count as empty."""
@@ -127,21 +140,25 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.nd
     return Words(data, starts, ends, byte_prints(data, starts, ends), np.searchsorted(starts, offsets), rows)
 
 
-def byte_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """Fingerprints of byte ranges."""
     size = len(data)
-    up, down = _bytes.get(size + 1)
+    up, down = _bytes[family].get(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    out = mix((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16, key=b"words").digest()
+        out[i] = int.from_bytes(digest[8 * family : 8 * family + 8], "little")
+    return out
 
 
-def run_prints(prints: np.ndarray, n: int) -> np.ndarray:
+def run_prints(prints: np.ndarray, n: int, family: int = 0) -> np.ndarray:
     """Fingerprint of each run of ``n`` consecutive words, by its first word; runs may cross texts."""
     count = len(prints) - n + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _steps.get(len(prints) + 1)
+    up, down = _steps[family].get(len(prints) + 1)
     sums = np.zeros(len(prints) + 1, np.uint64)
     np.cumsum(prints * up[: len(prints)], out=sums[1:])
     return mix((sums[n:] - sums[:count]) * down[:count] + np.uint64(n))
