@@ -268,3 +268,58 @@ def test_row_operators_take_odd_rows(spark, docs, nothing):
         assert f(docs).count() == docs.count() and f(nothing).count() == 0
     model = langid.fit(nothing)
     assert {r.lang_pred for r in langid.predict(docs, model).collect()} == {"und"}
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_agree_modulo_a_power_of_two(spark):
+    for n in (1024, 2048):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        docs = spark.createDataFrame([(1, f"{x} p q r s"), (2, f"{y} p q r s"), (3, f"{x} p q r s t")], "doc_id long, text string")
+        assert {r.doc_id: r.component_id for r in jaccard.near_groups(docs).collect()} == {1: 1, 2: 2, 3: 3}
+        assert jaccard.drop_near_copies(docs).count() == 3
+        tail = " ".join(f"w{i}" for i in range(49))
+        docs = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{x} {tail}")], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 50}
+
+
+def test_sets_that_clash_in_64_bits(docs):
+    read = docs.selectExpr("doc_id", "text", "xxhash64(text) key")
+    scan = lambda clashes: {r.doc_id: r.cls for r in jaccard._scan(read, "doc_id long, cls long", lambda state, doc_id, prints, cls, alt: [(doc_id[0], cls)], clashes=clashes).collect()}
+    plain = scan(frozenset())
+    other = scan(frozenset({plain[7]}))
+    assert other[7] == other[8] != plain[7] == plain[8] and {i for i in plain if plain[i] != other[i]} == {7, 8}
+
+
+def test_windows_that_clash_in_64_bits(spark):
+    seen = spark.createDataFrame([(1, 5, 10), (1, 6, 11), (1, 6, 12), (2, 5, 10), (2, 5, 11), (3, 1, 10)], "h long, g int, doc_id long")
+    assert {(r.doc_id, tuple(r.gone)) for r in substrings._gone(seen).collect()} == {(12, (1,)), (11, (2,))}
+
+
+def test_batches_into_a_kept_index_equal_one_call(spark, rows, docs, tmp_path):
+    texts = docs.select("doc_id", "text")
+    expected = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(texts).collect()}
+    got = {}
+    for low, high in ((0, 7), (7, 21), (21, 24), (24, 30), (30, 100)):
+        index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), fan=2)  # opened again for each batch
+        for run in index.runs:
+            spark.sql(f"DROP TABLE IF EXISTS {run['name']}")  # as another session would find it
+        part = texts.filter(f"doc_id > {low} and doc_id <= {high}")
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.add_batch(index, part, texts.filter(f"doc_id <= {low}")).collect()}
+    assert got == expected
+    assert len(index.of("anchors")) < 5
+
+
+def test_one_row_of_each_near_group_stays(spark, rows):
+    base = [(i, t, "en") for i, t in rows if t]
+    odd = [(7, base[3][1] + " more", "x"), (None, base[3][1] + " other", "y"), (7, base[3][1] + " more", "x"), (None, None, "z"), (2, "", "e"), (2, "", "e")]
+    docs = spark.createDataFrame(base + odd, "doc_id long, text string, KEY string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in jaccard.drop_near_copies(docs).collect()]
+    groups = defaultdict(list)
+    for r in jaccard._groups(docs, jaccard.Scratch(spark, "t"))[0].collect():
+        groups[r.label].append(r)
+    assert jaccard.drop_near_copies(docs).columns == docs.columns
+    empty = len(groups.pop(None))
+    assert len(kept) == len(groups) + empty
+    assert sum(1 for i, t in kept if t and t.startswith(base[3][1][:200]) and "w0x" not in t and "x" not in t.split()[-1]) >= 1
