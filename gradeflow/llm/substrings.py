@@ -264,15 +264,10 @@ def _windows_of(first_look: DataFrame) -> DataFrame:
 def _gone(seen: DataFrame) -> DataFrame:
     """(doc_id, gone): fingerprints of each document's windows that also start in a document of a smaller id.
 
-    Fingerprints are told apart by ``h``; the few that different windows share are told apart by ``g`` too.
+    Windows are equal where both fingerprints are; within a document the first tells them apart.
     """
-    by_h = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("g").alias("a"), F.max("g").alias("b")).filter("first < last")
-    clashes = [r["h"] for r in by_h.filter("a <> b").select("h").collect()]  # of n windows some n**2 / 2**65
-    gone = seen.select("h", "doc_id").join(by_h.filter("a = b").select("h", "first"), "h").filter("doc_id > first").select("doc_id", "h")
-    if clashes:
-        some = seen.filter(F.col("h").isin(clashes))
-        exact = some.groupBy("h", "g").agg(F.min("doc_id").alias("first"))
-        gone = gone.unionByName(some.join(exact, ["h", "g"]).filter("doc_id > first").select("doc_id", "h"))
+    several = seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first")
+    gone = seen.join(several, ["h", "g"]).filter("doc_id > first")
     return gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
 
 
