@@ -21,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows``, so that a Python worker's memory has a bound."""
+    """Lower the session's Arrow batch size to ``rows``, so that a Python worker's memory has a bound.
+
+    The setting stays lowered: plans read it when they run, after the operator has returned.
+    """
     ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
@@ -33,6 +36,19 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """The columns of ``df`` but ``names``, which Spark takes as equal in any case."""
+    return [c for c in df.columns if c.lower() not in names]
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may do without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
