@@ -6,21 +6,21 @@ then one temperature is fitted on rows left out of training, so that scores are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, table, with_fields
+from .common import bounded_batches, fold, table, with_fields, without
 
 #: Hashed feature space, documents a language in the training sample, and the longest text of that sample.
 BITS, PER_LANG, MAX_CHARS = 14, 400, 20_000
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -153,24 +153,23 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, max_chars: int = MAX_CHARS, b
     rows = []
     if counts:
         keep = F.lit(False)
-        for r in counts:  # a hash threshold that leaves about three times the sample, trimmed below
+        for r in counts:  # a hash threshold that leaves about three times the sample, cut to size before it is collected
             keep |= (F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(int(min(1.0, 3.0 * per_lang / r["count"]) * (1 << 40))))
-        taken: dict[str, list] = {}
-        for r in sorted(usable.filter(keep).select("h", "text", "lang").collect(), key=lambda r: (r["h"], r["text"])):
-            taken.setdefault(r["lang"], []).append((r["h"], r["text"], r["lang"]))
-        rows = sorted(x for group in taken.values() for x in group[:per_lang])
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+        few = usable.filter(keep).select("h", "text", "lang").withColumn("place", place).filter(F.col("place") <= per_lang)
+        rows = sorted((r["h"], r["text"], r["lang"]) for r in few.collect())  # per_lang texts a language
     return train([(t, y) for _, t, y in rows], idf, bits)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` and ``lang_pred``, ``score`` from its ``text``; columns of these names are replaced.
 
-    A null text and one without a letter get ``und`` and 1. Repeated rows and ties get the same result,
-    empty tables an empty one.
+    A null text and one without a letter (Unicode's L, so no digits, fractions or numerals) get ``und`` and 1. Repeated
+    rows and ties get the same result, empty tables an empty one. A very long text is counted whole.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of the feature space's size
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rest = without(docs, ("lang_pred", "score"))
     kept = docs.select(*(f"`{c}`" for c in rest))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
