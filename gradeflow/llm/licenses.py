@@ -7,6 +7,7 @@ bounded-error matcher run, which verifies the edits and gives the span.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -42,8 +43,8 @@ NOTICES = (
     ("proprietary", "all rights reserved"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-#: One edit for each so many characters of a notice.
-CHARS_PER_EDIT = 10
+#: One edit for each so many characters of a notice, and lengths of a window up to which windows are searched as one.
+CHARS_PER_EDIT, MERGED = 10, 4
 _FLAT = bytes(32 if NON_WORD[i] else int(LOWER[i]) for i in range(256))
 
 
@@ -80,11 +81,11 @@ class Notices:
                 a = end + 1 - offset - edits - 1
                 b = a + size + 2 * edits + 2
                 runs = windows.setdefault(i, [])
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], b)
+                if runs and a <= runs[-1][1] and b - runs[-1][0] <= MERGED * (size + 2 * edits + 2):
+                    runs[-1] = [min(a, runs[-1][0]), max(runs[-1][1], b)]
                 else:
                     runs.append([a, b])
-        out = []
+        out = set()
         for i, runs in windows.items():
             label, size, _, matcher = self.matchers[i]
             for a, b in runs:
@@ -92,12 +93,16 @@ class Notices:
                 while todo:  # the best match of a part comes first; the others stand before or after it
                     a, b = todo.pop()
                     if m := matcher.search(text, a, b):
-                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), size))
+                        out.add((label, m.start(), m.end(), sum(m.fuzzy_counts), size))
                         todo += [(a, m.start()), (m.end(), b)]
         kept: list[tuple[str, int, int, int, int]] = []
+        starts, ends = [], []  # of what is kept, in order
         for x in sorted(out, key=lambda x: (x[3] / x[4], x[1], x[0], x[2])):  # versions of one notice differ by few edits
-            if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+            at = bisect.bisect_left(starts, x[2])
+            if at == 0 or ends[at - 1] <= x[1]:
                 kept.append(x)
+                starts.insert(at, x[1])
+                ends.insert(at, x[2])
         return kept
 
 
@@ -106,13 +111,23 @@ def base_places(flat: bytes, phrases=BASE) -> list[tuple[int, str]]:
     out = []
     for phrase, label in phrases:
         needle = f" {phrase} ".encode()
-        at = flat.find(needle)
+        word, last, at = 0, 0, flat.find(needle)
         while at >= 0:
-            out.append((flat.count(b" ", 0, at), label))
+            word, last = word + flat.count(b" ", last, at), at
+            out.append((word, label))
             at = flat.find(needle, at + 1)
     return out
 
 
+def blanks_before(text: str, places: set[int]) -> dict[int, int]:
+    """The number of blanks before each place."""
+    out, n, last = {}, 0, 0
+    for at in sorted(places):
+        n, last = n + text.count(" ", last, at), at
+        out[at] = n
+    return out
+
+
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
 
 
@@ -122,7 +137,9 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     ``spans`` lists label:first word:last word of the bounded-error matches. ``score`` is 1 if a base
     phrase stands in the text, else the best match's share of unedited characters, else 0. A null text
     counts as empty: no words, no labels, null first and last word. Rows are independent, repeated rows
-    give repeated results, an empty table gives an empty one, and other columns are not read.
+    give repeated results, an empty table gives an empty one, and other columns are not read. A very long
+    text is read whole; time grows with its length and its number of hits. Of matches that overlap the one
+    with the smallest share of edits stays, on a tie the first.
     """
     bounded_batches(docs.sparkSession)
 
@@ -134,9 +151,10 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 flat = normalise(text or "")
                 base = base_places(flat)
                 words = flat.count(b" ") - 1 if len(flat) > 1 else 0
-                more = notices.search(flat.decode("utf-8", "surrogatepass"))
-                flat_text = flat.decode("utf-8", "surrogatepass") if more else ""
-                spans = sorted((label, flat_text.count(" ", 0, max(a, 1)) - 1, flat_text.count(" ", 0, b) - 1) for label, a, b, _, _ in more)
+                flat_text = flat.decode("utf-8", "surrogatepass")
+                more = notices.search(flat_text)
+                before = blanks_before(flat_text, {at for _, a, b, _, _ in more for at in (a, b)})
+                spans = sorted((label, before[a] - 1, before[b] - 1) for label, a, b, _, _ in more)
                 at, labels = [x for x, _ in base], {x for _, x in base}
                 score = 1.0 if base else max((1.0 - e / size for _, _, _, e, size in more), default=0.0)
                 rows.append((words, len(base), min(at, default=None), max(at, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in more})), score, ",".join(f"{k}:{a}:{b}" for k, a, b in spans)))
