@@ -8,6 +8,7 @@ values never share one, and the holder of the key can invert it.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -168,10 +169,15 @@ def iban(text: str, move: Callable[[int, int, str], int]) -> str | None:
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def _date_kind(day: datetime.date) -> tuple[bool, bool, bool]:
+    """What must not change, so that a pseudonym is read as its date was, in every format and with as many digits."""
+    return day.day < 10, day.day > 12, day.month < 10
+
+
 def date(text: str, move: Callable[[int, int, str], int]) -> str | None:
     """Real dates from 1900 to 2099: year first, or day and month before the year (the reading that is valid, day first on a tie).
 
-    A one-digit day or month is a format of its own and stays one digit.
+    A date gets the same pseudonym however it is written.
     """
     parts = re.split(r"[-/.]", text)
     orders = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
@@ -183,10 +189,11 @@ def date(text: str, move: Callable[[int, int, str], int]) -> str | None:
             continue
         if FIRST <= day <= LAST:
             widths = {k: len(v) for k, v in zip(order, parts, strict=True)}
-            while True:  # the reading and the widths must not change: a later reader tries day first
+            kind = _date_kind(datetime.date.fromordinal(day))
+            while True:
                 day = FIRST + move(day - FIRST, LAST - FIRST + 1, "date")
                 new = datetime.date.fromordinal(day)
-                if (order != "mdy" or new.day > 12) and (widths["d"] > 1 or new.day < 10) and (widths["m"] > 1 or new.month < 10):
+                if _date_kind(new) == kind:
                     break
             values = {"y": new.year, "m": new.month, "d": new.day}
             return text[len(parts[0])].join(f"{values[k]:0{widths[k]}d}" for k in order)
@@ -241,7 +248,9 @@ INTERNATIONAL = (
     rf"(?:{_ONE}{_national(10, 10)}|(?:{_TWO}){_national(6, 13)}|(?!{_ONE}|{_TWO})[2-9][0-9]{{2}}{_national(5, 12)})(?![A-Za-z0-9])",
     international,
 )
-_PATTERNS = [(name, re.compile(pattern), f) for name, pattern, f in (*KINDS[:2], INTERNATIONAL, *KINDS[2:])]
+#: Cards in their usual groups beside other digits, which the longer reading of ``KINDS`` would take in; any two may overlap.
+GROUPED = ("card", r"(?=(?P<g>(?<![A-Za-z0-9])[1-9](?:[0-9]{3}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,4}(?:\2[0-9]{3})?|[0-9]{3}([ -])[0-9]{6}\3[0-9]{5}|[0-9]{12,18})(?![A-Za-z0-9])))[1-9]", card)
+_PATTERNS = [(name, re.compile(pattern), f) for name, pattern, f in (*KINDS[:2], INTERNATIONAL, KINDS[2], GROUPED, *KINDS[3:])]
 _ANY = re.compile("[0-9@]")
 
 
@@ -249,14 +258,16 @@ def pseudonymise(text: str, move: Callable[[int, int, str], int]) -> tuple[str,
     """The text with pseudonyms, and the spans (code points of the input, end exclusive) that were replaced."""
     if not _ANY.search(text):
         return text, []
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order, none overlapping
     for name, pattern, f in _PATTERNS:
+        group = "g" if "g" in pattern.groupindex else 0
         for m in pattern.finditer(text):
-            if all(m.end() <= a or b <= m.start() for a, b, _, _ in found) and (new := f(m[0], move)) is not None:
-                found.append((m.start(), m.end(), name, new))
+            start, end = m.span(group)
+            at = bisect.bisect_left(found, (end,))
+            if (at == 0 or found[at - 1][1] <= start) and (new := f(m[group], move)) is not None:
+                found.insert(at, (start, end, name, new))
     if not found:
         return text, []
-    found.sort()
     out, at = [], 0
     for a, b, _, new in found:
         out += [text[at:a], new]
@@ -274,7 +285,7 @@ def mask_pii(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column
     A null text stays null with no spans; an empty one stays empty. Rows are independent: repeated rows
     give repeated results, a null id stays null, an empty table gives an empty one, and other columns are
     not read. Where two kinds claim the same characters, the kind that stands first in ``KINDS`` has them,
-    but ``INTERNATIONAL`` phones come before cards.
+    but ``INTERNATIONAL`` phones come before cards. A very long text is read whole.
     """
     bounded_batches(docs.sparkSession)
 
