@@ -13,6 +13,7 @@ exactly two neighbouring symbols, the leftmost on a tie.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, table, with_fields
+from .common import Scratch, bounded_batches, fresh, table, with_fields, without
 from .words import _Powers, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -106,7 +107,10 @@ def unit_prints(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     up, down = _codes.get(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    out = mix((sums[ends] - sums[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > MOST_CHARS).tolist():  # long strings can agree in the polynomial
+        out[i] = int.from_bytes(hashlib.blake2b(codes[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def _text(codes: np.ndarray, a: int, b: int) -> str:
@@ -256,14 +260,16 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
     ``round_trip`` says whether the ids, decoded, give the text.
 
     The ids are those of the model's own encoder. A null text has null tokens and 0, an empty one an
-    empty list. Repeated rows get the same ids, an empty table gives an empty result.
+    empty list. Repeated rows get the same ids, an empty table gives an empty result. A very long text is
+    encoded whole.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "pieces")
     vocabulary = Vocabulary.load(model)
     shared = spark.sparkContext.broadcast(vocabulary)
-    docs = docs.select(*(f"`{c}`" for c in docs.columns if c not in ("tokens", "n_tokens", "round_trip")))
+    docs = docs.select(*(f"`{c}`" for c in without(docs, ("tokens", "n_tokens", "round_trip"))))
+    cold_name, row_name, ids_name = fresh(docs, "_cold"), fresh(docs, "_row"), fresh(docs, "_ids")
     meaning = spark.sparkContext.broadcast(vocabulary.bytes_of())
     ids = {p: (s, i) for i, (p, s, ok) in enumerate(zip(vocabulary.pieces, vocabulary.scores, vocabulary.normal, strict=True)) if ok}
     first_byte = vocabulary.first_byte
@@ -326,20 +332,21 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
             cold = [sorted(set(x)) if x else None for x in cold]
             edges = ends_of[first].tolist()
             agree = [None if m else same(t, values[a:b], meaning.value) for t, m, a, b in zip(texts, miss.tolist(), edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int64()), pa.array(agree, pa.bool_()), pa.array(cold, pa.list_(pa.string()))], names=[*names, "tokens", "n_tokens", "round_trip", "_cold"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int64()), pa.array(agree, pa.bool_()), pa.array(cold, pa.list_(pa.string()))], names=[*names, "tokens", "n_tokens", "round_trip", cold_name])
 
-    encoded = docs.mapInArrow(first_pass, with_fields(docs, "tokens array<int>, n_tokens long, round_trip boolean, _cold array<string>"))
+    encoded = docs.mapInArrow(first_pass, with_fields(docs, f"tokens array<int>, n_tokens long, round_trip boolean, {cold_name} array<string>"))
     if covered and not len(np.flatnonzero(hot.sizes == 0)):
-        return encoded.drop("_cold")
-    encoded = scratch.write(encoded.withColumn("_row", F.monotonically_increasing_id()), "encoded")
-    rest = encoded.filter("_cold is not null").select("_row", F.explode("_cold").alias("unit")).join(known.select("unit", "ids"), "unit")
-    rest = rest.groupBy("_row").agg(F.collect_list(F.struct("unit", "ids")).alias("_ids"))  # a text's own units
+        return encoded.drop(cold_name)
+    encoded = scratch.write(encoded.withColumn(row_name, F.monotonically_increasing_id()), "encoded")
+    is_cold = F.col(cold_name).isNotNull()
+    rest = encoded.filter(is_cold).select(F.col(row_name).alias("r"), F.explode(cold_name).alias("unit")).join(known.select("unit", "ids"), "unit")
+    rest = rest.groupBy(F.col("r").alias(row_name)).agg(F.collect_list(F.struct("unit", "ids")).alias(ids_name))  # a text's own units
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units_known = hot_shared.value
         for batch in batches:
             out, agree = [], []
-            for text, own in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_ids")).to_pylist(), strict=True):
+            for text, own in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index(ids_name)).to_pylist(), strict=True):
                 more = {x["unit"]: x["ids"] for x in own}
                 codes, starts, ends, _ = shared.value.units([text])
                 at, hit = units_known.find(unit_prints(codes, starts, ends))
@@ -352,8 +359,8 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
             keep = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.list_(pa.int32())), pa.array([len(x) for x in out], pa.int64()), pa.array(agree, pa.bool_())], names=[*names, "tokens", "n_tokens", "round_trip"])
 
-    late = encoded.filter("_cold is not null").drop("tokens", "n_tokens", "round_trip", "_cold").join(rest, "_row").drop("_row").mapInArrow(second_pass, with_fields(docs, "tokens array<int>, n_tokens long, round_trip boolean"))
-    return encoded.filter("_cold is null").drop("_cold", "_row").unionByName(late)
+    late = encoded.filter(is_cold).drop("tokens", "n_tokens", "round_trip", cold_name).join(rest, row_name).drop(row_name).mapInArrow(second_pass, with_fields(docs, "tokens array<int>, n_tokens long, round_trip boolean"))
+    return encoded.filter(~is_cold).drop(cold_name, row_name).unionByName(late)
 
 
 def decode(rows: DataFrame, model: str = MODEL, column: str = "decoded") -> DataFrame:
@@ -361,7 +368,7 @@ def decode(rows: DataFrame, model: str = MODEL, column: str = "decoded") -> Data
     spark = rows.sparkSession
     bounded_batches(spark)
     meaning = spark.sparkContext.broadcast(Vocabulary.load(model).bytes_of())
-    rows = rows.select(*(f"`{c}`" for c in rows.columns if c != column))
+    rows = rows.select(*(f"`{c}`" for c in without(rows, (column.lower(),))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
