@@ -27,7 +27,7 @@ VOCABULARY, DIM, HIDDEN, CHAR_DIM, CHAR_HIDDEN = 1 << 13, 8, 8, 6, 6
 #: Texts of the sample that must have a word for it to get an embedding of its own; all others share one.
 LEAST_TEXTS = 4
 #: The training sample: rows of each label, and the longest text.
-PER_LABEL, MAX_CHARS = 1_500, 8_000
+PER_LABEL, MAX_CHARS = 1_500, 20_000
 THRESHOLD = 0.7
 #: Texts by which the log-odds of a word are drawn to zero; windows read at least in a round of training.
 PRIOR, LEAST_WINDOWS = 8, 4_000
@@ -384,9 +384,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 6, batch: int = 128
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> dict:
     """Train on a bounded sample: for each label the ``per_label`` rows whose ids have the smallest hashes.
 
-    Rows whose text is null or longer than ``max_chars`` aren't in the sample; an id with both labels counts as toxic.
+    Rows whose text is null, empty or longer than ``max_chars`` can't be in the sample, so others take their places;
+    an id with both labels counts as toxic.
     """
     wanted = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    wanted = wanted.join(docs.filter(F.length("text").between(1, max_chars)).select("doc_id"), "doc_id", "left_semi")
     few = [r for y in (0, 1) for r in wanted.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_label).collect()]
     if not few:
         return train([], [])
@@ -401,7 +403,7 @@ def score_toxicity(docs: DataFrame, parameters: dict, threshold: float = THRESHO
     """Score every whole text: id, score, predicted, and the number of windows read.
 
     A null or empty text, and one without words, scores 0. Repeated rows get the same score, an empty
-    table gives an empty result; no other column is read.
+    table gives an empty result; no other column is read. A very long text is read whole, window by window.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parameters)  # of fixed size
