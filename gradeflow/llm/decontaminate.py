@@ -1,10 +1,12 @@
-"""Benchmark decontamination: MinHash containment search with sketches by size, DataFrame functions only.
-
-Containment of a short item in a long document can't be read off two MinHash sketches of fixed size, so
-the size of an item's sketch follows its exact number of shingles; nothing is partitioned: it has the
-n - ceil(t * n) + 1 smallest shingle hashes of an item with n shingles. If a document contains a share t of
-the item's shingles, it contains at least one of those, so looking the sketches up among all the shingle
-hashes of a document misses nothing. Candidates are verified on the shingles themselves.
+"""Benchmark decontamination: MinHash containment search over items partitioned by size, DataFrame functions only.
+
+Items are partitioned by the power of two below their number of shingles. A partition has one sketch size m,
+which follows its largest possible size u and the threshold t: m = u - ceil(t * u) + 1. An item's sketch is its m
+smallest shingle hashes, or all it has. A document with a share t of an item of n shingles lacks at most
+n - ceil(t * n) of them, so of a sketch of k hashes at least k - (n - ceil(t * n)) are among the document's,
+one or more: looking the sketches up among all the shingle hashes of a document misses nothing, and fewer
+hits make no candidate. Partitions are looked up in passes whose sketches are small enough to be broadcast.
+Candidates are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Sketch rows up to which they are broadcast; beyond, the lookup is a shuffled join.
-BROADCAST_ROWS = 200_000
+#: Sketch rows of one pass, which are broadcast (some 50 bytes each), and bytes of items' shingles up to which those are.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,11 +49,31 @@ def item_shingles(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """(h, item_id, width): each item's smallest hashes, as many as its size asks for."""
+    """(size_class, item_id, width, least, h): each item's smallest hashes, as many as its partition's sketch size, and how many a document must hold."""
     hashed = items.withColumn("h", F.coalesce(*(F.when(F.col("width") == k, F.xxhash64(*(F.get(F.split("shingle", " "), F.lit(j)) for j in range(k)))) for k in range(SHINGLE, 0, -1))))
-    by_item = hashed.groupBy("item_id", "width", "total").agg(F.sort_array(F.collect_list("h")).alias("hs"))  # an item's own shingles: short by nature
-    sketch = F.col("total") - F.ceil(F.col("total") * F.lit(threshold) - 1e-9) + 1
-    return by_item.select("item_id", "width", F.explode(F.slice("hs", F.lit(1), sketch.cast("int"))).alias("h"))
+    by_item = hashed.groupBy("item_id", "width", "total").agg(F.array_sort(F.collect_set("h")).alias("hs"))  # an item's own shingles: short by nature
+    lacking = lambda n: n - F.ceil(n * F.lit(threshold) - 1e-9)
+    classed = by_item.withColumn("size_class", F.floor(F.log2("total")).cast("int"))
+    sized = classed.withColumn("m", (lacking(F.expr("shiftleft(1L, size_class + 1) - 1")) + 1).cast("int"))
+    sketch = sized.withColumn("s", F.slice("hs", F.lit(1), F.col("m")))
+    least = F.greatest(F.lit(1), F.size("s") - lacking(F.col("total"))).cast("int")
+    return sketch.select("size_class", "item_id", "width", least.alias("least"), F.explode("s").alias("h"))
+
+
+def passes(sizes: dict[int, int], most: int) -> list[tuple[list[int], int, int]]:
+    """(size classes, part, parts): classes are looked up together while they have at most ``most`` rows, a larger one in parts."""
+    out: list[tuple[list[int], int, int]] = []
+    together, rows = [], 0
+    for size_class, n in sorted(sizes.items()):
+        if n > most:
+            parts = -(-2 * n // most)
+            out += [([size_class], i, parts) for i in range(parts)]
+        elif rows + n > most:
+            out.append((together, 0, 1))
+            together, rows = [size_class], n
+        else:
+            together, rows = [*together, size_class], rows + n
+    return out + ([(together, 0, 1)] if together else [])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
@@ -60,25 +82,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     Shingles are five words; an item with fewer words is one shingle of all its words. Null and empty
     texts have no shingles and match nothing, as have items of this kind; rows with a null id are left
     out. Rows that repeat a doc_id count as one document with the union of their shingles (items alike).
-    Empty tables give an empty result; other columns are not read.
+    Very long texts are read whole, as one array of words. Empty tables give an empty result; other columns are not read.
     """
     n = SHINGLE
     scratch = scratch or Scratch(docs.sparkSession, "leaks")
     items = scratch.write(item_shingles(benchmark, n).distinct(), "items")
     items = items.drop("total").distinct().join(items.select("item_id", "shingle").distinct().groupBy("item_id").agg(F.count("*").alias("total")), "item_id")
     found = scratch.write(sketches(items, threshold), "sketches")
-    widths = sorted(r[0] for r in found.select("width").distinct().collect())  # at most five numbers
-    few = found.count() <= BROADCAST_ROWS
+    classes = {r["size_class"]: r["n"] for r in found.groupBy("size_class").agg(F.count("*").alias("n")).collect()}  # a row for each power of two
+    widths = sorted(r[0] for r in found.select("width").distinct().collect()) or [n]  # at most five numbers
     texts = docs.select("doc_id", "text").filter("doc_id is not null")
     split = texts.select("doc_id", words().alias("w"))
-    if not widths:
-        widths = [n]
     every = F.concat(*(hashes(F.col("w"), k) for k in widths))
-    lookup = found.select("h", "item_id").distinct()
-    hits = split.select("doc_id", F.explode(every).alias("h")).join(F.broadcast(lookup) if few else lookup, "h")
-    candidates = scratch.write(hits.select("doc_id", "item_id").distinct(), "candidates")
+    hashed, hits = split.select("doc_id", F.explode(every).alias("h")), None
+    for together, part, parts in passes(classes, BROADCAST_ROWS) or [([], 0, 1)]:
+        lookup = found.filter(F.col("size_class").isin(together) & (F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)).select("h", "item_id", "least")
+        some = hashed.join(F.broadcast(lookup), "h").distinct()  # at most BROADCAST_ROWS rows, but for one item's
+        hits = some if hits is None else hits.unionByName(some)
+    candidates = scratch.write(hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("k"), F.min("least").alias("least")).filter("k >= least").select("doc_id", "item_id"), "candidates")
     suspects = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words().alias("w"))
     own = suspects.select("doc_id", F.explode(F.array_distinct(F.concat(*(shingles(F.col("w"), k) for k in widths)))).alias("shingle"))
+    few = (items.agg(F.sum(F.octet_length("shingle") + 32)).first()[0] or 0) <= BROADCAST_BYTES
     shared = own.join(F.broadcast(items) if few else items, "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("total").alias("n_item"))
     exact = shared.join(candidates, ["doc_id", "item_id"], "left_semi")
     share = F.col("n_shared") / F.col("n_item")

@@ -107,11 +107,27 @@ def test_decontaminate(spark, docs, nothing, rows):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(docs, bench.filter("false")).count() == 0
 
 
-def test_sketch_size_follows_the_exact_size(spark):
-    bench = spark.createDataFrame([(n, prose(n, n + 4)) for n in (1, 6, 11, 40)], "item_id long, text string")
+def test_a_partition_by_size_has_its_own_sketch_size(spark):
+    sizes = (1, 2, 3, 4, 6, 7, 11, 15, 16, 40)
+    bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in sizes], "item_id long, text string")
     found = decontaminate.sketches(decontaminate.item_shingles(bench, 5), 0.8)
-    assert found.columns == ["item_id", "width", "h"]
-    assert {r.item_id: r["count"] for r in found.groupBy("item_id").count().collect()} == {1: 1, 6: 2, 11: 3, 40: 9}
+    got = {r.item_id: (r.size_class, r.k, r.least) for r in found.groupBy("item_id", "size_class", "least").agg({"h": "count"}).withColumnRenamed("count(h)", "k").collect()}
+    for n in sizes:
+        c = n.bit_length() - 1
+        u = 2 ** (c + 1) - 1
+        k = min(n, u - -(-8 * u // 10) + 1)
+        assert got[n] == (c, k, max(1, k - (n - -(-8 * n // 10)))), n
+
+
+def test_lookups_in_several_passes(spark, docs, monkeypatch):
+    assert decontaminate.passes({0: 3, 1: 4, 2: 30, 3: 5}, 10) == [([2], i, 6) for i in range(6)] + [([0, 1], 0, 1), ([3], 0, 1)]
+    long = prose(5, 4000).split()
+    bench = spark.createDataFrame([(i, " ".join(long[30 * i : 30 * i + 6 + i])) for i in range(60)], "item_id long, text string")
+    expected = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(docs, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 40)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contaminated(docs, bench).collect()} == expected
+    assert {i for d, i, _ in expected if d == 40} == set(range(60))
 
 
 def test_pieces(docs, nothing):
@@ -208,6 +224,59 @@ def test_pii_phones_and_dates_of_all_forms():
     assert len({pii.date(x, f.forward) for x in days}) == len(days)
 
 
+def test_pii_values_stay_linked_and_cards_stand_beside_numbers():
+    f = pii.Feistel(b"k")
+    rng = random.Random(2)
+    for _ in range(300):
+        y, m, d = rng.randrange(1900, 2100), rng.randrange(1, 13), rng.randrange(13, 29)
+        forms = [f"{y}-{m:02d}-{d:02d}", f"{d:02d}.{m:02d}.{y}", f"{m:02d}/{d:02d}/{y}"]
+        a, b, c = (re.split("[-/.]", pii.date(x, f.forward)) for x in forms)
+        assert a == b[::-1] == [c[2], c[0], c[1]]
+    new = {}
+    for text in ("4111 1111 1111 1111", "pay 4111 1111 1111 1111 12", "2024 4111 1111 1111 1111 end", "4111-1111-1111-1111"):
+        out, spans = pii.pseudonymise(text, f.forward)
+        (kind, a, b), = spans
+        assert kind == "card" and pii.luhn([int(x) for x in out[a:b] if x.isdigit()]) and pii.pseudonymise(out, f.backward)[0] == text
+        new[text] = re.sub("[^0-9]", "", out[a:b])
+    assert len(set(new.values())) == 1
+
+
+def test_spans_by_brute_force(docs, rows):
+    """Counts of words and places, and spans of every row, by another way than the operators'."""
+    rng = random.Random(9)
+    extra = [(100 + i, " ".join(rng.choice(["under the MIT license", "apache license, version 2", "CC-BY-NC", "cc by", "x1", "token=abcdef", "AKIA" + "Q" * 16, "0a" * 12, "q"]) for _ in range(rng.randrange(40)))) for i in range(60)]
+    spark = docs.sparkSession
+    table = spark.createDataFrame([*rows, *extra], "doc_id long, text string")
+    text_of = dict([*rows, *extra])
+    for r in licenses.scan_licenses(table).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text_of[r.doc_id] or "").translate(LOW))
+        at = [(i, label) for phrase, label in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        places = [i for i, _ in at]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in at}))), r.doc_id
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    for r in secrets.scan_secrets(table).collect():
+        text, spans = text_of[r.doc_id] or "", []
+        for kind, pattern, least in (("assign", secrets.ASSIGN, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 20), ("hex", re.compile("[0-9a-f]+"), 24)):
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end()
+                if len(m[2] if kind == "assign" else m[0]) >= least:
+                    spans.append((m.start(), ["assign", "access", "hex"].index(kind), f"{kind}:{m.start()}:{m.end()}"))
+        base = ",".join(x for _, _, x in sorted(spans))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
+        assert {x for _, _, x in spans} <= set(r.spans.split(","))
+
+
+def test_seeds_out_of_order_and_long_texts():
+    found = licenses.Notices().search(licenses.normalise("released undr the mit license released under the mit license").decode())
+    assert len([x for x in found if x[0] == "mit"]) == 2
+    many = licenses.normalise("word " * 20 + ("released undr the mit license and " * 2000)).decode()
+    assert len([x for x in licenses.Notices().search(many) if x[0] == "mit"]) == 2000
+    flat = licenses.normalise("under the mit license " * 20_000)
+    assert [i for i, _ in licenses.base_places(flat)] == list(range(0, 80_000, 4))
+
+
 def test_licenses():
     flat = licenses.normalise("Under the MIT license; CC-BY-NC and Apache License, Version 2.0")
     assert sorted(licenses.base_places(flat)) == [(0, "mit"), (4, "cc-by-nc"), (8, "apache-2")]
@@ -231,10 +300,49 @@ def test_language():
     rows = [(t, y) for i in range(40) for t, y in ((f"the house is over there {i}", "en"), (f"das haus ist nicht dort {i}", "de"))]
     model = langid.train(rows, np.ones(1 << langid.BITS))
     assert model.predict("the house over there")[0] == "en" and model.predict("das ist nicht das haus")[0] == "de"
-    assert model.predict(None) == model.predict("") == model.predict("12 !") == ("und", 1.0)
-
-
-def test_toxicity_gradient_and_training():
+    assert model.predict(None) == model.predict("") == model.predict("12 !") == model.predict("½ ² Ⅳ ① 12") == ("und", 1.0)
+
+
+def test_columns_with_names_of_results_or_of_inner_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3, 0.5, "x"), (2, "a b", 4, 5, 6, 0.6, "y"), (3, None, 7, 8, 9, 0.7, "z")], "doc_id long, text string, _row long, _cold long, _IDS long, Score double, Tokens string")
+    left = exact.drop_copies(docs)
+    assert left.columns == docs.columns and {(r.doc_id, r._row) for r in left.collect()} == {(1, 1), (3, 7)}
+    for hot in (10**6, 0):
+        out = pieces.encode(docs, hot_units=hot)
+        assert out.columns == ["doc_id", "text", "_row", "_cold", "_IDS", "Score", "tokens", "n_tokens", "round_trip"]
+        assert {(r.doc_id, r._row, r._cold, r._IDS, r.n_tokens > 0) for r in out.collect()} == {(1, 1, 2, 3, True), (2, 4, 5, 6, True), (3, 7, 8, 9, False)}
+    out = langid.predict(docs, langid.fit(docs.filter("false").withColumn("lang", langid.F.lit("en"))))
+    assert [c.lower() for c in out.columns].count("score") == 1 and out.count() == 3
+    assert decontaminate.drop_contaminated(docs, docs.selectExpr("doc_id item_id", "text")).columns == docs.columns
+    assert jaccard.drop_near_copies(docs).columns == docs.columns and jaccard.drop_near_copies(docs).count() == 2
+
+
+def test_toxicity_gradient_by_differences():
+    net = toxicity.Network(seed=3, vocabulary=np.sort(np.arange(1, 9, dtype=np.uint64)))
+    for k, x in net.p.items():
+        if k != "vocabulary":
+            net.p[k] = x.astype(np.float64)
+    rng = np.random.default_rng(0)
+    prints, letters = np.arange(1, 12, dtype=np.uint64), rng.integers(0, 256, (11, toxicity.CHARS)) * (np.arange(toxicity.CHARS) < rng.integers(3, 12, 11)[:, None])
+    ids = np.where(np.arange(toxicity.WINDOW) < rng.integers(5, toxicity.WINDOW, 4)[:, None], rng.integers(0, 11, (4, toxicity.WINDOW)), -1)
+    y, weight = np.array([1.0, 0.0, 1.0, 0.0]), np.ones(4)
+
+    def loss():
+        p = toxicity.sigmoid(net.logits(net.words.project(net.word_vectors(prints, letters)), ids))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    g, _ = net.step(prints, letters, ids, y, weight)
+    for name, d in g.items():
+        flat, at = net.p[name].reshape(-1), int(np.argmax(np.abs(d)))
+        was, h = flat[at], 1e-2
+        flat[at] = was + h
+        up = loss()
+        flat[at] = was - h
+        slope, flat[at] = (up - loss()) / (2 * h), was
+        assert abs(slope - d.reshape(-1)[at]) < 0.02 * abs(slope) + 2e-4, name
+
+
+def test_toxicity_training():
     rng = random.Random(3)
     clean = [" ".join(rng.choice("la lo li mo mi na no ri ro ta to".split()) for _ in range(40)) for _ in range(120)]
     bad = [t.replace(" ", " scum ", 2) for t in clean[:40]]
