@@ -14,10 +14,19 @@ from pyspark.sql.types import StringType
 ARTICLES = ("a", "an", "the")
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 BLANKS = r"[ \t\n\r]+"
-NUMBER = r"(?<![\w/])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?![\w/])"
-FRACTION = r"\d+\s*/\s*\d+"
-FINAL = r"(?i)(?:####|final answer(?: is)?\s*:?|answer is\s*:?)\s*([^\n]*)"
-BOXED = r"\\boxed\{([^{}]*)\}"
+#: What counts as a number, a fraction, an explicit final answer and a boxed one.
+_DIGITS = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
+NUMBER = rf"(?<![\w/]){_DIGITS}(?![\w/])"
+FRACTION = r"[-+]?\d+\s*/\s*\d+"
+FINAL = rf"(?i)(?:####|final\s+answer\s*(?:is|:)?|answer\s*(?:is|:)?)\s*({_DIGITS})"
+BOXED = rf"\\boxed\{{\s*({_DIGITS})\s*\}}"
+#: The last line that states an answer, breaks between segments, list marks and numbered lines.
+ANSWER_LINE = rf"(?i)(?:^|\n)Final answer:\s*({_DIGITS})"
+SEGMENT_BREAK = r"\n+|;+|\s+[•●▪]\s+"
+LIST_MARK = r"^\s*(?:[-*•]|\d+[.)])\s*"
+NUMBERED = r"(?m)^\s*(\d+)[.)]\s*(.+?)\s*$"
+#: A word as Python reads \w: letters, digits and the underscore of any script.
+WORD = r"[\p{L}\p{N}_]+"
 
 
 def words(text: Column) -> Column:
@@ -56,7 +65,7 @@ def concise_rule(response: Column, alias: Column, most_extra: int = 8) -> Column
     """Which rule accepts a short response: exact, exact without a bracketed part, or the alias as its end."""
     r, a = normalised(response), normalised(alias)
     extra = F.size(words(response)) - F.size(words(alias))
-    return (
+    return (  # fixed values: the names of the rules
         F.when(r == a, "normalized_exact")
         .when(normalised(without_parentheses(response)) == a, "response_parenthetical")
         .when(r == normalised(without_parentheses(alias)), "alias_parenthetical")
@@ -66,9 +75,16 @@ def concise_rule(response: Column, alias: Column, most_extra: int = 8) -> Column
 
 def segments(text: Column) -> Column:
     """Parts between newlines, semicolons and spaced bullets, list marks stripped; the whole text if none is left."""
-    parts = F.transform(F.split(text, r"[\n;]| [*•-] "), lambda s: F.regexp_replace(F.regexp_replace(s, r"^[ \t]*(?:[0-9]+[.)]|[-*•])[ \t]+", ""), r"^[ \t,]+|[ \t,]+$", ""))
+    parts = F.transform(F.split(text, SEGMENT_BREAK), lambda s: F.regexp_replace(F.regexp_replace(s, LIST_MARK, ""), r"^[ \t,]+|[ \t,]+$", ""))
     kept = F.filter(parts, lambda s: s != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.trim(text)))
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(F.size(kept) > 0, kept).when(whole != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+
+
+def numbered(text: Column) -> Column:
+    """array of struct(place, text) of the lines that begin with a number and a dot or bracket; places from 0."""
+    part = lambda i: F.regexp_extract_all(text, F.lit(NUMBERED), i)
+    return F.transform(F.arrays_zip(part(1).alias("n"), part(2).alias("t")), lambda x: F.struct((x["n"].cast("int") - 1).alias("place"), F.trim(x["t"]).alias("text")))
 
 
 def numbers(text: Column) -> Column:
@@ -81,51 +97,88 @@ def plain_number(text: Column) -> Column:
     return F.regexp_replace(flat, r"^(-?)0+(?=\d)", "$1")
 
 
-def integer_answer(text: Column) -> Column:
-    """struct(value, status, reason): the explicit final answer's number, else the only number of the text."""
-    t = F.coalesce(text, F.lit(""))
-    final = F.element_at(F.regexp_extract_all(t, F.lit(FINAL), 1), -1)
-    finals = F.size(F.regexp_extract_all(t, F.lit(FINAL), 1)) > 0
-    found = numbers(F.when(finals, final).otherwise(t))
+#: Why a response has no integer answer.
+EMPTY, IS_FRACTION, NO_NUMBER = "empty_or_nonnumeric_response", "fraction_not_allowed", "no_numeric_answer"
+SEVERAL, NOT_INTEGER = "ambiguous_multiple_numbers", "non_integer_answer"
+
+
+def _judged(text: Column, found: Column) -> Column:
     value = plain_number(F.get(found, 0))
     reason = (
-        F.when(F.trim(t) == "", "empty")
-        .when(t.rlike(FRACTION), "fraction")
-        .when(F.size(found) == 0, "none")
-        .when(F.size(found) > 1, "ambiguous")
-        .when(value.contains("."), "non_integer")
+        F.when(F.trim(text) == "", EMPTY)
+        .when(text.rlike(FRACTION), IS_FRACTION)
+        .when(F.size(found) == 0, NO_NUMBER)
+        .when(F.size(found) > 1, SEVERAL)
+        .when(value.contains("."), NOT_INTEGER)
     )
     return F.struct(F.when(reason.isNull(), value).alias("value"), F.when(reason.isNull(), "ok").otherwise("error").alias("status"), reason.alias("reason"))
 
 
+def _all(pattern: str, text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), 1)
+
+
+def integer_answer(text: Column) -> Column:
+    """struct(value, status, reason): the number of the last explicit final answer, else the only number of the text."""
+    t = F.coalesce(text, F.lit(""))
+    finals = _all(FINAL, t)
+    return _judged(t, F.when(F.size(finals) > 0, F.slice(finals, -1, 1)).otherwise(numbers(t)))
+
+
 def final_number(text: Column) -> Column:
-    """The last number of the last boxed span, else of the last explicit answer, else of the text."""
-    last = lambda pattern: F.element_at(F.regexp_extract_all(text, F.lit(pattern), 1), -1)
-    has = lambda pattern: F.size(F.regexp_extract_all(text, F.lit(pattern), 1)) > 0
-    span = F.when(has(BOXED), last(BOXED)).when(has(FINAL), last(FINAL)).otherwise(text)
-    found = numbers(span)
-    return F.when(F.size(found) > 0, plain_number(F.element_at(found, -1)))
+    """struct(value, status, reason) of the last boxed number, else the last explicit answer, else the last number."""
+    t = F.coalesce(text, F.lit(""))
+    boxed, finals, every = _all(BOXED, t), _all(FINAL, t), numbers(t)
+    last = F.coalesce(F.try_element_at(boxed, F.lit(-1)), F.try_element_at(finals, F.lit(-1)), F.try_element_at(every, F.lit(-1)))
+    reason = F.when(F.trim(t) == "", EMPTY).when(last.isNull(), NO_NUMBER).when(plain_number(last).contains("."), NOT_INTEGER)
+    return F.struct(F.when(reason.isNull(), plain_number(last)).alias("value"), F.when(reason.isNull(), "ok").otherwise("error").alias("status"), reason.alias("reason"))
+
 
+def arithmetic_match(response: Column, reference: Column, final: bool = False) -> Column:
+    """Whether the integer answer equals the reference; a reference that is no integer is an error."""
+    right = F.when(reference.rlike(r"^\s*[-+]?[0-9,]+(\.0*)?\s*$"), plain_number(reference)).otherwise(F.raise_error(F.concat(F.lit("reference is not an integer: "), F.coalesce(reference, F.lit("null")))).cast("string"))
+    answer = (final_number if final else integer_answer)(response)
+    return F.coalesce(answer["value"] == right, F.lit(False))
 
-#: Openings of sentences that decline to answer, on normalised text.
+
+#: Phrases that decline to answer, sought in normalised text (where apostrophes are gone).
 ABSTENTIONS = (
-    ("cannot_determine", r"\b(cannot|cant|can not) be (determined|answered)\b"),
-    ("not_enough", r"\b(not enough|insufficient) (information|context)\b"),
-    ("unanswerable", r"\bunanswerable\b"),
-    ("does_not_say", r"\b(context|passage|text) (does not|doesnt) (say|mention|provide|contain)\b"),
-    ("do_not_know", r"\bi (do not|dont) know\b"),
+    ("cannot_be_determined", r"\b(?:cannot|can'?t|could not)\s+be\s+determined\b"),
+    ("not_provided", r"\b(?:not|isn'?t|is not)\s+(?:provided|stated|specified|mentioned)\b"),
+    ("insufficient", r"\binsufficient\s+(?:information|context)\b"),
+    ("context_does_not_say", r"\bcontext\s+(?:does not|doesn'?t)\s+(?:say|state|provide|mention)\b"),
+    ("unknown_from_passage", r"\bunknown\s+from\s+(?:the\s+)?passage\b"),
 )
+#: The one word that is an abstention, what a failed one holds, and phrases of refusal or doubt.
+UNANSWERABLE, HALF_ABSTAINED = "unanswerable", ("unknown", "unanswer")
+REFUSALS = ("i don't know", "i do not know", "cannot answer", "uncertain")
 
 
 def abstention(text: Column) -> Column:
     """The name of the rule by which a response abstains, or null."""
     flat = normalised(text)
-    out = F.when(flat == "", "empty")
+    out = F.when(flat == "", "empty").when(flat == UNANSWERABLE, UNANSWERABLE)
     for name, pattern in ABSTENTIONS:
         out = out.when(flat.rlike(pattern), name)
     return out
 
 
+def _holds_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for phrase in phrases:
+        out = out | F.contains(text, F.lit(phrase))
+    return out
+
+
+def refusal(text: Column) -> Column:
+    return _holds_any(F.lower(F.coalesce(text, F.lit(""))), REFUSALS)
+
+
+def malformed_abstention(text: Column) -> Column:
+    """Words of an abstention in a response that isn't one."""
+    return _holds_any(F.lower(F.coalesce(text, F.lit(""))), HALF_ABSTAINED) & abstention(text).isNull()
+
+
 def repetition(items: Column) -> Column:
     """1 - distinct / all; 0 for an empty array."""
     return F.when(F.size(items) == 0, 0.0).otherwise(1.0 - F.size(F.array_distinct(items)) / F.size(items))
@@ -136,5 +189,31 @@ def ngrams(items: Column, n: int) -> Column:
     return F.when(F.size(items) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def tokens(text: Column) -> Column:
+    """Words of any script in lower case, with articles."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), 1)
+
+
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"[.!?\n]+"), normalised), lambda s: s != "")
+    """The words of each sentence: parts after a full stop, exclamation or question mark before a blank, or at newlines."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.array_join(tokens(s), " "))
+    return F.filter(parts, lambda s: s != "")
+
+
+#: Repetition above which a response is taken to loop.
+LOOP = 0.5
+
+
+def loops(ngram_rate: Column, sentence_rate: Column) -> Column:
+    return F.greatest(ngram_rate, sentence_rate) > LOOP
+
+
+def last_answer(text: Column) -> Column:
+    """struct(place, relative, trailing) of the last line that states an answer; places in characters from 0, null without one."""
+    t = F.coalesce(text, F.lit(""))
+    parts = F.split(t, ANSWER_LINE)  # what stands between the lines
+    after = F.element_at(parts, -1)
+    marks = F.regexp_extract_all(t, F.lit(ANSWER_LINE), 0)
+    place = F.length(t) - F.length(after) - F.length(F.element_at(marks, -1))
+    there = F.size(marks) > 0
+    return F.struct(F.when(there, place).alias("place"), F.when(there, place / F.greatest(F.lit(1), F.length(t))).alias("relative"), F.when(there, after).alias("trailing"))

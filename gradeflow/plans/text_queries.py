@@ -89,13 +89,13 @@ def concise_rule(spark, sf):
     return read(spark, sf, "part").select(F.coalesce(T.concise_rule(response, F.col("p_name")), F.lit("no")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '[\\n;]| [*•-] '), lambda s: regexp_replace(regexp_replace(s, '^[ \\t]*([0-9]+[.)]|[-*•])[ \\t]+', ''), '^[ \\t,]+|[ \\t,]+$', '', 'g')), lambda s: s <> ''))::INT AS segments FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[^ \\t,\\n;]')""")
+@query(f"""SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(text, '{T.SEGMENT_BREAK}'), lambda s: regexp_replace(regexp_replace(s, '{T.LIST_MARK}', ''), '^[ \\t,]+|[ \\t,]+$', '', 'g')), lambda s: s <> ''))::INT AS segments FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]')""")
 def response_segments(spark, sf):
-    return read(spark, sf, "documents").filter(F.col("text").rlike(r"[^ \t,\n;]")).select("doc_id", F.size(T.segments(F.col("text"))).alias("segments"))
+    return read(spark, sf, "documents").filter(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", F.size(T.segments(F.col("text"))).alias("segments"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'The final answer is: ' || o_custkey || '.' WHEN 1 THEN o_custkey || '/3' WHEN 2 THEN '' WHEN 3 THEN o_custkey || ' and ' || o_orderkey WHEN 4 THEN 'unknown' WHEN 5 THEN '+' || o_custkey || '.00' ELSE o_custkey || '.5' END AS t FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 5) THEN o_custkey::VARCHAR END AS value, CASE o_orderkey % 7 WHEN 1 THEN 'fraction' WHEN 2 THEN 'empty' WHEN 3 THEN 'ambiguous' WHEN 4 THEN 'none' WHEN 6 THEN 'non_integer' END AS reason FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 IN (0, 5) THEN o_custkey::VARCHAR END AS value, CASE o_orderkey % 7 WHEN 1 THEN 'fraction_not_allowed' WHEN 2 THEN 'empty_or_nonnumeric_response' WHEN 3 THEN 'ambiguous_multiple_numbers' WHEN 4 THEN 'no_numeric_answer' WHEN 6 THEN 'non_integer_answer' END AS reason FROM orders""")
 def number_parse(spark, sf):
     k, c = F.col("o_orderkey") % 7, F.col("o_custkey").cast("string")
     t = (
@@ -115,24 +115,29 @@ def number_parse(spark, sf):
 def final_number(spark, sf):
     c = F.col("o_custkey").cast("string")
     t = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("12 then \\boxed{"), c, F.lit("} and 4"))).otherwise(F.concat(F.lit("so 7 + 9\n#### "), c))
-    return read(spark, sf, "orders").select("o_orderkey", T.final_number(t).alias("value"))
+    return read(spark, sf, "orders").select("o_orderkey", T.final_number(t)["value"].alias("value"))
 
 
-@query(f"""SELECT role, count(*) AS n, count(*) FILTER (WHERE regexp_matches(t, '\\b(cannot|cant|can not) be (determined|answered)\\b|\\b(not enough|insufficient) (information|context)\\b|\\bunanswerable\\b|\\b(context|passage|text) (does not|doesnt) (say|mention|provide|contain)\\b|\\bi (do not|dont) know\\b') OR t = '') AS abstained
-FROM (SELECT role, {norm_sql('text')} AS t FROM conversations) GROUP BY role""")
+_ABSTAINED = " OR ".join("regexp_matches(t, '" + pattern.replace("'", "''") + "')" for _, pattern in T.ABSTENTIONS)
+
+
+@query(f"""SELECT role, count(*) AS n, count(*) FILTER (WHERE t IN ('', 'unanswerable') OR {_ABSTAINED}) AS abstained
+FROM (SELECT role, {norm_sql('text')} AS t FROM (SELECT role, text || CASE conv_id % 5 WHEN 0 THEN ' It is not stated' WHEN 1 THEN ' The context does not say' ELSE '' END AS text FROM conversations)) GROUP BY role""")
 def abstentions(spark, sf):
-    c = read(spark, sf, "conversations")
+    k = F.col("conv_id") % 5
+    c = read(spark, sf, "conversations").select("role", F.concat("text", F.when(k == 0, " It is not stated").when(k == 1, " The context does not say").otherwise("")).alias("text"))
     return c.groupBy("role").agg(F.count("*").alias("n"), F.count_if(T.abstention(F.col("text")).isNotNull()).alias("abstained"))
 
 
 @query("""SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - len(list_distinct(w))::DOUBLE / len(w) END, 6) AS rate, round(CASE WHEN len(w) < 4 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - len(list_distinct(g))::DOUBLE / len(g) END, 6) AS rate4
-FROM (SELECT doc_id, w, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents))""")
+FROM (SELECT doc_id, w, list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL))""")
 def repetition_rates(spark, sf):
-    w = read(spark, sf, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1).alias("w"))
-    return w.select("doc_id", F.round(T.repetition(F.col("w")), 6).alias("rate"), F.round(T.repetition(T.ngrams(F.col("w"), 4)), 6).alias("rate4"))
+    w = read(spark, sf, "documents").filter("text is not null").select("doc_id", T.tokens(F.col("text")).alias("w"))
+    w = w.select("doc_id", "w", T.ngrams(F.col("w"), 4).alias("g"))  # columns of their own, made once
+    return w.select("doc_id", F.round(T.repetition(F.col("w")), 6).alias("rate"), F.round(T.repetition(F.col("g")), 6).alias("rate4"))
 
 
-_SENT = f"list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: {norm_sql('s')}), lambda s: s <> '')"
+_SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01|\\n+'), lambda s: array_to_string(regexp_extract_all(lower(s), '[\\p{L}\\p{N}_]+'), ' ')), lambda s: s <> '')"
 
 
 @query(f"SELECT doc_id, round(CASE WHEN len(s) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - len(list_distinct(s))::DOUBLE / len(s) END, 6) AS rate, (len(s) > 1 AND 1.0 - len(list_distinct(s)) / len(s) > 0.5) AS looping FROM (SELECT doc_id, {_SENT} AS s FROM documents WHERE text IS NOT NULL)")
