@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_json
+
 
 def missing_and_unexpected(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """One row: keys expected but not found, found but not expected, and found more than once."""
@@ -13,16 +15,18 @@ def missing_and_unexpected(expected: DataFrame, found: DataFrame, key: str) -> D
     return both.agg(F.count_if(F.col("k").isNull()).alias("missing"), F.count_if(F.col("e").isNull()).alias("unexpected"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
-def checksum(*columns: str) -> Column:
-    """SHA-256 over the values in the order of their names, nulls apart from empty strings."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("\\N"))) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+def checksum(df: DataFrame, *columns: str) -> Column:
+    """SHA-256 of the canonical JSON of some columns: keys in order, no blanks, nulls as such."""
+    return F.sha2(canonical_json(df, *columns), 256)
 
 
 def leakage(a: DataFrame, b: DataFrame, key: str, a_id: str, b_id: str) -> DataFrame:
-    """Pairs of ids from two splits that share a non-empty key."""
-    left, right = a.filter(F.col(key) != "").select(F.col(a_id).alias("left_id"), key), b.filter(F.col(key) != "").select(F.col(b_id).alias("right_id"), key)
-    return left.join(right, key).select("left_id", "right_id")
+    """Ids of the second split whose non-empty key the first has too, with the smallest id there and how many there are.
+
+    One row for each id of the second split: keys that both sides repeat make no pairs.
+    """
+    left = a.filter(F.col(key) != "").groupBy(key).agg(F.min(a_id).alias("left_id"), F.count("*").alias("left_rows"))
+    return b.filter(F.col(key) != "").select(F.col(b_id).alias("right_id"), key).join(left, key).select("left_id", "left_rows", "right_id")
 
 
 def sample_size(accuracy: Column, guard: float = 0.0) -> Column:
@@ -34,3 +38,14 @@ def sample_size(accuracy: Column, guard: float = 0.0) -> Column:
 def reasons(*checks: tuple[str, Column]) -> Column:
     """The names of the checks that fail, comma-joined; empty if all hold."""
     return F.concat_ws(",", *(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks))
+
+
+def split_checksum(df: DataFrame, by: list[str], key: str, fold: str) -> DataFrame:
+    """(by, digest): SHA-256 of the key:fold pairs in key order. A group's pairs meet in one task: splits are of labelled rows."""
+    pairs = F.array_sort(F.collect_list(F.struct(key, fold)))
+    return df.groupBy(*by).agg(F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p[key].cast("string"), p[fold].cast("string"))), ","), 256).alias("digest"))
+
+
+def iso_utc(at: Column) -> Column:
+    """A time as text in UTC, whatever the session's zone."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))

@@ -220,15 +220,20 @@ def stratum_parse(spark, sf):
     return read(spark, sf, "documents").select("doc_id", s.alias("stratum")).select("doc_id", "stratum", F.str_to_map("stratum", F.lit("\\|"), F.lit(":"))["lang"].alias("first_value"))
 
 
-@query("SELECT o_orderkey, sha256('o_custkey=' || o_custkey || '|o_orderkey=' || o_orderkey || '|o_orderstatus=' || o_orderstatus) AS digest FROM orders")
+@query("""SELECT o_orderkey, sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderpriority || chr(92) || 'n' || 'é' || '"' END || '}') AS digest FROM orders""")
 def record_checksums(spark, sf):
-    return read(spark, sf, "orders").select("o_orderkey", integrity.checksum("o_orderkey", "o_custkey", "o_orderstatus").alias("digest"))
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.concat("o_orderpriority", F.lit("\né"))).alias("o_orderpriority"))
+    return o.select("o_orderkey", integrity.checksum(o).alias("digest"))
 
 
-@query(f"SELECT d.doc_id AS left_id, b.item_id AS right_id FROM (SELECT doc_id, {norm_sql('text')} AS k FROM documents) d JOIN (SELECT item_id, {norm_sql('text')} AS k FROM benchmark) b USING (k) WHERE k <> ''")
+_FIRST_LINE = "lower(split_part(text, '.', 1))"
+
+
+@query(f"""SELECT min(a.doc_id) AS left_id, count(*) AS left_rows, b.doc_id AS right_id FROM (SELECT doc_id, {norm_sql(_FIRST_LINE)} AS k FROM documents WHERE doc_id % 5 <> 0) a JOIN (SELECT doc_id, {norm_sql(_FIRST_LINE)} AS k FROM documents WHERE doc_id % 5 = 0) b USING (k) WHERE k <> '' GROUP BY b.doc_id""")
 def leakage_pairs(spark, sf):
-    k = T.normalised(F.col("text")).alias("k")
-    return integrity.leakage(read(spark, sf, "documents").select("doc_id", k), read(spark, sf, "benchmark").select("item_id", k), "k", "doc_id", "item_id")
+    """Documents of a test split whose first sentence stands in the training split."""
+    d = read(spark, sf, "documents").select("doc_id", T.normalised(F.lower(F.split_part("text", F.lit("."), F.lit(1)))).alias("k"))
+    return integrity.leakage(d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 5 = 0"), "k", "doc_id", "doc_id")
 
 
 @query("SELECT c_custkey, (c_mktsegment = 'AUTOMOBILE')::DOUBLE AS automobile, (c_mktsegment = 'BUILDING')::DOUBLE AS building FROM customer")

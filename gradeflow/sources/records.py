@@ -1,12 +1,40 @@
-"""Record files: JSON Lines with a fixed schema, checksummed folders, write-once sinks and resuming."""
+"""Record files: JSON Lines with a fixed schema, checksummed folders, write-once sinks, discovery and resuming."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.integrity import checksum
+from ..functions.canonical import canonical_json
+from ..operators.integrity import checksum, missing_and_unexpected
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local master may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared folder")
+    return f"{(root or tempfile.mkdtemp(prefix='gradeflow-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _fs(spark, path)
+    return fs.exists(target)
+
+
+# sources
 
 
 def read_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
@@ -19,14 +47,20 @@ def read_valid(spark: SparkSession, folder: str, schema: str, key: str, field: s
     raw = spark.read.schema(f"{schema}, {field} string, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(folder)
     raw = raw.withColumn("_path", F.input_file_name())
     names = [c for c in raw.columns if c not in (field, "_corrupt", "_path")]
-    good = raw.filter(F.col("_corrupt").isNull() & (F.col(field) == checksum(*names)))
-    last = good.groupBy(key).agg(F.max("_path").alias("_path"))
-    return good.join(last, [key, "_path"]).select(*names, field)
+    good = raw.filter(F.col("_corrupt").isNull() & (F.col(field) == checksum(raw, *names)))
+    return last_of_each(good, key, "_path").select(*names, field)
 
 
-def with_checksum(df: DataFrame, field: str = "record_checksum") -> DataFrame:
-    names = [c for c in df.columns if c != field]
-    return df.withColumn(field, checksum(*names))
+def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
+    """Of each key the row that stands last by ``order``."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
+
+
+def read_union(spark: SparkSession, pattern: str, schema: str, key: str) -> DataFrame:
+    """All files of a pattern as one table; of a key in several files the last file by path counts."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(pattern).withColumn("_path", F.input_file_name())
+    return last_of_each(rows, key, "_path").drop("_path")
 
 
 def by_content(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,15 +68,190 @@ def by_content(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.sha2("content", 256).alias("digest"))
 
 
+def source_of(spark: SparkSession, manifest: DataFrame, folder: str, digest: str = "source_digest") -> DataFrame:
+    """``manifest`` with the path of the file that has the content it names; a digest without a file is an error."""
+    files = by_content(spark, folder).groupBy("digest").agg(F.min("path").alias("path"))
+    found = manifest.join(files.withColumnRenamed("digest", digest), digest, "left")
+    return found.withColumn("path", F.coalesce("path", F.raise_error(F.concat(F.lit("no file with digest "), digest)).cast("string")))
+
+
+def load_collection(spark: SparkSession, predictions: str, signatures: str, schema: str, other: str, key: str, field: str = "record_checksum") -> tuple[DataFrame, DataFrame]:
+    """Both tables of a collection, if all checksums hold and both have the same keys; otherwise an error."""
+    out = []
+    for path, kind in ((predictions, schema), (signatures, other)):
+        rows = read_lines(spark, path, f"{kind}, {field} string")
+        names = [c for c in rows.columns if c != field]
+        if rows.filter(~F.col(field).eqNullSafe(checksum(rows, *names))).limit(1).count():
+            raise ValueError(f"a record of {path} does not match its checksum")
+        out.append(rows)
+    wrong = missing_and_unexpected(out[0], out[1], key).first()
+    if wrong["missing"] or wrong["unexpected"] or wrong["duplicates"]:
+        raise ValueError(f"keys differ: {wrong.asDict()}")
+    return out[0], out[1]
+
+
+def with_ablation(records: DataFrame, ablation: DataFrame, key: str, column: str) -> DataFrame:
+    """``records`` with the fields of a second file of the same ids as a struct; null where it has none."""
+    rest = [c for c in ablation.columns if c != key]
+    return records.join(ablation.select(key, F.struct(*rest).alias(column)), key, "left")
+
+
+def read_config(spark: SparkSession, path: str, limits: tuple[str, ...]) -> dict:
+    """Settings of a JSON or YAML file whose ``limits`` must be positive whole numbers."""
+    text = spark.read.option("wholetext", True).text(path).first()["value"]
+    try:
+        config = json.loads(text)
+    except ValueError:
+        import yaml
+
+        config = yaml.safe_load(text)
+    for name in limits:
+        value = config.get(name)
+        if not isinstance(value, int) or isinstance(value, bool) or value <= 0:
+            raise ValueError(f"{name} must be a positive whole number, not {value!r}")
+    return config
+
+
+def checked_prompts(prompts: DataFrame, text: str = "template", digest: str = "digest") -> DataFrame:
+    """``prompts``; a template whose digest isn't the one stated is an error."""
+    wrong = F.sha2(text, 256) != F.col(digest)
+    return prompts.withColumn(text, F.when(wrong, F.raise_error(F.concat(F.lit("changed prompt: "), text)).cast("string")).otherwise(F.col(text)))
+
+
+def find_files(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
+    """(path, name, text) of all files below a folder whose name fits."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("wholetext", True).text(folder)
+    return files.select(F.input_file_name().alias("path"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+
+
+def artifacts(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
+    """(name, text) of each expected file, null for one that isn't there."""
+    wanted = spark.createDataFrame([(x,) for x in expected], "name string")
+    return wanted.join(find_files(spark, folder, "*").select("name", "text"), "name", "left")
+
+
+def file_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, files): the number of files directly in each folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count("*").alias("files"))
+
+
+def broken_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """(path, name) of the files that aren't JSON of the schema: what an interrupted run left. Nothing is deleted."""
+    files = find_files(spark, folder, "*")
+    return files.filter((F.trim("text") == "") | F.from_json("text", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})["_corrupt"].isNotNull()).select("path", "name")
+
+
+def delete_broken(spark: SparkSession, folder: str, schema: str, confirmed: bool = False) -> int:
+    """Delete what ``broken_files`` lists, if that is confirmed; the number of files."""
+    paths = [r["path"] for r in broken_files(spark, folder, schema).collect()]  # leftovers of single records
+    for path in paths if confirmed else []:
+        fs, target = _fs(spark, path)
+        fs.delete(target, False)
+    return len(paths)
+
+
+# sinks
+
+
+def with_checksum(df: DataFrame, field: str = "record_checksum") -> DataFrame:
+    names = [c for c in df.columns if c != field]
+    return df.withColumn(field, checksum(df, *names))
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """JSON Lines; refuses to replace what is there."""
     df.write.mode("errorifexists").json(path)
 
 
 def write_atomically(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Replaces what is there only once all is written."""
+    fs, target = _fs(df.sparkSession, path)
+    new, fresh = f"{path}.{uuid.uuid4().hex}", None
+    df.write.json(new)
+    _, fresh = _fs(df.sparkSession, new)
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(fresh, target)
+
+
+def write_canonical(df: DataFrame, path: str, order: str | None = None) -> None:
+    """One file of canonical JSON lines, in order of a column; refuses to replace what is there."""
+    lines = df.select(canonical_json(df).alias("value"), *([F.col(order).alias("_at")] if order else []))
+    lines = lines.repartition(1).sortWithinPartitions("_at").drop("_at") if order else lines.coalesce(1)
+    lines.write.mode("errorifexists").text(path)
+
+
+def compile_lines(manifest: DataFrame, records: DataFrame, key: str, order: str, path: str) -> str:
+    """The records of a manifest as one file in its order, and the file's digest; a missing record is an error."""
+    spark = manifest.sparkSession
+    short = manifest.join(records.select(key), key, "left_anti").count()
+    if short:
+        raise ValueError(f"{short} records of the manifest are missing")
+    rows = manifest.select(key, F.col(order).alias("_order")).join(records, key)
+    lines = rows.select(canonical_json(rows.drop("_order")).alias("value"), "_order")
+    lines.repartition(1).sortWithinPartitions("_order").select("value").write.mode("errorifexists").text(path)
+    (digest,) = [r["digest"] for r in by_content(spark, path).filter("path like '%/part-%'").collect()]  # the one file
+    return digest
+
+
+def write_or_equal(df: DataFrame, path: str) -> bool:
+    """Write a decision once; later calls must bring the same rows. True if it was written now."""
+    spark = df.sparkSession
+    if not exists(spark, path):
+        write_once(df, path)
+        return True
+    old = read_lines(spark, path, df.schema)
+    if old.exceptAll(df).unionAll(df.exceptAll(old)).limit(1).count():
+        raise ValueError(f"{path} holds another decision")
+    return False
+
+
+def next_report(spark: SparkSession, folder: str, prefix: str, digits: int = 3) -> str:
+    """The path of the next numbered report; numbers are never used again while a report of theirs is there."""
+    fs, target = _fs(spark, folder)
+    names = [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
+    used = [int(m[1]) for m in (re.fullmatch(rf"{re.escape(prefix)}_(\d+)(?:\..*)?", n) for n in names) if m]
+    return f"{folder}/{prefix}_{max(used, default=0) + 1:0{digits}d}"
+
+
+def markdown(df: DataFrame, most_rows: int = 1_000) -> str:
+    """A table of a report; more than ``most_rows`` rows are an error, as this is for summaries."""
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows")
+    cell = lambda v: "—" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
+
+
+def write_report(df: DataFrame, folder: str, prefix: str) -> tuple[str, str]:
+    """The next numbered report as JSON lines, and its table; returns both."""
+    path = next_report(df.sparkSession, folder, prefix)
+    write_once(df, path)
+    return path, markdown(df)
+
+
+# resuming
 
 
 def still_to_do(manifest: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of a manifest whose key has no finished record."""
     return manifest.join(done.select(key).distinct(), key, "left_anti")
+
+
+def complete(manifest: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
+    """Rows of a manifest whose key stands in all parts."""
+    for part in parts:
+        manifest = manifest.join(part.select(key).distinct(), key, "left_semi")
+    return manifest
+
+
+def counted(df: DataFrame, name: str, **counts) -> tuple[DataFrame, Observation]:
+    """``df`` with counters that are filled while it is written: all rows, and those where each condition holds."""
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("rows"), *(F.count_if(c).alias(k) for k, c in counts.items())), seen
+
+
+def text_digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
