@@ -205,7 +205,7 @@ def _groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     by_class = sizes.filter("cls is not null").groupBy("cls").agg(first, F.count("*").alias("rows")).join(label.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     by_class = scratch.write(by_class, "classes")
-    roots = by_class.groupBy("label").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    roots = scratch.write(by_class.groupBy("label").agg(F.min("first").alias("first"), F.sum("rows").alias("rows")), "roots")  # a table, so that a hot label's rows can be split
     return sizes.join(by_class.select("cls", "label"), "cls", "left").select("doc_id", "key", "n", "label"), roots
 
 
