@@ -6,7 +6,7 @@ member or when its texts have ended, and then its members are equal: no digest d
 
 A group's number is the smallest row in it, which a partial aggregate finds before the shuffle, so a hot
 group costs each task one row. Only rows of groups with several members go on to the next level. The groups of
-a level are a written table: a small one is broadcast, and beside a large one adaptive execution splits the
+a level are a written table, so that the join has a shuffle on both sides and adaptive execution can split the
 members of a hot group over tasks.
 """
 
@@ -40,7 +40,7 @@ def radix_groups(docs: DataFrame, row: str, scratch: Scratch, first: int = FIRST
         split = live.select("_row", "_id", "_group", F.substring("_rest", 1, width).alias("_digit"), F.expr(f"substring(_rest, {width + 1})").alias("_rest"))
         heads = split.groupBy("_group", "_digit").agg(F.count("*").alias("_size"), F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("_head")).filter("_size > 1")
         heads = scratch.write(heads, f"heads{level}")
-        members = split.join(heads, ["_group", "_digit"]).select("_row", "_id", F.col("_head.row").alias("_group"), F.col("_head.id").alias("_keep_id"), "_size", F.when(F.length("_digit") < width, None).otherwise(F.col("_rest")).alias("_rest"))
+        members = split.join(heads.hint("merge"), ["_group", "_digit"]).select("_row", "_id", F.col("_head.row").alias("_group"), F.col("_head.id").alias("_keep_id"), "_size", F.when(F.length("_digit") < width, None).otherwise(F.col("_rest")).alias("_rest"))
         members = scratch.write(members, f"level{level}")
         scratch.drop(f"heads{level}")
         done.append(members.filter("_rest is null").select("_row", F.col("_group").alias("_keep"), "_keep_id", "_size"))
