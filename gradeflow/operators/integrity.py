@@ -49,3 +49,52 @@ def split_checksum(df: DataFrame, by: list[str], key: str, fold: str) -> DataFra
 def iso_utc(at: Column) -> Column:
     """A time as text in UTC, whatever the session's zone."""
     return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def seeded_order(key: Column, options: Column) -> Column:
+    """Options in the order of sha256("seed:option"); the seed is the first 16 hex digits of the key's digest, as a number."""
+    seed = F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10)  # an unsigned 64-bit number, kept as text
+    keyed = F.transform(options, lambda x: F.struct(F.sha2(F.concat(seed, F.lit(":"), x), 256).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def is_subset(a: DataFrame, b: DataFrame, key: str) -> bool:
+    """Whether every key of ``a`` stands in ``b``."""
+    return a.select(key).join(b.select(key), key, "left_anti").isEmpty()
+
+
+def forbidden(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    """Fields of a table, nested ones too, that it must not have."""
+
+    def walk(schema) -> list[str]:
+        out = []
+        for f in schema.fields:
+            kind = getattr(f.dataType, "elementType", f.dataType)
+            out += [f.name] + (walk(kind) if hasattr(kind, "fields") else [])
+        return out
+
+    return sorted({x for x in walk(df.schema) if x.lower() in names})
+
+
+def overlay(df: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
+    """``df`` with the fields of ``corrections`` where it has a row of the same key."""
+    changed = [c for c in corrections.columns if c != key]
+    new = corrections.select(key, F.struct(*changed).alias("_new"))
+    out = df.join(new, key, "left")
+    return out.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in df.columns))
+
+
+def matched_by_digest(manifest: DataFrame, records: DataFrame, key: str, digest: str) -> DataFrame:
+    """The manifest's records by id; one that is missing, or whose digest isn't the manifest's, is an error."""
+    from ..functions.canonical import record_digest
+
+    own = records.withColumn("_own", record_digest(records))
+    out = manifest.join(own, key, "left")
+    wrong = F.raise_error(F.concat(F.lit("another record than the manifest's: "), F.col(key).cast("string"))).cast("string")
+    return out.withColumn(digest, F.when(F.col("_own").eqNullSafe(F.col(digest)), F.col(digest)).otherwise(wrong)).drop("_own")
+
+
+def balance(df: DataFrame, by: list[str], most: int) -> DataFrame:
+    """One row: how many cells there are, their least and most rows, and whether these differ by at most ``most``."""
+    cells = df.groupBy(*by).agg(F.count("*").alias("n"))
+    return cells.agg((F.max("n") - F.min("n") <= most).alias("balanced"), F.count("*").alias("cells"), F.min("n").alias("low"), F.max("n").alias("high"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import ranked
+
 CLIP = 1e-7
 
 
@@ -34,16 +38,15 @@ def average_precision(df: DataFrame, score: str, label: str, by: list[str]) -> D
 
 
 def risk_curve(df: DataFrame, score: str, label: str, key: str, by: list[str]) -> DataFrame:
-    """Rank, rows and cumulative risk by rising score, ties by ``key``."""
-    order = Window.partitionBy(*by).orderBy(score, key)
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.select(*by, key, score, label, F.row_number().over(order).alias("rank"), F.count("*").over(Window.partitionBy(*by)).alias("n"), (F.sum(label).over(running) / F.row_number().over(order)).alias("risk"))
+    """Rank, rows and cumulative risk by rising score, ties by ``key``; ranges of scores are worked on apart."""
+    rows = ranked(df.select(*by, key, score, label), score, key, by, total=label)
+    return rows.select(*by, key, score, label, "rank", "n", (F.col("so_far") / F.col("rank")).alias("risk"))
 
 
 def aurc(curve: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Trapezoid area under a risk curve from coverage 1/n to 1."""
-    before = F.lag("risk").over(Window.partitionBy(*by).orderBy("rank"))
-    return curve.withColumn("b", before).groupBy(*by).agg(F.max("n").alias("n"), (F.coalesce(F.sum((F.col("risk") + F.col("b")) / 2.0), F.lit(0.0)) / F.max("n")).alias("aurc"))
+    """Trapezoid area under a risk curve from coverage 1/n to 1: all risks less half of the first and the last."""
+    ends = F.max(F.when(F.col("rank") == 1, F.col("risk"))) + F.max(F.when(F.col("rank") == F.col("n"), F.col("risk")))
+    return curve.groupBy(*by).agg(F.max("n").alias("n"), ((F.sum("risk") - ends / 2.0) / F.max("n")).alias("aurc"))
 
 
 def calibration(df: DataFrame, score: str, label: str, by: list[str], bins: int = 10) -> DataFrame:
@@ -65,20 +68,105 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def reliability(minority):
-    """How far a result can be trusted by the size of its smaller class."""
+    """How far a result can be trusted by the size of its smaller class. The names are fixed values."""
     return F.when(minority < 20, "descriptive_only").when(minority < 50, "exploratory").when(minority < 100, "preliminary").otherwise("suitable_for_primary_analysis")
 
 
-def draw(seed: str, index):
-    """A non-negative 32-bit number from md5, the same in every engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), index)), 1, 8), 16, 10).cast("bigint")
+#: Distribution of a Poisson weight of mean 1, up to 9.
+_POISSON = [sum(1 / math.factorial(j) for j in range(i + 1)) / math.e for i in range(10)]
+
+
+def weight(seed: str, key) -> Column:
+    """How often a row stands in a resample: Poisson of mean 1 by 32 bits of md5, the same in every engine."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    out = F.lit(0)
+    for p in _POISSON:
+        out = out + F.when(u >= p, 1).otherwise(0)
+    return out
+
+
+def resampled(df: DataFrame, key: str, draws: int, seed: str) -> DataFrame:
+    """``df`` with ``draw`` and ``w``, how often the row is in that resample; rows that aren't are left out.
+
+    Draws are made row by row and summed before any shuffle, so neither rows nor draws meet in one task.
+    """
+    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return drawn.withColumn("w", weight(seed, F.concat_ws(":", "draw", key))).filter("w > 0")
+
+
+def bootstrap(df: DataFrame, key: str, draws: int, seed: str, metric) -> DataFrame:
+    """(draw, value) of ``metric(resample, by)``, which must weigh rows by ``w``; null where it isn't defined."""
+    return metric(resampled(df, key, draws, seed), ["draw"])
+
+
+def weighted_mean(value: str):
+    return lambda rows, by: rows.groupBy(*by).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("value"))
+
+
+def weighted_auroc(score: str, label: str):
+    """AUROC of a resample; null where a class is missing."""
+
+    def metric(rows: DataFrame, by: list[str]) -> DataFrame:
+        counts = rows.groupBy(*by, score).agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col(label)).alias("pos"))
+        w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rank = F.sum("k").over(w) - (F.col("k") - 1) / 2.0
+        sums = counts.withColumn("r", rank).groupBy(*by).agg(F.sum("k").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("r") * F.col("pos")).alias("s"))
+        value = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))
+        return sums.select(*by, value.alias("value"))
+
+    return metric
+
+
+def interval(draws: DataFrame, value: str = "value") -> DataFrame:
+    """One row: 2.5 % and 97.5 % quantiles, mean, and how many draws were asked for and defined."""
+    return draws.agg(F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"), F.avg(value).alias("mean"), F.count("*").alias("draws"), F.count(value).alias("valid"))
+
+
+def paired(df: DataFrame, key: str, draws: int, seed: str, first, second) -> DataFrame:
+    """(draw, value): difference of two metrics on the same resamples; equal metrics give exactly 0."""
+    a, b = bootstrap(df, key, draws, seed, first), bootstrap(df, key, draws, seed, second)
+    return a.join(b.withColumnRenamed("value", "other"), "draw").select("draw", (F.col("other") - F.col("value")).alias("value"))
+
+
+def mean_risk(curve: DataFrame, by: list[str]) -> DataFrame:
+    """Mean of the cumulative risk over all ranks."""
+    return curve.groupBy(*by).agg(F.avg("risk").alias("mean_risk"))
+
+
+def gains(values: DataFrame, by: list[str], name: str, value: str, baseline: str) -> DataFrame:
+    """(by, name, value, gain) against the row of the baseline; null where either is."""
+    base = values.filter(F.col(name) == baseline).select(*by, F.col(value).alias("_b"))
+    out = values.join(base, by, "left") if by else values.crossJoin(base)  # one row
+    return out.select(*by, name, value, (F.col(value) - F.col("_b")).alias("gain"))
+
+
+def spearman_p(rho: float | None, n: int) -> float | None:
+    """Two-sided p of a rank correlation by Student's t with n - 2 degrees, from the incomplete beta function."""
+    if rho is None or n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    df = n - 2
+    t = rho * math.sqrt(df / (1 - rho * rho))
+    return _beta(df / (df + t * t), df / 2, 0.5)
 
 
-def bootstrap(df: DataFrame, key: str, value: str, draws: int, seed: str) -> DataFrame:
-    """Mean of ``value`` in each resample. Only draw numbers and row numbers are made; values come by a join."""
-    numbered = df.select(F.row_number().over(Window.orderBy(key)).alias("slot"), value)
-    n = numbered.count()
-    spark = df.sparkSession
-    slots = spark.range(draws).withColumnRenamed("id", "draw").select("draw", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-    picked = slots.select("draw", (draw(seed, F.concat_ws(":", "draw", "i")) % n + 1).alias("slot"))
-    return picked.join(numbered, "slot").groupBy("draw").agg(F.avg(value).alias("mean"))
+def _beta(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+    tiny, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    out = d
+    for m in range(1, 1000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for k in (even, odd):
+            d = 1 / (1 + k * d or tiny)
+            c = 1 + k / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out

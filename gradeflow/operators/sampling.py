@@ -2,16 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges into which an ordered column is cut, so that no window holds a whole table.
+RANGES = 64
+
 
 def hash_order(*columns: str, seed: str = "") -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in columns)))
 
 
+def ranked(df: DataFrame, value: str, key: str, by: list[str] | None = None, total: str | None = None, ranges: int = RANGES) -> DataFrame:
+    """``df`` with ``rank`` by (value, key) within ``by``, rows ``n`` and, if asked for, the running sum ``so_far`` of ``total``.
+
+    Rows are cut at approximate quantiles of the value and ranked within each range; what stands before a range
+    is added from a sum for each range. Ranks are exact wherever the cuts are; nulls come first.
+    """
+    by = by or []
+    names = by or ["_all"]
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    cuts = rows.groupBy(*names).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    rows = rows.join(F.broadcast(cuts), [rows[c].eqNullSafe(cuts[c]) for c in names], "left").drop(*[cuts[c] for c in names])
+    rows = rows.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
+    sums = [F.count("*").alias("_k"), *([F.sum(total).alias("_s")] if total else [])]
+    before = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*names)
+    parts = rows.groupBy(*names, "_range").agg(*sums).withColumns({"_before": F.coalesce(F.sum("_k").over(before), F.lit(0)), "n": F.sum("_k").over(whole)} | ({"_sum": F.coalesce(F.sum("_s").over(before), F.lit(0))} if total else {}))
+    parts = parts.drop("_k", "_s")
+    rows = rows.join(parts, [rows[c].eqNullSafe(parts[c]) for c in [*names, "_range"]]).drop(*[parts[c] for c in [*names, "_range"]])
+    order = Window.partitionBy(*names, "_range").orderBy(value, key)
+    rows = rows.withColumn("rank", F.col("_before") + F.row_number().over(order))
+    if total:
+        rows = rows.withColumn("so_far", F.col("_sum") + F.sum(total).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.drop("_all", "_range", "_before", "_sum")
+
+
+def tile(rank: Column, n: Column, tiles: int) -> Column:
+    """Which of ``tiles`` equal parts a rank falls into, from 0; the first parts take what is left over."""
+    q, rest = F.floor(n / tiles), n % tiles
+    head = rest * (q + 1)
+    return F.when(rank <= head, F.floor((rank - 1) / (q + 1))).otherwise(rest + F.floor((rank - 1 - head) / F.greatest(q, F.lit(1)))).cast("int")
+
+
 def quartiles(df: DataFrame, value: str, key: str, out: str) -> DataFrame:
-    return df.withColumn(out, F.ntile(4).over(Window.orderBy(value, key)) - 1)
+    return ranked(df, value, key).withColumn(out, tile(F.col("rank"), F.col("n"), 4)).drop("rank", "n")
 
 
 def per_class(df: DataFrame, label: str, key: str, k: int, seed: str) -> DataFrame:
@@ -20,12 +57,62 @@ def per_class(df: DataFrame, label: str, key: str, k: int, seed: str) -> DataFra
     return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def quotas(df: DataFrame, stratum: str, size: int) -> DataFrame:
+    """(stratum, quota): one of each stratum at least, the rest in proportion by largest remainder.
+
+    The quotas sum to ``size``, or to the number of strata or rows if those bind. One row a stratum.
+    """
+    share = df.groupBy(stratum).agg(F.count("*").alias("k"))
+    everything = Window.partitionBy()
+    share = share.withColumns({"n": F.sum("k").over(everything), "strata": F.count("*").over(everything)})
+    want = F.least(F.lit(size), F.col("n"))
+    exact = F.col("k") * want / F.col("n")
+    share = share.withColumn("base", F.least(F.col("k"), F.greatest(F.floor(exact), F.lit(1)))).withColumn("rest", exact - F.floor(exact))
+    short = want - F.sum("base").over(everything)
+    open_first = Window.orderBy(F.when(F.col("base") < F.col("k"), 0).otherwise(1), F.desc("rest"), stratum)
+    over = Window.orderBy(F.when(F.col("base") > 1, 0).otherwise(1), "rest", F.desc(stratum))
+    share = share.withColumns({"short": short, "up": F.row_number().over(open_first), "down": F.row_number().over(over)})
+    change = F.when((F.col("short") > 0) & (F.col("up") <= F.col("short")) & (F.col("base") < F.col("k")), 1).when((F.col("short") < 0) & (F.col("down") <= -F.col("short")) & (F.col("base") > 1), -1).otherwise(0)
+    return share.select(stratum, (F.col("base") + change).alias("quota"))
+
+
 def proportional(df: DataFrame, stratum: str, key: str, size: int, seed: str) -> DataFrame:
-    """About ``size`` rows, each stratum by its share and at least one of each."""
-    share = df.groupBy(stratum).agg(F.count("*").alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy()))
-    quota = share.select(stratum, F.greatest(F.floor(F.col("k") * size / F.col("n")), F.lit(1)).alias("quota"))
+    """``size`` rows, each stratum by its share and at least one of each."""
     w = Window.partitionBy(stratum).orderBy(hash_order(key, seed=seed), key)
-    return df.withColumn("place", F.row_number().over(w)).join(quota, stratum).filter("place <= quota")
+    return df.withColumn("place", F.row_number().over(w)).join(quotas(df, stratum, size), stratum).filter("place <= quota")
+
+
+def crossed(df: DataFrame, first: str, second: str, key: str, size: int, seed: str) -> DataFrame:
+    """``size`` rows by the shares of the cells of two columns' quartiles."""
+    cells = quartiles(quartiles(df, first, key, "first_quartile"), second, key, "second_quartile")
+    cells = cells.withColumn("stratum", F.concat_ws("|", F.concat(F.lit("first:"), "first_quartile"), F.concat(F.lit("second:"), "second_quartile")))
+    return proportional(cells, "stratum", key, size, seed)
+
+
+def unique_balanced(df: DataFrame, context: str, label: str, key: str, each: int, seed: str) -> DataFrame:
+    """``each`` rows of every class, no context twice: of a context the row that comes first in hash order."""
+    at = F.struct(hash_order(key, seed=seed), F.col(key))
+    one = df.groupBy(context).agg(F.min_by(F.struct(*[c for c in df.columns if c != context]), at).alias("_r")).select(context, "_r.*")
+    return per_class(one, label, key, each, seed)
+
+
+def limited(df: DataFrame, order: str, key: str, size: int) -> DataFrame:
+    """The first ``size`` rows by (order, key), numbered again from 0; a missing order counts as 0, too few rows are an error."""
+    few = df.withColumn(order, F.coalesce(order, F.lit(0))).orderBy(order, key).limit(size)
+    found = few.count()
+    if found < size:
+        raise ValueError(f"{found} rows, not {size}")
+    return few.withColumn("selection_order", (F.row_number().over(Window.orderBy(order, key)) - 1).cast("long"))  # of ``size`` rows
+
+
+def first_by_selector(df: DataFrame, key: str, selectors: list[tuple[str, Column]]) -> DataFrame:
+    """For each selector in turn its first row by key that no earlier selector has taken: (selector, key); none if there is none."""
+    taken, out = df.limit(0).select(key), None
+    for name, condition in selectors:
+        row = df.filter(condition).join(F.broadcast(taken), key, "left_anti").orderBy(key).limit(1).select(F.lit(name).alias("selector"), key)
+        taken = taken.unionByName(row.select(key))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def folds(df: DataFrame, label: str, stratum: str, key: str, k: int, seed: str) -> DataFrame:
@@ -36,3 +123,18 @@ def folds(df: DataFrame, label: str, stratum: str, key: str, k: int, seed: str)
     w = Window.partitionBy(label, stratum).orderBy(hash_order(key, seed=seed), key)
     dealt = df.withColumn("place", F.row_number().over(w)).join(offsets, [label, stratum])
     return dealt.withColumn("fold", ((F.col("offset") + F.col("place") - 1) % k).cast("int")).drop("place", "offset")
+
+
+def fold_count(minority: Column, most: int = 5, least: int = 2) -> Column:
+    """Folds that the smaller class allows; null where it is too small for any."""
+    return F.when(minority >= least, F.least(F.lit(most), minority))
+
+
+def leave_one_out(df: DataFrame, key: str) -> DataFrame:
+    """Each row is its own fold, numbered by key from 0."""
+    return ranked(df, key, key).withColumn("fold", F.col("rank") - 1).drop("rank", "n")
+
+
+def variant(*options: tuple[str, Column]) -> Column:
+    """The name of the first variant whose audit is clean."""
+    return reduce(lambda out, x: out.when(x[1], x[0]), options[1:], F.when(options[0][1], options[0][0]))

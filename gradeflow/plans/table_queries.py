@@ -105,10 +105,16 @@ def quartile_strata(spark, sf):
     return sampling.quartiles(read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "quartile").select("o_orderkey", F.col("quartile").cast("long").alias("quartile"))
 
 
-@query("""WITH q AS (SELECT c_mktsegment, greatest(floor(count(*) * 200 / (SELECT count(*) FROM customer))::BIGINT, 1) AS quota FROM customer GROUP BY 1),
-r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('s:' || c_custkey), c_custkey) AS place FROM customer) SELECT c_custkey, c_mktsegment FROM r JOIN q USING (c_mktsegment) WHERE place <= quota""")
+def quota_sql(rows: str, stratum: str, size: int) -> str:
+    """Quotas by largest remainder, one at least: (stratum, quota)."""
+    return f"""SELECT s, base + CASE WHEN short > 0 AND up <= short AND base < k THEN 1 WHEN short < 0 AND down <= -short AND base > 1 THEN -1 ELSE 0 END AS quota FROM (
+SELECT *, want - sum(base) OVER () AS short, row_number() OVER (ORDER BY (base >= k)::INT, rest DESC, s) AS up, row_number() OVER (ORDER BY (base <= 1)::INT, rest, s DESC) AS down FROM (
+SELECT s, k, want, least(k, greatest(floor(k * want / n)::BIGINT, 1)) AS base, k * want / n - floor(k * want / n) AS rest FROM (SELECT s, k, sum(k) OVER () AS n, least({size}, sum(k) OVER ()) AS want FROM (SELECT {stratum} AS s, count(*) AS k FROM {rows} GROUP BY 1))))"""
+
+
+@query(f"""WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('s:' || c_custkey), c_custkey) AS place FROM customer) SELECT c_custkey, c_mktsegment FROM r JOIN ({quota_sql('customer', 'c_mktsegment', 103)}) ON c_mktsegment = s WHERE place <= quota""")
 def proportional_sample(spark, sf):
-    return sampling.proportional(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 200, "s").select("c_custkey", "c_mktsegment")
+    return sampling.proportional(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", 103, "s").select("c_custkey", "c_mktsegment")
 
 
 @query("SELECT doc_id, quality, place FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5('b:' || doc_id), doc_id) AS place FROM labels) WHERE place <= 20")

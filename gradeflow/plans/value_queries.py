@@ -188,22 +188,35 @@ def rank_correlation(spark, sf):
     return metrics.spearman(_scored(spark, sf), "n_chars", "err", ["lang"]).select("lang", F.round("spearman", 6).alias("spearman"))
 
 
-_DRAW = "('0x' || substr(md5('{seed}:' || d || ':' || i), 1, 8))::BIGINT"
-_BOOT = f"WITH l AS (SELECT row_number() OVER (ORDER BY doc_id) AS slot, err, toxic FROM ({_L})), n AS (SELECT count(*) AS n FROM l), k AS (SELECT d, {_DRAW.format(seed='boot')} % n + 1 AS slot FROM range(200) a(d), n, range(1, n + 1) b(i))"
+_WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in metrics._POISSON)
+_BOOT = f"""WITH l AS ({_L}), r AS MATERIALIZED (SELECT *, {_WEIGHT} AS w FROM (SELECT l.*, d, ('0x' || substr(md5('boot:' || d || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l, range(200) a(d)))"""
 
 
-@query(_BOOT + ", m AS (SELECT d, avg(err) AS mean FROM k JOIN l USING (slot) GROUP BY d) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(mean), 6) AS mean, count(*) AS draws FROM m")
+def auroc_draws_sql(score: str) -> str:
+    counts = f"SELECT d, {score} AS s, sum(w) AS k, sum(w * err) AS p FROM r WHERE w > 0 GROUP BY 1, 2"
+    ranks = f"SELECT *, sum(k) OVER (PARTITION BY d ORDER BY s) - (k - 1) / 2.0::DOUBLE AS rk FROM ({counts})"
+    return f"SELECT d, (sum(rk * p) - sum(p) * (sum(p) + 1) / 2.0::DOUBLE) / nullif(sum(p) * (sum(k) - sum(p)), 0) AS v FROM ({ranks}) GROUP BY d"
+
+
+@query(_BOOT + ", m AS (SELECT d, sum(w * err) / sum(w) AS mean FROM r WHERE w > 0 GROUP BY d) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(mean), 6) AS mean, count(*) AS draws FROM m")
 def bootstrap_interval(spark, sf):
-    means = metrics.bootstrap(_scored(spark, sf), "doc_id", "err", 200, "boot")
-    return means.agg(F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"), F.round(F.avg("mean"), 6).alias("mean"), F.count("*").alias("draws"))
+    out = metrics.interval(metrics.bootstrap(_scored(spark, sf), "doc_id", 200, "boot", metrics.weighted_mean("err")))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("low", "high", "mean")), "draws")
+
+
+@query(_BOOT + f", m AS ({auroc_draws_sql('score')}) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS draws, count(v) AS valid FROM m")
+def bootstrap_auroc(spark, sf):
+    out = metrics.interval(metrics.bootstrap(_scored(spark, sf), "doc_id", 200, "boot", metrics.weighted_auroc("score", "err")))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("low", "high")), "draws", "valid")
 
 
-@query(_BOOT + ", m AS (SELECT d, avg(err - toxic) AS gap, avg(err - err) AS same FROM k JOIN l USING (slot) GROUP BY d) SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(quantile_cont(gap, 0.975), 6) AS high, max(abs(same)) AS same FROM m")
+@query(_BOOT + f", a AS ({auroc_draws_sql('score')}), b AS ({auroc_draws_sql('toxic')}), m AS (SELECT d, b.v - a.v AS gap, a.v - a.v AS same FROM a JOIN b USING (d)) SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(quantile_cont(gap, 0.975), 6) AS high, max(abs(same)) AS same, count(*) AS draws, count(gap) AS valid FROM m")
 def paired_bootstrap(spark, sf):
-    rows = _scored(spark, sf).withColumn("gap", F.col("err") - F.col("toxic")).withColumn("same", F.col("err") - F.col("err"))
-    gap = metrics.bootstrap(rows, "doc_id", "gap", 200, "boot").withColumnRenamed("mean", "gap")
-    same = metrics.bootstrap(rows, "doc_id", "same", 200, "boot").withColumnRenamed("mean", "same")
-    return gap.join(same, "draw").agg(F.round(F.percentile("gap", 0.025), 6).alias("low"), F.round(F.percentile("gap", 0.975), 6).alias("high"), F.max(F.abs("same")).alias("same"))
+    """Two scores on the same resamples; a score against itself differs by exactly 0."""
+    rows, a, b = _scored(spark, sf), metrics.weighted_auroc("score", "err"), metrics.weighted_auroc("toxic", "err")
+    gap = metrics.interval(metrics.paired(rows, "doc_id", 200, "boot", a, b))
+    same = metrics.paired(rows, "doc_id", 200, "boot", a, a).agg(F.max(F.abs("value")).alias("same"))
+    return gap.crossJoin(same).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "same", "draws", "valid")  # one row each
 
 
 @query(f"SELECT doc_id, lang, n_chars FROM (SELECT *, quantile_cont(score, 0.25) OVER (PARTITION BY lang) AS q FROM ({_L})) WHERE err = 1 AND score <= q")
