@@ -1,39 +1,71 @@
-"""Small learners: ridge residuals from Gram sums, and balanced logistic regression by Newton's method."""
+"""Small learners by sums: ridge from Gram matrices and balanced logistic regression by Newton's method.
+
+Many models are fitted at once. Each row belongs to some groups (folds, sources), each model leaves some groups
+out. One aggregate a step gives every model its (d + 1)^2 sums, which are added up where the rows are;
+no model's rows ever meet in one task, and only sums, weights and metrics reach the driver.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.ship import ship_package
+from . import metrics, sampling
+
+#: Strengths of regularisation to choose from, and the range under which a column counts as constant.
+STRENGTHS, CONSTANT = (0.1, 1.0, 10.0), 1e-12
+#: Most models fitted in one go; each row meets each model, so more are fitted in turn.
+MOST_MODELS = 256
 
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Sums of products of all columns and 1, in one aggregate; only (d + 1)^2 numbers reach the driver."""
     cols = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
     row = df.agg(*(F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i)).first()
-    out = np.zeros((len(cols), len(cols)))
-    for i in range(len(cols)):
-        for j in range(i, len(cols)):
-            out[i, j] = out[j, i] = row[f"s{i}_{j}"] or 0.0
+    return _square(row, len(cols), "s")
+
+
+def _square(row, n: int, name: str) -> np.ndarray:
+    out = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i, n):
+            out[i, j] = out[j, i] = row[f"{name}{i}_{j}"] or 0.0
     return out
 
 
-def ridge(train: DataFrame, x: list[str], y: str, alpha: float = 1.0) -> tuple[float, dict[str, float]]:
-    """Intercept and weights of ridge regression on standardised inputs (population deviation), mapped back to raw inputs."""
-    g = gram(train, [*x, y])
-    n, d = g[0, 0], len(x)
+def rank_and_condition(df: DataFrame, columns: list[str]) -> tuple[int, float]:
+    """Rank of the standardised columns' matrix and its condition number, from the Gram matrix."""
+    g = gram(df, columns)
+    n = g[0, 0]
+    cov = g[1:, 1:] / max(n, 1) - np.outer(g[0, 1:], g[0, 1:]) / max(n, 1) ** 2
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    keep = sd > CONSTANT
+    values = np.linalg.eigvalsh(cov[np.ix_(keep, keep)] / np.outer(sd[keep], sd[keep])) if keep.any() else np.zeros(0)
+    good = values[values > 1e-10 * len(columns)]
+    return len(good), float(np.sqrt(good.max() / good.min())) if len(good) else float("inf")
+
+
+def _ridge(g: np.ndarray, d: int, y: int, alpha: float) -> tuple[float, np.ndarray]:
+    """From a Gram matrix of 1, d inputs and targets: intercept and weights of the target in column ``y``."""
+    n = g[0, 0]
     if not n:
-        return 0.0, dict.fromkeys(x, 0.0)
-    mean = g[0, 1:] / n
-    cov = g[1:, 1:] - n * np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(cov)[:d] / n, 0.0))
+        return 0.0, np.zeros(d)
+    mean = g[0] / n
+    cov = g - n * np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov)[1 : d + 1] / n, 0.0))
     sd[sd == 0] = 1.0
-    a = cov[:d, :d] / np.outer(sd, sd) + alpha * np.eye(d)
-    w = np.linalg.solve(a, cov[:d, d] / sd) / sd
-    return float(mean[d] - w @ mean[:d]), dict(zip(x, w.tolist(), strict=True))
+    a = cov[1 : d + 1, 1 : d + 1] / np.outer(sd, sd) + alpha * np.eye(d)
+    w = np.linalg.solve(a, cov[1 : d + 1, y] / sd) / sd
+    return float(mean[y] - w @ mean[1 : d + 1]), w
+
+
+def ridge(train: DataFrame, x: list[str], y: str, alpha: float = 1.0) -> tuple[float, dict[str, float]]:
+    """Intercept and weights of ridge regression on standardised inputs (population deviation), mapped back to raw inputs."""
+    base, w = _ridge(gram(train, [*x, y]), len(x), len(x) + 1, alpha)
+    return base, dict(zip(x, w.tolist(), strict=True))
 
 
 def residuals(df: DataFrame, train: DataFrame, x: list[str], y: str, alpha: float = 1.0) -> DataFrame:
@@ -45,46 +77,252 @@ def residuals(df: DataFrame, train: DataFrame, x: list[str], y: str, alpha: floa
     return df.withColumn("residual", F.col(y) - fitted)
 
 
-def newton_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
-    """Weights (intercept last, unpenalised) of class-balanced L2 logistic regression."""
-    n, d = x.shape
-    weight = np.where(y == 1, n / (2 * max(1, y.sum())), n / (2 * max(1, n - y.sum())))
-    z, w = np.column_stack([x, np.ones(n)]), np.zeros(d + 1)
-    penalty = np.append(np.full(d, 1.0 / c), 0.0)
+@dataclass
+class Model:
+    """A model to fit: rows of the groups in ``exclude`` are left out, those of a group in ``test`` are scored unless one of ``skip`` holds them."""
+
+    name: str
+    exclude: list[str]
+    test: list[str]
+    skip: list[str] = field(default_factory=list)
+    c: float = 1.0
+    use: tuple[str, ...] | None = None  # inputs of the design that it may use, residual ones as ``~name``; all if None
+    rows: int = 0
+    weights: np.ndarray | None = None  # of standardised features, the intercept last; None where a class is missing
+    mean: np.ndarray | None = None
+    scale: np.ndarray | None = None  # 0 for a constant column
+    base: np.ndarray | None = None  # of residual features: their ridge on the controls
+    on_controls: np.ndarray | None = None
+
+    def coefficients(self, features: list[str]) -> dict[str, float]:
+        """Weights of standardised features, 0 for constant ones."""
+        return dict(zip(features, ([0.0] * len(features) if self.weights is None else self.weights[:-1].tolist()), strict=True))
+
+
+@dataclass
+class Design:
+    """Which columns are features, which of them only by what the controls don't explain."""
+
+    features: list[str]
+    residual: list[str] = field(default_factory=list)
+    controls: list[str] = field(default_factory=list)
+    alpha: float = 1.0
+
+    @property
+    def all(self) -> list[str]:
+        return [*self.features, *(f"~{c}" for c in self.residual)]
+
+    @property
+    def columns(self) -> list[str]:
+        return list(dict.fromkeys([*self.features, *self.residual, *self.controls]))
+
+
+_STATE = "name string, exclude array<string>, test array<string>, skip array<string>, mean array<double>, scale array<double>, w array<double>, right double, wrong double, base array<double>, onto array<double>"
+
+
+def _joined(rows: DataFrame, design: Design, models: list[Model], scoring: bool) -> DataFrame:
+    """Rows with the state of each model that they train, or that scores them."""
+    d = len(design.all)
+    state = []
+    for m in models:
+        n1 = getattr(m, "_ones", 0)
+        w = m.weights if m.weights is not None else np.zeros(d + 1)
+        fill = lambda x, k: [0.0] * k if x is None else np.asarray(x, float).ravel().tolist()
+        state.append((m.name, m.exclude, m.test, m.skip, fill(m.mean, d), fill(m.scale, d), w.tolist(), m.rows / (2 * n1) if n1 else 0.0, m.rows / (2 * (m.rows - n1)) if m.rows > n1 else 0.0, fill(m.base, len(design.residual)), fill(m.on_controls, len(design.residual) * len(design.controls))))
+    table = F.broadcast(rows.sparkSession.createDataFrame(state, _STATE))  # at most MOST_MODELS rows
+    if scoring:
+        return rows.join(table, F.arrays_overlap("groups", "test") & ~F.arrays_overlap("groups", "skip"))
+    return rows.join(table, ~F.arrays_overlap("groups", "exclude"))
+
+
+def _inputs(design: Design) -> list[Column]:
+    """Each feature as it enters a model, before it is standardised."""
+    out = [F.col(c).cast("double") for c in design.features]
+    k = len(design.controls)
+    for i, c in enumerate(design.residual):
+        fitted = F.get("base", F.lit(i))
+        for j, x in enumerate(design.controls):
+            fitted = fitted + F.get("onto", F.lit(i * k + j)) * F.col(x).cast("double")
+        out.append(F.col(c).cast("double") - fitted)
+    return out
+
+
+def _standardised(joined: DataFrame, design: Design, *keep: str) -> DataFrame:
+    z = [((x - F.get("mean", F.lit(i))) * F.get("scale", F.lit(i))).alias(f"z{i}") for i, x in enumerate(_inputs(design))]
+    d = len(z)
+    out = joined.select("name", "w", "right", "wrong", *keep, *z)
+    link = F.get("w", F.lit(d))
+    for i in range(d):
+        link = link + F.get("w", F.lit(i)) * F.col(f"z{i}")
+    return out.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), link)))))
+
+
+def fit_many(df: DataFrame, design: Design, label: str, models: list[Model], steps: int = 30) -> list[Model]:
+    """Class-balanced L2 logistic regressions, all at once; ``df`` has ``groups`` array<string>.
+
+    Columns that don't vary in training get weight 0; without both classes in training a model has no weights.
+    Rows with a null among features or label are left out.
+    """
+    if len(models) > MOST_MODELS:
+        return [m for a in range(0, len(models), MOST_MODELS) for m in fit_many(df, design, label, models[a : a + MOST_MODELS], steps)]
+    rows = df.select("groups", F.col(label).cast("double").alias("y"), *design.columns).dropna().persist()  # read in every step; lost parts are made again
+    try:
+        return _fit(rows, design, models, steps)
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, design: Design, models: list[Model], steps: int) -> list[Model]:
+    d = len(design.all)
+    by = {m.name: m for m in models}
+    if design.residual:
+        cols = [F.lit(1.0), *(F.col(c).cast("double") for c in (*design.controls, *design.residual))]
+        sums = _joined(rows, design, models, False).groupBy("name").agg(*(F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i))
+        k = len(design.controls)
+        for r in sums.collect():  # a row for each model
+            g = _square(r, len(cols), "s")
+            fits = [_ridge(g, k, k + 1 + i, design.alpha) for i in range(len(design.residual))]
+            by[r["name"]].base, by[r["name"]].on_controls = np.array([b for b, _ in fits]), np.array([w for _, w in fits])
+    x = _inputs(design)
+    joined = _joined(rows, design, models, False)
+    moments = joined.groupBy("name").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max))))
+    for r in moments.collect():
+        m = by[r["name"]]
+        m.rows, m._ones = r["n"], r["ones"]
+        m.mean = np.array([r[f"m{i}"] for i in range(d)])
+        free = [m.use is None or name in m.use for name in design.all]
+        m.scale = np.array([1 / r[f"s{i}"] if free[i] and r[f"b{i}"] - r[f"a{i}"] > CONSTANT and r[f"s{i}"] > 0 else 0.0 for i in range(d)])
+        if 0 < m._ones < m.rows:
+            m.weights = np.zeros(d + 1)
+    todo = [m for m in models if m.weights is not None]
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        g = z.T @ (weight * (p - y)) + penalty * w
-        h = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-12)
-        move = np.linalg.solve(h, g)
-        w -= move
-        if np.abs(move).max() < 1e-10:
+        if not todo:
             break
-    return w
+        q = _standardised(_joined(rows, design, todo, False), design, "y")
+        cw = F.when(F.col("y") == 1, F.col("right")).otherwise(F.col("wrong"))
+        z = [*(F.col(f"z{i}") for i in range(d)), F.lit(1.0)]
+        q = q.withColumns({"e": cw * (F.col("p") - F.col("y")), "h": cw * F.col("p") * (1 - F.col("p"))})
+        sums = q.groupBy("name").agg(*(F.sum(F.col("e") * a).alias(f"g{i}") for i, a in enumerate(z)), *(F.sum(F.col("h") * a * b).alias(f"h{i}_{j}") for i, a in enumerate(z) for j, b in enumerate(z) if j >= i)).collect()
+        done = set()
+        for r in sums:
+            m = by[r["name"]]
+            penalty = np.append(np.full(d, 1.0 / m.c), 0.0)
+            g = np.array([r[f"g{i}"] for i in range(d + 1)]) + penalty * m.weights
+            move = np.linalg.solve(_square(r, d + 1, "h") + np.diag(penalty + 1e-12), g)
+            m.weights = m.weights - move
+            if np.abs(move).max() < 1e-9:
+                done.add(m.name)
+        todo = [m for m in todo if m.name not in done]
+    return models
+
+
+def scores(df: DataFrame, design: Design, key: str, label: str, models: list[Model]) -> DataFrame:
+    """(name, key, label, score) of the rows that each model is to score; null where it has no weights."""
+    rows = df.select(key, label, "groups", *design.columns).dropna(subset=design.columns)
+    out = _standardised(_joined(rows, design, models, True), design, key, label)
+    fitted = [m.name for m in models if m.weights is not None]
+    return out.select("name", key, label, F.when(F.col("name").isin(fitted), F.col("p")).alias("score"))
+
+
+def by_fold(fold: str = "fold") -> Column:
+    return F.array(F.concat(F.lit("f"), F.col(fold).cast("string")))
+
+
+def fold_models(folds: list, c: float = 1.0) -> list[Model]:
+    return [Model(f"f{k}", [f"f{k}"], [f"f{k}"], c=c) for k in folds]
+
+
+def _folds_of(df: DataFrame, fold: str) -> list:
+    return sorted(r[0] for r in df.select(fold).distinct().collect())  # one row a fold
 
 
 def out_of_fold(df: DataFrame, key: str, label: str, features: list[str], fold: str = "fold", c: float = 1.0) -> DataFrame:
-    """(key, fold, label, score) with scores from models that never saw the row's fold.
+    """(key, fold, label, score) with scores from models that never saw the row's fold."""
+    design = Design(features)
+    rows = df.withColumn("groups", by_fold(fold))
+    models = fit_many(rows, design, label, fold_models(_folds_of(df, fold), c))
+    return scores(rows, design, key, label, models).select(key, F.substring("name", 2, 20).cast("int").alias(fold), label, "score")
 
-    Each fold's training rows meet in one task, so this is for analysis tables of bounded size. Columns
-    that don't vary in training are left out; a fold without both classes in training scores null.
-    """
-    ship_package(df.sparkSession)
-    table = df.select(key, label, fold, *features)
-    held = table.select(F.col(fold).alias("hold")).distinct()
-    pairs = table.join(F.broadcast(held))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        hold = rows["hold"].iloc[0]
-        train, test = rows[rows[fold] != hold], rows[rows[fold] == hold]
-        out = test[[key, fold, label]].assign(score=np.nan)
-        if train[label].nunique() == 2:
-            x = train[features].to_numpy(float)
-            use = np.ptp(x, axis=0) > 1e-12
-            m, s = x[:, use].mean(0), x[:, use].std(0)
-            w = newton_logistic((x[:, use] - m) / s, train[label].to_numpy(float), c)
-            z = (test[features].to_numpy(float)[:, use] - m) / s
-            out["score"] = 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))
-        return out
-
-    scored = pairs.groupBy("hold").applyInPandas(fit, f"{key} long, {fold} int, {label} int, score double")
-    return scored.withColumn("score", F.when(F.isnan("score"), None).otherwise(F.col("score")))
+
+def chosen_strengths(df: DataFrame, design: Design, key: str, label: str, fold: str, inner: str) -> dict:
+    """For each outer fold the strength with the best AUROC over inner folds of its training rows; the smaller on a tie."""
+    rows = df.withColumn("groups", F.array(F.concat(F.lit("f"), F.col(fold).cast("string")), F.concat(F.lit("i"), F.col(inner).cast("string"))))
+    models = [Model(f"{k}|{i}|{c}", [f"f{k}", f"i{i}"], [f"i{i}"], [f"f{k}"], c) for k in _folds_of(df, fold) for i in _folds_of(df, inner) for c in STRENGTHS]
+    scored = scores(rows, design, key, label, fit_many(rows, design, label, models)).filter("score is not null")
+    named = scored.select(F.split_part("name", F.lit("|"), F.lit(1)).cast("int").alias("outer"), F.split_part("name", F.lit("|"), F.lit(3)).cast("double").alias("c"), "score", label)
+    best: dict = {}
+    for r in metrics.auroc(named, "score", label, ["outer", "c"]).orderBy("outer", F.desc_nulls_last("auroc"), "c").collect():  # a row for each fold and strength
+        best.setdefault(r["outer"], r["c"])
+    return best
+
+
+def nested(df: DataFrame, design: Design, key: str, label: str, fold: str = "fold", inner: str = "inner") -> tuple[DataFrame, list[Model]]:
+    """Out-of-fold scores with each fold's own strength, and the fitted models."""
+    best = chosen_strengths(df, design, key, label, fold, inner)
+    rows = df.withColumn("groups", by_fold(fold))
+    models = [Model(f"f{k}", [f"f{k}"], [f"f{k}"], c=best.get(k, STRENGTHS[0])) for k in _folds_of(df, fold)]
+    models = fit_many(rows, design, label, models)
+    return scores(rows, design, key, label, models), models
+
+
+def transferred(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, group: str, source: str) -> DataFrame:
+    """(comparison, group, key, label, score) of all other groups by models of one group, without a refit."""
+    rows = df.withColumn("groups", F.array(F.col(group)))
+    first = lambda part: list(dict.fromkeys(c for d in comparisons.values() for c in getattr(d, part)))
+    whole = Design(first("features"), first("residual"), first("controls"))
+    others = [g for g in sorted(r[0] for r in df.select(group).distinct().collect()) if g != source]  # one row a group
+    models = fit_many(rows, whole, label, [Model(name, others, others, use=tuple(d.all)) for name, d in comparisons.items()])
+    return scores(rows, whole, key, label, models).withColumnRenamed("name", "comparison").join(df.select(key, group), key)
+
+
+def bundle(scored: DataFrame, key: str, label: str, by: list[str]) -> DataFrame:
+    """AUROC, average precision, area under the risk curve, Brier score, log-likelihood, calibration error and reliability of each group."""
+    rows = scored.filter("score is not null")
+    curve = metrics.risk_curve(rows, "score", label, key, by)
+    out = metrics.auroc(rows, "score", label, by)
+    for part in (metrics.average_precision(rows, "score", label, by), metrics.aurc(curve, by, key).drop("n"), metrics.calibration(rows, "score", label, by)):
+        out = out.join(part, by)
+    return out.withColumn("reliability", metrics.reliability(F.least("positives", F.col("n") - F.col("positives"))))
+
+
+def split_by_seeds(df: DataFrame, label: str, stratum: str, key: str, seeds: tuple[str, ...], folds: int) -> DataFrame:
+    """``df`` with ``groups``: the fold of each row in the split of each seed."""
+    rows = df.filter(F.col(label).isNotNull()).withColumn("groups", F.array().cast("array<string>"))
+    for seed in seeds:
+        rows = sampling.folds(rows, label, stratum, key, folds, seed)
+        rows = rows.withColumn("groups", F.array_append("groups", F.concat(F.lit(f"s{seed}f"), F.col("fold").cast("string")))).drop("fold")
+    return rows
+
+
+def compared(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, stratum: str, seeds: tuple[str, ...] = ("2026",), folds: int = 5) -> DataFrame:
+    """(comparison, seed, key, label, score): out-of-fold scores of several designs on several splits, all fitted at once."""
+    rows = split_by_seeds(df, label, stratum, key, seeds, folds)
+    first = lambda part: list(dict.fromkeys(c for d in comparisons.values() for c in getattr(d, part)))
+    whole = Design(first("features"), first("residual"), first("controls"))
+    models = [Model(f"{name}|{seed}|{k}", [f"s{seed}f{k}"], [f"s{seed}f{k}"], use=tuple(d.all)) for name, d in comparisons.items() for seed in seeds for k in range(folds)]
+    scored = scores(rows, whole, key, label, fit_many(rows, whole, label, models))
+    part = lambda i: F.split_part("name", F.lit("|"), F.lit(i))
+    return scored.select(part(1).alias("comparison"), part(2).alias("seed"), key, label, "score")
+
+
+def averaged(scored: DataFrame, key: str, label: str) -> DataFrame:
+    """(comparison, key, label, score, spread) over seeds."""
+    return scored.groupBy("comparison", key, label).agg(F.avg("score").alias("score"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread"))
+
+
+def designs(families: dict[str, list[str]], names: list[str], controls: str = "") -> dict[str, Design]:
+    """Designs by name: ``P+L`` joins families, ``P+L~I`` adds what the controls don't explain of family I."""
+    out = {}
+    for name in names:
+        plain, _, rest = name.partition("~")
+        pick = lambda part: [c for f in part.split("+") if f for c in families[f]]
+        out[name] = Design(pick(plain), pick(rest), pick(controls) if rest else [])
+    return out
+
+
+def stability(models: list[Model], features: list[str]) -> list[tuple[str, float, float, float]]:
+    """(feature, mean, deviation, share above 0) of its weights over fits, 0 where it was left out, and the row ``norm`` of all weights."""
+    table = np.array([[m.coefficients(features)[f] for f in features] for m in models]).reshape(len(models), len(features))
+    norms = np.sqrt((table**2).sum(1))
+    rows = [(f, float(c.mean()), float(c.std()), float((c > 0).mean())) for f, c in zip(features, table.T, strict=True)]
+    return [*rows, ("norm", float(norms.mean()), float(norms.std()), 1.0)]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries, gate_queries, grading_queries, record_queries, table_queries, text_queries, value_queries
+from . import feature_queries, gate_queries, grading_queries, learner_queries, record_queries, table_queries, text_queries, value_queries
 
-_MODULES = (table_queries, text_queries, value_queries, grading_queries, record_queries, gate_queries, feature_queries)
+_MODULES = (table_queries, text_queries, value_queries, grading_queries, record_queries, gate_queries, feature_queries, learner_queries)
 
 
 def queries() -> dict:

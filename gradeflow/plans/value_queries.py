@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import learners, metrics, sampling
+from ..operators import learners, metrics
 from .text_queries import read
 
 QUERIES: dict = {}
@@ -230,38 +230,3 @@ def confident_errors(spark, sf):
 def linear_residuals(spark, sf):
     rows = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return learners.residuals(rows, rows, ["o_custkey"], "o_totalprice", alpha=0.0).select("o_orderkey", F.round("residual", 2).alias("residual"))
-
-
-def _folded(spark, sf):
-    rows = _scored(spark, sf).join(read(spark, sf, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n_words"), (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_lines")), "doc_id")
-    return sampling.folds(rows, "err", "lang", "doc_id", 5, "2026")
-
-
-@query()
-def ridge_residuals(spark, sf):
-    rows = _folded(spark, sf)
-    return learners.residuals(rows.filter("fold = 0"), rows.filter("fold <> 0"), ["n_chars", "n_words"], "n_lines").select("doc_id", F.round("residual", 6).alias("residual"))
-
-
-@query()
-def logistic_out_of_fold(spark, sf):
-    return learners.out_of_fold(_folded(spark, sf), "doc_id", "err", ["n_chars", "n_words", "n_lines"])
-
-
-@query()
-def feature_ablation(spark, sf):
-    """Out-of-fold AUROC of each family of features."""
-    rows, out = _folded(spark, sf), None
-    for name, features in (("length", ["n_chars"]), ("words", ["n_words", "n_lines"]), ("joint", ["n_chars", "n_words", "n_lines"])):
-        scored = learners.out_of_fold(rows, "doc_id", "err", features).withColumn("family", F.lit(name))
-        part = metrics.auroc(scored.filter("score is not null"), "score", "err", ["family"])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query()
-def transfer(spark, sf):
-    """Trained on English documents, scored on the other languages without a refit."""
-    rows = _folded(spark, sf).withColumn("fold", F.when(F.col("lang") == "en", 0).otherwise(1))
-    scored = learners.out_of_fold(rows, "doc_id", "err", ["n_chars", "n_words", "n_lines"]).filter("fold = 1")
-    return metrics.auroc(scored.filter("score is not null").join(rows.select("doc_id", "lang"), "doc_id"), "score", "err", ["lang"])
