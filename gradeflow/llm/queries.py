@@ -28,4 +28,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact.ORACLE, "op5_benchmark_decontamination": decontaminate.ORACLE}
+    return {
+        "op3_exact_dedup": exact.ORACLE,
+        "op5_benchmark_decontamination": decontaminate.ORACLE,
+        "op9_ngram_jaccard_join": jaccard.ORACLE,
+        "op10_substring_dedup": substrings.ORACLE,
+    }

@@ -302,3 +302,14 @@ def _removed(first_look: DataFrame, gone: DataFrame, with_text: bool) -> DataFra
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT h, min(doc_id) AS first FROM v GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT r, i + j AS p FROM (SELECT r, i FROM v JOIN f USING (h) WHERE doc_id > first), range(50) t(j)),
+n AS (SELECT r, count(*) AS n_removed FROM c GROUP BY r),
+k AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS kept FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""
