@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -49,6 +52,16 @@ def without(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in df.columns if c.lower() not in names]
 
 
+def release() -> None:
+    """Give memory of what the driver has dropped back to the system: allocators keep it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master may do without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, bounded_batches, table
+from .common import Scratch, bounded_batches, release, table
 from .components import components
 from .words import LOWER, Words, as_long, run_prints, words_of
 
@@ -162,8 +162,7 @@ def _groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             yield *([None] * PARTS for _ in range(5)), list(range(PARTS)), [zlib.compress(x.tobytes(), 1) for x in parts]
 
     scanned = scratch.write(_scan(docs, "doc_id long, n long, cls long, alt long, key long, part int, counts binary", sketch, counts), "sizes")
-    slots = _summed(scanned.filter("part is not null").select("part", "counts"))
-    shared = spark.sparkContext.broadcast(((np.log2(1.0 + slots) * LOG).astype(np.uint16), float(np.median(slots))))
+    shared = spark.sparkContext.broadcast(_summed(scanned.filter("part is not null").select("part", "counts")))
     several = scanned.filter("cls is not null").groupBy("cls").agg(F.min("alt").alias("a"), F.max("alt").alias("b")).filter("a <> b").select("cls")
     clashes = frozenset(r["cls"] for r in several.collect())  # 64-bit clashes of different sets: of n sets some n**2 / 2**65
     sizes = scanned.filter("part is null").select("doc_id", "key", "n", (F.when(F.col("cls").isin(*clashes), F.col("alt")).otherwise(F.col("cls")) if clashes else F.col("cls")).alias("cls"))
@@ -190,7 +189,11 @@ def _groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     raw = _scan(docs, "cls long, n long, ell int, t array<long>, level array<int>", entries, clashes=clashes)
     lists = raw.select("cls", "n", "ell", F.explode(F.arrays_zip("t", "level")).alias("x")).select(F.col("x.t").alias("t"), "cls", "n", "ell", F.col("x.level").alias("level"))
     lists = lists.groupBy("t", "cls").agg(*(F.first(c).alias(c) for c in ("n", "ell", "level")))
-    lists = scratch.write(_meeting(scratch.write(lists, "lists")), "meeting")
+    lists = scratch.write(lists, "lists")
+    for done in (shared, filter_bits):
+        done.destroy()
+    release()
+    lists = scratch.write(_meeting(lists), "meeting")
     scratch.drop("often", "lists")
     texts = _texts(docs, sizes, lists, scratch)
 
@@ -209,8 +212,8 @@ def _groups(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return sizes.join(by_class.select("cls", "label"), "cls", "left").select("doc_id", "key", "n", "label"), roots
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """The sketch of all tasks: parts are summed in streams, then over streams; 8 bytes a slot reach the driver."""
+def _summed(parts: DataFrame) -> tuple[np.ndarray, float]:
+    """Logarithms of the sketch of all tasks, and its median: parts are summed in streams, then over streams; 8 bytes a slot reach the driver, part by part."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -222,10 +225,13 @@ def _summed(parts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "counts"])
 
     streams = parts.withColumn("s", F.spark_partition_id() % STREAMS).repartition("part", "s").select("part", "counts")
-    total = np.zeros((PARTS, SLOTS // PARTS), np.int64)
-    for row in streams.mapInArrow(add, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").collect():
-        total[row["part"]] += np.frombuffer(zlib.decompress(row["counts"]), np.int64)
-    return total.ravel()
+    total = np.zeros((PARTS, SLOTS // PARTS), np.uint32)
+    for row in streams.mapInArrow(add, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+        total[row["part"]] = np.minimum(total[row["part"]] + np.frombuffer(zlib.decompress(row["counts"]), np.int64), 0xFFFFFFFF)
+    logs = np.zeros(total.shape, np.uint16)
+    for i in range(PARTS):
+        logs[i] = np.log2(1.0 + total[i]) * LOG
+    return logs.ravel(), float(np.median(total))
 
 
 def _meeting(lists: DataFrame) -> DataFrame:
@@ -263,6 +269,7 @@ def _texts(docs: DataFrame, sizes: DataFrame, lists: DataFrame, scratch: Scratch
 
     found = docs.select("key", "doc_id", "text").mapInArrow(wanted, "key long, doc_id long, text string").alias("d").join(one.alias("o"), F.expr("d.key = o.key and d.doc_id <=> o.doc_id"))
     found = scratch.write(found.select("o.cls", "d.text"), "texts")
+    bits.destroy()
     n, distinct = found.agg(F.count("cls"), F.countDistinct("cls")).first()
     return found if n == distinct else scratch.write(found.dropDuplicates(["cls"]), "single_texts")
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, fresh, table, with_fields, without
+from .common import Scratch, bounded_batches, fresh, release, table, with_fields, without
 from .words import _Powers, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -300,16 +300,20 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
             yield pa.RecordBatch.from_arrays([pa.array(unit_prints(codes, edges[:-1], edges[1:]).view(np.int64)), pa.array(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)), pa.array([np.asarray(x.values, np.int32).tobytes() for x in lists], pa.binary())], names=["h", "k", "ids"])
 
     got = known.filter((F.col("n") >= least) & (F.size("ids") < 65536)).select("unit", "ids").mapInArrow(packed, "h long, k int, ids binary").toArrow()  # at most hot_units rows
-    parts = [np.zeros(0, np.uint8)]
+    kind = np.uint16 if len(vocabulary.pieces) < 65536 else np.int32
+    parts = [np.zeros(0, kind)]
     for chunk in got.column(2).chunks:
         at = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
-        parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[at[0] : at[-1]])
-    flat = np.concatenate(parts).view(np.int32)
-    del parts
-    covered = least == 1 and got.num_rows == total  # units of 65,536 ids or more aren't in the table
-    hot = UnitTable(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy(), flat.astype(np.uint16) if len(vocabulary.pieces) < 65536 else flat)
+        parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(np.int32).astype(kind))
+    prints, sizes, n_got = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy(), got.num_rows
     del got
+    release()
+    hot = UnitTable(prints, sizes, np.concatenate(parts))
+    del parts, prints, sizes
+    covered = least == 1 and n_got == total and not len(np.flatnonzero(hot.sizes == 0))  # units of 65,536 ids or more aren't in the table
     hot_shared = spark.sparkContext.broadcast(hot)
+    del hot
+    release()
     names = docs.columns
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +339,7 @@ def encode(docs: DataFrame, model: str = MODEL, hot_units: int = HOT_UNITS) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts, pa.int64()), pa.array(agree, pa.bool_()), pa.array(cold, pa.list_(pa.string()))], names=[*names, "tokens", "n_tokens", "round_trip", cold_name])
 
     encoded = docs.mapInArrow(first_pass, with_fields(docs, f"tokens array<int>, n_tokens long, round_trip boolean, {cold_name} array<string>"))
-    if covered and not len(np.flatnonzero(hot.sizes == 0)):
+    if covered:
         return encoded.drop(cold_name)
     encoded = scratch.write(encoded.withColumn(row_name, F.monotonically_increasing_id()), "encoded")
     is_cold = F.col(cold_name).isNotNull()

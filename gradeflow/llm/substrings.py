@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, bounded_batches, table
+from .common import Scratch, bounded_batches, release, table
 from .words import Words, as_long, run_prints, sliding_min, words_of
 
 WINDOW, RUN = 50, 25
@@ -199,9 +199,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
         part = part.filter(F.col("doc_id") <= high) if high is not None else part
         hits = index.add_anchors(anchors_of(part)).select("fp")
         repeated = hits if repeated is None else repeated.unionByName(hits)
-    bits = bloom.build(scratch.write(repeated.distinct(), "hits"), "fp")
+    bits = spark.sparkContext.broadcast(bloom.build(scratch.write(repeated.distinct(), "hits"), "fp"))
     index.close()
     first_look = scratch.write(_first_look(docs, bits, with_text), "suspects")
+    bits.destroy()
+    release()
     return _removed(first_look, _gone(_windows_of(first_look)), with_text)
 
 
@@ -217,7 +219,7 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, wit
     scratch = Scratch(spark, "batch")
     batch = batch.selectExpr("cast(doc_id as long) doc_id", "text")
     hits = scratch.write(index.add_anchors(anchors_of(batch.filter("doc_id is not null"))), "hits")
-    bits = bloom.build(hits.select("fp").distinct(), "fp")
+    bits = spark.sparkContext.broadcast(bloom.build(hits.select("fp").distinct(), "fp"))
     first_look = scratch.write(_first_look(batch, bits, with_text), "suspects")
     owners = hits.filter("owner is not null").select(F.col("owner").alias("doc_id")).distinct()
     again = history.selectExpr("cast(doc_id as long) doc_id", "text").join(owners, "doc_id", "left_semi")
@@ -230,9 +232,8 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, wit
     return out
 
 
-def _first_look(docs: DataFrame, bits: np.ndarray, with_text: bool) -> DataFrame:
-    """Of every row its number of words and, if it has windows with anchors among ``bits``, its text and their fingerprints."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def _first_look(docs: DataFrame, shared, with_text: bool) -> DataFrame:
+    """Of every row its number of words and, if it has windows with anchors among the bits that are ``shared``, its text and their fingerprints."""
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
