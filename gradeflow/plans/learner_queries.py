@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import learners, metrics, sampling
 from ..operators.learners import Design
+from .table_queries import _FOLD
 from .text_queries import read
 from .value_queries import _L, _scored
 
@@ -54,6 +55,47 @@ def ridge_residuals(spark, sf):
     return learners.residuals(rows.filter("fold = 0"), rows.filter("fold <> 0"), ["n_chars"], "score").select("doc_id", r6(F.col("residual")).alias("residual"))
 
 
+def logistic_sql(rows: str, models: str, train: str, test: str) -> str:
+    """Balanced L2 logistic regressions (C = 1) on one standardised feature by 20 steps of Newton's method.
+
+    ``rows(id, f, x, y)``, ``models(k)``, and which rows (``d``) train and test a model (``m.k``); gives (id, k, y, score).
+    """
+    slope, level = "(gw * hbb - gb * hwb) / (hww * hbb - hwb * hwb)", "(gb * hww - gw * hwb) / (hww * hbb - hwb * hwb)"
+    return f"""WITH RECURSIVE d AS MATERIALIZED ({rows}), k AS MATERIALIZED ({models}),
+m AS MATERIALIZED (SELECT m.k, avg(x) AS mx, stddev_pop(x) AS sx, count(*) / (2.0::DOUBLE * sum(y)) AS c1, count(*) / (2.0::DOUBLE * (count(*) - sum(y))) AS c0 FROM k m, d WHERE {train} GROUP BY m.k),
+z AS MATERIALIZED (SELECT m.k, (x - mx) / sx AS z, y, CASE WHEN y = 1 THEN c1 ELSE c0 END AS c FROM m, d WHERE {train}),
+s(it, k, w, b) AS (SELECT 0, k, 0.0::DOUBLE, 0.0::DOUBLE FROM k UNION ALL SELECT it + 1, k, w - {slope}, b - {level} FROM (
+SELECT it, k, w, b, sum(c * (p - y) * z) + w AS gw, sum(c * (p - y)) AS gb, sum(c * p * (1 - p) * z * z) + 1 AS hww, sum(c * p * (1 - p) * z) AS hwb, sum(c * p * (1 - p)) AS hbb
+FROM (SELECT s.it, s.k, s.w, s.b, z.z, z.y, z.c, 1 / (1 + exp(-(s.w * z.z + s.b))) AS p FROM s JOIN z ON z.k = s.k WHERE it < 20) GROUP BY 1, 2, 3, 4))
+SELECT id, m.k, y, 1 / (1 + exp(-(w * (x - mx) / sx + b))) AS score FROM d JOIN m ON {test} JOIN s ON s.k = m.k WHERE it = 20"""
+
+
+_FOLDED = _FOLD + " SELECT doc_id AS id, fold AS f, n_chars::DOUBLE AS x, (1 - f.quality)::DOUBLE AS y FROM f JOIN documents USING (doc_id)"
+
+
+@query(f"SELECT id AS doc_id, k AS fold, y::INT AS err, round(score, 6) AS score FROM ({logistic_sql(_FOLDED, 'SELECT DISTINCT f AS k FROM d', 'd.f <> m.k', 'd.f = m.k')})")
+def length_out_of_fold(spark, sf):
+    """Scores by length alone, from models that never saw the row's fold."""
+    rows = sampling.folds(_scored(spark, sf), "err", "lang", "doc_id", 5, "2026")
+    return learners.out_of_fold(rows, "doc_id", "err", ["n_chars"]).withColumn("score", r6(F.col("score")))
+
+
+@query(f"""WITH s AS ({logistic_sql(_FOLDED, 'SELECT DISTINCT f AS k FROM d', 'd.f <> m.k', 'd.f = m.k')}), r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM s),
+c AS (SELECT y, least(greatest(score, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS p FROM s) SELECT (SELECT round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 5) FROM r) AS auroc, (SELECT round(avg((p - y) * (p - y)), 5) FROM c) AS brier, (SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 5) FROM c) AS nll""")
+def length_metrics(spark, sf):
+    """The metric bundle of the scores by length."""
+    rows = sampling.folds(_scored(spark, sf), "err", "lang", "doc_id", 5, "2026")
+    out = learners.bundle(learners.out_of_fold(rows, "doc_id", "err", ["n_chars"]).withColumn("all", F.lit(0)), "doc_id", "err", ["all"])
+    return out.select(*(F.round(c, 5).alias(c) for c in ("auroc", "brier", "nll")))
+
+
+@query(f"SELECT id AS doc_id, y::INT AS err, round(score, 6) AS score FROM ({logistic_sql(f'SELECT doc_id AS id, lang AS f, n_chars::DOUBLE AS x, err::DOUBLE AS y FROM ({_L})', 'SELECT ' + chr(39) + 'en' + chr(39) + ' AS k', 'd.f = m.k', 'd.f <> m.k')})")
+def length_transfer(spark, sf):
+    """A model by length of English documents, applied to the others without a refit."""
+    out = learners.transferred(_scored(spark, sf), {"length": Design(["n_chars"])}, "doc_id", "err", "lang", "en")
+    return out.select("doc_id", "err", r6(F.col("score")).alias("score"))
+
+
 @query()
 def logistic_out_of_fold(spark, sf):
     return learners.out_of_fold(folded(spark, sf), "doc_id", "err", ["n_chars", "n_words", "n_lines"]).withColumn("score", r6(F.col("score")))

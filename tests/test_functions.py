@@ -140,3 +140,17 @@ def test_files_of_records(spark, tmp_path):
     changed = spark.createDataFrame([("hello", "0" * 64)], "template string, digest string")
     with pytest.raises(Exception, match="changed prompt"):
         records.checked_prompts(changed).collect()
+
+
+def test_command_line(spark, capsys, tmp_path):
+    from gradeflow.__main__ import main
+
+    main([])
+    assert "label_join" in capsys.readouterr().out.split()
+    spark.createDataFrame([(1, 2, "x")], "n_nationkey int, n_regionkey int, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    main(["prompt_digests", "--tables", str(tmp_path), "--out", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    main(["prompt_digests", "--tables", str(tmp_path)])
+    assert "| n_nationkey | digest |" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["no_such_query", "--tables", str(tmp_path)])
