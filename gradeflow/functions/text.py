@@ -47,7 +47,7 @@ def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def common_count(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
+    """Size of the multiset intersection of two arrays. Each word is sought in both: for answers, not for documents."""
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))))
 
 

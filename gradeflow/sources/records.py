@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import re
@@ -21,7 +22,19 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared folder")
-    return f"{(root or tempfile.mkdtemp(prefix='gradeflow-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{(root or tempfile.mkdtemp(prefix='gradeflow-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """What a query left goes when the driver ends."""
+    try:
+        if spark.sparkContext._jsc is not None:
+            fs, target = _fs(spark, path)
+            fs.delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM may have gone first
+        pass
 
 
 def _fs(spark: SparkSession, path: str):
