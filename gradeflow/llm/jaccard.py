@@ -226,7 +226,7 @@ def _summed(parts: DataFrame) -> tuple[np.ndarray, float]:
 
     streams = parts.withColumn("s", F.spark_partition_id() % STREAMS).repartition("part", "s").select("part", "counts")
     total = np.zeros((PARTS, SLOTS // PARTS), np.uint32)
-    for row in streams.mapInArrow(add, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").toLocalIterator():
+    for row in streams.mapInArrow(add, "part int, counts binary").repartition("part").mapInArrow(add, "part int, counts binary").collect():  # PARTS compressed rows
         total[row["part"]] = np.minimum(total[row["part"]] + np.frombuffer(zlib.decompress(row["counts"]), np.int64), 0xFFFFFFFF)
     logs = np.zeros(total.shape, np.uint16)
     for i in range(PARTS):
