@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, fresh, table
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Sketch rows of one pass, which are broadcast (some 50 bytes each), and bytes of items' shingles up to which those are.
@@ -110,8 +110,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; rows with a null id stay."""
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold a benchmark item; all columns stay as they are.
+
+    Rows are judged one by one, by their id and a hash of their text: those that share an id aren't one
+    document here, and rows without an id are judged too.
+    """
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64("text").cast("string"))
+    name = fresh(docs, "_leak")
+    leaks = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaks, row == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,13 @@ def test_decontaminate(spark, docs, nothing, rows):
     assert decontaminate.contaminated(nothing, bench).count() == 0 and decontaminate.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id_are_judged_by_themselves(spark):
+    item = prose(3, 20)
+    docs = spark.createDataFrame([(1, item, "a"), (1, "clean", "b"), (None, f"x {item} y", "c"), (None, "also clean", "d"), (None, None, "e")], "doc_id long, text string, K string")
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and {r.K for r in left.collect()} == {"b", "d", "e"}
+
+
 def test_a_partition_by_size_has_its_own_sketch_size(spark):
     sizes = (1, 2, 3, 4, 6, 7, 11, 15, 16, 40)
     bench = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in sizes], "item_id long, text string")
