@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, jaccard, langid, licenses, pieces, pii, secrets, substrings, toxicity
+from . import decontaminate, exact, jaccard, langid, licenses, periods, pieces, pii, resampling, secrets, substrings, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,8 @@ def queries() -> dict:
         "op8_sentencepiece": pieces.query,
         "op9_ngram_jaccard_join": jaccard.query,
         "op10_substring_dedup": substrings.query,
+        "op11_periodic_runs": periods.query,
+        "op12_importance_resampling": resampling.query,
     }
 
 
@@ -33,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_benchmark_decontamination": decontaminate.ORACLE,
         "op9_ngram_jaccard_join": jaccard.ORACLE,
         "op10_substring_dedup": substrings.ORACLE,
+        "op12_importance_resampling": resampling.ORACLE,
     }
