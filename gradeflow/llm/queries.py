@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, jaccard, langid, licenses, periods, pieces, pii, resampling, secrets, substrings, toxicity
+from . import chat, decontaminate, exact, jaccard, langid, licenses, periods, pieces, pii, resampling, secrets, substrings, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -26,6 +26,7 @@ def queries() -> dict:
         "op10_substring_dedup": substrings.query,
         "op11_periodic_runs": periods.query,
         "op12_importance_resampling": resampling.query,
+        "op13_chat_formatting": chat.query,
     }
 
 
@@ -36,4 +37,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_jaccard_join": jaccard.ORACLE,
         "op10_substring_dedup": substrings.ORACLE,
         "op12_importance_resampling": resampling.ORACLE,
+        "op13_chat_formatting": chat.ORACLE,
     }
