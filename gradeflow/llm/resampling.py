@@ -29,11 +29,12 @@ def words(text: Column) -> Column:
 
 def runs(of: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words of an array, joined by one space."""
-    out = of
-    for n in range(2, longest + 1):
+
+    def of_length(n: int) -> Column:
         places = F.when(F.size(of) >= n, F.sequence(F.lit(1), F.size(of) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(places, lambda i, n=n: F.array_join(F.slice(of, i, n), " ")))
-    return out
+        return F.transform(places, lambda i: F.array_join(F.slice(of, i, n), " "))
+
+    return F.concat(of, *(of_length(n) for n in range(2, longest + 1)))
 
 
 def bucket(feature: Column, buckets: int) -> Column:
