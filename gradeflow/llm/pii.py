@@ -166,6 +166,22 @@ def iban(text: str, move: Callable[[int, int, str], int]) -> str | None:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+#: Characters of an IBAN by country, fixed values of the public registry.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+    "GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 "
+    "PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+_LENGTHS = {x[:2]: int(x[2:]) for x in IBAN_LENGTHS.split()}
+
+
+def iban_readings(text: str) -> list[str]:
+    """What may be an account number in a match that can hold words after it: it up to a blank or its end, the country's own length first."""
+    ends = [i for i, c in enumerate(text) if c == " "] + [len(text)]
+    own = _LENGTHS.get(text[:2])
+    return sorted((text[:e] for e in ends), key=lambda x: (len(x.replace(" ", "")) != own, -len(x)))
+
+
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -201,7 +217,7 @@ def date(text: str, move: Callable[[int, int, str], int]) -> str | None:
 
 
 def email(text: str, move: Callable[[int, int, str], int]) -> str | None:
-    """Letters and digits of the local part move within their classes; the rest of the address stays."""
+    """ASCII letters and digits of the local part move within their classes; other letters and the rest of the address stay."""
     local, _, domain = text.partition("@")
     radices = [10 if c.isdigit() else 26 for c in local if c.isascii() and c.isalnum()]
     if not radices:
@@ -222,8 +238,8 @@ def email(text: str, move: Callable[[int, int, str], int]) -> str | None:
 
 #: In the order in which they claim text.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", iban),
+    ("email", r"[^\W_][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", email),
+    ("iban", r"(?<![A-Za-z0-9])(?=(?P<g>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])))[A-Z]", iban),
     ("card", r"(?<![A-Za-z0-9])[1-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])", card),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}([- ])[0-9]{2}\1[0-9]{4}(?![A-Za-z0-9-])", ssn),
     ("phone", r"(?<![A-Za-z0-9])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])", phone),
@@ -262,10 +278,13 @@ def pseudonymise(text: str, move: Callable[[int, int, str], int]) -> tuple[str,
     for name, pattern, f in _PATTERNS:
         group = "g" if "g" in pattern.groupindex else 0
         for m in pattern.finditer(text):
-            start, end = m.span(group)
-            at = bisect.bisect_left(found, (end,))
-            if (at == 0 or found[at - 1][1] <= start) and (new := f(m[group], move)) is not None:
-                found.insert(at, (start, end, name, new))
+            start = m.start(group)
+            for part in iban_readings(m[group]) if name == "iban" else (m[group],):
+                end = start + len(part)
+                at = bisect.bisect_left(found, (end,))
+                if (at == 0 or found[at - 1][1] <= start) and (new := f(part, move)) is not None:
+                    found.insert(at, (start, end, name, new))
+                    break
     if not found:
         return text, []
     out, at = [], 0
