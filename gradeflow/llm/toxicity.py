@@ -400,9 +400,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_char
 
 
 def score_toxicity(docs: DataFrame, parameters: dict, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Score every whole text: id, score, predicted, and the number of windows read.
+    """Score every whole text: doc_id, score, predicted.
 
-    A null or empty text, and one without words, scores 0. Repeated rows get the same score, an empty
+    A null or empty text, and one without words, scores 0; a null id stays null. Repeated rows get the same score, an empty
     table gives an empty result; no other column is read. A very long text is read whole, window by window.
     """
     bounded_batches(docs.sparkSession)
@@ -421,6 +421,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     learn = fold("doc_id", 3) != 1
     parameters = fit(docs.filter(learn), table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(learn))
-    return score_toxicity(docs, parameters).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return score_toxicity(docs, parameters).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
