@@ -30,7 +30,7 @@ from .words import Words, as_long, run_prints, sliding_min, words_of
 
 WINDOW, RUN = 50, 25
 #: Batches in which a whole table is added, runs of one tier that are merged, and how much larger the next tier is.
-BATCHES, FAN, TIER = 2, 4, 4
+BATCHES, FAN, TIER = 5, 4, 4
 #: Columns of the two kinds of runs and how equal keys of several runs become one row.
 KINDS = {
     "anchors": ("fp long, first long, many boolean", ["fp"], lambda: [F.min("first").alias("first"), (F.max("many") | (F.count("*") > 1)).alias("many")]),
@@ -112,9 +112,9 @@ class FingerprintIndex:
 
     def known(self, seen: DataFrame) -> DataFrame:
         """(h, g, doc_id) of the windows kept earlier that are in ``seen``, with the smallest id of each run."""
-        out = seen.limit(0)
+        out, wanted = seen.limit(0), seen.select("h", "g").distinct()
         for run in self.of("windows"):
-            out = out.unionByName(self.read(run).join(seen, ["h", "g"], "left_semi").select("h", "g", F.col("first").alias("doc_id")))
+            out = out.unionByName(self.read(run).join(wanted, ["h", "g"], "left_semi").select("h", "g", F.col("first").alias("doc_id")))
         return out
 
     def compact(self) -> None:
@@ -187,24 +187,19 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES, with_text: bool = Fa
     whole, in one piece of its own. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     scratch = Scratch(spark, "windows")
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or [] if batches > 1 else []
     cuts = sorted(set(cuts))
-    index, repeated = FingerprintIndex(spark, scratch.path("index")), None
+    index, out = FingerprintIndex(spark, scratch.path("index")), None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = docs.filter("doc_id is not null")
-        part = part.filter(F.col("doc_id") > low) if low is not None else part
-        part = part.filter(F.col("doc_id") <= high) if high is not None else part
-        hits = index.add_anchors(anchors_of(part)).select("fp")
-        repeated = hits if repeated is None else repeated.unionByName(hits)
-    bits = spark.sparkContext.broadcast(bloom.build(scratch.write(repeated.distinct(), "hits"), "fp"))
+        part = docs if low is None else docs.filter(F.col("doc_id") > low)
+        if high is not None:
+            part = part.filter((F.col("doc_id") <= high) | F.col("doc_id").isNull())  # null ids go with the first batch
+        rows = add_batch(index, part, docs.filter(F.col("doc_id") <= low) if low is not None else docs.limit(0), with_text)
+        out = rows if out is None else out.unionByName(rows)
     index.close()
-    first_look = scratch.write(_first_look(docs, bits, with_text), "suspects")
-    bits.destroy()
-    release()
-    return _removed(first_look, _gone(_windows_of(first_look)), with_text)
+    return out
 
 
 def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, with_text: bool = False) -> DataFrame:
@@ -221,22 +216,34 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, wit
     hits = scratch.write(index.add_anchors(anchors_of(batch.filter("doc_id is not null"))), "hits")
     bits = spark.sparkContext.broadcast(bloom.build(hits.select("fp").distinct(), "fp"))
     first_look = scratch.write(_first_look(batch, bits, with_text), "suspects")
-    owners = hits.filter("owner is not null").select(F.col("owner").alias("doc_id")).distinct()
-    again = history.selectExpr("cast(doc_id as long) doc_id", "text").join(owners, "doc_id", "left_semi")
-    seen = scratch.write(_windows_of(first_look).unionByName(_windows_of(_first_look(again, bits, False))), "seen")
+    owners = hits.filter("owner is not null").select(F.xxhash64("owner").alias("p")).distinct()
+    only = spark.sparkContext.broadcast(bloom.build(owners, "p"))
+    history = history.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.col("doc_id").cast("long")).alias("p"))
+    again = _first_look(history, bits, False, only)  # owners, and few others that the filter lets through, do no harm
+    seen = scratch.write(_windows_of(first_look).unionByName(_windows_of(again)), "seen")
     earlier = scratch.write(index.known(seen), "known")
-    out = scratch.write(_removed(first_look, _gone(seen.unionByName(earlier)), with_text), "removed")
+    gone = _gone(seen.unionByName(earlier), scratch)
+    out = scratch.write(_removed(first_look, gone, with_text), "removed")
     index.add_windows(seen)
     index.save()
     index.compact()
+    bits.destroy()
+    only.destroy()
+    release()
+    scratch.drop("hits", "suspects", "seen", "known", "several")
     return out
 
 
-def _first_look(docs: DataFrame, shared, with_text: bool) -> DataFrame:
-    """Of every row its number of words and, if it has windows with anchors among the bits that are ``shared``, its text and their fingerprints."""
+def _first_look(docs: DataFrame, shared, with_text: bool, only=None) -> DataFrame:
+    """Of every row its number of words and, if it has windows with anchors among the bits that are ``shared``, its text and their fingerprints.
+
+    With ``only``, bits too, rows whose fingerprint in a third column isn't among them are left out.
+    """
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pa.array(bloom.contains(only.value, batch.column(2).to_numpy().view(np.uint64))))
             texts = batch.column(1)
             for words in words_of(texts):
                 starts, prints, anchors = windows(words)
@@ -262,13 +269,15 @@ def _windows_of(first_look: DataFrame) -> DataFrame:
     return first_look.filter("h is not null").select("doc_id", F.explode(F.arrays_zip("h", "g")).alias("w")).select("w.h", "w.g", "doc_id")
 
 
-def _gone(seen: DataFrame) -> DataFrame:
+def _gone(seen: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, gone): fingerprints of each document's windows that also start in a document of a smaller id.
 
-    Windows are equal where both fingerprints are; within a document the first tells them apart.
+    Windows are equal where both fingerprints are; within a document the first tells them apart. Shared windows are
+    a written table, so that the rows of one that very many documents have can be split over tasks.
     """
     several = seen.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "g", "first")
-    gone = seen.join(several, ["h", "g"]).filter("doc_id > first")
+    several = scratch.write(several, "several")
+    gone = seen.join(several.hint("merge"), ["h", "g"]).filter("doc_id > first")
     return gone.groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
 
 

@@ -99,6 +99,15 @@ def test_substrings(docs, nothing, rows):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_substrings_of_repeated_rows_and_null_ids(spark):
+    shared, own = prose(11, 60), [prose(20 + i, 30) for i in range(4)]
+    rows = [(5, f"{own[0]} {shared}"), (5, f"{shared} {own[1]}"), (5, f"{shared} {own[1]}"), (None, shared), (None, f"{own[2]} {shared}"), (8, f"{own[3]} {shared}"), (8, f"{own[3]} {shared}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches in (1, 3):
+        got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs, batches).collect())
+        assert got == [(0, 60, 0), (0, 90, 0), (5, 90, 0), (5, 90, 0), (5, 90, 0), (8, 90, 60), (8, 90, 60)]
+
+
 def test_decontaminate(spark, docs, nothing, rows):
     item = " ".join(prose(5, 4000).split()[50:80])
     bench = spark.createDataFrame([(1, item.upper().replace(" ", ", ")), (2, "one two"), (3, None), (4, ""), (5, "nowhere at all in these rows")], "item_id long, text string")
@@ -409,7 +418,7 @@ def test_sets_that_clash_in_64_bits(docs):
 
 def test_windows_that_clash_in_64_bits(spark):
     seen = spark.createDataFrame([(1, 5, 10), (1, 6, 11), (1, 6, 12), (2, 5, 10), (2, 5, 11), (3, 1, 10)], "h long, g int, doc_id long")
-    assert {(r.doc_id, tuple(r.gone)) for r in substrings._gone(seen).collect()} == {(12, (1,)), (11, (2,))}
+    assert {(r.doc_id, tuple(r.gone)) for r in substrings._gone(seen, substrings.Scratch(spark, "t")).collect()} == {(12, (1,)), (11, (2,))}
 
 
 def test_batches_into_a_kept_index_equal_one_call(spark, rows, docs, tmp_path):
