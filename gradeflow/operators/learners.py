@@ -280,7 +280,7 @@ def bundle(scored: DataFrame, key: str, label: str, by: list[str]) -> DataFrame:
     rows = scored.filter("score is not null")
     curve = metrics.risk_curve(rows, "score", label, key, by)
     out = metrics.auroc(rows, "score", label, by)
-    for part in (metrics.average_precision(rows, "score", label, by), metrics.aurc(curve, by, key).drop("n"), metrics.calibration(rows, "score", label, by)):
+    for part in (metrics.average_precision(rows, "score", label, by), metrics.aurc(curve, by, key).drop("n", "mean_risk"), metrics.calibration(rows, "score", label, by)):
         out = out.join(part, by)
     return out.withColumn("reliability", metrics.reliability(F.least("positives", F.col("n") - F.col("positives"))))
 

@@ -4,37 +4,39 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
 from .sampling import ranked
 
 CLIP = 1e-7
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -> DataFrame:
-    """Rank with ties averaged: a count per distinct value, then a running sum over those."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_k"))
-    before = F.sum("_k").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.select(*by, value, (before - (F.col("_k") - 1) / 2.0).alias(out))
-    return df.join(ranked, [*by, value])
+    """Rank with ties averaged: a count per distinct value, then a running sum over those; rows without a value are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
+    ranks = running(counts, by, [value], {"_up": F.col("_k")})
+    ranks = ranks.select(*(F.col(c).alias(f"_of_{c}") for c in [*by, value]), (F.col("_up") - (F.col("_k") - 1) / 2.0).alias(out))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    return df.join(ranks, [*same, F.col(value) == F.col(f"_of_{value}")]).drop(*(f"_of_{c}" for c in [*by, value]))
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Mann-Whitney form on counts per distinct score; null where a class is missing."""
     counts = df.groupBy(*by, score).agg(F.count("*").alias("k"), F.sum(label).alias("pos"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.sum("k").over(w) - (F.col("k") - 1) / 2.0
-    sums = counts.withColumn("r", rank).groupBy(*by).agg(F.sum("k").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("r") * F.col("pos")).alias("s"))
+    up = running(counts, by, [score], {"_up": F.col("k")})
+    sums = up.withColumn("r", F.col("_up") - (F.col("k") - 1) / 2.0).groupBy(*by).agg(F.sum("k").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("r") * F.col("pos")).alias("s"))
     value = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p")))
     return sums.select(*by, "n", F.col("p").cast("long").alias("positives"), F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), value).alias("auroc"))
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """Precision at each distinct score, weighted by its positives; what is at or above a score is all but what is below it."""
     counts = df.groupBy(*by, score).agg(F.count("*").alias("k"), F.sum(label).alias("pos"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = counts.withColumn("precision", F.sum("pos").over(w) / F.sum("k").over(w))
-    return steps.groupBy(*by).agg((F.sum(F.col("pos") * F.col("precision")) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
+    up = running(counts, by, [score], {"_k": F.col("k"), "_p": F.col("pos")}, {"_n": F.col("k"), "_all": F.col("pos")})
+    precision = (F.col("_all") - F.col("_p") + F.col("pos")) / (F.col("_n") - F.col("_k") + F.col("k"))
+    return up.groupBy(*by).agg((F.sum(F.col("pos") * precision) / F.nullif(F.sum("pos"), F.lit(0))).alias("average_precision"))
 
 
 def risk_curve(df: DataFrame, score: str, label: str, key: str, by: list[str]) -> DataFrame:
@@ -44,9 +46,9 @@ def risk_curve(df: DataFrame, score: str, label: str, key: str, by: list[str]) -
 
 
 def aurc(curve: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Trapezoid area under a risk curve from coverage 1/n to 1: all risks less half of the first and the last."""
+    """Trapezoid area under a risk curve from coverage 1/n to 1, all risks less half of the first and the last, and their mean."""
     ends = F.max(F.when(F.col("rank") == 1, F.col("risk"))) + F.max(F.when(F.col("rank") == F.col("n"), F.col("risk")))
-    return curve.groupBy(*by).agg(F.max("n").alias("n"), ((F.sum("risk") - ends / 2.0) / F.max("n")).alias("aurc"))
+    return curve.groupBy(*by).agg(F.max("n").alias("n"), ((F.sum("risk") - ends / 2.0) / F.max("n")).alias("aurc"), F.avg("risk").alias("mean_risk"))
 
 
 def calibration(df: DataFrame, score: str, label: str, by: list[str], bins: int = 10) -> DataFrame:
@@ -72,62 +74,6 @@ def reliability(minority):
     return F.when(minority < 20, "descriptive_only").when(minority < 50, "exploratory").when(minority < 100, "preliminary").otherwise("suitable_for_primary_analysis")
 
 
-#: Distribution of a Poisson weight of mean 1, up to 9.
-_POISSON = [sum(1 / math.factorial(j) for j in range(i + 1)) / math.e for i in range(10)]
-
-
-def weight(seed: str, key) -> Column:
-    """How often a row stands in a resample: Poisson of mean 1 by 32 bits of md5, the same in every engine."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    out = F.lit(0)
-    for p in _POISSON:
-        out = out + F.when(u >= p, 1).otherwise(0)
-    return out
-
-
-def resampled(df: DataFrame, key: str, draws: int, seed: str) -> DataFrame:
-    """``df`` with ``draw`` and ``w``, how often the row is in that resample; rows that aren't are left out.
-
-    Draws are made row by row and summed before any shuffle, so neither rows nor draws meet in one task.
-    """
-    drawn = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return drawn.withColumn("w", weight(seed, F.concat_ws(":", "draw", key))).filter("w > 0")
-
-
-def bootstrap(df: DataFrame, key: str, draws: int, seed: str, metric) -> DataFrame:
-    """(draw, value) of ``metric(resample, by)``, which must weigh rows by ``w``; null where it isn't defined."""
-    return metric(resampled(df, key, draws, seed), ["draw"])
-
-
-def weighted_mean(value: str):
-    return lambda rows, by: rows.groupBy(*by).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("value"))
-
-
-def weighted_auroc(score: str, label: str):
-    """AUROC of a resample; null where a class is missing."""
-
-    def metric(rows: DataFrame, by: list[str]) -> DataFrame:
-        counts = rows.groupBy(*by, score).agg(F.sum("w").alias("k"), F.sum(F.col("w") * F.col(label)).alias("pos"))
-        w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rank = F.sum("k").over(w) - (F.col("k") - 1) / 2.0
-        sums = counts.withColumn("r", rank).groupBy(*by).agg(F.sum("k").alias("n"), F.sum("pos").alias("p"), F.sum(F.col("r") * F.col("pos")).alias("s"))
-        value = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))
-        return sums.select(*by, value.alias("value"))
-
-    return metric
-
-
-def interval(draws: DataFrame, value: str = "value") -> DataFrame:
-    """One row: 2.5 % and 97.5 % quantiles, mean, and how many draws were asked for and defined."""
-    return draws.agg(F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"), F.avg(value).alias("mean"), F.count("*").alias("draws"), F.count(value).alias("valid"))
-
-
-def paired(df: DataFrame, key: str, draws: int, seed: str, first, second) -> DataFrame:
-    """(draw, value): difference of two metrics on the same resamples; equal metrics give exactly 0."""
-    a, b = bootstrap(df, key, draws, seed, first), bootstrap(df, key, draws, seed, second)
-    return a.join(b.withColumnRenamed("value", "other"), "draw").select("draw", (F.col("other") - F.col("value")).alias("value"))
-
-
 def mean_risk(curve: DataFrame, by: list[str]) -> DataFrame:
     """Mean of the cumulative risk over all ranks."""
     return curve.groupBy(*by).agg(F.avg("risk").alias("mean_risk"))

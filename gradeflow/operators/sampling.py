@@ -7,37 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which an ordered column is cut, so that no window holds a whole table.
-RANGES = 64
+from .prefix import running
 
 
 def hash_order(*columns: str, seed: str = "") -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in columns)))
 
 
-def ranked(df: DataFrame, value: str, key: str, by: list[str] | None = None, total: str | None = None, ranges: int = RANGES) -> DataFrame:
-    """``df`` with ``rank`` by (value, key) within ``by``, rows ``n`` and, if asked for, the running sum ``so_far`` of ``total``.
-
-    Rows are cut at approximate quantiles of the value and ranked within each range; what stands before a range
-    is added from a sum for each range. Ranks are exact wherever the cuts are; nulls come first.
-    """
-    by = by or []
-    names = by or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(0))
-    cuts = rows.groupBy(*names).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
-    rows = rows.join(F.broadcast(cuts), [rows[c].eqNullSafe(cuts[c]) for c in names], "left").drop(*[cuts[c] for c in names])
-    rows = rows.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
-    sums = [F.count("*").alias("_k"), *([F.sum(total).alias("_s")] if total else [])]
-    before = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*names)
-    parts = rows.groupBy(*names, "_range").agg(*sums).withColumns({"_before": F.coalesce(F.sum("_k").over(before), F.lit(0)), "n": F.sum("_k").over(whole)} | ({"_sum": F.coalesce(F.sum("_s").over(before), F.lit(0))} if total else {}))
-    parts = parts.drop("_k", "_s")
-    rows = rows.join(parts, [rows[c].eqNullSafe(parts[c]) for c in [*names, "_range"]]).drop(*[parts[c] for c in [*names, "_range"]])
-    order = Window.partitionBy(*names, "_range").orderBy(value, key)
-    rows = rows.withColumn("rank", F.col("_before") + F.row_number().over(order))
-    if total:
-        rows = rows.withColumn("so_far", F.col("_sum") + F.sum(total).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.drop("_all", "_range", "_before", "_sum")
+def ranked(df: DataFrame, value: str, key: str, by: list[str] | None = None, total: str | None = None, ranges: int | None = None) -> DataFrame:
+    """``df`` with ``rank`` by (value, key) within ``by``, rows ``n`` and, if asked for, the running sum ``so_far`` of ``total``; nulls come first."""
+    sums = {"rank": F.lit(1).cast("long")} | ({"so_far": F.col(total)} if total else {})
+    return running(df, by or [], [value] if value == key else [value, key], sums, {"n": F.lit(1).cast("long")}, ranges)
 
 
 def tile(rank: Column, n: Column, tiles: int) -> Column:
@@ -76,10 +56,15 @@ def quotas(df: DataFrame, stratum: str, size: int) -> DataFrame:
     return share.select(stratum, (F.col("base") + change).alias("quota"))
 
 
+def _placed(df: DataFrame, by: list[str], key: str, seed: str) -> DataFrame:
+    """``df`` with ``place``, from 1 on, in hash order within ``by``."""
+    rows = df.withColumn("_hash", hash_order(key, seed=seed))
+    return running(rows, by, ["_hash", key], {"place": F.lit(1).cast("long")}).drop("_hash")
+
+
 def proportional(df: DataFrame, stratum: str, key: str, size: int, seed: str) -> DataFrame:
     """``size`` rows, each stratum by its share and at least one of each."""
-    w = Window.partitionBy(stratum).orderBy(hash_order(key, seed=seed), key)
-    return df.withColumn("place", F.row_number().over(w)).join(quotas(df, stratum, size), stratum).filter("place <= quota")
+    return _placed(df, [stratum], key, seed).join(quotas(df, stratum, size), stratum).filter("place <= quota")
 
 
 def crossed(df: DataFrame, first: str, second: str, key: str, size: int, seed: str) -> DataFrame:
@@ -120,8 +105,7 @@ def folds(df: DataFrame, label: str, stratum: str, key: str, k: int, seed: str)
     sizes = df.groupBy(label, stratum).agg(F.count("*").alias("size"))
     before = F.sum("size").over(Window.partitionBy(label).orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select(label, stratum, F.coalesce(before, F.lit(0)).alias("offset"))
-    w = Window.partitionBy(label, stratum).orderBy(hash_order(key, seed=seed), key)
-    dealt = df.withColumn("place", F.row_number().over(w)).join(offsets, [label, stratum])
+    dealt = _placed(df, [label, stratum], key, seed).join(offsets, [label, stratum])
     return dealt.withColumn("fold", ((F.col("offset") + F.col("place") - 1) % k).cast("int")).drop("place", "offset")
 
 

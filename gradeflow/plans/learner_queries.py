@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import learners, metrics, sampling
+from ..operators import learners, metrics, resamples, sampling
 from ..operators.learners import Design
 from .table_queries import _FOLD
 from .text_queries import read
@@ -190,7 +190,7 @@ def target_analysis(spark, sf):
         base = rows.select("doc_id", "lang", F.col(target).alias("y"), *(c for f in FAMILIES.values() for c in f))
         scored = learners.compared(base, learners.designs(FAMILIES, ["L", "L+W+S+R"]), "doc_id", "y", "lang")
         wide = scored.groupBy("doc_id", "y").pivot("comparison", ["L", "L+W+S+R"]).agg(F.first("score")).toDF("doc_id", "y", "small", "large").dropna()
-        gap = metrics.interval(metrics.paired(wide, "doc_id", 200, target, metrics.weighted_auroc("small", "y"), metrics.weighted_auroc("large", "y")))
+        gap = resamples.interval(resamples.paired(wide, "doc_id", 200, target, resamples.auroc("small", "y"), resamples.auroc("large", "y")))
         part = gap.select(F.lit(target).alias("target"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), r6(F.col("mean")).alias("gain"), "draws", "valid")
         out = part if out is None else out.unionByName(part)
     return out

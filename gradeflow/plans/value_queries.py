@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import learners, metrics
+from ..operators import learners, metrics, resamples
 from .text_queries import read
 
 QUERIES: dict = {}
@@ -157,7 +157,7 @@ _CURVE = f"SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY la
 @query(f"SELECT lang, max(n) AS n, round(coalesce(sum((risk + b) / 2), 0) / max(n), 6) AS aurc, round(avg(risk), 6) AS mean_risk FROM (SELECT *, lag(risk) OVER (PARTITION BY lang ORDER BY rank) AS b FROM ({_CURVE})) GROUP BY lang")
 def area_under_risk(spark, sf):
     curve = metrics.risk_curve(_scored(spark, sf), "score", "err", "doc_id", ["lang"])
-    return metrics.aurc(curve, ["lang"], "doc_id").join(curve.groupBy("lang").agg(F.round(F.avg("risk"), 6).alias("mean_risk")), "lang").select("lang", "n", F.round("aurc", 6).alias("aurc"), "mean_risk")
+    return metrics.aurc(curve, ["lang"], "doc_id").select("lang", "n", F.round("aurc", 6).alias("aurc"), F.round("mean_risk", 6).alias("mean_risk"))
 
 
 @query(f"SELECT lang, rank AS rows_kept, round(risk, 6) AS risk FROM ({_CURVE}) WHERE rank IN (ceil(n * 0.2::DOUBLE), ceil(n * 0.5::DOUBLE), ceil(n * 0.8::DOUBLE), n)")
@@ -188,8 +188,8 @@ def rank_correlation(spark, sf):
     return metrics.spearman(_scored(spark, sf), "n_chars", "err", ["lang"]).select("lang", F.round("spearman", 6).alias("spearman"))
 
 
-_WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in metrics._POISSON)
-_BOOT = f"""WITH l AS ({_L}), r AS MATERIALIZED (SELECT *, {_WEIGHT} AS w FROM (SELECT l.*, d, ('0x' || substr(md5('boot:' || d || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l, range(200) a(d)))"""
+_WEIGHT = " + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in resamples.POISSON)
+_BOOT = f"""WITH l AS ({_L}), r AS MATERIALIZED (SELECT *, {_WEIGHT} AS w FROM (SELECT l.*, d, ('0x' || substr(md5('boot:' || d // 4 || ':' || doc_id), 8 * (d % 4) + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM l, range(200) a(d)))"""
 
 
 def auroc_draws_sql(score: str) -> str:
@@ -200,22 +200,22 @@ def auroc_draws_sql(score: str) -> str:
 
 @query(_BOOT + ", m AS (SELECT d, sum(w * err) / sum(w) AS mean FROM r WHERE w > 0 GROUP BY d) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, round(avg(mean), 6) AS mean, count(*) AS draws FROM m")
 def bootstrap_interval(spark, sf):
-    out = metrics.interval(metrics.bootstrap(_scored(spark, sf), "doc_id", 200, "boot", metrics.weighted_mean("err")))
+    out = resamples.interval(resamples.bootstrap(_scored(spark, sf), "doc_id", 200, "boot", resamples.mean("err")))
     return out.select(*(F.round(c, 6).alias(c) for c in ("low", "high", "mean")), "draws")
 
 
 @query(_BOOT + f", m AS ({auroc_draws_sql('score')}) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS draws, count(v) AS valid FROM m")
 def bootstrap_auroc(spark, sf):
-    out = metrics.interval(metrics.bootstrap(_scored(spark, sf), "doc_id", 200, "boot", metrics.weighted_auroc("score", "err")))
+    out = resamples.interval(resamples.bootstrap(_scored(spark, sf), "doc_id", 200, "boot", resamples.auroc("score", "err")))
     return out.select(*(F.round(c, 6).alias(c) for c in ("low", "high")), "draws", "valid")
 
 
 @query(_BOOT + f", a AS ({auroc_draws_sql('score')}), b AS ({auroc_draws_sql('toxic')}), m AS (SELECT d, b.v - a.v AS gap, a.v - a.v AS same FROM a JOIN b USING (d)) SELECT round(quantile_cont(gap, 0.025), 6) AS low, round(quantile_cont(gap, 0.975), 6) AS high, max(abs(same)) AS same, count(*) AS draws, count(gap) AS valid FROM m")
 def paired_bootstrap(spark, sf):
     """Two scores on the same resamples; a score against itself differs by exactly 0."""
-    rows, a, b = _scored(spark, sf), metrics.weighted_auroc("score", "err"), metrics.weighted_auroc("toxic", "err")
-    gap = metrics.interval(metrics.paired(rows, "doc_id", 200, "boot", a, b))
-    same = metrics.paired(rows, "doc_id", 200, "boot", a, a).agg(F.max(F.abs("value")).alias("same"))
+    rows, a, b = _scored(spark, sf), resamples.auroc("score", "err"), resamples.auroc("toxic", "err")
+    gap = resamples.interval(resamples.paired(rows, "doc_id", 200, "boot", a, b))
+    same = resamples.paired(rows, "doc_id", 200, "boot", a, a).agg(F.max(F.abs("value")).alias("same"))
     return gap.crossJoin(same).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "same", "draws", "valid")  # one row each
 
 

@@ -133,19 +133,6 @@ def test_samples(spark):
     assert counts[0] != counts[1]
 
 
-def test_resamples(spark):
-    rows = spark.createDataFrame([(i, i % 2, float(i % 7), float(i % 5)) for i in range(200)], "id long, y int, s double, t double")
-    a, b = metrics.weighted_auroc("s", "y"), metrics.weighted_auroc("t", "y")
-    same = metrics.paired(rows, "id", 100, "x", a, a)
-    assert same.count() == 100 and same.agg(F.max(F.abs("value")).alias("m")).first()["m"] == 0.0
-    gap = metrics.interval(metrics.paired(rows, "id", 100, "x", a, b)).first()
-    assert gap["valid"] == 100 and gap["low"] <= gap["mean"] <= gap["high"]
-    one_class = metrics.bootstrap(rows.withColumn("y", F.lit(1)), "id", 20, "x", a)
-    assert one_class.filter("value is not null").count() == 0
-    weights = metrics.resampled(rows, "id", 100, "x").agg(F.sum("w").alias("w")).first()["w"]
-    assert abs(weights / 20_000 - 1) < 0.05
-
-
 def test_statistics_against_known_values():
     assert metrics.spearman_p(0.5, 20) == pytest.approx(0.0247670, abs=1e-5)
     assert metrics.spearman_p(0.0, 10) == pytest.approx(1.0) and metrics.spearman_p(1.0, 10) == 0.0 and metrics.spearman_p(None, 10) is None
