@@ -40,10 +40,11 @@ def reasons(*checks: tuple[str, Column]) -> Column:
     return F.concat_ws(",", *(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks))
 
 
-def split_checksum(df: DataFrame, by: list[str], key: str, fold: str) -> DataFrame:
-    """(by, digest): SHA-256 of the key:fold pairs in key order. A group's pairs meet in one task: splits are of labelled rows."""
-    pairs = F.array_sort(F.collect_list(F.struct(key, fold)))
-    return df.groupBy(*by).agg(F.sha2(F.array_join(F.transform(pairs, lambda p: F.concat_ws(":", p[key].cast("string"), p[fold].cast("string"))), ","), 256).alias("digest"))
+def split_checksum(df: DataFrame, by: list[str], key: str, fold: str, width: int = 1024) -> DataFrame:
+    """(by, digest, lines): the root of the hash tree over the key:fold lines in key order, of ``width`` lines or nodes each."""
+    from ..sources.ordered import tree_digests
+
+    return tree_digests(df.withColumn("_pair", F.concat_ws(":", F.col(key).cast("string"), F.col(fold).cast("string"))), by, [key, "_pair"], "_pair", width)
 
 
 def iso_utc(at: Column) -> Column:

@@ -1,24 +1,34 @@
 """Small learners by sums: ridge from Gram matrices and balanced logistic regression by Newton's method.
 
-Many models are fitted at once. Each row belongs to some groups (folds, sources), each model leaves some groups
-out. One aggregate a step gives every model its (d + 1)^2 sums, which are added up where the rows are;
-no model's rows ever meet in one task, and only sums, weights and metrics reach the driver.
+Many models are fitted at once. Each row belongs to some groups (folds, inner folds, sources), each model leaves some
+groups out. Every model's inputs are an affine map of the same columns, so a step is a few matrix products a block of
+rows, for all models together: rows times weights, errors times columns, curvatures times products of columns. Tasks
+add such sums up in Arrow blocks, a second stage adds up those of many tasks, and only sums, weights and metrics reach
+the driver. No model's rows ever meet in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..sources.ship import ship_package
+from ..sources.shared import kept
 from . import metrics, sampling
+from .prefix import running
 
-#: Strengths of regularisation to choose from, and the range under which a column counts as constant.
-STRENGTHS, CONSTANT = (0.1, 1.0, 10.0), 1e-12
-#: Most models fitted in one go; each row meets each model, so more are fitted in turn.
-MOST_MODELS = 256
+#: Strengths of regularisation to choose from, that of folds too small to choose in, most inner folds,
+#: and the range under which a column counts as constant.
+STRENGTHS, DEFAULT_STRENGTH, INNER_FOLDS, CONSTANT = (0.1, 1.0, 10.0), 1.0, 3, 1e-12
+#: Most models fitted in one go, numbers in a block's matrices, and partial sums that one reader adds up.
+MOST_MODELS, BLOCK, FEW = 4096, 1 << 20, 32
 
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -36,16 +46,59 @@ def _square(row, n: int, name: str) -> np.ndarray:
     return out
 
 
-def rank_and_condition(df: DataFrame, columns: list[str]) -> tuple[int, float]:
-    """Rank of the standardised columns' matrix and its condition number, from the Gram matrix."""
-    g = gram(df, columns)
-    n = g[0, 0]
-    cov = g[1:, 1:] / max(n, 1) - np.outer(g[0, 1:], g[0, 1:]) / max(n, 1) ** 2
-    sd = np.sqrt(np.maximum(np.diag(cov), 0))
-    keep = sd > CONSTANT
-    values = np.linalg.eigvalsh(cov[np.ix_(keep, keep)] / np.outer(sd[keep], sd[keep])) if keep.any() else np.zeros(0)
-    good = values[values > 1e-10 * len(columns)]
-    return len(good), float(np.sqrt(good.max() / good.min())) if len(good) else float("inf")
+def added(parts: DataFrame, combine, many: bool) -> list[bytes]:
+    """``parts(value binary)`` combined by ``combine(iterator of bytes) -> bytes``, in a stage of its own where there are many."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = (v for batch in batches for v in batch.column(0).to_pylist())
+        first = next(values, None)
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([combine(first, values)], pa.binary())], names=["value"])
+
+    if many:
+        parts = parts.repartition(FEW // 2).mapInArrow(scan, "value binary")
+    return [r["value"] for r in parts.collect()]  # at most FEW rows of a bounded size
+
+
+def triangle(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """R of a QR decomposition of the columns' matrix: factors of blocks, decomposed again in a tree. Rows with a null are left out."""
+    ship_package(df.sparkSession)
+    d = len(columns)
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, d))
+        for batch in batches:
+            r = np.linalg.qr(np.vstack([r, np.column_stack([c.to_numpy() for c in batch.columns])]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array([np.vstack([r, np.zeros((d, d))])[:d].tobytes()], pa.binary())], names=["value"])
+
+    def combine(first: bytes, rest: Iterator[bytes]) -> bytes:
+        r = np.frombuffer(first).reshape(d, d)
+        for other in rest:
+            r = np.linalg.qr(np.vstack([r, np.frombuffer(other).reshape(d, d)]), mode="r")
+        return r.tobytes()
+
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    found = added(rows.mapInArrow(factor, "value binary"), combine, rows.rdd.getNumPartitions() > FEW)
+    return np.frombuffer(combine(found[0], iter(found[1:]))).reshape(d, d) if found else np.zeros((d, d))
+
+
+def rank_and_condition(df: DataFrame, columns: list[str], standardised: bool = True) -> tuple[int, float]:
+    """Rank of the columns' matrix and the ratio of its largest to its smallest singular value above the tolerance.
+
+    The tolerance is the largest singular value times rows times the precision of doubles. Singular values are those of
+    a triangular factor, so nothing is squared. ``standardised`` centres and scales columns and leaves constant ones out.
+    """
+    one = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    stats = one.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+    if standardised:
+        free = [i for i in range(len(columns)) if (stats[f"s{i}"] or 0.0) > CONSTANT * max(1.0, abs(stats[f"m{i}"] or 0.0))]
+        one = one.select(*(((F.col(columns[i]) - stats[f"m{i}"]) / stats[f"s{i}"]).alias(columns[i]) for i in free))
+    if not one.columns:
+        return 0, float("inf")
+    values = np.linalg.svd(triangle(one, one.columns), compute_uv=False)
+    good = values[values > values.max() * max(stats["n"], len(columns)) * np.finfo(float).eps]
+    return len(good), float(good.max() / good.min()) if len(good) else float("inf")
 
 
 def _ridge(g: np.ndarray, d: int, y: int, alpha: float) -> tuple[float, np.ndarray]:
@@ -87,12 +140,15 @@ class Model:
     skip: list[str] = field(default_factory=list)
     c: float = 1.0
     use: tuple[str, ...] | None = None  # inputs of the design that it may use, residual ones as ``~name``; all if None
+    ridges: Model | None = None  # the model whose ridges on the controls it takes over; its own rows' if None
     rows: int = 0
-    weights: np.ndarray | None = None  # of standardised features, the intercept last; None where a class is missing
+    ones: int = 0
+    weights: np.ndarray | None = None  # of standardised features, the intercept last; None where a class or every feature is missing
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None  # 0 for a constant column
     base: np.ndarray | None = None  # of residual features: their ridge on the controls
     on_controls: np.ndarray | None = None
+    link: np.ndarray | None = None  # of raw columns, the constant first
 
     def coefficients(self, features: list[str]) -> dict[str, float]:
         """Weights of standardised features, 0 for constant ones."""
@@ -117,111 +173,205 @@ class Design:
         return list(dict.fromkeys([*self.features, *self.residual, *self.controls]))
 
 
-_STATE = "name string, exclude array<string>, test array<string>, skip array<string>, mean array<double>, scale array<double>, w array<double>, right double, wrong double, base array<double>, onto array<double>"
+class _Members:
+    """Which rows of a batch belong to which of some groups."""
 
+    def __init__(self, names: list[str]):
+        self.names = pa.array(names, pa.string())
 
-def _joined(rows: DataFrame, design: Design, models: list[Model], scoring: bool) -> DataFrame:
-    """Rows with the state of each model that they train, or that scores them."""
-    d = len(design.all)
-    state = []
-    for m in models:
-        n1 = getattr(m, "_ones", 0)
-        w = m.weights if m.weights is not None else np.zeros(d + 1)
-        fill = lambda x, k: [0.0] * k if x is None else np.asarray(x, float).ravel().tolist()
-        state.append((m.name, m.exclude, m.test, m.skip, fill(m.mean, d), fill(m.scale, d), w.tolist(), m.rows / (2 * n1) if n1 else 0.0, m.rows / (2 * (m.rows - n1)) if m.rows > n1 else 0.0, fill(m.base, len(design.residual)), fill(m.on_controls, len(design.residual) * len(design.controls))))
-    table = F.broadcast(rows.sparkSession.createDataFrame(state, _STATE))  # at most MOST_MODELS rows
-    if scoring:
-        return rows.join(table, F.arrays_overlap("groups", "test") & ~F.arrays_overlap("groups", "skip"))
-    return rows.join(table, ~F.arrays_overlap("groups", "exclude"))
-
-
-def _inputs(design: Design) -> list[Column]:
-    """Each feature as it enters a model, before it is standardised."""
-    out = [F.col(c).cast("double") for c in design.features]
-    k = len(design.controls)
-    for i, c in enumerate(design.residual):
-        fitted = F.get("base", F.lit(i))
-        for j, x in enumerate(design.controls):
-            fitted = fitted + F.get("onto", F.lit(i * k + j)) * F.col(x).cast("double")
-        out.append(F.col(c).cast("double") - fitted)
-    return out
+    def of(self, groups: pa.Array) -> np.ndarray:
+        """Rows x (groups and a last one that holds none)."""
+        out = np.zeros((len(groups), len(self.names) + 1), bool)
+        code = pc.index_in(groups.flatten(), value_set=self.names)
+        row = pc.list_parent_indices(groups).to_numpy()
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        out[row[known], code.drop_null().to_numpy()] = True
+        return out
 
+    def places(self, lists: list[list[str]]) -> np.ndarray:
+        """Of each list its groups' columns, filled up with the one that holds none."""
+        at = {n: i for i, n in enumerate(self.names.to_pylist())}
+        most = max([1, *map(len, lists)])
+        return np.array([[at[g] for g in x] + [len(at)] * (most - len(x)) for x in lists])
 
-def _standardised(joined: DataFrame, design: Design, *keep: str) -> DataFrame:
-    z = [((x - F.get("mean", F.lit(i))) * F.get("scale", F.lit(i))).alias(f"z{i}") for i, x in enumerate(_inputs(design))]
-    d = len(z)
-    out = joined.select("name", "w", "right", "wrong", *keep, *z)
-    link = F.get("w", F.lit(d))
-    for i in range(d):
-        link = link + F.get("w", F.lit(i)) * F.col(f"z{i}")
-    return out.withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-35.0), F.least(F.lit(35.0), link)))))
+
+def _any(members: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows x models: whether a row is in one of the model's groups."""
+    out = members[:, places[:, 0]]
+    for j in range(1, places.shape[1]):
+        out |= members[:, places[:, j]]
+    return out
 
 
-def fit_many(df: DataFrame, design: Design, label: str, models: list[Model], steps: int = 30) -> list[Model]:
+class _Sums:
+    """Passes over the rows of a fit: sums of all models, of standardised columns and 1."""
+
+    def __init__(self, rows: DataFrame, columns: list[str]):
+        self.rows, self.k, self.many = rows, len(columns), rows.rdd.getNumPartitions() > FEW
+        stats = rows.agg(*(f(c).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
+        self.mean = np.array([stats[f"m{i}"] or 0.0 for i in range(self.k)])
+        self.scale = np.array([stats[f"s{i}"] or 1.0 for i in range(self.k)])
+        self.left, self.right = np.triu_indices(self.k + 1)
+
+    def square(self, packed: np.ndarray) -> np.ndarray:
+        """Symmetric matrices from their upper triangles."""
+        out = np.zeros((*packed.shape[:-1], self.k + 1, self.k + 1))
+        out[..., self.left, self.right] = packed
+        out[..., self.right, self.left] = packed
+        return out
+
+    def over(self, models: list[Model], links: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Without ``links`` (models x k + 1) of each model its products and its sums of the label; with them curvature and gradient."""
+        members = _Members(sorted({g for m in models for g in m.exclude}))
+        out_of = members.places([m.exclude for m in models])
+        balance = np.array([[m.rows / (2 * (m.rows - m.ones)), m.rows / (2 * m.ones)] for m in models]) if links is not None else None
+        mean, scale, left, right, width = self.mean, self.scale, self.left, self.right, self.k + 1
+        size = max(16, BLOCK // max(len(models), 1))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            squares, vectors = np.zeros((len(models), len(left))), np.zeros((len(models), width))
+            for batch in batches:
+                inside = members.of(batch.column(0))
+                y_all = batch.column(1).to_numpy()
+                x_all = (np.column_stack([c.to_numpy() for c in batch.columns[2:]]) - mean) / scale if width > 1 else np.zeros((len(y_all), 0))
+                for at in range(0, len(y_all), size):
+                    y = y_all[at : at + size, None]
+                    x = np.column_stack([np.ones(len(y)), x_all[at : at + size]])
+                    train = ~_any(inside[at : at + size], out_of)
+                    if links is None:
+                        vectors[:, 0] += (train * y).sum(0)
+                        weight = train.astype(float)
+                    else:
+                        p = 1 / (1 + np.exp(-np.clip(x @ links.T, -35.0, 35.0)))
+                        balanced = np.where(y == 1, balance[:, 1], balance[:, 0]) * train
+                        vectors += (balanced * (p - y)).T @ x
+                        weight = balanced * p * (1 - p)
+                    squares += weight.T @ (x[:, left] * x[:, right])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([squares.ravel(), vectors.ravel()]).tobytes()], pa.binary())], names=["value"])
+
+        def combine(first: bytes, rest: Iterator[bytes]) -> bytes:
+            total = np.frombuffer(first).copy()
+            for other in rest:
+                total += np.frombuffer(other)
+            return total.tobytes()
+
+        found = added(self.rows.mapInArrow(scan, "value binary"), combine, self.many)
+        total = np.frombuffer(combine(found[0], iter(found[1:]))) if found else np.zeros(len(models) * (len(left) + width))
+        split = len(models) * len(left)
+        return self.square(total[:split].reshape(len(models), -1)), total[split:].reshape(len(models), width)
+
+
+def fit_many(df: DataFrame, design: Design, label: str, models: list[Model], steps: int = 50) -> list[Model]:
     """Class-balanced L2 logistic regressions, all at once; ``df`` has ``groups`` array<string>.
 
-    Columns that don't vary in training get weight 0; without both classes in training a model has no weights.
-    Rows with a null among features or label are left out.
+    Columns that don't vary in training get weight 0; without both classes or any varying column in training a model
+    has no weights. Rows with a null among features or label are left out. A step reads the rows once for all models;
+    it is the last once no weight moves by more than 1e-6, after which Newton's method has converged quadratically.
     """
-    if len(models) > MOST_MODELS:
-        return [m for a in range(0, len(models), MOST_MODELS) for m in fit_many(df, design, label, models[a : a + MOST_MODELS], steps)]
-    rows = df.select("groups", F.col(label).cast("double").alias("y"), *design.columns).dropna().persist()  # read in every step; lost parts are made again
+    ship_package(df.sparkSession)
+    rows = df.select("groups", F.col(label).cast("double").alias("_label"), *(F.col(c).cast("double").alias(c) for c in design.columns)).dropna().persist()  # read in every step; lost parts are made again
     try:
-        return _fit(rows, design, models, steps)
+        sums = _Sums(rows, design.columns)
+        for a in range(0, len(models), MOST_MODELS):
+            _fit(sums, design, models[a : a + MOST_MODELS], steps)
+        return models
     finally:
         rows.unpersist()
 
 
-def _fit(rows: DataFrame, design: Design, models: list[Model], steps: int) -> list[Model]:
+def _standard(m: Model, i: int, target: int, controls: list[int], sums: _Sums) -> tuple[float, np.ndarray]:
+    """The i-th ridge of a fitted model in standardised columns."""
+    w, unit = m.on_controls[i], sums.scale[target]
+    return (m.base[i] + w @ sums.mean[controls] - sums.mean[target]) / unit, w * sums.scale[controls] / unit
+
+
+def _prepare(m: Model, g: np.ndarray, ones: float, design: Design, sums: _Sums) -> np.ndarray:
+    """The map of standardised columns and 1 to the model's inputs and 1; sets what the model keeps of it, in raw units."""
+    at = {c: i + 1 for i, c in enumerate(design.columns)}
+    m.rows, m.ones = int(round(g[0, 0])), int(round(ones))
+    n, d = max(g[0, 0], 1.0), len(design.all)
+    inputs = np.zeros((d, len(g)))
+    for i, c in enumerate(design.features):
+        inputs[i, at[c]] = 1.0
+    on = [0, *(at[c] for c in design.controls)]
+    m.base, m.on_controls = np.zeros(len(design.residual)), np.zeros((len(design.residual), len(design.controls)))
+    for i, c in enumerate(design.residual):
+        if m.ridges is None:
+            base, w = _ridge(g[np.ix_([*on, at[c]], [*on, at[c]])], len(design.controls), len(on), design.alpha)
+        else:
+            base, w = _standard(m.ridges, i, at[c] - 1, [at[x] - 1 for x in design.controls], sums)
+        row = inputs[len(design.features) + i]
+        row[at[c]] = 1.0
+        row[0] -= base
+        for x, v in zip(design.controls, w, strict=True):
+            row[at[x]] -= v
+        unit = sums.scale[at[c] - 1]
+        m.on_controls[i] = [v * unit / sums.scale[at[x] - 1] for x, v in zip(design.controls, w, strict=True)]
+        m.base[i] = sums.mean[at[c] - 1] + unit * base - sum(v * sums.mean[at[x] - 1] for x, v in zip(design.controls, m.on_controls[i], strict=True))
+    mean = inputs @ g[0] / n
+    spread = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", inputs, g, inputs) / n - mean**2, 0.0))
+    free = np.array([m.use is None or name in m.use for name in design.all], bool)
+    varies = free & (spread > 1e-7 * (1.0 + np.abs(mean)))  # sums of squares tell no smaller spread from none
+    scale = np.where(varies, 1 / np.where(varies, spread, 1.0), 0.0)
+    unit = np.array([sums.scale[at[c.lstrip("~")] - 1] for c in design.all])
+    shift = np.array([sums.mean[at[c] - 1] for c in design.features] + [0.0] * len(design.residual))
+    m.mean, m.scale = shift + unit * mean, scale / unit
+    if 0 < m.ones < m.rows and varies.any():
+        m.weights = np.zeros(d + 1)
+    out = np.zeros((len(g), d + 1))
+    out[:, :d] = (inputs * scale[:, None]).T
+    out[0, :d] -= mean * scale
+    out[0, d] = 1.0
+    return out
+
+
+def _fit(sums: _Sums, design: Design, models: list[Model], steps: int) -> None:
+    grams, ones = sums.over(models)
+    maps = np.stack([_prepare(m, g, o, design, sums) for m, g, o in zip(models, grams, ones[:, 0], strict=True)])
+    todo = np.array([i for i, m in enumerate(models) if m.weights is not None], int)
     d = len(design.all)
-    by = {m.name: m for m in models}
-    if design.residual:
-        cols = [F.lit(1.0), *(F.col(c).cast("double") for c in (*design.controls, *design.residual))]
-        sums = _joined(rows, design, models, False).groupBy("name").agg(*(F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i))
-        k = len(design.controls)
-        for r in sums.collect():  # a row for each model
-            g = _square(r, len(cols), "s")
-            fits = [_ridge(g, k, k + 1 + i, design.alpha) for i in range(len(design.residual))]
-            by[r["name"]].base, by[r["name"]].on_controls = np.array([b for b, _ in fits]), np.array([w for _, w in fits])
-    x = _inputs(design)
-    joined = _joined(rows, design, models, False)
-    moments = joined.groupBy("name").agg(F.count("*").alias("n"), F.sum("y").alias("ones"), *(f(c).alias(f"{n}{i}") for i, c in enumerate(x) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("a", F.min), ("b", F.max))))
-    for r in moments.collect():
-        m = by[r["name"]]
-        m.rows, m._ones = r["n"], r["ones"]
-        m.mean = np.array([r[f"m{i}"] for i in range(d)])
-        free = [m.use is None or name in m.use for name in design.all]
-        m.scale = np.array([1 / r[f"s{i}"] if free[i] and r[f"b{i}"] - r[f"a{i}"] > CONSTANT and r[f"s{i}"] > 0 else 0.0 for i in range(d)])
-        if 0 < m._ones < m.rows:
-            m.weights = np.zeros(d + 1)
-    todo = [m for m in models if m.weights is not None]
+    weights = np.zeros((len(models), d + 1))
+    penalty = np.array([[1.0 / m.c] * d + [0.0] for m in models])
     for _ in range(steps):
-        if not todo:
+        if not len(todo):
             break
-        q = _standardised(_joined(rows, design, todo, False), design, "y")
-        cw = F.when(F.col("y") == 1, F.col("right")).otherwise(F.col("wrong"))
-        z = [*(F.col(f"z{i}") for i in range(d)), F.lit(1.0)]
-        q = q.withColumns({"e": cw * (F.col("p") - F.col("y")), "h": cw * F.col("p") * (1 - F.col("p"))})
-        sums = q.groupBy("name").agg(*(F.sum(F.col("e") * a).alias(f"g{i}") for i, a in enumerate(z)), *(F.sum(F.col("h") * a * b).alias(f"h{i}_{j}") for i, a in enumerate(z) for j, b in enumerate(z) if j >= i)).collect()
-        done = set()
-        for r in sums:
-            m = by[r["name"]]
-            penalty = np.append(np.full(d, 1.0 / m.c), 0.0)
-            g = np.array([r[f"g{i}"] for i in range(d + 1)]) + penalty * m.weights
-            move = np.linalg.solve(_square(r, d + 1, "h") + np.diag(penalty + 1e-12), g)
-            m.weights = m.weights - move
-            if np.abs(move).max() < 1e-9:
-                done.add(m.name)
-        todo = [m for m in todo if m.name not in done]
-    return models
+        t, w = maps[todo], weights[todo]
+        curvature, gradient = sums.over([models[i] for i in todo], np.einsum("mkd,md->mk", t, w))
+        g = np.einsum("mkd,mk->md", t, gradient) + penalty[todo] * w
+        h = np.einsum("mkd,mkl,mle->mde", t, curvature, t) + (penalty[todo] + 1e-12)[:, :, None] * np.eye(d + 1)
+        move = np.linalg.solve(h, g[..., None])[..., 0]
+        weights[todo] = w - move
+        todo = todo[np.abs(move).max(1) > 1e-6]
+    for i, m in enumerate(models):
+        if m.weights is not None:
+            m.weights = weights[i]
+            a = maps[i] @ weights[i]
+            m.link = np.append(a[0] - (a[1:] * sums.mean / sums.scale).sum(), a[1:] / sums.scale)
 
 
 def scores(df: DataFrame, design: Design, key: str, label: str, models: list[Model]) -> DataFrame:
     """(name, key, label, score) of the rows that each model is to score; null where it has no weights."""
-    rows = df.select(key, label, "groups", *design.columns).dropna(subset=design.columns)
-    out = _standardised(_joined(rows, design, models, True), design, key, label)
-    fitted = [m.name for m in models if m.weights is not None]
-    return out.select("name", key, label, F.when(F.col("name").isin(fitted), F.col("p")).alias("score"))
+    ship_package(df.sparkSession)
+    rows = df.select(key, label, "groups", *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(design.columns))).dropna(subset=[f"_x{i}" for i in range(len(design.columns))])
+    members = _Members(sorted({g for m in models for g in (*m.test, *m.skip)}))
+    tested, skipped = members.places([m.test for m in models]), members.places([m.skip for m in models])
+    links = np.stack([np.full(len(design.columns) + 1, np.nan) if m.link is None else m.link for m in models])
+    names = pa.array([m.name for m in models], pa.string())
+    size = max(16, BLOCK // max(len(models), 1))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                inside = members.of(batch.column(2))
+                row, model = np.nonzero(_any(inside, tested) & ~_any(inside, skipped))
+                x = np.column_stack([np.ones(batch.num_rows), *(c.to_numpy() for c in batch.columns[3:])])
+                p = 1 / (1 + np.exp(-np.clip((x[row] * links[model]).sum(1), -35.0, 35.0)))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(model)), batch.column(0).take(take), batch.column(1).take(take), pa.array(p, pa.float64(), from_pandas=True)], names=["name", key, label, "score"])
+
+    kinds = [StructField("name", StringType()), rows.schema[key], rows.schema[label], StructField("score", DoubleType())]
+    return rows.mapInArrow(scan, StructType([StructField(f.name, f.dataType, True) for f in kinds]))
 
 
 def by_fold(fold: str = "fold") -> Column:
@@ -239,37 +389,100 @@ def _folds_of(df: DataFrame, fold: str) -> list:
 def out_of_fold(df: DataFrame, key: str, label: str, features: list[str], fold: str = "fold", c: float = 1.0) -> DataFrame:
     """(key, fold, label, score) with scores from models that never saw the row's fold."""
     design = Design(features)
-    rows = df.withColumn("groups", by_fold(fold))
-    models = fit_many(rows, design, label, fold_models(_folds_of(df, fold), c))
+    rows = kept(df.select(key, fold, label, *features)).withColumn("groups", by_fold(fold))
+    models = fit_many(rows, design, label, fold_models(_folds_of(rows, fold), c))
     return scores(rows, design, key, label, models).select(key, F.substring("name", 2, 20).cast("int").alias(fold), label, "score")
 
 
-def chosen_strengths(df: DataFrame, design: Design, key: str, label: str, fold: str, inner: str) -> dict:
-    """For each outer fold the strength with the best AUROC over inner folds of its training rows; the smaller on a tie."""
-    rows = df.withColumn("groups", F.array(F.concat(F.lit("f"), F.col(fold).cast("string")), F.concat(F.lit("i"), F.col(inner).cast("string"))))
-    models = [Model(f"{k}|{i}|{c}", [f"f{k}", f"i{i}"], [f"i{i}"], [f"f{k}"], c) for k in _folds_of(df, fold) for i in _folds_of(df, inner) for c in STRENGTHS]
-    scored = scores(rows, design, key, label, fit_many(rows, design, label, models)).filter("score is not null")
-    named = scored.select(F.split_part("name", F.lit("|"), F.lit(1)).cast("int").alias("outer"), F.split_part("name", F.lit("|"), F.lit(3)).cast("double").alias("c"), "score", label)
+def dealt(df: DataFrame, label: str, stratum: str | None, key: str, seeds: tuple[str, ...], folds: int, inner: int = INNER_FOLDS, fold: str | None = None) -> DataFrame:
+    """``df`` with ``groups``: for each seed the fold ``s{seed}f{k}`` of each row, and for each other fold k the inner fold ``s{seed}k{k}i{i}`` that it falls into when k is left out.
+
+    Folds are stratified by class and stratum, or given in the column ``fold`` as numbers from 0 to ``folds - 1``. Inner
+    folds are stratified by class and dealt out among the rows that are left when k is, in hash order; they are
+    ``inner``, or as many as the smaller class has rows; with one row a class there are none. Rows without a label are
+    left out. All seeds are dealt at once.
+    """
+    thin = df.filter(F.col(label).isNotNull()).select(key, label, *([stratum] if stratum and not fold else []), *([F.col(fold).alias("fold")] if fold else []))
+    thin = thin.withColumn("_seed", F.explode(F.array(*map(F.lit, seeds))))
+    rows = (thin if fold else sampling.folds(thin, label, stratum, key, folds, F.col("_seed"), ["_seed"])).persist()  # read three times; lost parts are made again
+    sizes: dict = {}
+    for r in rows.groupBy("_seed", label, "fold").count().collect():  # seeds x folds x classes
+        sizes.setdefault((r["_seed"], r[label]), [0] * folds)[r["fold"]] = r["count"]
+    classes = sorted({y for _, y in sizes})
+    parts = {(s, k): min([inner, *(sum(sizes.get((s, y), [0])) - sizes.get((s, y), [0] * folds)[k] for y in classes)]) if len(classes) > 1 else 0 for s in seeds for k in range(folds)}
+    counts = F.create_map(*(F.lit(x) for s in seeds for x in (s, [max(1, parts[s, k]) for k in range(folds)])))
+    placed = running(rows.withColumn("_hash", sampling.hash_order(key, seed=F.concat(F.lit("inner"), "_seed"))), ["_seed", label], ["_hash", key], {"_up": F.lit(1)} | {f"_up{k}": (F.col("fold") == k).cast("int") for k in range(folds)})
+    own = F.concat(F.lit("s"), F.col("_seed"))
+
+    def within(k: int) -> Column:
+        i = (F.col("_up") - F.col(f"_up{k}") - 1) % F.get(counts[F.col("_seed")], F.lit(k))
+        return F.when(F.col("fold") != k, F.concat(own, F.lit(f"k{k}i"), i.cast("string")))
+
+    groups = F.array(F.concat(own, F.lit("f"), F.col("fold").cast("string")), *(within(k) for k in range(folds)))
+    lists = placed.groupBy(key).agg(F.flatten(F.collect_list(F.array_compact(groups))).alias("groups"))
+    return df.join(lists, key)
+
+
+def chosen(df: DataFrame, design: Design, key: str, label: str, wanted: list[Model], inner: int = INNER_FOLDS) -> None:
+    """Gives each model named ``name|seed|fold`` the strength with the best AUROC of inner out-of-fold scores, the smaller on a tie.
+
+    ``df`` has the groups of ``dealt``. Where inner folds aren't possible, or no score is, the strength is the default.
+    Inner models take over the ridges of the model they choose for.
+    """
+    if design.residual:
+        fit_many(df, design, label, wanted, steps=0)
+    models = []
+    for m in wanted:
+        _, seed, k = m.name.split("|")
+        groups = [f"s{seed}k{k}i{i}" for i in range(inner)]
+        models += [Model(f"{m.name}|{i}|{c}", [*m.exclude, g], [g], c=c, use=m.use, ridges=m if design.residual else None) for i, g in enumerate(groups) for c in STRENGTHS]
+    scored = scores(df, design, key, label, fit_many(df, design, label, models)).filter("score is not null")
+    part = lambda i: F.split_part("name", F.lit("|"), F.lit(i))
+    named = scored.select(part(1).alias("_name"), part(2).alias("_seed"), part(3).cast("int").alias("_fold"), part(5).cast("double").alias("c"), "score", label)
     best: dict = {}
-    for r in metrics.auroc(named, "score", label, ["outer", "c"]).orderBy("outer", F.desc_nulls_last("auroc"), "c").collect():  # a row for each fold and strength
-        best.setdefault(r["outer"], r["c"])
-    return best
+    found = metrics.auroc(named, "score", label, ["_name", "_seed", "_fold", "c"]).collect()  # a row for each model wanted and strength
+    for r in sorted((r for r in found if r["auroc"] is not None), key=lambda r: (-round(r["auroc"], 12), r["c"])):
+        best.setdefault(f"{r['_name']}|{r['_seed']}|{r['_fold']}", r["c"])
+    for m in wanted:
+        m.c = best.get(m.name, DEFAULT_STRENGTH)
+
+
+def merged(comparisons: dict[str, Design]) -> Design:
+    """One design with the columns of all, of which each model uses its own."""
+    first = lambda part: list(dict.fromkeys(c for d in comparisons.values() for c in getattr(d, part)))
+    return Design(first("features"), first("residual"), first("controls"))
+
+
+def compared(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, stratum: str | None, seeds: tuple[str, ...] = ("2026",), folds: int = 5, fold: str | None = None, only: tuple[int, ...] = ()) -> tuple[DataFrame, list[Model]]:
+    """Out-of-fold scores (comparison, seed, fold, key, label, score) of several designs on several splits, each fold with its own strength; and its models.
+
+    Models are named ``comparison|seed|fold``. All folds of all splits and designs are fitted together, first those that
+    choose the strengths, on inner folds of each fold's training rows. With ``fold`` the split is given; with ``only``
+    no other folds are scored.
+    """
+    whole = merged(comparisons)
+    rows = kept(dealt(df, label, stratum, key, seeds, folds, fold=fold).select(key, label, "groups", *whole.columns))
+    models = [Model(f"{name}|{seed}|{k}", [f"s{seed}f{k}"], [f"s{seed}f{k}"], use=tuple(d.all)) for name, d in comparisons.items() for seed in seeds for k in only or range(folds)]
+    chosen(rows, whole, key, label, models)
+    scored = scores(rows, whole, key, label, fit_many(rows, whole, label, models))
+    part = lambda i: F.split_part("name", F.lit("|"), F.lit(i))
+    return scored.select(part(1).alias("comparison"), part(2).alias("seed"), part(3).cast("int").alias("fold"), key, label, "score"), models
 
 
-def nested(df: DataFrame, design: Design, key: str, label: str, fold: str = "fold", inner: str = "inner") -> tuple[DataFrame, list[Model]]:
-    """Out-of-fold scores with each fold's own strength, and the fitted models."""
-    best = chosen_strengths(df, design, key, label, fold, inner)
-    rows = df.withColumn("groups", by_fold(fold))
-    models = [Model(f"f{k}", [f"f{k}"], [f"f{k}"], c=best.get(k, STRENGTHS[0])) for k in _folds_of(df, fold)]
-    models = fit_many(rows, design, label, models)
-    return scores(rows, design, key, label, models), models
+def fold_details(models: list[Model], comparisons: dict[str, Design]) -> list[tuple]:
+    """(comparison, seed, fold, strength, training rows, training errors, constant inputs left out, weights of the others by input) of each model of ``compared``."""
+    inputs, out = merged(comparisons).all, []
+    for m in models:
+        name, seed, k = m.name.split("|")
+        own = [(x, w, s) for x, w, s in zip(inputs, [0.0] * len(inputs) if m.weights is None else m.weights[:-1].tolist(), m.scale, strict=True) if x in m.use]
+        out.append((name, seed, int(k), m.c if m.weights is not None else None, m.rows, m.ones, sum(s == 0 for _, _, s in own), {x: w for x, w, s in own if s > 0}))
+    return out
 
 
 def transferred(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, group: str, source: str) -> DataFrame:
     """(comparison, group, key, label, score) of all other groups by models of one group, without a refit."""
     rows = df.withColumn("groups", F.array(F.col(group)))
-    first = lambda part: list(dict.fromkeys(c for d in comparisons.values() for c in getattr(d, part)))
-    whole = Design(first("features"), first("residual"), first("controls"))
+    whole = merged(comparisons)
     others = [g for g in sorted(r[0] for r in df.select(group).distinct().collect()) if g != source]  # one row a group
     models = fit_many(rows, whole, label, [Model(name, others, others, use=tuple(d.all)) for name, d in comparisons.items()])
     return scores(rows, whole, key, label, models).withColumnRenamed("name", "comparison").join(df.select(key, group), key)
@@ -285,26 +498,6 @@ def bundle(scored: DataFrame, key: str, label: str, by: list[str]) -> DataFrame:
     return out.withColumn("reliability", metrics.reliability(F.least("positives", F.col("n") - F.col("positives"))))
 
 
-def split_by_seeds(df: DataFrame, label: str, stratum: str, key: str, seeds: tuple[str, ...], folds: int) -> DataFrame:
-    """``df`` with ``groups``: the fold of each row in the split of each seed."""
-    rows = df.filter(F.col(label).isNotNull()).withColumn("groups", F.array().cast("array<string>"))
-    for seed in seeds:
-        rows = sampling.folds(rows, label, stratum, key, folds, seed)
-        rows = rows.withColumn("groups", F.array_append("groups", F.concat(F.lit(f"s{seed}f"), F.col("fold").cast("string")))).drop("fold")
-    return rows
-
-
-def compared(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, stratum: str, seeds: tuple[str, ...] = ("2026",), folds: int = 5) -> DataFrame:
-    """(comparison, seed, key, label, score): out-of-fold scores of several designs on several splits, all fitted at once."""
-    rows = split_by_seeds(df, label, stratum, key, seeds, folds)
-    first = lambda part: list(dict.fromkeys(c for d in comparisons.values() for c in getattr(d, part)))
-    whole = Design(first("features"), first("residual"), first("controls"))
-    models = [Model(f"{name}|{seed}|{k}", [f"s{seed}f{k}"], [f"s{seed}f{k}"], use=tuple(d.all)) for name, d in comparisons.items() for seed in seeds for k in range(folds)]
-    scored = scores(rows, whole, key, label, fit_many(rows, whole, label, models))
-    part = lambda i: F.split_part("name", F.lit("|"), F.lit(i))
-    return scored.select(part(1).alias("comparison"), part(2).alias("seed"), key, label, "score")
-
-
 def averaged(scored: DataFrame, key: str, label: str) -> DataFrame:
     """(comparison, key, label, score, spread) over seeds."""
     return scored.groupBy("comparison", key, label).agg(F.avg("score").alias("score"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("spread"))

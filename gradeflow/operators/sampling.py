@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .prefix import running
 
 
-def hash_order(*columns: str, seed: str = "") -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), *(F.col(c).cast("string") for c in columns)))
+def hash_order(*columns: str, seed: str | Column = "") -> Column:
+    return F.md5(F.concat_ws(":", seed if isinstance(seed, Column) else F.lit(seed), *(F.col(c).cast("string") for c in columns)))
 
 
 def ranked(df: DataFrame, value: str, key: str, by: list[str] | None = None, total: str | None = None, ranges: int | None = None) -> DataFrame:
@@ -56,7 +56,7 @@ def quotas(df: DataFrame, stratum: str, size: int) -> DataFrame:
     return share.select(stratum, (F.col("base") + change).alias("quota"))
 
 
-def _placed(df: DataFrame, by: list[str], key: str, seed: str) -> DataFrame:
+def _placed(df: DataFrame, by: list[str], key: str, seed: str | Column) -> DataFrame:
     """``df`` with ``place``, from 1 on, in hash order within ``by``."""
     rows = df.withColumn("_hash", hash_order(key, seed=seed))
     return running(rows, by, ["_hash", key], {"place": F.lit(1).cast("long")}).drop("_hash")
@@ -100,13 +100,20 @@ def first_by_selector(df: DataFrame, key: str, selectors: list[tuple[str, Column
     return out
 
 
-def folds(df: DataFrame, label: str, stratum: str, key: str, k: int, seed: str) -> DataFrame:
-    """Round-robin folds: classes and strata are dealt out in turn, each class goes on where its last stratum ended."""
-    sizes = df.groupBy(label, stratum).agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.partitionBy(label).orderBy(stratum).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(label, stratum, F.coalesce(before, F.lit(0)).alias("offset"))
-    dealt = _placed(df, [label, stratum], key, seed).join(offsets, [label, stratum])
-    return dealt.withColumn("fold", ((F.col("offset") + F.col("place") - 1) % k).cast("int")).drop("place", "offset")
+def folds(df: DataFrame, label: str, stratum: str | None, key: str, k: int, seed: str | Column, by: list[str] | None = None) -> DataFrame:
+    """Round-robin folds: classes and strata are dealt out in turn, each class goes on where its last stratum ended.
+
+    Without ``stratum`` classes alone are dealt out; with ``by``, such as a column of seeds, each of its groups by itself.
+    """
+    by = by or []
+    rows = df if stratum else df.withColumn("_one", F.lit(0))
+    inner = stratum or "_one"
+    sizes = rows.groupBy(*by, label, inner).agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy(*by, label).orderBy(inner).rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*by, label, inner]
+    offsets = sizes.select(*(F.col(c).alias(f"_of{i}") for i, c in enumerate(keys)), F.coalesce(before, F.lit(0)).alias("offset"))
+    placed = _placed(rows, keys, key, seed).join(offsets, [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(keys)])
+    return placed.withColumn("fold", ((F.col("offset") + F.col("place") - 1) % k).cast("int")).drop("place", "offset", *(f"_of{i}" for i in range(len(keys))), *([] if stratum else ["_one"]))
 
 
 def fold_count(minority: Column, most: int = 5, least: int = 2) -> Column:

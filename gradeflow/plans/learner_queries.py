@@ -101,84 +101,119 @@ def logistic_out_of_fold(spark, sf):
     return learners.out_of_fold(folded(spark, sf), "doc_id", "err", ["n_chars", "n_words", "n_lines"]).withColumn("score", r6(F.col("score")))
 
 
+SMALL = ["n_chars", "n_words", "n_lines"]
+
+
 @query()
 def nested_regularisation(spark, sf):
     """Scores with the strength that inner folds of each fold's training rows prefer."""
-    rows = folded(spark, sf).withColumn("inner", F.crc32(F.col("doc_id").cast("string")) % 3)
-    scored, models = learners.nested(rows, Design(["n_chars", "n_words", "n_lines"]), "doc_id", "err")
-    strengths = F.create_map(*(F.lit(v) for m in models for v in (m.name, m.c)))
-    return scored.select("doc_id", "err", r6(F.col("score")).alias("score"), strengths[F.col("name")].alias("c"))
+    scored, models = learners.compared(featured(spark, sf), {"small": Design(SMALL)}, "doc_id", "err", "lang")
+    strengths = F.create_map(*(F.lit(v) for m in models for v in (int(m.name.split("|")[2]), m.c)))
+    return scored.select("doc_id", "fold", "err", r6(F.col("score")).alias("score"), strengths[F.col("fold")].alias("c"))
 
 
-def _bundled(spark, sf, names, seeds=("2026",), by=("comparison",)):
-    scored = learners.compared(featured(spark, sf), learners.designs(FAMILIES, names, "L+W"), "doc_id", "err", "lang", seeds)
-    return learners.bundle(learners.averaged(scored, "doc_id", "err"), "doc_id", "err", list(by)).withColumns({c: r6(F.col(c)) for c in ("auroc", "average_precision", "aurc", "brier", "nll", "ece")})
+def details_of(spark, models, comparisons):
+    rows = [(*r[:7], {k: round(v, 6) for k, v in r[7].items()}) for r in learners.fold_details(models, comparisons)]
+    return spark.createDataFrame(rows, "comparison string, seed string, fold int, strength double, train_rows int, train_errors int, constant_inputs int, weights map<string, double>")
+
+
+@query()
+def fold_details(spark, sf):
+    """Of each fold's model: its strength, training rows by class, constant inputs left out and the weights of the others."""
+    comparisons = learners.designs(FAMILIES, ["L+W+S", "L+W~R"], "L+W") | {"with a constant": Design([*SMALL, "always"])}
+    rows = featured(spark, sf).withColumn("always", F.lit(1.0))
+    _, models = learners.compared(rows, comparisons, "doc_id", "err", "lang")
+    out = details_of(spark, models, comparisons)
+    weights = F.concat_ws(",", F.transform(F.array_sort(F.map_entries("weights")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+    return out.withColumn("weights", weights)
+
+
+METRICS = ("auroc", "average_precision", "aurc", "brier", "nll", "ece")
+
+
+def _bundled(scored, by=("comparison",)):
+    return learners.bundle(learners.averaged(scored, "doc_id", "err"), "doc_id", "err", list(by)).withColumns({c: r6(F.col(c)) for c in METRICS})
+
+
+SEEDS = tuple(str(s) for s in range(2026, 2036))
 
 
 @query()
 def family_comparisons(spark, sf):
-    """Eleven comparisons of families, two of them on what length and words don't explain."""
-    return _bundled(spark, sf, NAMES)
+    """Eleven comparisons of families, two of them on what length and words don't explain: metrics on one split, the range over ten, and the rank of the features."""
+    rows, comparisons = featured(spark, sf), learners.designs(FAMILIES, NAMES, "L+W")
+    scored, _ = learners.compared(rows, comparisons, "doc_id", "err", "lang", SEEDS)
+    scored = scored.persist()  # read for the metrics and for the range
+    first = _bundled(scored.filter(F.col("seed") == SEEDS[0]))
+    parts = metrics.auroc(scored.filter("score is not null"), "score", "err", ["comparison", "seed"])
+    spread = parts.groupBy("comparison").agg(r6(F.min("auroc")).alias("auroc_low"), r6(F.max("auroc")).alias("auroc_high"), F.count("auroc").alias("splits"))
+    ranks = []
+    for name, d in comparisons.items():
+        columns = [c.lstrip("~") for c in d.all]
+        rank, _ = learners.rank_and_condition(rows, columns, standardised=False)
+        ranks.append((name, len(columns), rank, rank < len(columns)))
+    report = spark.createDataFrame(ranks, "comparison string, features int, matrix_rank int, rank_deficient boolean")
+    return first.join(spread, "comparison").join(report, "comparison")
 
 
 @query()
 def feature_ablation(spark, sf):
     """Four families, scores averaged over five splits."""
-    return _bundled(spark, sf, ["L+W", "L+W+S", "L+W+R", "L+W+S+R"], ("1", "2", "3", "4", "5"))
+    scored, _ = learners.compared(featured(spark, sf), learners.designs(FAMILIES, ["L+W", "L+W+S", "L+W+R", "L+W+S+R"]), "doc_id", "err", "lang", SEEDS[:5])
+    return _bundled(scored)
 
 
 @query()
 def depth_ablation(spark, sf):
     """Sixteen sets of families with their gain over length and words."""
-    out = _bundled(spark, sf, DEPTHS).select("comparison", "auroc", "aurc")
+    scored, _ = learners.compared(featured(spark, sf), learners.designs(FAMILIES, DEPTHS, "L+W"), "doc_id", "err", "lang")
+    out = _bundled(scored).select("comparison", "auroc", "aurc")
     return metrics.gains(out, [], "comparison", "auroc", "L+W").withColumn("gain", r6(F.col("gain")))
 
 
 @query()
 def transfer(spark, sf):
-    """Trained on English documents, scored on the other languages without a refit, by eight sets of features."""
-    out = learners.transferred(featured(spark, sf), learners.designs(FAMILIES, TRANSFERS, "L+W"), "doc_id", "err", "lang", "en")
-    return metrics.auroc(out.filter("score is not null"), "score", "err", ["comparison", "lang"]).withColumn("auroc", r6(F.col("auroc")))
+    """Trained on English documents with a strength chosen there, scored on the other languages without a refit, by eight sets of features."""
+    rows = featured(spark, sf).withColumn("target", (F.col("lang") != "en").cast("int"))
+    scored, _ = learners.compared(rows, learners.designs(FAMILIES, TRANSFERS, "L+W"), "doc_id", "err", None, ("all",), 2, fold="target", only=(1,))
+    out = scored.filter("score is not null").join(rows.select("doc_id", "lang"), "doc_id")
+    return metrics.auroc(out, "score", "err", ["comparison", "lang"]).withColumn("auroc", r6(F.col("auroc")))
 
 
 @query()
 def group_protocols(spark, sf):
-    """With indicators of the language, within each language alone, and with each language left out."""
-    rows = featured(spark, sf)
+    """With indicators of the language, within each language alone, and with each language left out; strengths chosen within each fold."""
     from ..functions.features import one_hot
 
+    rows = featured(spark, sf)
     hot = one_hot(rows.withColumn("level", F.col("lang")), "level", "lang_").withColumn("lang_all", F.lit("all"))
     levels = [c for c in hot.columns if c.startswith("lang_") and c != "lang_all"]
-    features = ["n_chars", "n_words", "n_lines"]
-    dealt = sampling.folds(hot, "err", "lang", "doc_id", 5, "2026")
-    controlled = learners.out_of_fold(dealt, "doc_id", "err", [*features, *levels]).select(F.lit("controlled").alias("protocol"), F.lit("all").alias("lang"), "doc_id", "err", "score")
     languages = sorted(r[0] for r in rows.select("lang").distinct().collect())  # four
-    grouped = dealt.withColumn("groups", F.array(F.col("lang"), F.concat("lang", F.lit(":"), F.col("fold").cast("string"))))
-    design = Design(features)
-    others = lambda g: [x for x in languages if x != g]
-    own = [learners.Model(f"own|{g}|{k}", [*others(g), f"{g}:{k}"], [f"{g}:{k}"]) for g in languages for k in range(5)]
-    left = [learners.Model(f"left out|{g}|", [g], [g]) for g in languages]
-    models = learners.fit_many(grouped, design, "err", own + left)
-    named = learners.scores(grouped, design, "doc_id", "err", models)
-    rest = named.select(F.split_part("name", F.lit("|"), F.lit(1)).alias("protocol"), F.split_part("name", F.lit("|"), F.lit(2)).alias("lang"), "doc_id", "err", "score")
-    scored = controlled.unionByName(rest).filter("score is not null")
-    return metrics.auroc(scored, "score", "err", ["protocol", "lang"]).withColumn("auroc", r6(F.col("auroc")))
+    number = F.create_map(*(F.lit(x) for i, g in enumerate(languages) for x in (g, i)))
+    pick = lambda scored, protocol, lang: scored.select(F.lit(protocol).alias("protocol"), lang.alias("lang"), "doc_id", "err", "score")
+    controlled, _ = learners.compared(hot, {"all": Design([*SMALL, *levels])}, "doc_id", "err", "lang")
+    scored = pick(controlled, "controlled", F.lit("all"))
+    left, _ = learners.compared(rows.withColumn("group", number[F.col("lang")]), {"all": Design(SMALL)}, "doc_id", "err", None, ("all",), len(languages), fold="group")
+    scored = scored.unionByName(pick(left, "left out", F.get(F.array(*map(F.lit, languages)), F.col("fold"))))
+    for g in languages:
+        own, _ = learners.compared(rows.filter(F.col("lang") == g), {"all": Design(SMALL)}, "doc_id", "err", None)
+        scored = scored.unionByName(pick(own, "own", F.lit(g)))
+    return metrics.auroc(scored.filter("score is not null"), "score", "err", ["protocol", "lang"]).withColumn("auroc", r6(F.col("auroc")))
 
 
 @query()
 def coefficient_stability(spark, sf):
-    """Weights over folds and seeds: mean, deviation and how often they are above zero."""
-    design, seeds = Design(["n_chars", "n_words", "n_lines", "upper"]), ("1", "2", "3")
-    rows = learners.split_by_seeds(featured(spark, sf), "err", "lang", "doc_id", seeds, 5)
-    models = learners.fit_many(rows, design, "err", [learners.Model(f"s{s}f{k}", [f"s{s}f{k}"], []) for s in seeds for k in range(5)])
+    """Weights over folds and seeds, each fold with its own strength: mean, deviation and how often they are above zero."""
+    design = Design([*SMALL, "upper"])
+    _, models = learners.compared(featured(spark, sf), {"all": design}, "doc_id", "err", "lang", SEEDS[:3])
     return spark.createDataFrame([(f, round(a, 6), round(b, 6), c) for f, a, b, c in learners.stability(models, design.all)], "feature string, mean double, deviation double, positive double")
 
 
 @query()
 def stability_audit(spark, sf):
-    """AUROC of twelve sets of families over three splits: mean and range."""
-    scored = learners.compared(featured(spark, sf), learners.designs(FAMILIES, DEPTHS[:12], "L+W"), "doc_id", "err", "lang", ("1", "2", "3")).filter("score is not null")
-    parts = metrics.auroc(scored, "score", "err", ["comparison", "seed"])
+    """AUROC of twelve sets of families over ten splits: mean and range."""
+    scored, _ = learners.compared(featured(spark, sf), learners.designs(FAMILIES, DEPTHS[:12], "L+W"), "doc_id", "err", "lang", SEEDS)
+    parts = metrics.auroc(scored.filter("score is not null"), "score", "err", ["comparison", "seed"])
     return parts.groupBy("comparison").agg(r6(F.avg("auroc")).alias("mean"), r6(F.max("auroc") - F.min("auroc")).alias("spread"), F.count("*").alias("splits"))
 
 
@@ -188,7 +223,7 @@ def target_analysis(spark, sf):
     rows, out = featured(spark, sf).withColumn("any_error", F.greatest("err", "toxic")), None
     for target in ("err", "toxic", "any_error"):
         base = rows.select("doc_id", "lang", F.col(target).alias("y"), *(c for f in FAMILIES.values() for c in f))
-        scored = learners.compared(base, learners.designs(FAMILIES, ["L", "L+W+S+R"]), "doc_id", "y", "lang")
+        scored, _ = learners.compared(base, learners.designs(FAMILIES, ["L", "L+W+S+R"]), "doc_id", "y", "lang")
         wide = scored.groupBy("doc_id", "y").pivot("comparison", ["L", "L+W+S+R"]).agg(F.first("score")).toDF("doc_id", "y", "small", "large").dropna()
         gap = resamples.interval(resamples.paired(wide, "doc_id", 200, target, resamples.auroc("small", "y"), resamples.auroc("large", "y")))
         part = gap.select(F.lit(target).alias("target"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), r6(F.col("mean")).alias("gain"), "draws", "valid")
@@ -217,12 +252,12 @@ def audit_summary(spark, sf):
     return gate.join(at, "lang").join(metrics.spearman(rows, "n_chars", "err", ["lang"]).withColumn("spearman", r6(F.col("spearman"))), "lang")
 
 
-@query("SELECT 2::INT AS rank, TRUE AS finite")
+@query("SELECT count(*) FILTER (WHERE v > 0)::INT AS rank FROM (SELECT unnest([q, t, b]) AS v FROM (SELECT stddev_pop(l_quantity) AS q, stddev_pop(l_tax) AS t, max(abs(l_quantity + 2 * l_tax - \"both\")) AS b FROM (SELECT l_quantity, l_tax, l_quantity + 2 * l_tax AS \"both\" FROM lineitem)))")
 def matrix_rank(spark, sf):
-    """Rank and condition of columns of which one is the sum of two others."""
+    """Rank of columns of which one is the sum of two others; the SQL counts those that vary and aren't such a sum."""
     x = read(spark, sf, "lineitem").select("l_quantity", "l_tax", (F.col("l_quantity") + 2 * F.col("l_tax")).alias("both"))
-    rank, condition = learners.rank_and_condition(x, ["l_quantity", "l_tax", "both"])
-    return spark.createDataFrame([(rank, condition < float("inf"))], "rank int, finite boolean")
+    rank, _ = learners.rank_and_condition(x, ["l_quantity", "l_tax", "both"])
+    return spark.createDataFrame([(rank,)], "rank int")
 
 
 @query("WITH r AS (SELECT o_orderkey, o_totalprice, o_totalprice - (regr_slope(o_totalprice, o_custkey) OVER () * o_custkey + regr_intercept(o_totalprice, o_custkey) OVER ()) AS e FROM orders), k AS (SELECT rank() OVER (ORDER BY round(e, 4)) + (count(*) OVER (PARTITION BY round(e, 4)) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE AS b FROM r) SELECT round(corr(a, b), 5) AS spearman FROM k")

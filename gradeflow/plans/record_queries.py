@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, identity, record_digest
 from ..operators import integrity
+from ..sources import ordered
 from ..sources import records as R
+from ..sources.ranges import file_digests, write_files
+from ..sources.shared import shared_folder
 from .text_queries import read
 
 QUERIES: dict = {}
@@ -25,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    return R.shared_folder(spark, label)
+    return shared_folder(spark, label)
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,53 +112,76 @@ def prompt_digests(spark, sf):
 def found_reports(spark, sf):
     """Reports of a given name in folders of any depth; other files are passed over."""
     at = folder(spark, "reports")
-    fs, _ = R._fs(spark, at)
-    for r in read(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect():  # 25 rows
-        for name in (f"report{r['n_regionkey']}.json", "notes.txt"):
-            out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{r['n_regionkey']}/{r['n_nationkey']}/{name}"))
-            out.write(bytearray(b"{}"))
-            out.close()
+    names = F.explode(F.array(F.concat(F.lit("report"), "n_regionkey", F.lit(".json")), F.lit("notes.txt")))
+    files = read(spark, sf, "nation").withColumn("last", names).select(F.concat_ws("/", "n_regionkey", "n_nationkey", "last").alias("name"), F.lit("{}").alias("text"))
+    write_files(files, at)
     return R.find_files(spark, at, "report*.json").groupBy("name").agg(F.count("*").alias("files"))
 
 
-@query("SELECT 'n' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS text FROM nation")
+@query("SELECT n_regionkey || '/n' || n_nationkey AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS text FROM nation UNION ALL SELECT '9/n' || n_nationkey, n_nationkey::VARCHAR FROM nation")
 def artifacts_or_null(spark, sf):
+    """Expected files by their paths, null for those that aren't there; files of one name in two folders are two."""
     at = folder(spark, "artifacts")
-    fs, _ = R._fs(spark, at)
-    nations = read(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # 25 rows
-    for r in nations:
-        if r["n_nationkey"] % 2 == 0:
-            out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/n{r['n_nationkey']}"))
-            out.write(bytearray(r["n_name"].encode()))
-            out.close()
-    return R.artifacts(spark, at, [f"n{r['n_nationkey']}" for r in nations])
+    nations = read(spark, sf, "nation")
+    own = nations.select(F.concat(F.col("n_regionkey"), F.lit("/n"), "n_nationkey").alias("name"), F.col("n_name").alias("text"), "n_nationkey")
+    other = nations.select(F.concat(F.lit("9/n"), "n_nationkey").alias("name"), F.col("n_nationkey").cast("string").alias("text"))
+    write_files(own.filter("n_nationkey % 2 = 0").select("name", "text").unionByName(other), at)
+    return R.artifacts(spark, at, [r["name"] for r in own.select("name").unionByName(other.select("name")).collect()])  # 50 names
 
 
-@query("SELECT n_regionkey::VARCHAR AS folder, count(*) AS files FROM nation GROUP BY 1")
+@query("SELECT n_regionkey || '/' || n_nationkey % 2 AS folder, count(*) AS files FROM nation GROUP BY 1")
 def files_per_folder(spark, sf):
+    """Folders of one name below different ones are counted apart."""
     at = folder(spark, "counts")
-    fs, _ = R._fs(spark, at)
-    for r in read(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect():  # 25 rows
-        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{r['n_regionkey']}/{r['n_nationkey']}.json"))
-        out.write(bytearray(b"{}"))
-        out.close()
+    write_files(read(spark, sf, "nation").select(F.concat_ws("/", "n_regionkey", F.col("n_nationkey") % 2, F.concat("n_nationkey", F.lit(".json"))).alias("name"), F.lit("{}").alias("text")), at)
     return R.file_counts(spark, at)
 
 
-@query("""SELECT sha256(string_agg('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}' || chr(10), '' ORDER BY c_custkey DESC)) AS digest FROM customer""")
+@query("SELECT 'file' || n_nationkey AS name, length(t) AS size, CASE WHEN length(t) <= 20 THEN sha256(t) ELSE sha256(sha256(substr(t, 1, 20)) || CASE WHEN length(t) > 40 THEN sha256(substr(t, 21, 20)) || sha256(substr(t, 41)) ELSE sha256(substr(t, 21)) END) END AS digest FROM (SELECT n_nationkey, repeat(n_name, 1 + n_nationkey % 3) AS t FROM nation)")
+def digests_by_ranges(spark, sf):
+    """Files read by ranges of 20 bytes: of one range the plain digest, of several that of their digests."""
+    at = folder(spark, "ranges")
+    write_files(read(spark, sf, "nation").select(F.concat(F.lit("file"), "n_nationkey").alias("name"), F.expr("repeat(n_name, cast(1 + n_nationkey % 3 as int))").alias("text")), at)
+    return file_digests(spark, at, 20).select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "digest")
+
+
+def tree_sql(rows: str, by: str, order: str, width: int) -> str:
+    """The root over ``rows(by, order, line)`` by three levels, of which one with a single node below keeps its digest."""
+    level = lambda inner: f"SELECT g, i // {width} AS i, CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d, sum(n) AS n FROM ({inner}) GROUP BY 1, 2"
+    numbered = f"SELECT {by} AS g, line, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS r FROM ({rows})"
+    leaves = f"SELECT g, r // {width} AS i, sha256(string_agg(line || chr(10), '' ORDER BY r)) AS d, count(*) AS n FROM ({numbered}) GROUP BY 1, 2"
+    return level(level(level(leaves)))
+
+
+_LINE = """'{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}'"""
+
+
+@query(f"SELECT d AS digest, n::BIGINT AS lines FROM ({tree_sql(f'SELECT 0 AS z, -c_custkey AS k, {_LINE} AS line FROM customer', 'z', 'k', ordered.WIDTH)})")
 def compiled_lines(spark, sf):
-    """Records as one file in the manifest's order; the result is the file's digest."""
+    """Records as one logical file in the manifest's order: the root of its hash tree and its lines."""
     rows = customers(spark, sf)
     manifest = rows.select("c_custkey", (-F.col("c_custkey")).alias("selection_order"))
-    digest = R.compile_lines(manifest, rows, "c_custkey", "selection_order", folder(spark, "compiled"))
-    return spark.createDataFrame([(digest,)], "digest string")
+    done = R.compile_lines(manifest, rows, "c_custkey", "selection_order", folder(spark, "compiled"))
+    return spark.createDataFrame([(done["digest"], done["lines"])], "digest string, lines long")
 
 
-@query("""SELECT '{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}' AS line FROM customer""")
+@query(f"SELECT {_LINE} AS line FROM customer")
 def canonical_lines(spark, sf):
+    """Lines of canonical JSON in parts by range."""
     at = folder(spark, "canonical")
-    R.write_canonical(customers(spark, sf), at, "c_custkey")
-    return spark.read.text(at).withColumnRenamed("value", "line")
+    R.write_canonical(customers(spark, sf), at, ["c_custkey"])
+    return ordered.Versions(spark, at).read().select(F.col("value").alias("line"))
+
+
+@query("SELECT c_custkey, 'second' AS written, c_name FROM customer WHERE c_custkey % 2 = 0")
+def replaced_records(spark, sf):
+    """A second writing replaces the first in one step; what a third had written when it was stopped doesn't count."""
+    at = folder(spark, "replaced")
+    rows = customers(spark, sf).select("c_custkey", "c_name")
+    R.write_atomically(rows.withColumn("written", F.lit("first")), at, ["c_custkey"])
+    R.write_atomically(rows.filter("c_custkey % 2 = 0").withColumn("written", F.lit("second")), at, ["c_custkey"])
+    ordered.Versions(spark, at).write(rows.select(F.lit("stopped").alias("value"), "c_custkey"), ["c_custkey"])
+    return R.read_current(spark, at, "c_custkey long, c_name string, written string")
 
 
 @query("SELECT TRUE AS first_written, FALSE AS second_written, TRUE AS other_refused")
@@ -180,16 +206,22 @@ def numbered_reports(spark, sf):
     return spark.createDataFrame([(path.rsplit("/", 1)[1], text) for path, text in made], "name string, markdown string")
 
 
-@query("SELECT count(*) FILTER (WHERE n_nationkey % 3 = 0) AS broken, count(*) AS files FROM nation")
+@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'temporary_file' WHEN 1 THEN 'invalid_json' WHEN 2 THEN 'checksum_mismatch' END AS reason, TRUE AS removed, (SELECT count(*) FILTER (WHERE n_nationkey % 5 > 2) FROM nation) AS files_left FROM nation WHERE n_nationkey % 5 < 3")
 def broken_files(spark, sf):
-    """Files that an interrupted run left half written."""
+    """Files that an interrupted run left: temporary ones, half-written ones, and those whose checksum is another's; deleted once that is confirmed."""
     at = folder(spark, "broken")
-    fs, _ = R._fs(spark, at)
-    for r in read(spark, sf, "nation").select("n_nationkey").collect():  # 25 rows
-        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/{r['n_nationkey']}.json"))
-        out.write(bytearray(b'{"id":' if r["n_nationkey"] % 3 == 0 else b'{"id":1}'))
-        out.close()
-    return spark.createDataFrame([(R.delete_broken(spark, at, "id long"), R.find_files(spark, at).count())], "broken long, files long")
+    good = R.with_checksum(read(spark, sf, "nation").select("n_nationkey", "n_name"))
+    text = F.to_json(F.struct("n_nationkey", "n_name", "record_checksum"))
+    how = F.col("n_nationkey") % 5
+    wrong = F.when(how == 1, F.substring(text, F.lit(1), F.length(text) - 5)).when(how == 2, F.replace(text, F.col("n_name"), F.lit("changed"))).otherwise(text)
+    name = F.concat(F.when(how == 0, "tmp").otherwise("r"), "n_nationkey", F.when(how == 0, "").otherwise(".json"))
+    write_files(good.select(name.alias("name"), wrong.alias("text")), at)
+    schema = "n_nationkey int, n_name string"
+    if R.delete_broken(spark, at, schema).filter("removed").count() or R.find_files(spark, at).count() == 0:
+        raise AssertionError("files went without confirmation")
+    gone = R.delete_broken(spark, at, schema, confirmed=True)
+    key = F.regexp_extract("path", r"(\d+)(\.json)?$", 1).cast("int")
+    return gone.select(key.alias("n_nationkey"), "reason", "removed", F.lit(R.find_files(spark, at, "*").count()).alias("files_left"))
 
 
 @query('SELECT count(*) AS "rows", count(*) FILTER (WHERE c_custkey % 7 = 0) AS failed, count(*) FILTER (WHERE c_mktsegment = \'BUILDING\') AS building FROM customer')
@@ -222,11 +254,14 @@ def run_identities(spark, sf):
     return spark.createDataFrame([(k, identity("run", {"name": f"r{k}", "limit": int(k) + 1})) for k in regions], "n_regionkey int, identity string")
 
 
-@query("SELECT lang, sha256(string_agg(doc_id || ':' || fold, ',' ORDER BY doc_id)) AS digest FROM (SELECT doc_id, lang, doc_id % 5 AS fold FROM documents WHERE doc_id IS NOT NULL) GROUP BY lang")
+_PAIRS = "SELECT lang, doc_id, doc_id || ':' || doc_id % 5 AS line FROM documents WHERE doc_id IS NOT NULL"
+
+
+@query(f"SELECT g AS lang, d AS digest, n::BIGINT AS lines FROM ({tree_sql(_PAIRS, 'lang', 'doc_id', 16)})")
 def split_checksums(spark, sf):
-    """A digest of which row is in which fold, for each language's split."""
+    """A digest of which row is in which fold, for each language's split, by trees of 16 lines a leaf."""
     rows = read(spark, sf, "documents").filter("doc_id is not null").select("lang", "doc_id", (F.col("doc_id") % 5).alias("fold"))
-    return integrity.split_checksum(rows, ["lang"], "doc_id", "fold")
+    return integrity.split_checksum(rows, ["lang"], "doc_id", "fold", width=16)
 
 
 @query("SELECT page_id, regexp_matches(strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (page_id) SECOND, '%Y-%m-%dT%H:%M:%S') || '+00:00', '^2024') AS stamped, strftime(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (page_id) SECOND, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso FROM pages")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import json
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -15,35 +13,13 @@ from pyspark.sql.types import StructType
 
 from ..functions.canonical import canonical_json
 from ..operators.integrity import checksum, missing_and_unexpected
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; a local master may do without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared folder")
-    path = f"{(root or tempfile.mkdtemp(prefix='gradeflow-')).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """What a query left goes when the driver ends."""
-    try:
-        if spark.sparkContext._jsc is not None:
-            fs, target = _fs(spark, path)
-            fs.delete(target, True)
-    except Exception:  # noqa: BLE001  the JVM may have gone first
-        pass
-
-
-def _fs(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+from .ordered import Versions
+from .ranges import file_digests, file_ranges
+from .shared import file_system, kept
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _fs(spark, path)
+    fs, target = file_system(spark, path)
     return fs.exists(target)
 
 
@@ -77,8 +53,8 @@ def read_union(spark: SparkSession, pattern: str, schema: str, key: str) -> Data
 
 
 def by_content(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, digest) of every file of a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.sha2("content", 256).alias("digest"))
+    """(path, digest) of every file of a folder, read by byte ranges; up to 64 MB the plain SHA-256, beyond that of the ranges' digests."""
+    return file_digests(spark, folder).select("path", "digest")
 
 
 def source_of(spark: SparkSession, manifest: DataFrame, folder: str, digest: str = "source_digest") -> DataFrame:
@@ -132,36 +108,58 @@ def checked_prompts(prompts: DataFrame, text: str = "template", digest: str = "d
 
 
 def find_files(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
-    """(path, name, text) of all files below a folder whose name fits."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("wholetext", True).text(folder)
-    return files.select(F.input_file_name().alias("path"), F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+    """(path, name, text) of all files below a folder whose name fits and that aren't empty."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(folder)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text"))
+
+
+def below(path, folder: str):
+    """The part of a file's path that lies below ``folder``."""
+    plain = F.regexp_replace(path, "^[a-zA-Z0-9+.-]+:/*", "/")
+    root = re.sub("^[a-zA-Z0-9+.-]+:/*", "/", folder.rstrip("/")) + "/"
+    return F.substring(plain, F.lit(len(root) + 1), F.length(plain))
 
 
 def artifacts(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
-    """(name, text) of each expected file, null for one that isn't there."""
+    """(name, text) of each expected file by its path below ``folder``, null for one that isn't there."""
     wanted = spark.createDataFrame([(x,) for x in expected], "name string")
-    return wanted.join(find_files(spark, folder, "*").select("name", "text"), "name", "left")
+    return wanted.join(find_files(spark, folder, "*").select(below(F.col("path"), folder).alias("name"), "text"), "name", "left")
 
 
 def file_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder, files): the number of files directly in each folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count("*").alias("files"))
+    """(folder, files): the number of files directly in each folder, by its path below ``folder``; empty for that itself."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(below(F.col("path"), folder).alias("p"))
+    return files.groupBy(F.regexp_replace("p", "/?[^/]*$", "").alias("folder")).agg(F.count("*").alias("files"))
+
+
+#: Why a file counts as left by an interrupted run.
+PARTIAL_REASONS = ("temporary_file", "invalid_json", "checksum_mismatch")
 
 
-def broken_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """(path, name) of the files that aren't JSON of the schema: what an interrupted run left. Nothing is deleted."""
-    files = find_files(spark, folder, "*")
-    return files.filter((F.trim("text") == "") | F.from_json("text", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})["_corrupt"].isNotNull()).select("path", "name")
+def broken_files(spark: SparkSession, folder: str, schema: str, field: str = "record_checksum") -> DataFrame:
+    """(path, reason) of the files of single records that an interrupted run left; nothing is deleted.
 
+    Reasons in turn: a name that begins with ``tmp``; a ``.json`` file that isn't JSON of the schema; one whose checksum
+    isn't that of its other fields. Files of other names are passed over.
+    """
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = [f.name for f in kind.fields]
+    read = F.from_json("text", f"{kind.toDDL()}, {field} string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    # Spark's own sources pass empty files over
+    empty = file_ranges(spark, folder, digests=False).filter("size = 0").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("").alias("text"))
+    files = find_files(spark, folder, "*").unionByName(empty).withColumn("r", read).select("path", "name", "text", "r.*")
+    temporary, known, whole = F.col("name").startswith("tmp"), F.col("name").endswith(".json"), F.col("_corrupt").isNull() & (F.trim("text") != "")
+    reason = F.when(temporary, PARTIAL_REASONS[0]).when(known & ~whole, PARTIAL_REASONS[1]).when(known & ~F.col(field).eqNullSafe(checksum(files, *names)), PARTIAL_REASONS[2])
+    return files.select("path", reason.alias("reason")).filter("reason is not null")
 
-def delete_broken(spark: SparkSession, folder: str, schema: str, confirmed: bool = False) -> int:
-    """Delete what ``broken_files`` lists, if that is confirmed; the number of files."""
-    paths = [r["path"] for r in broken_files(spark, folder, schema).collect()]  # leftovers of single records
-    for path in paths if confirmed else []:
-        fs, target = _fs(spark, path)
+
+def delete_broken(spark: SparkSession, folder: str, schema: str, confirmed: bool = False, field: str = "record_checksum") -> DataFrame:
+    """What ``broken_files`` lists, with ``removed``; the files are deleted only if that is confirmed."""
+    found = kept(broken_files(spark, folder, schema, field))
+    for row in found.select("path").collect() if confirmed else []:  # leftovers of single records: some for each task that was stopped
+        fs, target = file_system(spark, row["path"])
         fs.delete(target, False)
-    return len(paths)
+    return found.withColumn("removed", F.lit(confirmed))
 
 
 # sinks
@@ -177,35 +175,35 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def write_atomically(df: DataFrame, path: str) -> None:
-    """Replaces what is there only once all is written."""
-    fs, target = _fs(df.sparkSession, path)
-    new, fresh = f"{path}.{uuid.uuid4().hex}", None
-    df.write.json(new)
-    _, fresh = _fs(df.sparkSession, new)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(fresh, target)
+def write_atomically(df: DataFrame, path: str, order: list[str]) -> dict:
+    """Replaces the records of ``path`` by those of ``df`` in one step: canonical lines in ``order`` as a version that counts once a pointer is renamed."""
+    return Versions(df.sparkSession, path).replace(df.select(canonical_json(df).alias("value"), *order), order)
+
+
+def read_current(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """The records that ``write_atomically`` put there last; a malformed line fails the read."""
+    now = Versions(spark, path).current()
+    if now is None:
+        raise FileNotFoundError(path)
+    return read_lines(spark, f"{path}/{now['version']}", schema)
 
 
-def write_canonical(df: DataFrame, path: str, order: str | None = None) -> None:
-    """One file of canonical JSON lines, in order of a column; refuses to replace what is there."""
-    lines = df.select(canonical_json(df).alias("value"), *([F.col(order).alias("_at")] if order else []))
-    lines = lines.repartition(1).sortWithinPartitions("_at").drop("_at") if order else lines.coalesce(1)
-    lines.write.mode("errorifexists").text(path)
+def write_canonical(df: DataFrame, path: str, order: list[str]) -> dict:
+    """Canonical JSON lines in ``order``, as files in the order of their names; refuses to replace what is there. Gives version, lines and digest."""
+    files = Versions(df.sparkSession, path)
+    if files.current() is not None:
+        raise ValueError(f"{path} already exists")
+    return files.replace(df.select(canonical_json(df).alias("value"), *order), order, after=0)
 
 
-def compile_lines(manifest: DataFrame, records: DataFrame, key: str, order: str, path: str) -> str:
-    """The records of a manifest as one file in its order, and the file's digest; a missing record is an error."""
-    spark = manifest.sparkSession
+def compile_lines(manifest: DataFrame, records: DataFrame, key: str, order: str, path: str) -> dict:
+    """The records of a manifest as one logical file in its order: version, lines and digest; a missing record is an error."""
     short = manifest.join(records.select(key), key, "left_anti").count()
     if short:
         raise ValueError(f"{short} records of the manifest are missing")
     rows = manifest.select(key, F.col(order).alias("_order")).join(records, key)
-    lines = rows.select(canonical_json(rows.drop("_order")).alias("value"), "_order")
-    lines.repartition(1).sortWithinPartitions("_order").select("value").write.mode("errorifexists").text(path)
-    (digest,) = [r["digest"] for r in by_content(spark, path).filter("path like '%/part-%'").collect()]  # the one file
-    return digest
+    lines = rows.select(canonical_json(rows.drop("_order")).alias("value"), "_order", key)
+    return Versions(manifest.sparkSession, path).replace(lines, ["_order", key])
 
 
 def write_or_equal(df: DataFrame, path: str) -> bool:
@@ -222,7 +220,7 @@ def write_or_equal(df: DataFrame, path: str) -> bool:
 
 def next_report(spark: SparkSession, folder: str, prefix: str, digits: int = 3) -> str:
     """The path of the next numbered report; numbers are never used again while a report of theirs is there."""
-    fs, target = _fs(spark, folder)
+    fs, target = file_system(spark, folder)
     names = [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
     used = [int(m[1]) for m in (re.fullmatch(rf"{re.escape(prefix)}_(\d+)(?:\..*)?", n) for n in names) if m]
     return f"{folder}/{prefix}_{max(used, default=0) + 1:0{digits}d}"

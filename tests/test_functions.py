@@ -116,19 +116,10 @@ def test_canonical_json_equals_pythons(spark):
 
 def test_files_of_records(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
-    records.write_atomically(rows, str(tmp_path / "w"))
-    records.write_atomically(rows.filter("id = 1"), str(tmp_path / "w"))
-    assert records.read_lines(spark, str(tmp_path / "w"), rows.schema).count() == 1
-    with pytest.raises(ValueError, match="1 records"):
-        records.compile_lines(rows, rows.filter("id = 1"), "id", "id", str(tmp_path / "c"))
     (tmp_path / "config.json").write_text('{"n": 3, "bad": 0}')
     assert records.read_config(spark, str(tmp_path / "config.json"), ("n",))["n"] == 3
     with pytest.raises(ValueError, match="bad must be"):
         records.read_config(spark, str(tmp_path / "config.json"), ("n", "bad"))
-    (tmp_path / "broken").mkdir()
-    (tmp_path / "broken" / "x.json").write_text('{"id": ')
-    assert records.delete_broken(spark, str(tmp_path / "broken"), "id long") == 1 and (tmp_path / "broken" / "x.json").exists()
-    assert records.delete_broken(spark, str(tmp_path / "broken"), "id long", confirmed=True) == 1 and not (tmp_path / "broken" / "x.json").exists()
     good = records.with_checksum(rows)
     records.write_once(good, str(tmp_path / "p"))
     records.write_once(good.withColumn("t", F.lit("z")), str(tmp_path / "q"))

@@ -72,21 +72,10 @@ def test_residual_features_are_ridges_of_the_training_rows(table):
     assert m.mean[0] == pytest.approx((y - m.base[0] - x @ w).mean(), abs=1e-9)
 
 
-def test_comparisons_share_fits_but_not_features(table):
-    one = learners.compared(table, {"A": learners.Design(["a"])}, "id", "y", "src", ("1", "2"))
-    two = learners.compared(table, {"A": learners.Design(["a"]), "AB": learners.Design(["a", "b"]), "R": learners.Design(["a"], ["e"], ["a", "b"])}, "id", "y", "src", ("1", "2"))
-    a = {(r["seed"], r["id"]): r["score"] for r in one.collect()}
-    b = {(r["seed"], r["id"]): r["score"] for r in two.filter("comparison = 'A'").collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-8 for k in a) and len(a) == 480
-    best = {r["comparison"]: r["auroc"] for r in learners.bundle(learners.averaged(two, "id", "y"), "id", "y", ["comparison"]).collect()}
-    assert best["AB"] > best["A"] > 0.5
-
-
-def test_nested_strengths_and_transfer(table):
-    scored, models = learners.nested(table, learners.Design(["a", "b"]), "id", "y")
-    assert {m.c for m in models} <= set(learners.STRENGTHS) and scored.count() == 240
+def test_transfer_and_stability(table):
     out = learners.transferred(table, {"A": learners.Design(["a", "b"])}, "id", "y", "src", "s")
     assert {r["src"] for r in out.select("src").distinct().collect()} == {"t"} and out.count() == 120
+    _, models = learners.compared(table, {"A": learners.Design(["a", "b"])}, "id", "y", "src")
     rows = learners.stability(models, ["a", "b"])
     assert [r[0] for r in rows] == ["a", "b", "norm"] and rows[0][1] > 0 and rows[0][3] == 1.0 and rows[1][3] == 0.0
     rank, condition = learners.rank_and_condition(table.withColumn("f", F.col("a") + F.col("b")), ["a", "b", "f", "k"])
