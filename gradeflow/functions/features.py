@@ -113,9 +113,14 @@ def one_hot(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.select(*(c for c in df.columns if c != column), *((F.col(column) == v).cast("double").alias(prefix + str(v).lower()) for v in levels[:-1]))
 
 
-def first_verdict(error: str, *verdicts: str) -> Column:
-    """Correctness from an error label if there is one, else the first verdict that is there, else false."""
-    return F.coalesce(F.col(error) == 0, *verdicts, F.lit(False))
+def first_verdict(error: str, *verdicts: str, present: Column | None = None) -> Column:
+    """Correctness from an error label if there is one, else the first verdict that is there, else false.
+
+    Where records tell a null label from none, ``present`` says where the field is there: a null label that is means no error.
+    """
+    rest = F.coalesce(*verdicts, F.lit(False))
+    there = F.col(error).isNotNull() if present is None else present
+    return F.when(there, F.coalesce(F.col(error), F.lit(0)) == 0).otherwise(rest)
 
 
 def bucket(x: Column, width: int, most: int = 3) -> Column:

@@ -46,11 +46,16 @@ def matched(name: str) -> Column:
     return F.filter(F.transform(f"_{name}", lambda a, i: F.when(a == F.col("_r"), i)), lambda i: i.isNotNull())
 
 
-def containment(name: str) -> Column:
-    """struct of the seven diagnostics: by characters, both ways, and the alias of the best F1 (the first on ties)."""
-    aliases, r = F.col(f"_{name}"), F.col("_r")
+def containment(name: str, column: str) -> Column:
+    """struct of the seven diagnostics: by characters, both ways, and the alias of the best F1 (the first on ties).
+
+    Aliases are compared as normalised in ``name`` and given as they stand in ``column``.
+    """
+    r = F.col("_r")
     scores = F.transform(f"_{name}_w", lambda w: T.token_f1(F.col("_rw"), w))
-    inside, around = F.filter(aliases, lambda a: (a != "") & F.contains(r, a)), F.filter(aliases, lambda a: (r != "") & F.contains(a, r))
+    pairs = F.arrays_zip(F.col(f"_{name}").alias("n"), F.col(column).alias("given"))
+    fitting = lambda ok: F.transform(F.filter(pairs, lambda p: ok(p["n"])), lambda p: p["given"])
+    inside, around = fitting(lambda a: (a != "") & F.contains(r, a)), fitting(lambda a: (r != "") & F.contains(a, r))
     return F.struct(
         exact(name).alias("exact"),
         (F.size(inside) > 0).alias("alias_in_response"),
@@ -58,7 +63,7 @@ def containment(name: str) -> Column:
         inside.alias("contained_aliases"),
         around.alias("containing_aliases"),
         F.array_max(scores).alias("best_f1"),
-        F.get(aliases, F.array_position(scores, F.array_max(scores)).cast("int") - 1).alias("best_alias"),
+        F.get(F.col(column), F.array_position(scores, F.array_max(scores)).cast("int") - 1).alias("best_alias"),
     )
 
 
@@ -103,19 +108,18 @@ def span_scores(name: str, answerable: str) -> Column:
     return F.struct(F.when(ok, exact(name)).otherwise(abstained).alias("correct"), F.when(ok, best_f1(name)).otherwise(abstained.cast("double")).alias("f1"), F.when(~ok, abstained.cast("double")).alias("no_answer"))
 
 
-def alias_category(response: str, column: str, name: str) -> Column:
-    """Eight kinds of responses to a question with aliases, from the strictest match down."""
-    bundle, rule = containment(name), concise(name)
-    return (
-        F.when(F.array_contains(F.col(column), F.col(response)), "exact")
-        .when(rule == "normalized_exact", "normalized")
-        .when(rule.isNotNull(), "concise")
-        .when(bundle["alias_in_response"], "contained_diagnostic_only")
-        .when(bundle["response_in_alias"], "response_in_alias")
-        .when(bundle["best_f1"] >= HIGH_OVERLAP, "partial_overlap")
-        .when(bundle["best_f1"] < LOW_OVERLAP, "clearly_incorrect")
-        .otherwise("unclear")
-    )
+#: Kinds of responses to a question with aliases, from the strictest match down.
+ALIAS_CATEGORIES = ("exact_alias_match", "normalized_alias_match", "alias_in_concise_response", "alias_contained_diagnostic_only", "response_contained_in_alias", "token_overlap_match", "clearly_incorrect", "unclear")
+
+
+def alias_category(name: str, column: str, stored: Column) -> Column:
+    """The first of the eight kinds that fits; ``stored`` is the match that was recorded when the response was graded."""
+    bundle = containment(name, column)
+    tests = (stored, bundle["exact"], concise(name).isNotNull(), bundle["alias_in_response"], bundle["response_in_alias"], bundle["best_f1"] >= HIGH_OVERLAP, bundle["best_f1"] < LOW_OVERLAP)
+    out = F.when(tests[0], ALIAS_CATEGORIES[0])
+    for test, kind in zip(tests[1:], ALIAS_CATEGORIES[1:], strict=False):
+        out = out.when(test, kind)
+    return out.otherwise(ALIAS_CATEGORIES[-1])
 
 
 #: interpretations: array<struct<name: string, aliases: array<string>>>
@@ -126,11 +130,15 @@ def single_interpretation(interpretations: str, aliases: str) -> Column:
 
 
 def recall(df: DataFrame, key: str = "id", response: str = "response", interpretations: str = "interpretations") -> DataFrame:
-    """(key, interpretations, matched, any_match, recall, mean_f1): exact matches of the whole response with each interpretation."""
-    each = df.select(key, response, F.explode(interpretations).alias("x")).withColumn("aliases", F.col("x.aliases"))
-    scored = prepared(each, response, a="aliases").select(key, exact("a").alias("m"), best_f1("a").alias("f1"))
-    hit = F.count_if("m")
-    return scored.groupBy(key).agg(F.count("*").alias("interpretations"), hit.alias("matched"), (hit > 0).alias("any_match"), (hit / F.count("*")).alias("recall"), F.avg("f1").alias("mean_f1"))
+    """(key, interpretations, matched, any_match, recall, mean_f1): exact matches of the whole response with each interpretation.
+
+    A response without interpretations matches none of none: its recall and mean F1 are null.
+    """
+    each = df.select(key, response, F.explode_outer(interpretations).alias("x")).withColumn("aliases", F.coalesce("x.aliases", F.array()))
+    there = F.col("x").isNotNull()
+    scored = prepared(each, response, a="aliases").select(key, there.alias("there"), (there & exact("a")).alias("m"), F.when(there, best_f1("a")).alias("f1"))
+    hit, n = F.count_if("m"), F.count_if("there")
+    return scored.groupBy(key).agg(n.alias("interpretations"), hit.alias("matched"), (hit > 0).alias("any_match"), F.when(n > 0, hit / n).alias("recall"), F.avg("f1").alias("mean_f1"))
 
 
 def coverage(df: DataFrame, key: str = "id", response: str = "response", interpretations: str = "interpretations") -> DataFrame:
@@ -139,23 +147,26 @@ def coverage(df: DataFrame, key: str = "id", response: str = "response", interpr
     Numbered lines answer the interpretation of their number only; else any segment may answer any, or the
     whole response does. One row a response: (key, interpretations, covered, coverage, any_match, several, best_f1,
     segments, matched_segments). Matched segments are counted by their place among an interpretation's own candidates.
+    A response without interpretations covers none: its coverage is null and its best F1 0.
     """
     lines = df.select(key, F.col(response).alias("whole"), F.col(interpretations).alias("xs"), T.numbered(F.coalesce(F.col(response), F.lit(""))).alias("lines"))
     cut = lines.withColumn("parts", F.when(F.size("lines") > 0, F.transform("lines", lambda x: x["text"])).otherwise(T.segments(F.coalesce(F.col("whole"), F.lit("")))))
-    each = cut.select(key, "whole", "lines", "parts", F.posexplode("xs").alias("k", "x"))
+    each = cut.select(key, "whole", "lines", "parts", F.posexplode_outer("xs").alias("k", "x"))
     own = F.when(F.size("lines") > 0, F.transform(F.filter("lines", lambda x: x["place"] == F.col("k")), lambda x: x["text"])).otherwise(F.col("parts"))
     # the whole response stands at -1; of numbered ones it counts for F1 alone
-    rows = each.select(key, "k", F.col("x.aliases").alias("aliases"), F.size("parts").alias("segments"), (F.size("lines") > 0).alias("by_number"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.col("whole").alias("part"))), F.transform(own, lambda t, i: F.struct(i.alias("place"), t.alias("part"))))).alias("c"))
+    candidates = F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.col("whole").alias("part"))), F.transform(own, lambda t, i: F.struct(i.alias("place"), t.alias("part"))))
+    rows = each.select(key, "k", F.coalesce("x.aliases", F.array()).alias("aliases"), F.size("parts").alias("segments"), (F.size("lines") > 0).alias("by_number"), F.explode(candidates).alias("c"))
     rows = rows.select(key, "k", "aliases", "segments", "by_number", "c.place", "c.part")
-    judged = prepared(rows, "part", a="aliases").select(key, "k", "segments", "place", (concise("a").isNotNull() & ((F.col("place") >= 0) | ~F.col("by_number"))).alias("m"), best_f1("a").alias("f1"))
+    there = F.col("k").isNotNull()
+    match = there & concise("a").isNotNull() & ((F.col("place") >= 0) | ~F.col("by_number"))
+    judged = prepared(rows, "part", a="aliases").select(key, "k", "segments", "place", match.alias("m"), F.when(there, best_f1("a")).otherwise(0.0).alias("f1"))
     by_k = judged.groupBy(key, "k").agg(F.bool_or("m").alias("m"), F.max("f1").alias("f1"), F.max("segments").alias("segments"), F.collect_set(F.when(F.col("m") & (F.col("place") >= 0), F.col("place"))).alias("at"))
-    covered = F.count_if("m")
-    out = by_k.groupBy(key).agg(F.count("*").alias("interpretations"), covered.alias("covered"), (covered / F.count("*")).alias("coverage"), (covered > 0).alias("any_match"), (covered > 1).alias("several"), F.max("f1").alias("best_f1"), F.max("segments").alias("segments"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched_segments"))
-    return out
+    covered, n = F.count_if("m"), F.count("k")
+    return by_k.groupBy(key).agg(n.alias("interpretations"), covered.alias("covered"), F.when(n > 0, covered / n).alias("coverage"), (covered > 0).alias("any_match"), (covered > 1).alias("several"), F.max("f1").alias("best_f1"), F.max("segments").alias("segments"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("matched_segments"))
 
 
 def shared_aliases(df: DataFrame, key: str = "id", response: str = "response", interpretations: str = "interpretations") -> DataFrame:
-    """(key, shared): the number of aliases that several interpretations own and that stand in the response."""
+    """(key, shared): the number of aliases that several interpretations own and that stand in the response; only where there are some."""
     owners = df.select(key, T.normalised(F.col(response)).alias("r"), F.explode(interpretations).alias("x")).select(key, "r", "x.name", F.explode("x.aliases").alias("alias")).select(key, "r", "name", T.normalised(F.col("alias")).alias("alias"))
     by_alias = owners.filter("alias <> ''").groupBy(key, "r", "alias").agg(F.countDistinct("name").alias("k")).filter("k > 1 and contains(r, alias)")
     return by_alias.groupBy(key).agg(F.count("*").alias("shared"))
@@ -195,7 +206,10 @@ def graded(df: DataFrame) -> DataFrame:
 
 
 def revised(df: DataFrame) -> DataFrame:
-    """(id, dataset, status, correct): a second look at each record by the wider rules, with the reason as a status."""
+    """(id, dataset, status, correct): a second look at each record by the wider rules, with the reason as a status.
+
+    A record that no wider rule is for is unchanged: it keeps the correctness of ``graded``. Truthfulness stays open.
+    """
     ambiguous = df.filter("dataset = 'ambignq'").withColumn("interpretations", single_interpretation("interpretations", "aliases"))
     c = coverage(ambiguous)
     by_segments = c.select("id", F.lit("ambignq").alias("dataset"), F.when(F.col("several"), "multiple_interpretations").when(F.col("any_match"), "one_interpretation").when(F.col("best_f1") >= HIGH_OVERLAP, "high_overlap_unresolved").otherwise("clearly_incorrect").alias("status"), F.col("any_match").alias("correct"))
@@ -209,12 +223,61 @@ def revised(df: DataFrame) -> DataFrame:
         .otherwise("unchanged")
     )
     correct = F.when(F.col("dataset") == "triviaqa", rule.isNotNull()).when(open_question, abstained.isNotNull())
-    return rest.select("id", "dataset", status.alias("status"), correct.alias("correct")).unionByName(by_segments)
+    looked = rest.select("id", "dataset", status.alias("status"), correct.alias("_new"))
+    first = graded(df.filter("dataset <> 'ambignq'")).select("id", F.col("correct").alias("_old"))
+    kept = F.when(F.col("status") == "unchanged", F.col("_old")).otherwise(F.col("_new"))
+    return looked.join(first, "id").select("id", "dataset", "status", kept.alias("correct")).unionByName(by_segments)
 
 
 def response_diagnostics(df: DataFrame, key: str = "id", response: str = "response") -> DataFrame:
-    """Where a response states its answer, what follows, and how much of it repeats."""
-    w = df.select(key, F.col(response).alias("t"), T.tokens(F.col(response)).alias("w"), T.sentences(F.col(response)).alias("s"), T.last_answer(F.col(response)).alias("a"))
+    """How a response ended, where it states its answer, what follows, and how much of it repeats.
+
+    ``df`` has the collection's own fields too: stop_reason, token_limit_reached, parsing_status, stop_detected,
+    token_ids and correct.
+    """
+    own = ("stop_reason", "token_limit_reached", "parsing_status", "stop_detected", "token_ids", "correct")
+    w = df.select(key, *own, F.col(response).alias("t"), T.tokens(F.col(response)).alias("w"), T.sentences(F.col(response)).alias("s"), T.last_answer(F.col(response)).alias("a"))
     w = w.withColumn("g", T.ngrams(F.col("w"), 4))
-    rates = w.withColumns({"word_rate": T.repetition(F.col("w")), "ngram_rate": T.repetition(F.col("g")), "sentence_rate": T.repetition(F.col("s"))})
-    return rates.select(key, F.col("a.place").isNotNull().alias("has_answer"), F.col("a.place").alias("place"), F.col("a.relative").alias("relative"), (F.regexp_replace(F.coalesce("a.trailing", F.lit("")), r"\s+", "") != "").alias("goes_on"), F.length("t").alias("n_chars"), F.size("w").alias("n_words"), "word_rate", "ngram_rate", "sentence_rate", T.loops(F.col("ngram_rate"), F.col("sentence_rate")).alias("loops"))
+    rates = w.withColumns({"ngram_rate": T.repetition(F.col("g")), "sentence_rate": T.repetition(F.col("s"))})
+    right, goes_on = F.coalesce("correct", F.lit(False)), F.regexp_replace(F.coalesce("a.trailing", F.lit("")), r"\s+", "") != ""
+    return rates.select(
+        key,
+        (F.col("stop_reason") == "eos_token").alias("eos_reached"),
+        F.col("token_limit_reached").alias("truncated"),
+        (F.col("parsing_status") != "ok").alias("parse_failure"),
+        F.col("a.place").isNotNull().alias("answer_marker_present"),
+        F.col("a.place").alias("answer_marker_character_position"),
+        F.col("a.relative").alias("answer_marker_relative_position"),
+        F.coalesce("stop_detected", F.lit(False)).alias("final_answer_stop_detected"),
+        F.size("token_ids").alias("generated_token_count"),
+        F.length("t").alias("response_character_count"),
+        T.repetition(F.col("token_ids")).alias("repetition_rate"),
+        F.col("ngram_rate").alias("repeated_ngram_rate"),
+        F.col("sentence_rate").alias("repeated_sentence_rate"),
+        T.loops(F.col("ngram_rate"), F.col("sentence_rate")).alias("repetitive_loop"),
+        right.alias("exact_answer_correct"),
+        (right & goes_on).alias("correct_final_answer_before_continued_generation"),
+    )
+
+
+def run_audit(df: DataFrame) -> DataFrame:
+    """One row a dataset of ``df(dataset, response, token_count, token_limit_reached, parsing_status, stop_reason, category)``.
+
+    Counts and rates of truncation, parsing and stops, the summary of token counts, and failures by category.
+    """
+    n = F.count("*")
+    failed = ~F.col("category").isin("correct", "useful")
+    return df.groupBy("dataset").agg(
+        n.alias("collected_count"),
+        F.count_if("token_limit_reached").alias("truncation_count"),
+        (F.count_if("token_limit_reached") / n).alias("truncation_rate"),
+        F.count_if(F.coalesce("parsing_status", F.lit("ok")) != "ok").alias("parsing_failure_count"),
+        (F.count_if(F.col("stop_reason") == "eos_token") / n).alias("eos_rate"),
+        (F.count_if(F.col("stop_reason") == "token_limit") / n).alias("token_limit_rate"),
+        F.count_if(F.trim(F.coalesce("response", F.lit(""))) == "").alias("empty_response_count"),
+        F.min("token_count").alias("minimum"),
+        F.percentile("token_count", 0.5).alias("median"),
+        F.avg("token_count").alias("mean"),
+        F.max("token_count").alias("maximum"),
+        F.count_if(failed).alias("failure_example_count"),
+    )

@@ -14,17 +14,19 @@ from pyspark.sql.types import StringType
 ARTICLES = ("a", "an", "the")
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 BLANKS = r"[ \t\n\r]+"
+#: A blank and a word's character as Python reads them, whatever the script; digits of numbers are ASCII.
+_S, _W = r"[\s\x1c-\x1f\x85\p{Z}]", r"\p{L}\p{N}_"
 #: What counts as a number, a fraction, an explicit final answer and a boxed one.
 _DIGITS = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
-NUMBER = rf"(?<![\w/]){_DIGITS}(?![\w/])"
-FRACTION = r"[-+]?\d+\s*/\s*\d+"
-FINAL = rf"(?i)(?:####|final\s+answer\s*(?:is|:)?|answer\s*(?:is|:)?)\s*({_DIGITS})"
-BOXED = rf"\\boxed\{{\s*({_DIGITS})\s*\}}"
+NUMBER = rf"(?<![{_W}/]){_DIGITS}(?![{_W}/])"
+FRACTION = rf"[-+]?\d+{_S}*/{_S}*\d+"
+FINAL = rf"(?i)(?:####|final{_S}+answer{_S}*(?:is|:)?|answer{_S}*(?:is|:)?){_S}*({_DIGITS})"
+BOXED = rf"\\boxed\{{{_S}*({_DIGITS}){_S}*\}}"
 #: The last line that states an answer, breaks between segments, list marks and numbered lines.
-ANSWER_LINE = rf"(?i)(?:^|\n)Final answer:\s*({_DIGITS})"
-SEGMENT_BREAK = r"\n+|;+|\s+[•●▪]\s+"
-LIST_MARK = r"^\s*(?:[-*•]|\d+[.)])\s*"
-NUMBERED = r"(?m)^\s*(\d+)[.)]\s*(.+?)\s*$"
+ANSWER_LINE = rf"(?i)(?:^|\n)Final answer:{_S}*({_DIGITS})"
+SEGMENT_BREAK = rf"\n+|;+|{_S}+[•●▪]{_S}+"
+LIST_MARK = rf"^{_S}*(?:[-*•]|\d+[.)]){_S}*"
+NUMBERED = rf"(?m)^{_S}*(\d+)[.)]{_S}*(.+?){_S}*$"
 #: A word as Python reads \w: letters, digits and the underscore of any script.
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -82,9 +84,10 @@ def segments(text: Column) -> Column:
 
 
 def numbered(text: Column) -> Column:
-    """array of struct(place, text) of the lines that begin with a number and a dot or bracket; places from 0."""
-    part = lambda i: F.regexp_extract_all(text, F.lit(NUMBERED), i)
-    return F.transform(F.arrays_zip(part(1).alias("n"), part(2).alias("t")), lambda x: F.struct((x["n"].cast("int") - 1).alias("place"), F.trim(x["t"]).alias("text")))
+    """array of struct(place, text) of the lines that begin with a number and a dot or bracket; places from 0, null for numbers of over 18 digits."""
+    part = lambda i: F.regexp_extract_all(text, F.lit(NUMBERED.replace("(?m)", "(?dm)")), i)  # noqa: E731  lines end at \\n alone
+    place = lambda n: F.when(F.length(n) <= 18, n.cast("long") - 1)  # noqa: E731  no list has longer numbers
+    return F.transform(F.arrays_zip(part(1).alias("n"), part(2).alias("t")), lambda x: F.struct(place(x["n"]).alias("place"), F.trim(x["t"]).alias("text")))
 
 
 def numbers(text: Column) -> Column:
@@ -92,9 +95,9 @@ def numbers(text: Column) -> Column:
 
 
 def plain_number(text: Column) -> Column:
-    """Digits without commas, sign plus, leading zeros and an all-zero fraction."""
+    """Digits without commas, sign plus, leading zeros and an all-zero fraction; minus zero is zero."""
     flat = F.regexp_replace(F.regexp_replace(F.trim(text), "[,+$]", ""), r"\.0*$", "")
-    return F.regexp_replace(flat, r"^(-?)0+(?=\d)", "$1")
+    return F.regexp_replace(F.regexp_replace(flat, r"^(-?)0+(?=\d)", "$1"), "^-0$", "0")
 
 
 #: Why a response has no integer answer.
@@ -103,15 +106,16 @@ SEVERAL, NOT_INTEGER = "ambiguous_multiple_numbers", "non_integer_answer"
 
 
 def _judged(text: Column, found: Column) -> Column:
-    value = plain_number(F.get(found, 0))
+    value, parsed = plain_number(F.get(found, 0)), F.get(found, 0)
     reason = (
-        F.when(F.trim(text) == "", EMPTY)
+        F.when(F.regexp_replace(text, _S, "") == "", EMPTY)
         .when(text.rlike(FRACTION), IS_FRACTION)
         .when(F.size(found) == 0, NO_NUMBER)
         .when(F.size(found) > 1, SEVERAL)
         .when(value.contains("."), NOT_INTEGER)
     )
-    return F.struct(F.when(reason.isNull(), value).alias("value"), F.when(reason.isNull(), "ok").otherwise("error").alias("status"), reason.alias("reason"))
+    ok = reason.isNull()
+    return F.struct(F.when(ok | (reason == NOT_INTEGER), parsed).alias("parsed"), F.when(ok, value).alias("value"), F.when(ok, "ok").otherwise("error").alias("status"), reason.alias("reason"))
 
 
 def _all(pattern: str, text: Column) -> Column:
@@ -119,19 +123,21 @@ def _all(pattern: str, text: Column) -> Column:
 
 
 def integer_answer(text: Column) -> Column:
-    """struct(value, status, reason): the number of the last explicit final answer, else the only number of the text."""
+    """struct(parsed, value, status, reason): the number of the last explicit final answer, else the only number of the text."""
     t = F.coalesce(text, F.lit(""))
     finals = _all(FINAL, t)
     return _judged(t, F.when(F.size(finals) > 0, F.slice(finals, -1, 1)).otherwise(numbers(t)))
 
 
 def final_number(text: Column) -> Column:
-    """struct(value, status, reason) of the last boxed number, else the last explicit answer, else the last number."""
+    """struct(parsed, value, status, reason) of the last boxed number, else the last explicit answer, else the last number.
+
+    A text without any is judged as a whole: it may hold a fraction.
+    """
     t = F.coalesce(text, F.lit(""))
     boxed, finals, every = _all(BOXED, t), _all(FINAL, t), numbers(t)
     last = F.coalesce(F.try_element_at(boxed, F.lit(-1)), F.try_element_at(finals, F.lit(-1)), F.try_element_at(every, F.lit(-1)))
-    reason = F.when(F.trim(t) == "", EMPTY).when(last.isNull(), NO_NUMBER).when(plain_number(last).contains("."), NOT_INTEGER)
-    return F.struct(F.when(reason.isNull(), plain_number(last)).alias("value"), F.when(reason.isNull(), "ok").otherwise("error").alias("status"), reason.alias("reason"))
+    return _judged(F.coalesce(last, t), F.when(last.isNotNull(), F.array(last)).otherwise(F.array().cast("array<string>")))
 
 
 def arithmetic_match(response: Column, reference: Column, final: bool = False) -> Column:
@@ -141,25 +147,26 @@ def arithmetic_match(response: Column, reference: Column, final: bool = False) -
     return F.coalesce(answer["value"] == right, F.lit(False))
 
 
-#: Phrases that decline to answer, sought in normalised text (where apostrophes are gone).
+#: Phrases that decline to answer, sought in normalised text (where apostrophes are gone), and the rule of the one word.
 ABSTENTIONS = (
-    ("cannot_be_determined", r"\b(?:cannot|can'?t|could not)\s+be\s+determined\b"),
-    ("not_provided", r"\b(?:not|isn'?t|is not)\s+(?:provided|stated|specified|mentioned)\b"),
-    ("insufficient", r"\binsufficient\s+(?:information|context)\b"),
-    ("context_does_not_say", r"\bcontext\s+(?:does not|doesn'?t)\s+(?:say|state|provide|mention)\b"),
-    ("unknown_from_passage", r"\bunknown\s+from\s+(?:the\s+)?passage\b"),
+    r"\b(?:cannot|can't|could not)\s+be\s+determined\b",
+    r"\b(?:not|isn't|is not)\s+(?:provided|stated|specified|mentioned)\b",
+    r"\binsufficient\s+(?:information|context)\b",
+    r"\bcontext\s+(?:does not|doesn't)\s+(?:say|state|provide|mention)\b",
+    r"\bunknown\s+from\s+(?:the\s+)?passage\b",
 )
+CANONICAL = "canonical"
 #: The one word that is an abstention, what a failed one holds, and phrases of refusal or doubt.
 UNANSWERABLE, HALF_ABSTAINED = "unanswerable", ("unknown", "unanswer")
 REFUSALS = ("i don't know", "i do not know", "cannot answer", "uncertain")
 
 
 def abstention(text: Column) -> Column:
-    """The name of the rule by which a response abstains, or null."""
+    """The rule by which a response abstains: ``canonical`` for an empty one and the one word, else the pattern; null if it doesn't."""
     flat = normalised(text)
-    out = F.when(flat == "", "empty").when(flat == UNANSWERABLE, UNANSWERABLE)
-    for name, pattern in ABSTENTIONS:
-        out = out.when(flat.rlike(pattern), name)
+    out = F.when(flat.isin("", UNANSWERABLE), CANONICAL)
+    for pattern in ABSTENTIONS:
+        out = out.when(flat.rlike(pattern), pattern)
     return out
 
 
@@ -174,9 +181,10 @@ def refusal(text: Column) -> Column:
     return _holds_any(F.lower(F.coalesce(text, F.lit(""))), REFUSALS)
 
 
-def malformed_abstention(text: Column) -> Column:
-    """Words of an abstention in a response that isn't one."""
-    return _holds_any(F.lower(F.coalesce(text, F.lit(""))), HALF_ABSTAINED) & abstention(text).isNull()
+def malformed_abstention(text: Column, flat: bool = False) -> Column:
+    """Words of an abstention in a response that isn't one, sought in the response in lower case or, with ``flat``, normalised."""
+    where = normalised(text) if flat else F.lower(F.coalesce(text, F.lit("")))
+    return _holds_any(where, HALF_ABSTAINED) & abstention(text).isNull()
 
 
 def repetition(items: Column) -> Column:

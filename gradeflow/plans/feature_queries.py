@@ -220,15 +220,12 @@ def one_hot_levels(spark, sf):
     return X.one_hot(read(spark, sf, "part").select("p_partkey", "p_type"), "p_type", "type_")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 2 = 0 WHEN p_partkey % 5 = 1 THEN p_size > 25 WHEN p_partkey % 5 = 2 THEN p_size > 10 WHEN p_partkey % 5 = 3 THEN p_size > 40 ELSE FALSE END AS correct FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN p_partkey % 2 = 0 WHEN p_partkey % 6 = 1 THEN p_size > 25 WHEN p_partkey % 6 = 2 THEN p_size > 10 WHEN p_partkey % 6 = 3 THEN p_size > 40 ELSE p_partkey % 6 = 4 END AS correct FROM part")
 def correctness_chain(spark, sf):
-    """The first of: error label, exact match, correct, numeric match; false if none is there."""
-    k, s = F.col("p_partkey") % 5, F.col("p_size")
-    p = read(spark, sf, "part").select("p_partkey", F.when(k == 0, F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(1)).alias("error"), F.when(k == 1, s > 25).alias("exact"), F.when(k == 2, s > 10).alias("correct"), F.when(k == 3, s > 40).alias("numeric"))
-    return p.select("p_partkey", X.first_verdict("error", "exact", "correct", "numeric").alias("correct"))
-
-
-# aggregates
+    """The first of: error label (a null one that is there is no error), exact match, correct, numeric match; false if none is there."""
+    k, s = F.col("p_partkey") % 6, F.col("p_size")
+    p = read(spark, sf, "part").select("p_partkey", F.when(k == 0, F.when(F.col("p_partkey") % 2 == 0, 0).otherwise(1)).alias("error"), k.isin(0, 4).alias("labelled"), F.when(k == 1, s > 25).alias("exact"), F.when(k == 2, s > 10).alias("correct"), F.when(k == 3, s > 40).alias("numeric"))
+    return p.select("p_partkey", X.first_verdict("error", "exact", "correct", "numeric", present=F.col("labelled")).alias("correct"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n, max(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END) AS high, max(CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS top FROM orders GROUP BY 1")

@@ -48,6 +48,8 @@ _NUMBERS = (
     "'no idea'",
     "''",
     "size || '.5'",
+    "'it is -0'",
+    "'é' || size",
     "'+' || size || '.00'",
     "'answer: 1,0' || lpad(size, 2, '0')",
     "size",
@@ -95,10 +97,11 @@ def concise_sql(k: str) -> str:
     return f"CASE WHEN list_contains({k}n, rn) THEN 'normalized_exact' WHEN list_contains({k}n, rp) THEN 'response_parenthetical' WHEN list_contains({k}p, rn) THEN 'alias_parenthetical' WHEN list_min(list_transform(list_filter({k}w, lambda w: len(w) > 0 AND suffix(rn, array_to_string(w, ' '))), lambda w: len(rw) - len(w))) <= 8 THEN 'concise_containment' END"
 
 
-_ABSTAINED = "CASE WHEN rn = '' THEN 'empty' WHEN rn = 'unanswerable' THEN 'unanswerable' " + " ".join(f"WHEN regexp_matches(rn, '{pattern.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, pattern in T.ABSTENTIONS) + " END"
+_QUOTED = [p.replace("'", "''") for p in T.ABSTENTIONS]
+_ABSTAINED = "CASE WHEN rn IN ('', 'unanswerable') THEN 'canonical' " + " ".join(f"WHEN regexp_matches(rn, '{p}') THEN '{p}'" for p in _QUOTED) + " END"
 _REFUSED = "(" + " OR ".join(f"contains(lower(response), '{x.replace(chr(39), chr(39) * 2)}')" for x in T.REFUSALS) + ")"
-_INSIDE = "list_filter(an, lambda a: a <> '' AND contains(rn, a))"
-_AROUND = "list_filter(an, lambda a: rn <> '' AND contains(a, rn))"
+_INSIDE = "list_transform(list_filter(range(len(an)), lambda i: an[i + 1] <> '' AND contains(rn, an[i + 1])), lambda i: aliases[i + 1])"
+_AROUND = "list_transform(list_filter(range(len(an)), lambda i: rn <> '' AND contains(an[i + 1], rn)), lambda i: aliases[i + 1])"
 _A = prepared_sql(_RECORDS, a="aliases")
 _AB = prepared_sql(_RECORDS, a="aliases", b="wrong_aliases")
 
@@ -116,9 +119,9 @@ def alias_scores(spark, sf):
     return _prepared(spark, sf, a="aliases").select("id", G.exact("a").alias("exact"), r6(G.best_f1("a")).alias("f1"), F.size(G.matched("a")).alias("matched"))
 
 
-@query(f"SELECT id, list_contains(an, rn) AS exact, len({_INSIDE}) > 0 AS alias_in_response, len({_AROUND}) > 0 AS response_in_alias, array_to_string({_INSIDE}, '|') AS inside, array_to_string({_AROUND}, '|') AS around, round(list_max(af), 6) AS f1, an[list_position(af, list_max(af))] AS best FROM ({_A})")
+@query(f"SELECT id, list_contains(an, rn) AS exact, len({_INSIDE}) > 0 AS alias_in_response, len({_AROUND}) > 0 AS response_in_alias, array_to_string({_INSIDE}, '|') AS inside, array_to_string({_AROUND}, '|') AS around, round(list_max(af), 6) AS f1, aliases[list_position(af, list_max(af))] AS best FROM ({_A})")
 def containment_bundle(spark, sf):
-    x = _prepared(spark, sf, a="aliases").select("id", G.containment("a").alias("c"))
+    x = _prepared(spark, sf, a="aliases").select("id", G.containment("a", "aliases").alias("c"))
     return x.select("id", "c.exact", "c.alias_in_response", "c.response_in_alias", F.concat_ws("|", "c.contained_aliases").alias("inside"), F.concat_ws("|", "c.containing_aliases").alias("around"), r6(F.col("c.best_f1")).alias("f1"), F.col("c.best_alias").alias("best"))
 
 
@@ -139,7 +142,7 @@ _CUT = f"""SELECT *, CASE WHEN len(lines) > 0 THEN regexp_extract_all(response,
 FROM (SELECT *, regexp_extract_all(response, '{T.NUMBERED}', 1) AS lines, {_PARTS} AS parts FROM ({{source}}))"""
 
 
-@query(f"SELECT id, len(segs)::INT AS segments, array_to_string(segs, '|') AS texts FROM ({_CUT.format(source=_RECORDS)})")
+@query(f"SELECT id, len(segs)::INT AS segments, array_to_string(segs, '|') AS texts FROM ({_CUT.replace('{source}', _RECORDS)})")
 def segment_texts(spark, sf):
     """Numbered lines, else segments."""
     x = records(spark, sf).select("id", T.numbered(F.col("response")).alias("n"), T.segments(F.col("response")).alias("s"))
@@ -148,7 +151,7 @@ def segment_texts(spark, sf):
 
 
 def coverage_sql(source: str) -> str:
-    each = f"SELECT id, response, lines, segs, unnest(range(len(interpretations))) AS k, interpretations FROM ({_CUT.format(source=source)})"
+    each = f"SELECT id, response, lines, segs, unnest(range(len(interpretations))) AS k, interpretations FROM ({_CUT.replace('{source}', source)})"
     own = "CASE WHEN len(lines) > 0 THEN list_transform(list_filter(range(len(segs)), lambda i: lines[i + 1]::INT - 1 = k), lambda i: segs[i + 1]) ELSE segs END"
     whole = f"SELECT id, k, len(segs) AS n_segs, len(lines) > 0 AS by_number, interpretations[k + 1].aliases AS al, list_prepend(response, {own}) AS cands FROM ({each})"
     rows = f"SELECT id, k, n_segs, by_number, al, unnest(range(len(cands))) - 1 AS place, unnest(cands) AS part FROM ({whole})"
@@ -203,10 +206,10 @@ def label_audit_sample(spark, sf):
     return x.filter("label <> 'unresolved'").withColumn("place", place.cast("long")).filter("place <= 20").unionByName(x.filter("label = 'unresolved'").withColumn("place", place.cast("long")))
 
 
-@query(f"SELECT id, {_REFUSED} AS refused, (contains(lower(response), 'unknown') OR contains(lower(response), 'unanswer')) AND ({_ABSTAINED}) IS NULL AS malformed, {_ABSTAINED} AS abstained FROM ({_A})")
+@query(f"SELECT id, {_REFUSED} AS refused, (contains(lower(response), 'unknown') OR contains(lower(response), 'unanswer')) AND ({_ABSTAINED}) IS NULL AS malformed, (contains(rn, 'unknown') OR contains(rn, 'unanswer')) AND ({_ABSTAINED}) IS NULL AS malformed_flat, {_ABSTAINED} AS abstained FROM ({_A})")
 def refusals_and_abstentions(spark, sf):
     r = F.col("response")
-    return records(spark, sf).select("id", T.refusal(r).alias("refused"), T.malformed_abstention(r).alias("malformed"), T.abstention(r).alias("abstained"))
+    return records(spark, sf).select("id", T.refusal(r).alias("refused"), T.malformed_abstention(r).alias("malformed"), T.malformed_abstention(r, flat=True).alias("malformed_flat"), T.abstention(r).alias("abstained"))
 
 
 _STATUS = "CASE WHEN list_contains(an, rn) AND list_contains(bn, rn) THEN 'matched_both_reference_sets' WHEN list_contains(an, rn) THEN 'matched_correct_reference' WHEN list_contains(bn, rn) THEN 'matched_incorrect_reference' ELSE 'unmatched' END"
@@ -235,11 +238,11 @@ def span_answers(spark, sf):
 _DIGITS = "[-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?"
 _FINALS = f"regexp_extract_all(response, '(?i)(?:####|final\\s+answer\\s*(?:is|:)?|answer\\s*(?:is|:)?)\\s*({_DIGITS})', 1)"
 _BOXED = f"regexp_extract_all(response, '\\\\boxed\\{{\\s*({_DIGITS})\\s*\\}}', 1)"
-_PLAIN = "regexp_replace(regexp_replace({}, '[,+]', '', 'g'), '\\.0*$', '')"
-_ARITH = f"""SELECT id, dataset, aliases[1] AS reference, response, CASE WHEN response = '' THEN 'empty_or_nonnumeric_response' WHEN dataset = 'arithmetic' AND regexp_matches(response, '[0-9]+\\s*/\\s*[0-9]+') THEN 'fraction_not_allowed' WHEN len(found) = 0 THEN 'no_numeric_answer'
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[,+]', '', 'g'), '\\.0*$', ''), '^(-?)0+([0-9])', '\\1\\2'), '^-0$', '0')"
+_ARITH = f"""SELECT id, dataset, aliases[1] AS reference, response, CASE WHEN response = '' THEN 'empty_or_nonnumeric_response' WHEN (dataset = 'arithmetic' OR len(found) = 0) AND regexp_matches(response, '[0-9]+\\s*/\\s*[0-9]+') THEN 'fraction_not_allowed' WHEN len(found) = 0 THEN 'no_numeric_answer'
 WHEN len(found) > 1 THEN 'ambiguous_multiple_numbers' WHEN contains({_PLAIN.format('found[1]')}, '.') THEN 'non_integer_answer' END AS reason, {_PLAIN.format('found[1]')} AS value
 FROM (SELECT *, CASE WHEN dataset = 'gsm8k' THEN list_filter([coalesce(list_last(boxed), list_last(finals), list_last(every))], lambda x: x IS NOT NULL) WHEN len(finals) > 0 THEN [list_last(finals)] ELSE every END AS found
-FROM (SELECT *, {_FINALS} AS finals, {_BOXED} AS boxed, CASE WHEN dataset = 'gsm8k' AND regexp_matches(response, '[0-9]/[0-9]') THEN [] ELSE regexp_extract_all(response, '{_DIGITS}') END AS every FROM ({_RECORDS}) WHERE dataset IN ('gsm8k', 'arithmetic')))"""
+FROM (SELECT *, {_FINALS} AS finals, {_BOXED} AS boxed, regexp_extract_all(regexp_replace(regexp_replace(response, '[0-9]+/[0-9]+', ' ', 'g'), '\\p{{L}}[0-9]+', ' ', 'g'), '{_DIGITS}') AS every FROM ({_RECORDS}) WHERE dataset IN ('gsm8k', 'arithmetic')))"""
 
 
 @query(f"SELECT id, CASE WHEN reason IS NULL THEN value END AS value, reason, reason IS NULL AND value = reference AS correct FROM ({_ARITH})")
@@ -278,20 +281,22 @@ def lexical_leaning(spark, sf):
 WHEN 'ambignq' THEN CASE WHEN covered > 1 THEN 'multiple_interpretations' WHEN covered > 0 THEN 'one_interpretation' WHEN best_f1 >= 0.5 THEN 'high_overlap_unresolved' ELSE 'clearly_incorrect' END
 WHEN 'squad' THEN CASE WHEN answerable THEN 'unchanged' ELSE coalesce({_ABSTAINED}, 'unsupported_answer') END
 WHEN 'truthfulqa' THEN CASE WHEN list_contains(an, rn) AND list_contains(bn, rn) THEN 'both' WHEN list_contains(an, rn) THEN 'correct_reference_leaning' WHEN list_contains(bn, rn) THEN 'incorrect_reference_leaning' ELSE {_SIDE} END ELSE 'unchanged' END AS status,
-CASE WHEN dataset = 'triviaqa' THEN ({concise_sql('a')}) IS NOT NULL WHEN dataset = 'ambignq' THEN covered > 0 WHEN dataset = 'squad' AND NOT answerable THEN ({_ABSTAINED}) IS NOT NULL END AS correct
-FROM ({_AB}) r LEFT JOIN ({_COVER}) c ON r.id = c.id""")
+CASE WHEN dataset = 'triviaqa' THEN ({concise_sql('a')}) IS NOT NULL WHEN dataset = 'ambignq' THEN covered > 0 WHEN dataset = 'squad' AND NOT answerable THEN ({_ABSTAINED}) IS NOT NULL WHEN dataset <> 'truthfulqa' THEN v.correct END AS correct
+FROM ({_AB}) r LEFT JOIN ({_COVER}) c ON r.id = c.id JOIN (SELECT id AS vid, correct FROM ({_VERDICT})) v ON r.id = v.vid""")
 def revised_status(spark, sf):
     return G.revised(records(spark, sf))
 
 
-_CATEGORY = f"""CASE WHEN list_contains(aliases, response) THEN 'exact' WHEN list_contains(an, rn) THEN 'normalized' WHEN ({concise_sql('a')}) IS NOT NULL THEN 'concise' WHEN len({_INSIDE}) > 0 THEN 'contained_diagnostic_only'
-WHEN len({_AROUND}) > 0 THEN 'response_in_alias' WHEN list_max(af) >= 0.5 THEN 'partial_overlap' WHEN list_max(af) < 0.2 THEN 'clearly_incorrect' ELSE 'unclear' END"""
+_CATEGORY = f"""CASE WHEN list_contains(aliases, response) THEN 'exact_alias_match' WHEN list_contains(an, rn) THEN 'normalized_alias_match' WHEN ({concise_sql('a')}) IS NOT NULL THEN 'alias_in_concise_response' WHEN len({_INSIDE}) > 0 THEN 'alias_contained_diagnostic_only'
+WHEN len({_AROUND}) > 0 THEN 'response_contained_in_alias' WHEN list_max(af) >= 0.5 THEN 'token_overlap_match' WHEN list_max(af) < 0.2 THEN 'clearly_incorrect' ELSE 'unclear' END"""
 
 
 @query(f"SELECT {_CATEGORY} AS category, count(*) AS n, min(id) AS first_id FROM ({_A}) GROUP BY 1")
 def alias_categories(spark, sf):
+    """Kinds of responses; the recorded match is taken to be that of the texts as they are."""
     x = _prepared(spark, sf, a="aliases")
-    return x.groupBy(G.alias_category("response", "aliases", "a").alias("category")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    kind = G.alias_category("a", "aliases", F.array_contains("aliases", F.col("response")))
+    return x.groupBy(kind.alias("category")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query(f"""SELECT answerable, a IS NOT NULL AS abstained, count(*) AS n, count(*) FILTER (WHERE answerable AND a IS NOT NULL) AS false_abstentions, count(*) FILTER (WHERE NOT answerable AND a IS NULL) AS unsupported, count(*) FILTER (WHERE malformed) AS malformed
@@ -303,35 +308,54 @@ def abstention_confusion(spark, sf):
     return x.groupBy("answerable", "abstained").agg(F.count("*").alias("n"), F.count_if(ok & a).alias("false_abstentions"), F.count_if(~ok & ~a).alias("unsupported"), F.count_if("m").alias("malformed"))
 
 
-@query(f"""SELECT dataset, category, count(*) AS n, round(avg(length(response)), 6) AS mean_chars, count(*) FILTER (WHERE category NOT IN ('correct', 'useful')) AS failures FROM (SELECT v.dataset, response,
-CASE WHEN v.dataset = 'ambignq' THEN CASE WHEN label IS NULL THEN 'unresolved' WHEN label = 'incorrect' THEN 'fully_incorrect' ELSE 'useful' END WHEN length(response) > 40 THEN 'token_limit' WHEN correct THEN 'correct' ELSE 'incorrect' END AS category
-FROM ({_VERDICT}) v JOIN ({_RECORDS}) r ON v.id = r.id LEFT JOIN ({_LABELS}) l ON v.id = l.id) GROUP BY ALL""")
-def failure_audit(spark, sf):
-    """Why responses fail, by dataset; a length limit stands for the token limit."""
-    rows = records(spark, sf)
+#: Stand-ins for what a collection records beside the response: tokens are words of the response, the limit is eight of them.
+_RUN = "SELECT *, {count} AS token_count, {count} >= 8 AS token_limit_reached, CASE WHEN {count} >= 8 THEN 'token_limit' WHEN id % 9 = 0 THEN 'other' ELSE 'eos_token' END AS stop_reason, CASE WHEN dataset IN ('gsm8k', 'arithmetic') THEN CASE WHEN response = '' THEN 'error' ELSE 'ok' END END AS parsing_status FROM {rows}"
+_RUN_SQL = _RUN.format(count="CAST(len(string_split(response, ' ')) AS INT)", rows=f"({_RECORDS})")
+_CATEGORISED = f"""SELECT v.dataset, r.*EXCLUDE (dataset), CASE WHEN v.dataset = 'ambignq' THEN CASE WHEN label IS NULL THEN 'unresolved' WHEN label = 'incorrect' THEN 'fully_incorrect' ELSE 'useful' END WHEN token_limit_reached THEN 'token_limit' WHEN correct THEN 'correct' ELSE 'incorrect' END AS category
+FROM ({_VERDICT}) v JOIN ({_RUN_SQL}) r ON v.id = r.id LEFT JOIN ({_LABELS}) l ON v.id = l.id"""
+
+
+def _categorised(spark, sf):
+    rows = spark.sql(_RUN.format(count="size(split(response, ' '))", rows="{records}"), records=records(spark, sf))
     labels = G.interpretation_labels(rows.filter("dataset = 'ambignq'")).select("id", "label")
-    x = G.graded(rows).select("id", "dataset", "correct").join(rows.select("id", "response"), "id").join(labels, "id", "left")
+    x = rows.join(G.graded(rows).select("id", "correct"), "id").join(labels, "id", "left")
     useful = F.when(F.col("label").isNull(), "unresolved").when(F.col("label") == "incorrect", "fully_incorrect").otherwise("useful")
-    category = F.when(F.col("dataset") == "ambignq", useful).when(F.length("response") > 40, "token_limit").when(F.col("correct"), "correct").otherwise("incorrect")
-    x = x.withColumn("category", category)
-    return x.groupBy("dataset", "category").agg(F.count("*").alias("n"), r6(F.avg(F.length("response"))).alias("mean_chars"), F.count_if(~F.col("category").isin("correct", "useful")).alias("failures"))
+    return x.withColumn("category", F.when(F.col("dataset") == "ambignq", useful).when(F.col("token_limit_reached"), "token_limit").when(F.col("correct"), "correct").otherwise("incorrect"))
+
+
+@query(f"SELECT dataset, category, count(*) AS n, round(avg(length(response)), 6) AS mean_chars, count(*) FILTER (WHERE category NOT IN ('correct', 'useful')) AS failures FROM ({_CATEGORISED}) GROUP BY ALL")
+def failure_audit(spark, sf):
+    """Why responses fail, by dataset."""
+    return _categorised(spark, sf).groupBy("dataset", "category").agg(F.count("*").alias("n"), r6(F.avg(F.length("response"))).alias("mean_chars"), F.count_if(~F.col("category").isin("correct", "useful")).alias("failures"))
+
+
+@query(f"""SELECT dataset, count(*) AS collected_count, count(*) FILTER (token_limit_reached) AS truncation_count, round(count(*) FILTER (token_limit_reached) / count(*), 6) AS truncation_rate, count(*) FILTER (parsing_status <> 'ok') AS parsing_failure_count,
+round(count(*) FILTER (stop_reason = 'eos_token') / count(*), 6) AS eos_rate, round(count(*) FILTER (stop_reason = 'token_limit') / count(*), 6) AS token_limit_rate, count(*) FILTER (trim(response) = '') AS empty_response_count,
+min(token_count) AS minimum, quantile_cont(token_count::DOUBLE, 0.5) AS median, round(avg(token_count), 6) AS mean, max(token_count) AS maximum, count(*) FILTER (category NOT IN ('correct', 'useful')) AS failure_example_count FROM ({_CATEGORISED}) GROUP BY dataset""")
+def run_audits(spark, sf):
+    """How each dataset's responses ended: truncation, parsing, stops, token counts and failures."""
+    return G.run_audit(_categorised(spark, sf)).withColumns({c: r6(F.col(c)) for c in ("truncation_rate", "eos_rate", "token_limit_rate", "mean")})
 
 
-_ANSWERS = "SELECT doc_id AS id, text || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Final answer: ' || CAST(doc_id AS {s}) WHEN 2 THEN chr(10) || 'final answer: 7' || chr(10) || 'And more. And more.' ELSE ' It is. It is. It is. It is.' END AS response FROM {docs} WHERE text IS NOT NULL AND n_chars < 3000"
+_ANSWERS = "SELECT doc_id AS id, text || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'Final answer: ' || CAST(doc_id AS {s}) WHEN 2 THEN chr(10) || 'final answer: 7' || chr(10) || 'And more. And more.' ELSE ' It is. It is. It is. It is.' END AS response, CASE WHEN doc_id % 3 = 0 THEN 'token_limit' ELSE 'eos_token' END AS stop_reason, doc_id % 3 = 0 AS token_limit_reached, CASE WHEN doc_id % 4 = 0 THEN 'error' ELSE 'ok' END AS parsing_status, CASE WHEN doc_id % 5 > 0 THEN doc_id % 5 = 1 END AS stop_detected, {ids} AS token_ids, doc_id % 2 = 0 AS correct FROM {docs} WHERE text IS NOT NULL"
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
 _LINE = "(?i)(?:^|\\n)Final answer:\\s*([-+]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\\.[0-9]+)?)"
 _REP = "CASE WHEN len({0}) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - len(list_distinct({0}))::DOUBLE / len({0}) END"
+_IDS_SQL = "list_transform(range(doc_id % 7), lambda i: i * doc_id % 3)"
 
 
-@query(f"""SELECT id, len(marks) > 0 AS has_answer, CASE WHEN len(marks) > 0 THEN (length(response) - length(after) - length(list_last(marks)))::INT END AS place, round(CASE WHEN len(marks) > 0 THEN (length(response) - length(after) - length(list_last(marks))) / greatest(1, length(response)) END, 6) AS relative,
-len(marks) > 0 AND regexp_replace(after, '\\s+', '', 'g') <> '' AS goes_on, length(response)::INT AS n_chars, len(w)::INT AS n_words, round({_REP.format('w')}, 6) AS word_rate, round({_REP.format('g')}, 6) AS ngram_rate, round({_REP.format('s')}, 6) AS sentence_rate, greatest({_REP.format('g')}, {_REP.format('s')}) > 0.5 AS loops
+@query(f"""SELECT id, stop_reason = 'eos_token' AS eos_reached, token_limit_reached AS truncated, parsing_status <> 'ok' AS parse_failure, len(marks) > 0 AS answer_marker_present, CASE WHEN len(marks) > 0 THEN (length(response) - length(after) - length(list_last(marks)))::INT END AS answer_marker_character_position, round(CASE WHEN len(marks) > 0 THEN (length(response) - length(after) - length(list_last(marks))) / greatest(1, length(response)) END, 6) AS answer_marker_relative_position,
+coalesce(stop_detected, FALSE) AS final_answer_stop_detected, len(token_ids)::INT AS generated_token_count, length(response)::INT AS response_character_count, round({_REP.format('token_ids')}, 6) AS repetition_rate, round({_REP.format('g')}, 6) AS repeated_ngram_rate, round({_REP.format('s')}, 6) AS repeated_sentence_rate, greatest({_REP.format('g')}, {_REP.format('s')}) > 0.5 AS repetitive_loop, correct AS exact_answer_correct,
+correct AND len(marks) > 0 AND regexp_replace(after, '\\s+', '', 'g') <> '' AS correct_final_answer_before_continued_generation
 FROM (SELECT *, list_last(regexp_split_to_array(response, '{_LINE}')) AS after, regexp_extract_all(response, '{_LINE}') AS marks, CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) ELSE [] END AS g,
 list_filter(list_transform(regexp_split_to_array(regexp_replace(response, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01|\\n+'), lambda s: array_to_string({_WORDS.format('s')}, ' ')), lambda s: s <> '') AS s
-FROM (SELECT *, {_WORDS.format('response')} AS w FROM ({_ANSWERS.format(s='VARCHAR', docs='documents')})))""")
+FROM (SELECT *, {_WORDS.format('response')} AS w FROM ({_ANSWERS.format(s='VARCHAR', docs='documents', ids=_IDS_SQL)})))""")
 def response_diagnostics(spark, sf):
-    rows = spark.sql(_ANSWERS.format(s="STRING", docs="{docs}"), docs=read(spark, sf, "documents"))
+    """Sixteen fields of each response; what a collection records beside the text is a stand-in made of ids."""
+    ids = "CASE WHEN doc_id % 7 = 0 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0L, doc_id % 7 - 1), i -> i * doc_id % 3) END"
+    rows = spark.sql(_ANSWERS.format(s="STRING", docs="{docs}", ids=ids), docs=read(spark, sf, "documents"))
     x = G.response_diagnostics(rows)
-    return x.withColumns({c: r6(F.col(c)) for c in ("relative", "word_rate", "ngram_rate", "sentence_rate")})
+    return x.withColumns({c: r6(F.col(c)) for c in ("answer_marker_relative_position", "repetition_rate", "repeated_ngram_rate", "repeated_sentence_rate")})
 
 
 @query(f"SELECT id, sha256({norm_sql('response')}) AS question_hash, substr(sha256({norm_sql('response')}), 1, 16) AS source_id FROM ({_RECORDS})")

@@ -119,7 +119,7 @@ def final_number(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", T.final_number(t)["value"].alias("value"))
 
 
-_ABSTAINED = " OR ".join("regexp_matches(t, '" + pattern.replace("'", "''") + "')" for _, pattern in T.ABSTENTIONS)
+_ABSTAINED = " OR ".join("regexp_matches(t, '" + pattern.replace("'", "''") + "')" for pattern in T.ABSTENTIONS)
 
 
 @query(f"""SELECT role, count(*) AS n, count(*) FILTER (WHERE t IN ('', 'unanswerable') OR {_ABSTAINED}) AS abstained
