@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import statistics
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tails import normal_below
+
 from .integrity import sample_size
 
 #: The most that may be cut off, fail to parse or loop, the least of each class, and of a projection.
@@ -69,18 +70,16 @@ def require(gate: DataFrame, version: str) -> DataFrame:
     return gate
 
 
-def power(gain: float, low: float, high: float, n: int, target: int) -> float:
+def power(gain: Column, low: Column, high: Column, n: Column, target: Column) -> Column:
     """Chance to find a gain at ``target`` rows, by the normal approximation of its interval at ``n``."""
-    error = (high - low) / (2 * Z95) * (n / target) ** 0.5
-    if error <= 0:
-        return 1.0 if gain else 0.0
-    z, normal = abs(gain) / error, statistics.NormalDist()
-    return normal.cdf(z - Z95) + normal.cdf(-z - Z95)
+    error = (high - low) / (2 * Z95) * F.sqrt(n / target)
+    z = F.abs(gain) / F.nullif(error, F.lit(0.0))
+    return F.when(error <= 0, (gain != 0).cast("double")).otherwise(normal_below(z - Z95) + normal_below(-z - Z95))
 
 
-def power_gate(gain: float, low: float, high: float, n: int, target: int) -> bool:
+def power_gate(gain: Column, low: Column, high: Column, n: Column, target: Column) -> Column:
     """Whether collecting more is worth it: the interval holds 0, and the target is larger and strong enough."""
-    return low <= 0 <= high and power(gain, low, high, n, target) >= LEAST_POWER and target > n
+    return (low <= 0) & (high >= 0) & (power(gain, low, high, n, target) >= LEAST_POWER) & (target > n)
 
 
 def authorised(dataset: Column, passed: Column) -> tuple[Column, Column]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,35 +82,3 @@ def gains(values: DataFrame, by: list[str], name: str, value: str, baseline: str
     base = values.filter(F.col(name) == baseline).select(*by, F.col(value).alias("_b"))
     out = values.join(base, by, "left") if by else values.crossJoin(base)  # one row
     return out.select(*by, name, value, (F.col(value) - F.col("_b")).alias("gain"))
-
-
-def spearman_p(rho: float | None, n: int) -> float | None:
-    """Two-sided p of a rank correlation by Student's t with n - 2 degrees, from the incomplete beta function."""
-    if rho is None or n < 3:
-        return None
-    if abs(rho) >= 1:
-        return 0.0
-    df = n - 2
-    t = rho * math.sqrt(df / (1 - rho * rho))
-    return _beta(df / (df + t * t), df / 2, 0.5)
-
-
-def _beta(x: float, a: float, b: float) -> float:
-    """Regularised incomplete beta by its continued fraction."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    out = d
-    for m in range(1, 1000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for k in (even, odd):
-            d = 1 / (1 + k * d or tiny)
-            c = 1 + k / c or tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return front * out

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import features as X
-from ..operators import metrics
+from ..operators import metrics, tails
 from .text_queries import read
 from .value_queries import _L, _MOVES, _SOFT, _T, _distributions, _moves, _scored
 
@@ -300,8 +300,14 @@ def gains_on_baseline(spark, sf):
     return metrics.gains(out, [], "family", "auroc", "length").select("family", r6(F.col("auroc")).alias("auroc"), r6(F.col("gain")).alias("gain"))
 
 
-@query()
+#: Two-sided tail of Student's t, by Simpson's rule over its density from 0 to t.
+_TAIL = "(SELECT 1 - 2 * t / 12000.0 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * pow(1 + (t * i / 4000.0) * (t * i / 4000.0) / v, -(v + 1) / 2)) FROM range(4001) q(i))"
+
+
+@query(f"""WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY lang ORDER BY err) + (count(*) OVER (PARTITION BY lang, err) - 1) / 2.0::DOUBLE AS b FROM ({_L})),
+c AS (SELECT lang, count(*) AS n, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS rho FROM r GROUP BY lang), x AS (SELECT lang, rho, (n - 2)::DOUBLE AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c) SELECT lang, round(rho, 6) AS spearman, round({_TAIL}, 6) AS p FROM x""")
 def rank_correlation_p(spark, sf):
-    """Rank correlations with their two-sided p."""
-    rho = metrics.spearman(_scored(spark, sf), "n_chars", "err", ["lang"]).join(_scored(spark, sf).groupBy("lang").agg(F.count("*").alias("n")), "lang").collect()  # a row for each language
-    return spark.createDataFrame([(r["lang"], r["spearman"], metrics.spearman_p(r["spearman"], r["n"])) for r in rho], "lang string, spearman double, p double")
+    """Rank correlations with their two-sided p, as columns of a table of results."""
+    rows = _scored(spark, sf)
+    found = metrics.spearman(rows, "n_chars", "err", ["lang"]).join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang")
+    return found.select("lang", r6(F.col("spearman")).alias("spearman"), r6(tails.correlation_p(F.col("spearman"), F.col("n"))).alias("p"))

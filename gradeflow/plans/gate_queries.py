@@ -85,12 +85,16 @@ def required_gate(spark, sf):
 _PHI = "(SELECT 0.5::DOUBLE + {z} / 3000.0 * sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-({z} * i / 1000.0) * ({z} * i / 1000.0) / 2)) / sqrt(2 * pi()) FROM range(1001) q(i))"
 
 
-@query(f"""SELECT gain, round({_PHI.format(z='(z - 1.96::DOUBLE)')} + {_PHI.format(z='(-z - 1.96::DOUBLE)')}, 6) AS power, low <= 0 AND {_PHI.format(z='(z - 1.96::DOUBLE)')} + {_PHI.format(z='(-z - 1.96::DOUBLE)')} >= 0.8 AS passed
-FROM (SELECT gain::DOUBLE AS gain, low, gain / ((high - low) / 3.92::DOUBLE * sqrt(795 / 2000.0::DOUBLE)) AS z FROM (VALUES (0.0098::DOUBLE, -0.0006::DOUBLE, 0.0202::DOUBLE), (0.001::DOUBLE, -0.01::DOUBLE, 0.012::DOUBLE), (0.02::DOUBLE, 0.01::DOUBLE, 0.03::DOUBLE)) t(gain, low, high))""")
+_GAINS = "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, avg(l_tax) - 0.04 AS gain, 1.96 * stddev_samp(l_tax) / sqrt(count(*)) AS half FROM {t} GROUP BY l_returnflag, l_linestatus"
+
+
+@query(f"""SELECT flag, status, round(power, 6) AS power, gain - half <= 0 AND gain + half >= 0 AND power >= 0.8 AS passed
+FROM (SELECT *, {_PHI.format(z='(z - 1.96::DOUBLE)')} + {_PHI.format(z='(-z - 1.96::DOUBLE)')} AS power FROM (SELECT *, abs(gain) / (half / 1.96::DOUBLE * sqrt(1 / 8.0::DOUBLE)) AS z FROM ({_GAINS.format(t='lineitem')})))""")
 def power_gates(spark, sf):
-    """The chance to find a gain at a larger size, and whether that is reason enough to collect it."""
-    cases = [(0.0098, -0.0006, 0.0202), (0.001, -0.01, 0.012), (0.02, 0.01, 0.03)]
-    return spark.createDataFrame([(g, round(gates.power(g, a, b, 795, 2000), 6), gates.power_gate(g, a, b, 795, 2000)) for g, a, b in cases], "gain double, power double, passed boolean")
+    """For each group of items, whose mean tax differs from 0.04 by a gain with an interval: the chance to find it in eight times the rows, and whether that is reason enough to collect them."""
+    x = spark.sql(_GAINS.format(t="{items}"), items=read(spark, sf, "lineitem"))
+    of = (F.col("gain"), F.col("gain") - F.col("half"), F.col("gain") + F.col("half"), F.col("n"), 8 * F.col("n"))
+    return x.select("flag", "status", r6(gates.power(*of)).alias("power"), gates.power_gate(*of).alias("passed"))
 
 
 @query(f"SELECT dataset, NOT waits AND n >= 30 AS authorised, CASE WHEN waits THEN 'evaluator_validation_pending' WHEN n < 30 THEN 'technical_or_class_balance' END AS reason FROM (SELECT dataset, dataset = 'ambignq' AS waits, count(*) AS n FROM ({_RECORDS}) WHERE id % 13 <> 5 OR dataset <> 'squad' GROUP BY dataset)")
@@ -232,14 +236,72 @@ def loaded_questions(spark, sf):
     return x.select("example_id", "source_id", "question", F.size("aliases").alias("aliases"), "fault")
 
 
-@query("""SELECT 'squad:' || doc_id AS example_id, doc_id % 3 > 0 AS answerable, CASE WHEN coalesce(trim(text), '') = '' THEN 'no_context' WHEN doc_id % 3 = 2 AND substr(text, 4, 5) <> substr(text, 3, 5) THEN 'span_not_in_context' WHEN doc_id % 3 > 0 AND length(text) < 3 THEN 'span_not_in_context' END AS fault FROM documents WHERE n_chars > 20 OR n_chars < 1""")
+@query("""SELECT 'squad:' || doc_id AS example_id, doc_id % 3 > 0 AS answerable, CASE WHEN coalesce(trim(text), '') = '' THEN 'no_context' WHEN doc_id % 3 > 0 AND (length(text) < 3 OR doc_id % 3 = 2 AND substr(text, 4, length(substr(text, 3, 5))) <> substr(text, 3, 5)) THEN 'span_not_in_context' END AS fault FROM documents""")
 def loaded_spans(spark, sf):
     """Answers that must stand in their context where they say; every third has none, every third a wrong place."""
     k = F.col("doc_id") % 3
-    raw = read(spark, sf, "documents").filter("n_chars > 20 or n_chars < 1").select("doc_id", F.lit("What?").alias("q"), "text", F.when(k == 2, 3).otherwise(2).alias("start"), F.when(k > 0, F.substring("text", 3, 5)).alias("answer"))
+    raw = read(spark, sf, "documents").select("doc_id", F.lit("What?").alias("q"), "text", F.when(k == 2, 3).otherwise(2).alias("start"), F.when(k > 0, F.substring("text", 3, 5)).alias("answer"))
     return loaders.with_spans(raw, "doc_id", "q", "text", "start", "answer").select("example_id", "answerable", "fault")
 
 
+_NOTED = """SELECT CAST(p_partkey AS {s}) AS id, CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE 'Which ' || p_type || '?' END AS question, p_name AS name, p_brand AS brand, p_partkey % 5 AS k FROM {t}"""
+
+
+@query(f"""SELECT 'ambignq:train:' || id AS example_id, k IN (1, 2) AS is_ambiguous, CASE WHEN k IN (1, 2) THEN 2 ELSE 1 END AS n_interpretations, CASE k WHEN 0 THEN name WHEN 1 THEN name || '|' || brand WHEN 2 THEN name ELSE '' END AS aliases,
+CASE WHEN trim(question) = '' THEN 'blank_question' WHEN k = 4 THEN 'unknown_annotation' WHEN k = 2 THEN 'interpretation_without_answers' WHEN k = 3 THEN 'no_answers' END AS fault FROM ({_NOTED.format(s='VARCHAR', t='part')})""")
+def loaded_ambiguous(spark, sf):
+    """Questions with one answer or several interpretations, read from lines of JSON; faults apart."""
+    from ..sources import records as R
+    from ..sources.shared import shared_folder
+
+    raw = spark.sql(_NOTED.format(s="STRING", t="{part}"), part=read(spark, sf, "part"))
+    pair = lambda q, answers: F.struct(F.lit(q).alias("question"), answers.alias("answer"))
+    none = F.array().cast("array<string>")
+    pairs = F.array(pair("one", F.array("name", F.lit(" "))), pair("two", F.when(F.col("k") == 1, F.array("brand", "name")).otherwise(F.array(F.lit("")))))
+    kind = F.when(F.col("k") == 4, "other").when(F.col("k").isin(1, 2), loaders.SEVERAL).otherwise(loaders.SINGLE)
+    note = F.struct(kind.alias("type"), F.when(F.col("k") == 0, F.array("name", F.lit(""))).otherwise(none).alias("answer"), F.when(F.col("k").isin(1, 2), pairs).alias("qaPairs"))
+    at = shared_folder(spark, "ambiguous") + "/rows"
+    R.write_once(raw.select("id", "question", F.array(note).alias("annotations")), at)
+    x = loaders.ambiguous(R.read_lines(spark, at, loaders.AMBIGUOUS), "train")
+    return x.select("example_id", "is_ambiguous", "n_interpretations", F.concat_ws("|", "aliases").alias("aliases"), "fault")
+
+
+_TOLD = "SELECT 'Is ' || p_name || ' ' || CAST(p_partkey AS {s}) || '?' AS question, p_brand AS best, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_type || '; ' || p_brand END AS others, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'no; never' END AS wrong, p_partkey % 13 = 0 AS short FROM {t}"
+
+
+@query(f"""SELECT question, CASE WHEN NOT short THEN CASE WHEN others = '' THEN best ELSE best || '|' || string_split(others, ';')[1] END END AS aliases, CASE WHEN NOT short THEN CASE WHEN wrong = '' THEN '' ELSE 'no|never' END END AS wrong_aliases, CASE WHEN short THEN 'malformed_line' WHEN wrong = '' THEN 'no_wrong_answers' END AS fault
+FROM (SELECT CASE WHEN short THEN NULL ELSE question END AS question, best, others, wrong, short FROM ({_TOLD.format(s='VARCHAR', t='part')}))""")
+def loaded_truthful(spark, sf):
+    """A CSV file of questions with right and wrong answers; lines with too few fields are kept apart as they stand."""
+    from ..sources.shared import shared_folder
+
+    raw = spark.sql(_TOLD.format(s="STRING", t="{part}"), part=read(spark, sf, "part"))
+    cell = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    whole = F.concat_ws(",", F.lit("Adversarial"), F.lit("Test"), cell("question"), cell("best"), F.lit(""), cell("others"), cell("wrong"), F.lit("made"))
+    at = shared_folder(spark, "truthful")
+    line = raw.select(F.when(F.col("short"), F.lit("broken,line")).otherwise(whole).alias("value"))
+    line.write.text(at)
+    x = loaders.truthful(loaders.read_truthful(spark, at, header=False))
+    good = F.col("fault").isNull() | (F.col("fault") != "malformed_line")
+    return x.select(F.when(good, F.col("question")).alias("question"), F.when(good, F.concat_ws("|", "aliases")).alias("aliases"), F.when(good, F.concat_ws("|", "wrong_aliases")).alias("wrong_aliases"), "fault")
+
+
+@query("SELECT 'triviaqa:validation:q' || p_partkey AS example_id, CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_name = p_brand THEN p_name ELSE p_name || '|' || p_brand END AS aliases, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'evidence/wikipedia/' || p_type || '.txt' END AS evidence, CASE WHEN p_partkey % 4 = 0 THEN 'answerless' END AS fault FROM part")
+def loaded_evidence(spark, sf):
+    """Questions with evidence, which is referred to and not an example itself; those without an answer apart."""
+    from ..sources import records as R
+    from ..sources.shared import shared_folder
+
+    p = read(spark, sf, "part")
+    answer = F.struct(F.col("p_name").alias("Value"), F.array("p_name", "p_brand", F.lit("")).alias("Aliases"), F.array(F.lower("p_name")).alias("NormalizedAliases"))
+    page = F.array(F.struct(F.concat("p_type", F.lit(".txt")).alias("Filename"), F.col("p_type").alias("Title"), F.lit("TagMe").alias("DocSource")))
+    raw = p.select(F.concat(F.lit("q"), "p_partkey").alias("QuestionId"), F.lit("Who?").alias("Question"), F.when(F.col("p_partkey") % 4 != 0, answer).alias("Answer"), F.when(F.col("p_partkey") % 3 != 0, page).alias("EntityPages"))
+    at = shared_folder(spark, "evidence") + "/rows"
+    R.write_once(raw, at)
+    x = loaders.with_evidence(R.read_lines(spark, at, loaders.EVIDENCE), "validation")
+    return x.select("example_id", F.concat_ws("|", "aliases").alias("aliases"), F.concat_ws("|", "evidence.path").alias("evidence"), "fault")
+
+
 _SOLVED = "SELECT o_orderkey AS id, 'How many?' AS question, CASE o_orderkey % 6 WHEN 0 THEN 'so #### 1,0' || lpad(CAST(o_custkey % 100 AS {s}), 2, '0') WHEN 1 THEN '#### ' || CAST(o_custkey AS {s}) || '.0' WHEN 2 THEN '#### 0.25' WHEN 3 THEN '#### NaN' WHEN 4 THEN 'twelve' ELSE '#### +' || CAST(o_custkey AS {s}) END AS solution, CAST(o_custkey AS {s}) AS c FROM {t}"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grading as G
 from ..functions import text as T
+from ..operators import aliases as aliases_
 from .text_queries import norm_sql, read, words_sql
 
 QUERIES: dict = {}
@@ -125,6 +126,24 @@ def containment_bundle(spark, sf):
     return x.select("id", "c.exact", "c.alias_in_response", "c.response_in_alias", F.concat_ws("|", "c.contained_aliases").alias("inside"), F.concat_ws("|", "c.containing_aliases").alias("around"), r6(F.col("c.best_f1")).alias("f1"), F.col("c.best_alias").alias("best"))
 
 
+#: One question whose aliases are the names, types and brands of all parts; answers are the records' responses.
+_MANY = f"SELECT DISTINCT {norm_sql('x')} AS a FROM (SELECT unnest([p_name, p_type, p_brand, 'the ' || p_type || ' ' || p_name]) AS x FROM part)"
+
+
+@query(f"""WITH a AS MATERIALIZED (SELECT a, {words_sql('a')} AS aw FROM ({_MANY})), r AS MATERIALIZED (SELECT id, rn, rw FROM ({prepared_sql(_RECORDS)})), d AS MATERIALIZED (SELECT DISTINCT rn, rw FROM r),
+m AS MATERIALIZED (SELECT rn, count(*) FILTER (WHERE a = rn) AS exact, count(*) FILTER (WHERE a <> '' AND contains(rn, a)) AS contained, max({f1_sql('rw', 'aw')}) AS f1 FROM d, a GROUP BY rn)
+SELECT id, exact > 0 AS exact, contained, round(f1, 6) AS best_f1 FROM r JOIN m USING (rn)""")
+def many_aliases(spark, sf):
+    """Every response against the aliases of all parts, by indexes."""
+    p = read(spark, sf, "part")
+    aliases = p.select(F.lit(1).alias("q"), F.explode(F.array("p_name", "p_type", "p_brand", F.concat(F.lit("the "), "p_type", F.lit(" "), "p_name"))).alias("alias"))
+    one, two = aliases_.prepared(records(spark, sf).withColumn("q", F.lit(1)), aliases, "q", "id", "response", "alias")
+    exact_ = aliases_.exact_matches(one, two).select("id").distinct().withColumn("exact", F.lit(True))
+    inside = aliases_.contained(one, two).groupBy("id").agg(F.countDistinct("a").alias("contained"))
+    out = aliases_.best_overlap(one, two).join(exact_, "id", "left").join(inside, "id", "left")
+    return out.select("id", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("contained", F.lit(0).cast("long")).alias("contained"), r6(F.col("best_f1")).alias("best_f1"))
+
+
 @query(f"SELECT id, {concise_sql('a')} AS rule FROM ({_A})")
 def concise_aliases(spark, sf):
     return _prepared(spark, sf, a="aliases").select("id", G.concise("a").alias("rule"))

@@ -11,6 +11,7 @@ from ..sources import ordered
 from ..sources import records as R
 from ..sources.ranges import file_digests, write_files
 from ..sources.shared import shared_folder
+from ..streaming import collect, monitor
 from .text_queries import read
 
 QUERIES: dict = {}
@@ -270,3 +271,40 @@ def iso_timestamps(spark, sf):
     at = F.timestamp_add("SECOND", F.col("page_id"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
     x = read(spark, sf, "pages").select("page_id", integrity.iso_utc(at).alias("iso"))
     return x.select("page_id", F.col("iso").startswith("2024").alias("stamped"), "iso")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'again' ELSE 'first' END AS sent, o_totalprice FROM orders")
+def collected_stream(spark, sf):
+    """Files of records collected by a stream that is stopped while it writes and started again; every tenth record is sent twice, its later form counts."""
+    at = folder(spark, "stream")
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    schema = "o_orderkey long, sent string, o_totalprice double"
+    orders.select("o_orderkey", F.lit("first").alias("sent"), "o_totalprice").repartition(4).write.json(f"{at}/in/a")
+
+    def stop(batch, number):
+        raise RuntimeError("stopped while writing")
+
+    source = lambda: collect.arriving(spark, f"{at}/in/*", schema, 2)
+    try:
+        collect.collect(source(), f"{at}/out", f"{at}/checkpoint", stop).awaitTermination()
+    except Exception as e:  # noqa: BLE001  Spark wraps what the batch raised
+        if "stopped while writing" not in str(e):
+            raise
+    orders.filter("o_orderkey % 10 = 0").select("o_orderkey", F.lit("again").alias("sent"), "o_totalprice").write.json(f"{at}/in/b")
+    collect.collect(source(), f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return collect.collected(spark, f"{at}/out", schema, "o_orderkey")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, count(*) AS n, count(*) FILTER (WHERE value < 10) AS bad FROM events GROUP BY 1")
+def streamed_rates(spark, sf):
+    """Rates over event time from a stream; hours are written once the watermark has passed them, the last ones by a mark beyond all."""
+    at = folder(spark, "rates")
+    events = read(spark, sf, "events").select("ts", "value")
+    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.json(f"{at}/in/a")
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).withColumn("value", F.lit(None).cast("double"))
+    stream = lambda: monitor.rate(collect.arriving(spark, f"{at}/in/*", "ts timestamp, value double", 1000), "ts", F.col("value") < 10, late="10 days")
+    write = lambda: stream().writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    write()
+    last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS")).write.json(f"{at}/in/b")  # moves the watermark
+    write()
+    return spark.read.parquet(f"{at}/out").select("start", "n", "bad")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import integrity, sampling
+from ..operators import integrity, overlaps, sampling
 from ..streaming import monitor
 from .text_queries import norm_sql, read
 
@@ -242,6 +242,31 @@ def leakage_pairs(spark, sf):
     return integrity.leakage(d.filter("doc_id % 5 <> 0"), d.filter("doc_id % 5 = 0"), "k", "doc_id", "doc_id")
 
 
+_SOURCED = "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, CASE WHEN doc_id % 7 < 2 THEN CAST(CAST(floor(doc_id / 7) AS INT) AS {s}) ELSE '' END AS src, {first} AS question FROM {t}"
+_KEYS = f"SELECT id, split, 'shared_source_id' AS reason, src AS k FROM ({{rows}}) WHERE src <> '' UNION ALL SELECT id, split, 'normalized_question_overlap', {norm_sql('question')} FROM ({{rows}}) WHERE {norm_sql('question')} <> ''".replace("{rows}", _SOURCED.format(s="VARCHAR", t="documents", first=_FIRST_LINE))
+
+
+def _sourced(spark, sf):
+    rows = spark.sql(_SOURCED.format(s="STRING", t="{docs}", first="split_part(text, '.', 1)"), docs=read(spark, sf, "documents"))
+    return rows.select(F.col("id").alias("example_id"), "split", F.col("src").alias("source_id"), "question")
+
+
+@query(f"""WITH k AS ({_KEYS}), h AS (SELECT reason, k, min(id) AS first FROM k GROUP BY 1, 2), s AS (SELECT reason, k, split, min(id) AS first FROM k GROUP BY 1, 2, 3)
+SELECT reason, id AS excluded_id, first AS matched_id FROM k JOIN h USING (reason, k) WHERE id <> first
+UNION ALL SELECT 'cross_split_overlap', a.id, min(s.first) FROM k a JOIN s ON a.reason = s.reason AND a.k = s.k AND a.split <> s.split WHERE a.id > s.first GROUP BY a.id""")
+def leakage_overlaps(spark, sf):
+    """Documents that share a source or a first sentence, and those whose match is in the other split, each with the first one."""
+    return overlaps.overlaps(_sourced(spark, sf))
+
+
+@query(f"""WITH RECURSIVE k AS MATERIALIZED ({_KEYS}), h AS MATERIALIZED (SELECT reason, k, min(id) AS first FROM k GROUP BY 1, 2), e AS MATERIALIZED (SELECT DISTINCT id AS a, first AS b FROM k JOIN h USING (reason, k) UNION SELECT DISTINCT first, id FROM k JOIN h USING (reason, k)),
+r(a, g) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.g FROM r JOIN e USING (a) WHERE e.b > r.g OR e.b <> r.a), m AS (SELECT a AS id, min(g) AS g FROM r GROUP BY 1)
+SELECT m.id AS example_id, g AS "group", count(*) OVER (PARTITION BY g) AS size FROM m""")
+def leakage_groups(spark, sf):
+    """Which documents hang together through shared sources and first sentences."""
+    return overlaps.groups(_sourced(spark, sf)).select("example_id", "group", "size")
+
+
 @query("SELECT c_custkey, (c_mktsegment = 'AUTOMOBILE')::DOUBLE AS automobile, (c_mktsegment = 'BUILDING')::DOUBLE AS building FROM customer")
 def one_hot(spark, sf):
     hot = lambda v: (F.col("c_mktsegment") == v).cast("double")

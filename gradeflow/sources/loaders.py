@@ -5,7 +5,7 @@ A loader returns all rows with ``fault``, null where the row is good; inputs sta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -92,3 +92,82 @@ def prepare_all(tables: dict[str, DataFrame], write=None) -> DataFrame:
         if write:
             write(name, good(df))
     return out
+
+
+def numbered_id(dataset: str, split: str, key: Column) -> Column:
+    return F.concat_ws(":", F.lit(dataset), F.lit(split), key.cast("string"))
+
+
+#: What a record of ambiguous questions holds; other fields are passed over.
+AMBIGUOUS = "id string, question string, annotations array<struct<type: string, answer: array<string>, qaPairs: array<struct<question: string, answer: array<string>>>>>"
+SINGLE, SEVERAL = "singleAnswer", "multipleQAs"
+
+
+def ambiguous(df: DataFrame, split: str) -> DataFrame:
+    """Questions whose annotations are one answer or several interpretations, each with a question and answers of its own.
+
+    (example_id, source_id, question, aliases, interpretations, is_ambiguous, n_interpretations, fault): interpretations
+    stay grouped, in their order, over all annotations; all is one projection, no row is taken apart. A question with one
+    answer has no interpretations and counts as one.
+    """
+    notes = F.coalesce("annotations", F.array().cast("array<struct<type: string, answer: array<string>, qaPairs: array<struct<question: string, answer: array<string>>>>>"))
+    pairs = F.flatten(F.transform(F.filter(notes, lambda a: a["type"] == SEVERAL), lambda a: F.coalesce(a["qaPairs"], F.array().cast("array<struct<question: string, answer: array<string>>>"))))
+    plain = F.flatten(F.transform(F.filter(notes, lambda a: a["type"] == SINGLE), lambda a: F.coalesce(a["answer"], F.array().cast("array<string>"))))
+    x = df.select(
+        numbered_id("ambignq", split, F.col("id")).alias("example_id"),
+        F.col("id").cast("string").alias("source_id"),
+        F.trim("question").alias("question"),
+        notes.alias("_notes"),
+        without_blank(plain).alias("_plain"),
+        F.transform(pairs, lambda p, i: F.struct(i.cast("string").alias("name"), F.trim(p["question"]).alias("question"), without_blank(p["answer"]).alias("aliases"))).alias("interpretations"),
+    )
+    every = F.array_distinct(F.concat("_plain", F.flatten(F.transform("interpretations", lambda p: p["aliases"]))))
+    several = F.size("interpretations") > 0
+    fault = (
+        F.when(F.coalesce("source_id", F.lit("")) == "", "no_id")
+        .when(F.coalesce("question", F.lit("")) == "", "blank_question")
+        .when(F.exists("_notes", lambda a: ~F.coalesce(a["type"], F.lit("")).isin(SINGLE, SEVERAL)), "unknown_annotation")
+        .when(F.exists("interpretations", lambda p: F.size(p["aliases"]) == 0), "interpretation_without_answers")
+        .when(F.size(every) == 0, "no_answers")
+    )
+    return x.select("example_id", "source_id", "question", every.alias("aliases"), "interpretations", several.alias("is_ambiguous"), F.greatest(F.lit(1), F.size("interpretations")).alias("n_interpretations"), fault.alias("fault"))
+
+
+#: Columns of the file of truthfulness questions.
+TRUTHFUL = ("Type", "Category", "Question", "Best Answer", "Best Incorrect Answer", "Correct Answers", "Incorrect Answers", "Source")
+
+
+def read_truthful(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """The CSV file; ``_corrupt`` has the lines with too few or too many fields, as they stand."""
+    schema = ", ".join(f"`{c}` string" for c in TRUTHFUL) + ", _corrupt string"
+    return spark.read.schema(schema).options(header=header, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", multiLine=True, escape='"', enforceSchema=False).csv(path)
+
+
+def truthful(df: DataFrame) -> DataFrame:
+    """(example_id, source_id, question, aliases, wrong_aliases, category, fault): answers that are right and answers that are wrong, apart.
+
+    The id comes from the question, so it doesn't depend on the place in the file; the best answer stands first.
+    """
+    first = lambda best, rest: without_blank(F.concat(F.array(F.col(f"`{best}`")), listed(F.col(f"`{rest}`"))))
+    own = F.substring(F.sha2(T.normalised(F.col("Question")), 256), 1, 16)
+    x = df.select(numbered_id("truthfulqa", "validation", own).alias("example_id"), own.alias("source_id"), F.trim("Question").alias("question"), first("Best Answer", "Correct Answers").alias("aliases"), first("Best Incorrect Answer", "Incorrect Answers").alias("wrong_aliases"), F.col("Category").alias("category"), "_corrupt")
+    fault = F.when(F.col("_corrupt").isNotNull(), "malformed_line").when(F.coalesce("question", F.lit("")) == "", "blank_question").when(F.size("aliases") == 0, "no_answers").when(F.size("wrong_aliases") == 0, "no_wrong_answers")
+    return x.withColumn("fault", fault).drop("_corrupt")
+
+
+#: What a record of questions with evidence holds; other fields are passed over.
+EVIDENCE = "QuestionId string, Question string, Answer struct<Value: string, Aliases: array<string>, NormalizedAliases: array<string>>, EntityPages array<struct<Filename: string, Title: string, DocSource: string>>, SearchResults array<struct<Filename: string, Title: string, Url: string>>"
+
+
+def with_evidence(df: DataFrame, split: str, variant: str = "wikipedia") -> DataFrame:
+    """(example_id, source_id, question, aliases, normalised_aliases, evidence, fault): ``evidence`` refers to files, which aren't examples themselves.
+
+    Aliases begin with the answer's value; of the web variant evidence is the search results, else the entity pages.
+    A record without an answer is a fault.
+    """
+    pages = F.col("EntityPages") if variant == "wikipedia" else F.col("SearchResults")
+    files = F.filter(F.coalesce(F.transform(pages, lambda p: F.struct(F.concat(F.lit(f"evidence/{variant}/"), p["Filename"]).alias("path"), p["Title"].alias("title"))), F.array()), lambda e: e["path"].isNotNull())
+    aliases = without_blank(F.concat(F.array("Answer.Value"), F.coalesce("Answer.Aliases", F.array().cast("array<string>"))))
+    x = df.select(numbered_id("triviaqa", split, F.col("QuestionId")).alias("example_id"), F.col("QuestionId").alias("source_id"), F.trim("Question").alias("question"), aliases.alias("aliases"), F.coalesce("Answer.NormalizedAliases", F.array().cast("array<string>")).alias("normalised_aliases"), files.alias("evidence"), F.col("Answer").isNull().alias("_none"))
+    fault = F.when(F.coalesce("source_id", F.lit("")) == "", "no_id").when(F.coalesce("question", F.lit("")) == "", "blank_question").when(F.col("_none") | (F.size("aliases") == 0), "answerless")
+    return x.withColumn("fault", fault).drop("_none")
