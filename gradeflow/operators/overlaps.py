@@ -46,24 +46,31 @@ def overlaps(records: DataFrame) -> DataFrame:
     return same.unionByName(across)
 
 
-def groups(records: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _roots(parents: DataFrame) -> DataFrame:
+    """``parents(group, parent)`` with each group's last ancestor, by doubling the steps until none moves."""
+    while True:
+        ahead = parents.select(F.col("group").alias("parent"), F.col("parent").alias("further"))
+        new = kept(parents.join(ahead.hint("merge"), "parent", "left").select("group", F.coalesce("further", "parent").alias("parent"), (F.col("further") != F.col("parent")).alias("moved")))
+        parents = new.select("group", "parent")
+        if new.filter("moved").isEmpty():
+            return parents
+
+
+def groups(records: DataFrame) -> DataFrame:
     """(example_id, split, group, size, splits): which records hang together through any keys; the group is its smallest id.
 
-    Each round a key takes the smallest group of its records, a record the smallest of its keys, and then the group
-    that its group has by then, which halves the way: rounds grow with the logarithm of the longest chain.
+    Each round every group joins the smallest one that any of its keys leads to, so that a group stays by itself only
+    if all around it join it; rounds and steps within a round grow with the logarithm of the number of records.
     """
     links = kept(keyed(records).select(F.concat_ws(":", "reason", "key").alias("key"), "example_id"))
     now = kept(records.select("example_id", F.col("example_id").alias("group")))
-    for _ in range(most_rounds):
-        of_key = kept(links.join(now.hint("merge"), "example_id").groupBy("key").agg(F.min("group").alias("least")))
-        least = links.join(of_key.hint("merge"), "key").groupBy("example_id").agg(F.min("least").alias("least"))
-        step = kept(now.join(least, "example_id", "left").select("example_id", F.col("group").alias("old"), F.least("group", "least").alias("group")))
-        ahead = step.select(F.col("example_id").alias("group"), F.col("group").alias("further"))
-        new = kept(step.join(ahead.hint("merge"), "group", "left").select("example_id", "old", F.coalesce("further", "group").alias("group")))
-        now = new.select("example_id", "group")
-        if new.filter("old <> group").isEmpty():
+    while True:
+        placed = kept(links.join(now.hint("merge"), "example_id").select("key", "group").distinct())
+        least = kept(placed.groupBy("key").agg(F.min("group").alias("least")))
+        parents = kept(placed.join(least.hint("merge"), "key").groupBy("group").agg(F.min("least").alias("parent")))
+        if parents.filter("group <> parent").isEmpty():
             break
-    else:
-        raise RuntimeError(f"groups still change after {most_rounds} rounds")
+        roots = _roots(parents)
+        now = kept(now.join(roots.hint("merge"), "group", "left").select("example_id", F.coalesce("parent", "group").alias("group")))
     sizes = kept(now.join(records.select("example_id", "split"), "example_id").groupBy("group").agg(F.count("*").alias("size"), F.countDistinct("split").alias("splits")))
     return records.select("example_id", "split").join(now, "example_id").join(sizes.hint("merge"), "group").select("example_id", "split", "group", "size", "splits")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gradeflow.functions import arrays as A
 from gradeflow.functions import features as X
 from gradeflow.functions import grading as G
-from gradeflow.operators import gates, integrity, learners, metrics, sampling
+from gradeflow.operators import aliases, gates, integrity, learners, overlaps, sampling, tails
 from gradeflow.sources import loaders, records
 
 
@@ -122,16 +123,34 @@ def test_samples(spark):
     assert counts[0] != counts[1]
 
 
-def test_statistics_against_known_values():
-    assert metrics.spearman_p(0.5, 20) == pytest.approx(0.0247670, abs=1e-5)
-    assert metrics.spearman_p(0.0, 10) == pytest.approx(1.0) and metrics.spearman_p(1.0, 10) == 0.0 and metrics.spearman_p(None, 10) is None
-    assert gates.power(0.0098, -0.0006, 0.0202, 795, 2000) == pytest.approx(0.8354, abs=2e-3)
-    assert gates.power_gate(0.0098, -0.0006, 0.0202, 795, 2000) and not gates.power_gate(0.02, 0.01, 0.03, 795, 2000)
+def test_statistics_against_known_values(spark):
+    rows = spark.createDataFrame([(0.0098, -0.0006, 0.0202, 795, 2000), (0.02, 0.01, 0.03, 795, 2000), (0.0, 0.0, 0.0, 10, 20), (0.1, 0.1, 0.1, 10, 20), (None, -0.1, 0.1, 10, 20)], "gain double, low double, high double, n long, target long")
+    of = [F.col(c) for c in rows.columns]
+    got = rows.select(gates.power(*of).alias("p"), gates.power_gate(*of).alias("g")).collect()
+    assert got[0]["p"] == pytest.approx(0.8354, abs=2e-3) and [r["g"] for r in got[:2]] == [True, False]
+    assert got[2]["p"] == 0.0 and got[3]["p"] == 1.0 and got[4]["p"] is None
+    z = statistics.NormalDist()
+    values = [-30.0, -8.3, -1.96, 0.0, 0.5, 3.0, 39.0]
+    below = spark.createDataFrame([(v,) for v in values], "z double").select("z", tails.normal_below(F.col("z")).alias("p")).collect()
+    assert all(r["p"] == pytest.approx(z.cdf(r["z"]), abs=1e-15) for r in below) and below[0]["p"] > 0
     assert [list(r) for r in A.depth_regions(8)] == [[0, 1, 2], [3, 4, 5], [6, 7]] and sum(map(len, A.depth_regions(23))) == 23
     with pytest.raises(ValueError):
         A.depth_regions(2)
 
 
+def test_tails_of_students_t(spark):
+    cases = [(0.5, 20, 0.0247696), (-0.5, 20, 0.0247696), (0.0, 10, 1.0), (1.0, 10, 0.0), (-1.0, 5, 0.0), (None, 10, None), (0.3, 2, None), (0.9, 3, 1 - 2 / math.pi * math.atan(0.9 / math.sqrt(0.19)))]
+    rows = spark.createDataFrame([c[:2] for c in cases], "rho double, n long").coalesce(1)
+    got = [r["p"] for r in rows.select(tails.correlation_p(F.col("rho"), F.col("n")).alias("p")).collect()]
+    assert all(g is None if c[2] is None else g == pytest.approx(c[2], abs=1e-6) for g, c in zip(got, cases, strict=True))
+    t, v = np.meshgrid([0.01, 0.7, 2.0, 9.0, 60.0], [1, 2, 3, 10, 1000, 100_000])
+    x = np.linspace(0, 1, 40_001)
+    for a, n in zip(t.ravel().tolist(), v.ravel().tolist(), strict=True):
+        density = math.exp(math.lgamma((n + 1) / 2) - math.lgamma(n / 2)) / math.sqrt(n * math.pi) * (1 + (a * x) ** 2 / n) ** (-(n + 1) / 2)
+        inside = a * np.trapezoid(density, x)
+        assert float(tails.beta_ratio(n / (n + a * a), n / 2, 0.5)) == pytest.approx(1 - 2 * inside, abs=2e-7)
+
+
 def test_labels_of_interpretations(spark):
     two = [("a", ["Paris"]), ("b", ["London", "the city of London"])]
     shared = [("a", ["Paris"]), ("b", ["paris", "London"])]
@@ -213,3 +232,103 @@ def test_columns(spark):
         bad.select(A.aligned(F.col("t"), F.lit(1), 2)).collect()
     assert integrity.forbidden(spark.createDataFrame([((1, "x"),)], "m struct<a: int, Response: string>"), gates.BANNED) == ["Response"]
     assert records.markdown(df.select("id", "d")) == "| id | d |\n|-|-|\n| 1 | — |\n| 2 | 1 |"
+
+
+def test_overlaps_of_three_kinds(spark):
+    kind = "example_id string, split string, source_id string, question string"
+    rows = [("a:1", "validation", "10", "Who wrote it?"), ("n:1", "train", "10", "Another"), ("n:2", "test", "99", "who wrote it"), ("n:3", "train", "98", "Alone"), ("n:4", "train", "", ""), ("n:5", "train", None, None), ("n:6", "train", "99", "Third"), ("n:7", "test", "77", "third!"), ("n:8", "train", "66", "The third")]
+    df = spark.createDataFrame(rows, kind).repartition(3)
+    got = sorted(map(tuple, overlaps.overlaps(df).collect()))
+    assert got == sorted([(overlaps.SOURCE, "n:1", "a:1"), (overlaps.QUESTION, "n:2", "a:1"), (overlaps.SPLIT, "n:1", "a:1"), (overlaps.SPLIT, "n:2", "a:1"), (overlaps.SOURCE, "n:6", "n:2"), (overlaps.SPLIT, "n:6", "n:2"), (overlaps.QUESTION, "n:7", "n:6"), (overlaps.QUESTION, "n:8", "n:6"), (overlaps.SPLIT, "n:7", "n:6"), (overlaps.SPLIT, "n:8", "n:7")])
+    members = {r["example_id"]: (r["group"], r["size"], r["splits"]) for r in overlaps.groups(df).collect()}
+    assert {members[x] for x in ("a:1", "n:1", "n:2", "n:6", "n:7", "n:8")} == {("a:1", 6, 3)} and members["n:3"] == ("n:3", 1, 1) and members["n:4"] == ("n:4", 1, 1)
+    with pytest.raises(ValueError, match="Duplicate example ID: a:1"):
+        overlaps.overlaps(df.unionByName(df.filter("example_id = 'a:1'")))
+    assert overlaps.overlaps(df.filter("false")).count() == overlaps.groups(df.filter("false")).count() == 0
+
+
+def test_groups_of_long_chains(spark):
+    rng = random.Random(5)
+    ids = list(range(300))
+    rng.shuffle(ids)
+    rows = [(f"{i:05d}", "train", str(place // 2), f"question {(place + 1) // 2}") for place, i in enumerate(ids)]
+    members = overlaps.groups(spark.createDataFrame(rows, "example_id string, split string, source_id string, question string")).collect()
+    assert {(r["group"], r["size"]) for r in members} == {("00000", 300)}
+
+
+def test_loaders_of_annotated_questions(spark):
+    note = lambda *x: loaders_row(*x)
+
+    def loaders_row(kind, answer=None, pairs=None):
+        return (kind, answer, pairs)
+
+    rows = [("10", "Who wrote it?", [note("singleAnswer", ["A. Writer", ""])]), ("11", "When did it begin?", [note("multipleQAs", None, [("When did event A begin?", ["1900"]), ("When did event B begin?", ["2000"])])]), ("12", None, [note("singleAnswer", ["x"])]), ("13", "Q", None), ("14", "Q", [note("odd")]), ("15", "Q", [note("multipleQAs", None, [("a", [" "])])]), (None, "Q", [note("singleAnswer", ["x"])])]
+    got = {r["source_id"]: r for r in loaders.ambiguous(spark.createDataFrame(rows, loaders.AMBIGUOUS), "validation").collect()}
+    one, two = got["10"], got["11"]
+    assert one["example_id"] == "ambignq:validation:10" and one["aliases"] == ["A. Writer"] and one["is_ambiguous"] is False and one["n_interpretations"] == 1 and one["interpretations"] == []
+    assert two["is_ambiguous"] is True and two["n_interpretations"] == 2 and [x["aliases"] for x in two["interpretations"]] == [["1900"], ["2000"]] and two["fault"] is None
+    assert {k: got[k]["fault"] for k in ("12", "13", "14", "15", None)} == {"12": "blank_question", "13": "no_answers", "14": "unknown_annotation", "15": "interpretation_without_answers", None: "no_id"}
+
+
+def test_loaders_of_truthfulness_and_evidence(spark, tmp_path):
+    lines = [",".join(loaders.TRUTHFUL), 'Adversarial,Test,Is this true?,Yes,No,"Yes; Correct","No; Incorrect",fixture', 'Adversarial,Test,"Is ""it"", then?",Maybe,,"Yes; Correct",,fixture', "too,short"]
+    (tmp_path / "truth.csv").write_text("\n".join(lines) + "\n")
+    got = loaders.truthful(loaders.read_truthful(spark, str(tmp_path / "truth.csv"))).collect()
+    first = next(r for r in got if r["question"] == "Is this true?")
+    assert first["aliases"] == ["Yes", "Correct"] and first["wrong_aliases"] == ["No", "Incorrect"] and first["fault"] is None and first["example_id"].startswith("truthfulqa:validation:")
+    assert sorted(str(r["fault"]) for r in got) == ["None", "malformed_line", "no_wrong_answers"]
+    assert next(r for r in got if r["fault"] == "no_wrong_answers")["question"] == 'Is "it", then?'
+    kind = loaders.EVIDENCE
+    rows = [("q1", "Who wrote the book?", ("Ada", ["Ada", "A. Author"], ["ada", "a author"]), [("Book.txt", "Book", "TagMe")], [("web/1.txt", "Hit", "http://x")]), ("q2", "Who?", None, None, None)]
+    wiki = {r["source_id"]: r for r in loaders.with_evidence(spark.createDataFrame(rows, kind), "validation").collect()}
+    assert wiki["q1"]["aliases"] == ["Ada", "A. Author"] and wiki["q1"]["normalised_aliases"] == ["ada", "a author"] and wiki["q1"]["evidence"][0]["path"] == "evidence/wikipedia/Book.txt" and wiki["q2"]["fault"] == "answerless"
+    web = loaders.with_evidence(spark.createDataFrame(rows, kind), "validation", "web").first()
+    assert web["evidence"][0]["path"] == "evidence/web/web/1.txt"
+
+
+def test_answers_against_very_many_aliases(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))
+    answers = [(rng.randrange(3), i, " ".join(word() for _ in range(rng.randrange(0, 7)))) for i in range(120)]
+    given = [(rng.randrange(3), " ".join(word() for _ in range(rng.randrange(1, 4)))) for _ in range(400)] + [(0, ""), (1, "The")]
+    one, two = aliases.prepared(spark.createDataFrame(answers, "q int, id int, r string"), spark.createDataFrame(given, "q int, a string"), "q", "id", "r", "a")
+    norm = lambda t: " ".join(w for w in t.lower().split() if w not in ("a", "an", "the"))
+    by = {q: {norm(a) for k, a in given if k == q} for q in range(3)}
+    inside, best, same = {(r["id"], r["a"]) for r in aliases.contained(one, two).collect()}, {r["id"]: r["best_f1"] for r in aliases.best_overlap(one, two).collect()}, {r["id"] for r in aliases.exact_matches(one, two).collect()}
+
+    def f1(x, y):
+        x, y = x.split(), y.split()
+        common = sum(min(x.count(w), y.count(w)) for w in set(x))
+        return 1.0 if not x and not y else 2 * common / (len(x) + len(y)) if x and y else 0.0
+
+    assert inside == {(i, a) for q, i, r in answers for a in by[q] if a and a in norm(r)}
+    assert all(best[i] == pytest.approx(max(f1(norm(r), a) for a in by[q])) for q, i, r in answers) and len(best) == 120
+    assert same == {i for q, i, r in answers if norm(r) in by[q]}
+
+
+def test_a_stream_that_is_stopped_and_started_again(spark, tmp_path):
+    from gradeflow.streaming import collect, monitor
+
+    for name, ids in (("a", range(0, 40)), ("b", range(40, 60))):
+        spark.createDataFrame([(i, "first") for i in ids], "id long, t string").repartition(2).write.json(str(tmp_path / "in" / name))
+    calls = []
+
+    def stop(batch, number):
+        calls.append(number)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+
+    start = lambda after=None: collect.collect(collect.arriving(spark, str(tmp_path / "in/*"), "id long, t string", 1), str(tmp_path / "out"), str(tmp_path / "checkpoint"), after)
+    with pytest.raises(Exception, match="stopped"):
+        start(stop).awaitTermination()
+    assert len(calls) == 2
+    spark.createDataFrame([(7, "again")], "id long, t string").write.json(str(tmp_path / "in" / "c"))
+    start().awaitTermination()
+    start().awaitTermination()
+    got = {r["id"]: r["t"] for r in collect.collected(spark, str(tmp_path / "out"), "id long, t string", "id").collect()}
+    assert got == {i: "again" if i == 7 else "first" for i in range(60)}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 61  # nothing was written twice
+    assert collect.collected(spark, str(tmp_path / "none"), "id long, t string", "id").count() == 0
+    events = spark.createDataFrame([(i, float(i)) for i in range(3)], "id long, value double").withColumn("ts", F.timestamp_seconds(F.col("id") * 3600))
+    assert [tuple(r)[1:] for r in monitor.rate(events, "ts", F.col("value") > 0).orderBy("start").collect()] == [(1, 0, 0.0), (1, 1, 1.0), (1, 1, 1.0)]
+    assert monitor.first_of_each(events.unionByName(events), "id", "ts").count() == 3
