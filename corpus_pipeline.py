@@ -1,7 +1,9 @@
 """The corpus pipeline: language, exact copies, near copies, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
-as the next stage's documents. All but the last return the columns of documents.
+as the next stage's documents. All but the last return the columns of documents, whatever further ones there are.
+Every stage takes null ids and repeated rows as rows of their own, reads very long texts whole, and gives an empty
+table for an empty one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts: that of the smallest doc_id."""
+    """Keeps one row of each group of equal texts: that of the smallest doc_id, nulls last; of rows that share even that, one. Null texts equal empty ones."""
     return exact.drop_copies(docs)
 
 
@@ -32,12 +34,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark; null and empty texts hold none and stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text and whether they decode to it."""
+    """Token ids of each text and whether they decode to it; a null text has none."""
     return pieces.encode(docs)
 
 
@@ -48,6 +50,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the table ``documents`` of a folder; what each stage kept is a table in the shared folder."""
     scratch = Scratch(spark, "pipeline")
 
     def apply(docs: DataFrame, stage) -> DataFrame:
