@@ -116,6 +116,40 @@ def integrity(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return out.withColumn("passed", everything)
 
 
+def collection_integrity(predictions: DataFrame, signatures: DataFrame, canonical: DataFrame, experiment: str, each: int, key: str = "example_id") -> DataFrame:
+    """One row: what is wrong with a collection of predictions and signatures of the same examples, and whether it ``passed``.
+
+    Predictions have dataset, experiment_id, prompt, prompt_checksum and ``intact`` (whether the record's own checksum
+    holds), signatures dataset, experiment_id and ``intact``; canonical records the key. Each dataset must have ``each``
+    records on both sides; keys stand once, on both sides, and among the canonical ones; every record belongs to the
+    experiment, fits its checksum, and each prompt its own.
+    """
+    wrong = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False)))
+    own = F.col("experiment_id") == experiment
+    a = predictions.groupBy(key).agg(F.count("*").alias("p"), wrong(own).alias("pe"), wrong(F.col("intact")).alias("pc"), wrong(F.sha2("prompt", 256) == F.col("prompt_checksum")).alias("pp"))
+    b = signatures.groupBy(key).agg(F.count("*").alias("s"), wrong(own).alias("se"), wrong(F.col("intact")).alias("sc"))
+    both = a.join(b, key, "full_outer").join(canonical.select(key).distinct().withColumn("c", F.lit(1)), key, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    rows = both.agg(
+        total("p").alias("predictions"),
+        total("s").alias("signatures"),
+        total(F.col("p") - 1).alias("double_predictions"),
+        total(F.col("s") - 1).alias("double_signatures"),
+        F.count_if(F.col("s").isNull()).alias("without_signature"),
+        F.count_if(F.col("p").isNull()).alias("without_prediction"),
+        F.count_if(F.col("p").isNotNull() & F.col("c").isNull()).alias("not_canonical"),
+        (total("pe") + total("se")).alias("other_experiments"),
+        total("pc").alias("changed_predictions"),
+        total("sc").alias("changed_signatures"),
+        total("pp").alias("changed_prompts"),
+    )
+    sizes = predictions.groupBy("dataset").count().unionByName(signatures.groupBy("dataset").count()).agg(F.count_if(F.col("count") != each).alias("uneven_datasets"))
+    clean = (F.col("predictions") == F.col("signatures")) & (F.col("predictions") > 0)
+    for name in ("double_predictions", "double_signatures", "without_signature", "without_prediction", "not_canonical", "other_experiments", "changed_predictions", "changed_signatures", "changed_prompts", "uneven_datasets"):
+        clean = clean & (F.col(name) == 0)
+    return rows.crossJoin(sizes).withColumn("passed", clean)  # one row each
+
+
 #: What a manifest must not hold.
 BANNED = ("question", "response", "reference_answers", "text", "prompt")
 

@@ -82,3 +82,20 @@ def gains(values: DataFrame, by: list[str], name: str, value: str, baseline: str
     base = values.filter(F.col(name) == baseline).select(*by, F.col(value).alias("_b"))
     out = values.join(base, by, "left") if by else values.crossJoin(base)  # one row
     return out.select(*by, name, value, (F.col(value) - F.col("_b")).alias("gain"))
+
+
+def consolidated(df: DataFrame, dataset: str, key: str, label: str, score: str, baseline: str, truncated: str) -> DataFrame:
+    """One row a dataset: counts by verdict (null is unresolved), truncation, ranking metrics of ``score`` and its gain over ``baseline``.
+
+    A dataset without both classes has null metrics and is ``diagnostic_only``.
+    """
+    n = F.count("*")
+    counts = df.groupBy(dataset).agg(n.alias("sample_count"), F.count_if(F.col(label) == 0).alias("correct_count"), F.count_if(F.col(label) == 1).alias("incorrect_count"), F.count_if(F.col(label).isNull()).alias("unresolved_count"), F.count_if(truncated).alias("truncation_count"), (F.count_if(truncated) / n).alias("truncation_rate"))
+    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & F.col(baseline).isNotNull())
+    first = auroc(known, score, label, [dataset]).select(dataset, "n", "positives", "auroc")
+    base = auroc(known, baseline, label, [dataset]).select(dataset, F.col("auroc").alias("_base"))
+    area = aurc(risk_curve(known, score, label, key, [dataset]), [dataset], key).select(dataset, "aurc")
+    out = counts.join(first, dataset, "left").join(base, dataset, "left").join(average_precision(known, score, label, [dataset]), dataset, "left").join(area, dataset, "left")
+    there = F.col("auroc").isNotNull()
+    status = F.when(there, reliability(F.least("positives", F.col("n") - F.col("positives")))).otherwise("diagnostic_only")
+    return out.select(*counts.columns, "auroc", F.when(there, F.col("average_precision")).alias("auprc"), F.when(there, F.col("aurc")).alias("aurc"), status.alias("reliability_status"), (F.col("auroc") - F.col("_base")).alias("auroc_gain"))

@@ -193,6 +193,38 @@ def choice_manifest(spark, sf):
     return p.select("p_partkey", F.size(shuffled).cast("long").alias("options"), F.concat_ws(",", F.transform(places, lambda i: i.cast("string"))).alias("correct_places"))
 
 
+@query("""WITH o AS (SELECT p_partkey, p_name, x, i <= 2 AS correct, row_number() OVER (PARTITION BY p_partkey ORDER BY sha256(seed || ':' || x), x) - 1 AS place FROM (SELECT p_partkey, p_name, ('0x' || substr(sha256(p_partkey::VARCHAR), 1, 16))::UBIGINT::VARCHAR AS seed, unnest([p_name, 'the ' || p_name, p_brand, p_type]) AS x, unnest([1, 2, 3, 4]) AS i FROM part))
+SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS selection_order, 'category:' || p_brand || '|type:' || p_type AS sampling_stratum, options, best AS correct_option_index, places AS correct_option_indices, 'MC1,MC2' AS mc_protocols, digest AS option_order_checksum
+FROM part JOIN (SELECT p_partkey, count(*)::INT AS options, min(place) FILTER (WHERE correct AND x = p_name)::INT AS best, string_agg(place::VARCHAR, ',' ORDER BY place) FILTER (WHERE correct) AS places, sha256('["' || string_agg(x, '","' ORDER BY place) || '"]') AS digest FROM o GROUP BY p_partkey) USING (p_partkey)""")
+def choice_rows(spark, sf):
+    """The manifest of questions with options: where the right ones stand and a digest of the order, but no texts."""
+    p = read(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.array("p_name", F.concat(F.lit("the "), "p_name")).alias("good"), F.array("p_brand", "p_type").alias("bad"))
+    stratum = F.concat(F.lit("category:"), "p_brand", F.lit("|type:"), "p_type")
+    x = sampling.choice_manifest(p, "p_partkey", "good", "bad", "p_name", stratum)
+    return x.select("p_partkey", "selection_order", "sampling_stratum", F.col("option_count").alias("options"), "correct_option_index", F.concat_ws(",", F.transform("correct_option_indices", lambda i: i.cast("string"))).alias("correct_option_indices"), F.concat_ws(",", "mc_protocols").alias("mc_protocols"), "option_order_checksum")
+
+
+_SIDES = "SELECT {d} AS damaged, count(*) AS predictions, count(*) FILTER (WHERE NOT {d} OR k % 97 <> 5) AS signatures, {d}::INT * count(*) FILTER (WHERE k % 97 = 5) AS without_signature, {d}::INT * count(*) FILTER (WHERE k % 89 = 7) AS other_experiments, {d}::INT * count(*) FILTER (WHERE k % 83 = 2) AS changed_predictions, {d}::INT * count(*) FILTER (WHERE k % 79 = 3) AS changed_prompts, {d}::INT * count(*) FILTER (WHERE k % 73 = 4) AS not_canonical FROM (SELECT c_custkey AS k FROM customer)"
+
+
+@query(f"""SELECT damaged, predictions, signatures, without_signature::BIGINT AS without_signature, other_experiments::BIGINT AS other_experiments, changed_predictions::BIGINT AS changed_predictions, changed_prompts::BIGINT AS changed_prompts, not_canonical::BIGINT AS not_canonical,
+predictions = signatures AND without_signature + other_experiments + changed_predictions + changed_prompts + not_canonical = 0 AS passed FROM ({_SIDES.format(d='FALSE')} UNION ALL {_SIDES.format(d='TRUE')})""")
+def collection_checks(spark, sf):
+    """A whole collection passes; one with gaps, strangers and changed records doesn't, and the row says why."""
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("example_id"), F.col("c_name").alias("prompt"))
+    k, out = F.col("example_id"), None
+    size = c.count() // 5
+    whole = c.withColumns({"dataset": F.concat(F.lit("d"), k % 5), "experiment_id": F.lit("one"), "prompt_checksum": F.sha2("prompt", 256), "intact": F.lit(True)})
+    for damaged in (False, True):
+        hurt = lambda test, bad, good: F.when(test & F.lit(damaged), bad).otherwise(good)  # noqa: E731, B023
+        p = whole.withColumns({"experiment_id": hurt(k % 89 == 7, F.lit("other"), F.col("experiment_id")), "intact": hurt(k % 83 == 2, F.lit(False), F.col("intact")), "prompt_checksum": hurt(k % 79 == 3, F.lit("x"), F.col("prompt_checksum"))})
+        s = whole.filter(~F.lit(damaged) | (k % 97 != 5))
+        row = gates.collection_integrity(p, s, c.filter(~F.lit(damaged) | (k % 73 != 4)), "one", size)
+        row = row.select(F.lit(damaged).alias("damaged"), "predictions", "signatures", "without_signature", "other_experiments", "changed_predictions", "changed_prompts", "not_canonical", "passed")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) = 0 AS orders_in_customers, (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) = 0 AS customers_in_orders")
 def subset_tests(spark, sf):
     o, c = read(spark, sf, "orders").select(F.col("o_custkey").alias("k")), read(spark, sf, "customer").select(F.col("c_custkey").alias("k"))

@@ -308,3 +308,23 @@ def streamed_rates(spark, sf):
     last.withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS")).write.json(f"{at}/in/b")  # moves the watermark
     write()
     return spark.read.parquet(f"{at}/out").select("start", "n", "bad")
+
+
+@query("""WITH n AS (SELECT n_name, n_nationkey, n_regionkey FROM nation) SELECT 'gate' AS section, n_name AS name, '{"ok":' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS gate, NULL AS metadata, 0::INT AS analyses FROM n
+UNION ALL SELECT 'dataset', n_name, NULL, CASE WHEN n_nationkey % 3 > 0 THEN '{"id":' || n_nationkey || '}' END, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END FROM n WHERE n_regionkey < 3 UNION ALL SELECT 'dataset', 'repair_' || n_name, NULL, '{"id":' || n_nationkey || '}', 0 FROM n WHERE n_regionkey >= 3""")
+def reported_artifacts(spark, sf):
+    """Gates, datasets and repairs of a model's folder with their artifacts; the report of all is numbered."""
+    at = folder(spark, "model")
+    n = read(spark, sf, "nation").select("n_name", "n_nationkey", "n_regionkey")
+    file = lambda *path: F.concat_ws("/", *(F.lit(x) if isinstance(x, str) else x for x in path)).alias("name")
+    name, number = F.col("n_name"), F.concat(F.lit('{"id":'), "n_nationkey", F.lit("}"))
+    full, repaired = n.filter("n_regionkey < 3"), n.filter("n_regionkey >= 3")
+    files = n.select(file("calibration", name, R.GATE_FILE), F.concat(F.lit('{"ok":'), (F.col("n_nationkey") % 2 == 0).cast("string"), F.lit("}")).alias("text"))
+    files = files.unionByName(full.filter("n_nationkey % 3 > 0").select(file("full", name, R.METADATA_FILE), number.alias("text")))
+    files = files.unionByName(full.select(file("full", name, "analysis", "a.json"), number.alias("text"))).unionByName(full.filter("n_nationkey % 3 > 0").select(file("full", name, "analysis", "b.json"), F.lit("[1]").alias("text")))
+    files = files.unionByName(repaired.select(file("repairs", name, "full", R.METADATA_FILE), number.alias("text")))
+    write_files(files, at)
+    path, summary = R.model_report(spark, at, folder(spark, "reports"), "a report")
+    if not path.endswith("report_001.json") or f"Calibration gates: {n.count()}" not in summary:
+        raise AssertionError(summary)
+    return R.model_artifacts(spark, at).select("section", "name", "gate", "metadata", F.size("analyses").alias("analyses"))

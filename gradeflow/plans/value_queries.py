@@ -174,6 +174,20 @@ def coverage_at_risk(spark, sf):
     return curve.groupBy("lang").agg(at(0.05).alias("at5"), at(0.1).alias("at10"))
 
 
+_AUROC_BY = "SELECT lang, (sum(r * err) - sum(err) * (sum(err) + 1) / 2.0) / nullif(sum(err) * (count(*) - sum(err)), 0) AS a FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY {s}) + (count(*) OVER (PARTITION BY lang, {s}) - 1) / 2.0::DOUBLE AS r FROM ({l})) GROUP BY lang"
+
+
+@query(f"""WITH c AS (SELECT d.lang, count(*) AS sample_count, count(*) FILTER (quality = 1) AS correct_count, count(*) FILTER (quality = 0) AS incorrect_count, count(*) FILTER (quality IS NULL) AS unresolved_count, count(*) FILTER (n_chars > 3000) AS truncation_count FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang)
+SELECT c.lang, sample_count, correct_count, incorrect_count, unresolved_count, truncation_count, round(truncation_count / sample_count, 6) AS truncation_rate, round(a.a, 6) AS auroc, round(a.a - b.a, 6) AS auroc_gain, CASE WHEN a.a IS NULL THEN 'diagnostic_only' WHEN least(correct_count, incorrect_count) < 20 THEN 'descriptive_only' WHEN least(correct_count, incorrect_count) < 50 THEN 'exploratory' WHEN least(correct_count, incorrect_count) < 100 THEN 'preliminary' ELSE 'suitable_for_primary_analysis' END AS reliability_status
+FROM c LEFT JOIN ({_AUROC_BY.format(s='score', l=_L)}) a ON c.lang IS NOT DISTINCT FROM a.lang LEFT JOIN ({_AUROC_BY.format(s='toxic', l=_L)}) b ON c.lang IS NOT DISTINCT FROM b.lang""")
+def consolidated_metrics(spark, sf):
+    """One row a language: verdicts, truncation, ranking metrics and the gain over another score."""
+    d = read(spark, sf, "documents").select("doc_id", "lang", "n_chars", (F.col("n_chars") > 3000).alias("cut"), F.least(F.col("n_chars") / F.lit(5000.0), F.lit(1.0)).alias("score"))
+    rows = d.join(read(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("err"), "toxic"), "doc_id", "left")
+    out = metrics.consolidated(rows, "lang", "doc_id", "err", "score", "toxic", "cut")
+    return out.select("lang", "sample_count", "correct_count", "incorrect_count", "unresolved_count", "truncation_count", *(F.round(c, 6).alias(c) for c in ("truncation_rate", "auroc", "auroc_gain")), "reliability_status")
+
+
 _CAL = f"SELECT lang, err::DOUBLE AS y, least(greatest(score, 1e-7::DOUBLE), 1.0::DOUBLE - 1e-7::DOUBLE) AS p FROM ({_L})"
 
 

@@ -243,6 +243,46 @@ def write_report(df: DataFrame, folder: str, prefix: str) -> tuple[str, str]:
     return path, markdown(df)
 
 
+#: Where a model's folder has the artifacts of its report.
+GATE_FILE, METADATA_FILE, CHECKSUM_FILE = "calibration_gate.json", "extraction_metadata/experiment.json", "verification_reports/artifact_checksums.json"
+
+
+def model_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """(section, name, gate, metadata, checksums, analyses): the artifacts below a model's folder as JSON texts, a row for each gate and dataset.
+
+    Gates are ``calibration/NAME/calibration_gate.json``; datasets are folders of ``full``, and ``repairs/NAME/full`` as
+    ``repair_NAME``; analyses are a map of the files in ``analysis``. What isn't there is null.
+    """
+    files = find_files(spark, root, "*.json").select(below(F.col("path"), root).alias("p"), "text")
+    part = lambda pattern, i: F.regexp_extract("p", pattern, i)
+    gates = files.filter(F.col("p").rlike(f"^calibration/[^/]+/{GATE_FILE}$")).select(F.lit("gate").alias("section"), part("^calibration/([^/]+)/", 1).alias("name"), F.lit("gate").alias("kind"), F.lit(None).cast("string").alias("file"), "text")
+    inside = r"^(?:full/([^/]+)|repairs/([^/]+)/full)/(.*)$"
+    own = files.filter(F.col("p").rlike(inside)).select(F.when(part(inside, 1) != "", part(inside, 1)).otherwise(F.concat(F.lit("repair_"), part(inside, 2))).alias("name"), part(inside, 3).alias("file"), "text")
+    kind = F.when(F.col("file") == METADATA_FILE, "metadata").when(F.col("file") == CHECKSUM_FILE, "checksums").when(F.col("file").rlike("^analysis/[^/]+$"), "analysis")
+    datasets = own.select(F.lit("dataset").alias("section"), "name", kind.alias("kind"), F.element_at(F.split("file", "/"), -1).alias("file"), "text")
+    one = lambda k: F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k)
+    analyses = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == "analysis", F.struct("file", "text")))))
+    return gates.unionByName(datasets).groupBy("section", "name").agg(one("gate"), one("metadata"), one("checksums"), analyses.alias("analyses"))
+
+
+def model_report(spark: SparkSession, root: str, folder: str, version: str) -> tuple[str, str]:
+    """A numbered report of all a model's artifacts, nested by gate and dataset, and its summary as Markdown with the report's digest.
+
+    A report is of some gates and datasets, each a row that the driver reads; a broken artifact is an error.
+    """
+    found = model_artifacts(spark, root).collect()
+    read = lambda text: None if text is None else json.loads(text)
+    gates = {r["name"]: read(r["gate"]) for r in found if r["section"] == "gate"}
+    datasets = {r["name"]: {"metadata": read(r["metadata"]), "checksums": read(r["checksums"]), "analyses": {k: read(v) for k, v in r["analyses"].items()}} for r in found if r["section"] == "dataset"}
+    text = json.dumps({"version": version, "model_root": root, "calibration_gates": gates, "datasets": datasets}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    path = next_report(spark, folder, "report")
+    fs, target = file_system(spark, f"{path}.json")
+    out = fs.create(target, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return f"{path}.json", f"# {version}\n\nCalibration gates: {len(gates)}\n\nFull dataset directories: {len(datasets)}\n\nJSON checksum: `{text_digest(text)}`\n"
+
+
 # resuming
 
 
