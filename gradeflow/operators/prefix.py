@@ -47,7 +47,8 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     """``df`` with running sums ``sums`` up to each row, and sums ``whole`` of all its group's rows, groups by ``by``.
 
     Rows are in ascending order of ``order``, nulls first; ``order`` should tell the rows of a group apart: equal ones
-    come in any order, and very many of them would meet in one task. Groups may be null.
+    come in any order, and very many of them would meet in one task. Groups may be null. Make columns by higher-order
+    functions after this rather than before: Spark's optimizer fails on some that a union would carry.
     """
     whole = whole or {}
     values = {f"_v{i}": v for i, v in enumerate([*sums.values(), *whole.values()])}

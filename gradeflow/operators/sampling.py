@@ -146,12 +146,12 @@ def choice_manifest(df: DataFrame, key: str, right: str, wrong: str, best: str,
     seed = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 16), 16, 10)
     option = lambda x, ok: F.struct(F.sha2(F.concat(seed, F.lit(":"), x), 256).alias("h"), x.alias("text"), F.lit(ok).alias("correct"))
     keyed = F.array_sort(F.concat(F.transform(right, lambda x: option(x, True)), F.transform(wrong, lambda x: option(x, False))))
-    rows = df.select(key, F.col(best).alias("_best"), stratum.alias("sampling_stratum"), keyed.alias("_o"))
+    placed = running(df.select(key, right, wrong, best, stratum.alias("sampling_stratum")), [], [key], {"_place": F.lit(1).cast("long")})
+    rows = placed.select(key, "_place", F.col(best).alias("_best"), "sampling_stratum", keyed.alias("_o"))
     places = lambda ok: F.filter(F.transform("_o", lambda o, i: F.when(ok(o), i)), lambda i: i.isNotNull())
     rows = rows.withColumns({"correct_option_indices": places(lambda o: o["correct"]), "_at": places(lambda o: o["correct"] & (o["text"] == F.col("_best")))})
     texts = F.transform("_o", lambda o: o["text"])
     escaped = canonical_json(rows.select(texts.alias("x")), "x")  # {"x":[...]}
     rows = rows.withColumn("x", texts)
     checksum = F.sha2(F.substring(escaped, F.lit(6), F.length(escaped) - 6), 256)
-    out = running(rows.withColumn("option_order_checksum", checksum), [], [key], {"_place": F.lit(1).cast("long")})
-    return out.select(key, (F.col("_place") - 1).alias("selection_order"), "sampling_stratum", F.size("_o").alias("option_count"), F.get("_at", F.lit(0)).alias("correct_option_index"), "correct_option_indices", F.array(*map(F.lit, PROTOCOLS)).alias("mc_protocols"), "option_order_checksum")
+    return rows.withColumn("option_order_checksum", checksum).select(key, (F.col("_place") - 1).alias("selection_order"), "sampling_stratum", F.size("_o").alias("option_count"), F.get("_at", F.lit(0)).alias("correct_option_index"), "correct_option_indices", F.array(*map(F.lit, PROTOCOLS)).alias("mc_protocols"), "option_order_checksum")

@@ -75,3 +75,78 @@ def test_abstentions_of_both_forms(spark):
     rows = spark.createDataFrame([(1, "un-known"), (2, "Unknown"), (3, "Unanswerable"), (4, "Paris")], "id int, t string")
     got = {r["id"]: (r["a"], r["b"]) for r in rows.select("id", T.malformed_abstention(F.col("t")).alias("a"), T.malformed_abstention(F.col("t"), flat=True).alias("b")).collect()}
     assert got == {1: (False, True), 2: (True, True), 3: (False, False), 4: (False, False)}
+
+
+def test_manifests_of_options(spark):
+    import hashlib
+    import json
+
+    from gradeflow.operators import sampling
+
+    rows = [("b", ["Yes", "Surely"], ["No", 'say "no"'], "Yes"), ("a", ["x"], [], "other"), ("c", ["same", "same"], ["é"], "same")]
+    df = spark.createDataFrame(rows, "id string, good array<string>, bad array<string>, best string")
+    got = {r["id"]: r for r in sampling.choice_manifest(df, "id", "good", "bad", "best", F.lit("s")).collect()}
+    for place, (key, good, bad, best) in enumerate(sorted(rows)):
+        seed = int(hashlib.sha256(key.encode()).hexdigest()[:16], 16)
+        options = sorted([(x, x in good) for x in good] + [(x, False) for x in bad], key=lambda o: (hashlib.sha256(f"{seed}:{o[0]}".encode()).hexdigest(), o[0]))
+        r = got[key]
+        assert r["selection_order"] == place and r["option_count"] == len(options) and r["correct_option_indices"] == [i for i, o in enumerate(options) if o[1]]
+        assert r["correct_option_index"] == next((i for i, o in enumerate(options) if o == (best, True)), None)
+        assert r["option_order_checksum"] == hashlib.sha256(json.dumps([o[0] for o in options], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_what_is_wrong_with_a_collection(spark):
+    import hashlib
+
+    from gradeflow.operators import gates
+
+    prompt = lambda i: f"prompt {i}"
+    rows = [(i, f"d{i % 2}", "one", prompt(i), hashlib.sha256(prompt(i).encode()).hexdigest(), True) for i in range(20)]
+    p = spark.createDataFrame(rows, "example_id int, dataset string, experiment_id string, prompt string, prompt_checksum string, intact boolean")
+    s, c = p.select("example_id", "dataset", "experiment_id", "intact"), p.select("example_id")
+    check = lambda a, b, d=c, each=10: gates.collection_integrity(a, b, d, "one", each).first()
+    assert check(p, s)["passed"] and not check(p, s, each=9)["passed"] and check(p, s, each=9)["uneven_datasets"] == 4
+    one = F.col("example_id") == 3
+    for name, row in {
+        "double_predictions": check(p.unionByName(p.filter(one)), s),
+        "double_signatures": check(p, s.unionByName(s.filter(one))),
+        "without_signature": check(p, s.filter(~one)),
+        "without_prediction": check(p.filter(~one), s),
+        "not_canonical": check(p, s, c.filter(~one)),
+        "other_experiments": check(p.withColumn("experiment_id", F.when(one, "two").otherwise("one")), s),
+        "changed_predictions": check(p.withColumn("intact", F.when(one, F.lit(None)).otherwise(F.col("intact"))), s),
+        "changed_signatures": check(p, s.withColumn("intact", ~one)),
+        "changed_prompts": check(p.withColumn("prompt", F.when(one, "x").otherwise(F.col("prompt"))), s),
+    }.items():
+        assert row[name] == 1 and not row["passed"], name
+    assert not check(p.filter("false"), s.filter("false"))["passed"]
+
+
+def test_consolidated_rows(spark):
+    from gradeflow.operators import metrics
+
+    rows = [("a", i, i % 2, float(i % 5), float(i % 3), i % 4 == 0) for i in range(60)] + [("b", 100, 1, 0.5, 0.1, False), ("b", 101, None, 0.5, 0.1, True), ("c", 102, None, None, None, False)]
+    got = {r["d"]: r for r in metrics.consolidated(spark.createDataFrame(rows, "d string, id int, y int, s double, t double, cut boolean"), "d", "id", "y", "s", "t", "cut").collect()}
+    assert (got["a"]["sample_count"], got["a"]["correct_count"], got["a"]["incorrect_count"], got["a"]["truncation_rate"], got["a"]["reliability_status"]) == (60, 30, 30, 0.25, "exploratory")
+    assert got["a"]["auroc"] == pytest.approx(0.5) and got["a"]["aurc"] > 0 and got["a"]["auroc_gain"] == pytest.approx(0.0)
+    assert [got["b"][k] for k in ("unresolved_count", "auroc", "auprc", "aurc", "auroc_gain", "reliability_status")] == [1, None, None, None, None, "diagnostic_only"] and got["c"]["reliability_status"] == "diagnostic_only"
+
+
+def test_reports_of_a_model(spark, tmp_path):
+    import hashlib
+    import json
+    import pathlib
+
+    from gradeflow.sources import records
+
+    files = {"calibration/squad/calibration_gate.json": {"passed": True}, "full/squad/extraction_metadata/experiment.json": {"n": 1}, "full/squad/analysis/b.json": [2], "full/squad/analysis/a.json": {"ü": 1}, "full/squad/other.json": {}, "repairs/nq/full/verification_reports/artifact_checksums.json": {"x": "y"}, "elsewhere/x.json": {}}
+    for name, content in files.items():
+        (tmp_path / "m" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "m" / name).write_text(json.dumps(content))
+    for number in (1, 2):
+        path, summary = records.model_report(spark, str(tmp_path / "m"), str(tmp_path / "out"), "v")
+        assert path.endswith(f"report_00{number}.json")
+    text = pathlib.Path(path.removeprefix("file:")).read_text()
+    report = json.loads(text)
+    assert report["calibration_gates"] == {"squad": {"passed": True}} and report["datasets"]["squad"] == {"metadata": {"n": 1}, "checksums": None, "analyses": {"a.json": {"ü": 1}, "b.json": [2]}}
+    assert report["datasets"]["repair_nq"] == {"metadata": None, "checksums": {"x": "y"}, "analyses": {}} and hashlib.sha256(text.encode()).hexdigest() in summary
