@@ -101,6 +101,21 @@ def rank_and_condition(df: DataFrame, columns: list[str], standardised: bool = T
     return len(good), float(good.max() / good.min()) if len(good) else float("inf")
 
 
+def ranks(df: DataFrame, sets: dict[str, list[str]]) -> dict[str, int]:
+    """The rank of each set of columns as they are, all from one triangular factor: a set's singular values are those of its columns of it.
+
+    Rows with a null in any of the columns are left out.
+    """
+    columns = list(dict.fromkeys(c for s in sets.values() for c in s))
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).dropna()
+    n, r = rows.count(), triangle(rows, columns)
+    out = {}
+    for name, own in sets.items():
+        values = np.linalg.svd(r[:, [columns.index(c) for c in own]], compute_uv=False)
+        out[name] = int((values > values.max(initial=0.0) * max(n, len(own)) * np.finfo(float).eps).sum())
+    return out
+
+
 def _ridge(g: np.ndarray, d: int, y: int, alpha: float) -> tuple[float, np.ndarray]:
     """From a Gram matrix of 1, d inputs and targets: intercept and weights of the target in column ``y``."""
     n = g[0, 0]

@@ -147,12 +147,9 @@ def family_comparisons(spark, sf):
     first = _bundled(scored.filter(F.col("seed") == SEEDS[0]))
     parts = metrics.auroc(scored.filter("score is not null"), "score", "err", ["comparison", "seed"])
     spread = parts.groupBy("comparison").agg(r6(F.min("auroc")).alias("auroc_low"), r6(F.max("auroc")).alias("auroc_high"), F.count("auroc").alias("splits"))
-    ranks = []
-    for name, d in comparisons.items():
-        columns = [c.lstrip("~") for c in d.all]
-        rank, _ = learners.rank_and_condition(rows, columns, standardised=False)
-        ranks.append((name, len(columns), rank, rank < len(columns)))
-    report = spark.createDataFrame(ranks, "comparison string, features int, matrix_rank int, rank_deficient boolean")
+    columns = {name: [c.lstrip("~") for c in d.all] for name, d in comparisons.items()}
+    found = learners.ranks(rows, columns)
+    report = spark.createDataFrame([(name, len(c), found[name], found[name] < len(c)) for name, c in columns.items()], "comparison string, features int, matrix_rank int, rank_deficient boolean")
     return first.join(spread, "comparison").join(report, "comparison")
 
 

@@ -164,6 +164,9 @@ def test_rank_where_squares_lose_it(spark):
         at = ["abcd".index(c) for c in columns]
         rank, condition = learners.rank_and_condition(df, columns, standardised=False)
         assert rank == np.linalg.matrix_rank(x[:, at]) == len(columns) and condition == pytest.approx(np.linalg.cond(x[:, at]), rel=1e-3)
+    sets = {"all": list("abcd"), "pair": ["a", "b"], "near": ["d", "a"], "twice": ["a", "a2"]}
+    doubled, values = df.withColumn("a2", 2 * F.col("a")), np.column_stack([x, 2 * x[:, 0]])
+    assert learners.ranks(doubled, sets) == {k: int(np.linalg.matrix_rank(values[:, [["a", "b", "c", "d", "a2"].index(c) for c in v]])) for k, v in sets.items()}
     summed = df.select("a", "b", (F.col("a") + F.col("b")).alias("s"))
     assert learners.rank_and_condition(summed, ["a", "b", "s"])[0] == learners.rank_and_condition(summed, ["a", "b", "s"], standardised=False)[0] == 2
 
