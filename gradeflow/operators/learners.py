@@ -490,7 +490,7 @@ def fold_details(models: list[Model], comparisons: dict[str, Design]) -> list[tu
     for m in models:
         name, seed, k = m.name.split("|")
         own = [(x, w, s) for x, w, s in zip(inputs, [0.0] * len(inputs) if m.weights is None else m.weights[:-1].tolist(), m.scale, strict=True) if x in m.use]
-        out.append((name, seed, int(k), m.c if m.weights is not None else None, m.rows, m.ones, sum(s == 0 for _, _, s in own), {x: w for x, w, s in own if s > 0}))
+        out.append((name, seed, int(k), m.c if m.weights is not None else None, m.rows, m.ones, int(sum(s == 0 for _, _, s in own)), {x: float(w) for x, w, s in own if s > 0}))
     return out
 
 

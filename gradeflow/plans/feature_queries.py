@@ -305,7 +305,7 @@ _TAIL = "(SELECT 1 - 2 * t / 12000.0 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN
 
 
 @query(f"""WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY lang ORDER BY err) + (count(*) OVER (PARTITION BY lang, err) - 1) / 2.0::DOUBLE AS b FROM ({_L})),
-c AS (SELECT lang, count(*) AS n, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS rho FROM r GROUP BY lang), x AS (SELECT lang, rho, (n - 2)::DOUBLE AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c) SELECT lang, round(rho, 6) AS spearman, round({_TAIL}, 6) AS p FROM x""")
+c AS (SELECT lang, count(*) AS n, CASE WHEN count(*) >= 3 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS rho FROM r GROUP BY lang), x AS (SELECT lang, rho, (n - 2)::DOUBLE AS v, abs(rho) * sqrt((n - 2) / (1 - rho * rho)) AS t FROM c) SELECT lang, round(rho, 6) AS spearman, round({_TAIL}, 6) AS p FROM x""")
 def rank_correlation_p(spark, sf):
     """Rank correlations with their two-sided p, as columns of a table of results."""
     rows = _scored(spark, sf)
