@@ -37,7 +37,8 @@ def r6(x):
 
 def featured(spark, sf):
     """Labelled documents with the features of all families."""
-    d = read(spark, sf, "documents").filter("text is not null").select("doc_id", F.col("text").alias("t"), T.tokens(F.col("text")).alias("w"))
+    few = read(spark, sf, "documents").filter("text is not null").join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    d = few.select("doc_id", F.col("text").alias("t"), T.tokens(F.col("text")).alias("w"))
     count = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
     x = d.select("doc_id", F.size("w").alias("n_words"), (F.length("t") / F.greatest(F.size("w"), F.lit(1))).alias("mean_word"), count("\\n").alias("n_lines"), count("[A-Z]").alias("upper"), T.repetition(F.col("w")).alias("repeated"), count("[0-9]").alias("digits"))
     return _scored(spark, sf).join(x, "doc_id")
