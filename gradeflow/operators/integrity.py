@@ -40,11 +40,11 @@ def reasons(*checks: tuple[str, Column]) -> Column:
     return F.concat_ws(",", *(F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks))
 
 
-def split_checksum(df: DataFrame, by: list[str], key: str, fold: str, width: int = 1024) -> DataFrame:
-    """(by, digest, lines): the root of the hash tree over the key:fold lines in key order, of ``width`` lines or nodes each."""
+def split_checksum(df: DataFrame, by: list[str], key: str, fold: str, width: int = 1024, levels: int | None = None) -> DataFrame:
+    """(by, digest, lines): the root of the hash tree over the key:fold lines in key order, of ``width`` lines or nodes each; with ``levels`` of each tree of so many levels."""
     from ..sources.ordered import tree_digests
 
-    return tree_digests(df.withColumn("_pair", F.concat_ws(":", F.col(key).cast("string"), F.col(fold).cast("string"))), by, [key, "_pair"], "_pair", width)
+    return tree_digests(df.withColumn("_pair", F.concat_ws(":", F.col(key).cast("string"), F.col(fold).cast("string"))), by, [key, "_pair"], "_pair", width, levels)
 
 
 def iso_utc(at: Column) -> Column:

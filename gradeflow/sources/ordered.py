@@ -25,19 +25,22 @@ from .shared import file_system, kept
 WIDTH = 1024
 
 
-def tree_digests(df: DataFrame, by: list[str], order: list[str], line: str, width: int = WIDTH) -> DataFrame:
+def tree_digests(df: DataFrame, by: list[str], order: list[str], line: str, width: int = WIDTH, levels: int | None = None) -> DataFrame:
     """(by, digest, lines): of each group the root of the hash tree over its lines (with a line break each) in ``order``.
 
-    Each task holds single nodes: at most ``width`` lines or digests. ``order`` must tell a group's lines apart.
+    Each task holds single nodes: at most ``width`` lines or digests. ``order`` must tell a group's lines apart. With
+    ``levels`` a tree has no more of them above its leaves: a group of more lines has several trees, a row each.
     """
     if not by:
-        return tree_digests(df.withColumn("_whole", F.lit(0)), ["_whole"], order, line, width).drop("_whole")
+        return tree_digests(df.withColumn("_whole", F.lit(0)), ["_whole"], order, line, width, levels).drop("_whole")
     rows = kept(running(df.select(*dict.fromkeys([*by, *order]), F.concat(F.col(line), F.lit("\n")).alias("_line")), by, order, {"_n": F.lit(1).cast("long")}))
     at = F.col("_n") - 1
     leaves = rows.groupBy(*by, F.floor(at / width).alias("_i")).agg(F.array_sort(F.collect_list(F.struct(at.alias("n"), F.col("_line").alias("x")))).alias("_below"), F.count("*").alias("_lines"))
     nodes = leaves.select(*by, "_i", F.sha2(F.array_join("_below.x", ""), 256).alias("_digest"), "_lines")
     most = nodes.agg(F.max("_i")).first()[0] or 0
-    while most > 0:  # a level for each power of the width
+    level = 0
+    while most > 0 and (levels is None or level < levels):  # a level for each power of the width
+        level += 1
         above = kept(nodes).groupBy(*by, F.floor(F.col("_i") / width).alias("_i")).agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("n"), F.col("_digest").alias("x")))).alias("_below"), F.sum("_lines").alias("_lines"))
         joined = F.when(F.size("_below") > 1, F.sha2(F.array_join("_below.x", ""), 256)).otherwise(F.col("_below")[0]["x"])
         nodes = above.select(*by, "_i", joined.alias("_digest"), "_lines")
