@@ -250,12 +250,12 @@ def audit_summary(spark, sf):
     return gate.join(at, "lang").join(metrics.spearman(rows, "n_chars", "err", ["lang"]).withColumn("spearman", r6(F.col("spearman"))), "lang")
 
 
-@query("SELECT count(*) FILTER (WHERE v > 0)::INT AS rank FROM (SELECT unnest([q, t, b]) AS v FROM (SELECT stddev_pop(l_quantity) AS q, stddev_pop(l_tax) AS t, max(abs(l_quantity + 2 * l_tax - \"both\")) AS b FROM (SELECT l_quantity, l_tax, l_quantity + 2 * l_tax AS \"both\" FROM lineitem)))")
+@query("SELECT count(*) FILTER (WHERE v > 0)::INT AS rank, count(*) FILTER (WHERE v > 0) > 0 AS finite FROM (SELECT unnest([q, t, b]) AS v FROM (SELECT stddev_pop(l_quantity) AS q, stddev_pop(l_tax) AS t, max(abs(l_quantity + 2 * l_tax - \"both\")) AS b FROM (SELECT l_quantity, l_tax, l_quantity + 2 * l_tax AS \"both\" FROM lineitem)))")
 def matrix_rank(spark, sf):
-    """Rank of columns of which one is the sum of two others; the SQL counts those that vary and aren't such a sum."""
+    """Rank of columns of which one is the sum of two others, and whether their condition is finite; the SQL counts those that vary and aren't such a sum."""
     x = read(spark, sf, "lineitem").select("l_quantity", "l_tax", (F.col("l_quantity") + 2 * F.col("l_tax")).alias("both"))
-    rank, _ = learners.rank_and_condition(x, ["l_quantity", "l_tax", "both"])
-    return spark.createDataFrame([(rank,)], "rank int")
+    rank, condition = learners.rank_and_condition(x, ["l_quantity", "l_tax", "both"])
+    return spark.createDataFrame([(rank, condition < float("inf"))], "rank int, finite boolean")
 
 
 @query("WITH r AS (SELECT o_orderkey, o_totalprice, o_totalprice - (regr_slope(o_totalprice, o_custkey) OVER () * o_custkey + regr_intercept(o_totalprice, o_custkey) OVER ()) AS e FROM orders), k AS (SELECT rank() OVER (ORDER BY round(e, 4)) + (count(*) OVER (PARTITION BY round(e, 4)) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0::DOUBLE AS b FROM r) SELECT round(corr(a, b), 5) AS spearman FROM k")

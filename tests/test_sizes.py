@@ -14,3 +14,13 @@ def test_checksums_of_more_lines_than_a_tree_holds(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(registry.oracle_sql()["split_checksums"]).fetchall())
     assert [r[2] for r in got if r[0] == "en"] in ([65_536, 3_464], [3_464, 65_536])
+
+
+def test_rank_comes_with_its_condition(spark, tmp_path):
+    rows = spark.range(50).select((F.col("id") % 7).cast("double").alias("l_quantity"), (F.col("id") % 3 / 100).alias("l_tax"))
+    for name, x in (("varied", rows), ("constant", rows.select(F.lit(1.0).alias("l_quantity"), F.lit(0.5).alias("l_tax")))):
+        x.write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view lineitem as select * from '{tmp_path}/{name}/lineitem.parquet/*.parquet'")
+        df = registry.queries()["matrix_rank"](spark, f"{tmp_path}/{name}")
+        assert df.columns == ["rank", "finite"] and [tuple(r) for r in df.collect()] == con.execute(registry.oracle_sql()["matrix_rank"]).fetchall() == [(2, True) if name == "varied" else (0, False)]
