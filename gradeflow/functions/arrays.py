@@ -25,11 +25,15 @@ def relative_change(a: Column, b: Column) -> Column:
     return norm(gap) / F.greatest(norm(a), F.lit(EPSILON))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once a row: where a lambda function holds an expression, Spark evaluates it for every element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - top.cast("double")))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+    e = bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top.cast("double"))))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return bound(e, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def entropy(p: Column) -> Column:

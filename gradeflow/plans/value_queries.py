@@ -111,7 +111,7 @@ def response_probabilities(spark, sf):
 @query(f"{_SOFT} SELECT vec_id, (list_position(o, list_max(o)) - 1)::INT AS choice, round(o[1] + o[2], 6) AS true_mass, round(list_sum(o[3:8]), 6) AS false_mass FROM (SELECT vec_id, list_transform(range(8), lambda k: list_sum(p[k * 8 + 1 : k * 8 + 8])) AS o FROM q)")
 def option_masses(spark, sf):
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    o = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: total(F.slice("p", k * 8 + 1, F.lit(8))))
+    o = A.bound(F.col("p"), lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: total(F.slice(p, k * 8 + 1, F.lit(8)))))
     x = _distributions(spark, sf).select("vec_id", o.alias("o"))
     return x.select("vec_id", (F.array_position("o", F.array_max("o")) - 1).cast("int").alias("choice"), F.round(F.col("o")[0] + F.col("o")[1], 6).alias("true_mass"), F.round(total(F.slice("o", 3, 6)), 6).alias("false_mass"))
 

@@ -1,8 +1,11 @@
 """Queries on tables that are larger or odder than the smallest ones, against their SQL or a plain computation."""
 
+import math
+
 import duckdb
 from pyspark.sql import functions as F
 
+from gradeflow.functions import arrays as A
 from gradeflow.plans import registry
 
 
@@ -24,3 +27,14 @@ def test_rank_comes_with_its_condition(spark, tmp_path):
         con.execute(f"create view lineitem as select * from '{tmp_path}/{name}/lineitem.parquet/*.parquet'")
         df = registry.queries()["matrix_rank"](spark, f"{tmp_path}/{name}")
         assert df.columns == ["rank", "finite"] and [tuple(r) for r in df.collect()] == con.execute(registry.oracle_sql()["matrix_rank"]).fetchall() == [(2, True) if name == "varied" else (0, False)]
+
+
+def planned(df) -> str:
+    return df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_softmax_is_worked_out_once(spark):
+    df = spark.createDataFrame([([0.0, 1.0, 2.0],), ([],), (None,)], "x array<float>").select(A.softmax(F.col("x")).alias("p"))
+    assert planned(df).count("exp(") == planned(df).count("array_max(") == 1
+    total = 1 + math.e + math.e**2
+    assert [r["p"] and [round(v, 9) for v in r["p"]] for r in df.collect()] == [[round(math.e**i / total, 9) for i in range(3)], [], None]
