@@ -1,11 +1,14 @@
 """Queries on tables that are larger or odder than the smallest ones, against their SQL or a plain computation."""
 
 import math
+import random
+from collections import Counter
 
 import duckdb
 from pyspark.sql import functions as F
 
 from gradeflow.functions import arrays as A
+from gradeflow.functions import text as T
 from gradeflow.plans import registry
 
 
@@ -38,3 +41,15 @@ def test_softmax_is_worked_out_once(spark):
     assert planned(df).count("exp(") == planned(df).count("array_max(") == 1
     total = 1 + math.e + math.e**2
     assert [r["p"] and [round(v, 9) for v in r["p"]] for r in df.collect()] == [[round(math.e**i / total, 9) for i in range(3)], [], None]
+
+
+def test_words_are_made_once_and_long_texts_sorted(spark):
+    draw = random.Random(5)
+    some = lambda n: " ".join(draw.choice("u v w x y z".split()) for _ in range(n))
+    rows = [(i, some(n), some(m)) for i, (n, m) in enumerate([(0, 0), (0, 9), (3, 4), (12, 12), (12, 13), (40, 7), (300, 500)])]
+    df = spark.createDataFrame(rows, "id int, a string, b string").select("id", T.token_f1(T.words(F.col("a")), T.words(F.col("b"))).alias("f1"))
+    assert planned(df).count("regexp_replace(") == 2
+    for (_, a, b), r in zip(rows, sorted(df.collect()), strict=True):
+        p, q = Counter(a.split()), Counter(b.split())
+        n = sum(p.values()) + sum(q.values())
+        assert r["f1"] == (2.0 * sum((p & q).values()) / n if n else 1.0)
