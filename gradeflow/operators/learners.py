@@ -9,13 +9,13 @@ the driver. No model's rows ever meet in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -28,7 +28,9 @@ from .prefix import running
 #: and the range under which a column counts as constant.
 STRENGTHS, DEFAULT_STRENGTH, INNER_FOLDS, CONSTANT = (0.1, 1.0, 10.0), 1.0, 3, 1e-12
 #: Most models fitted in one go, numbers in a block's matrices, and partial sums that one reader adds up.
-MOST_MODELS, BLOCK, FEW = 4096, 1 << 20, 32
+MOST_MODELS, BLOCK, FEW = 4096, 1 << 18, 32
+#: Rows ranked together by a task, rows of a range of scores, most ranges and sampled rows for each.
+RANKED, RANGE, MOST_RANGES, SAMPLE_EACH = 8192, 1 << 16, 1024, 16
 
 
 def gram(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -389,6 +391,143 @@ def scores(df: DataFrame, design: Design, key: str, label: str, models: list[Mod
     return rows.mapInArrow(scan, StructType([StructField(f.name, f.dataType, True) for f in kinds]))
 
 
+def _linked(x: np.ndarray, links: np.ndarray, row: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Scores of some pairs of a row and a model, added up column by column: equal rows get equal scores."""
+    z = links[model, 0]
+    for j in range(x.shape[1]):
+        z += x[row, j] * links[model, j + 1]
+    return 1 / (1 + np.exp(-np.clip(z, -35.0, 35.0)))
+
+
+def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each stands there."""
+    values = np.sort(values)
+    heads = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, int)
+    return values[heads], np.diff(np.append(heads, len(values)))
+
+
+def _above(pos: np.ndarray, pos_n: np.ndarray, neg: np.ndarray, neg_n: np.ndarray) -> float:
+    """Pairs of a positive and a lower negative, equal ones as halves."""
+    order = np.argsort(neg, kind="stable")
+    neg, below = neg[order], np.append(0, np.cumsum(neg_n[order]))
+    return float((pos_n * (below[np.searchsorted(neg, pos, "left")] + below[np.searchsorted(neg, pos, "right")])).sum() / 2)
+
+
+def aurocs(df: DataFrame, design: Design, label: str, models: list[Model], of: Callable[[Model], str]) -> dict[str, float]:
+    """AUROC of all scores that the models named alike by ``of`` give to the rows they are to score; none where a class is missing.
+
+    A task sorts blocks of scores and sends them on as arrays, by name and range of scores, repeated scores as a count;
+    a range is worked on by itself, and sums of ranges are added up in order. Cuts come from a sample and balance the
+    ranges: the result is exact wherever they are. Scores as rows would be many times as much to shuffle.
+    """
+    ship_package(df.sparkSession)
+    columns = [f"_x{i}" for i in range(len(design.columns))]
+    rows = df.select(F.col(label).cast("double").alias("_label"), "groups", *(F.col(c).cast("double").alias(x) for x, c in zip(columns, design.columns, strict=True))).dropna(subset=["_label", *columns])
+    models = sorted((m for m in models if m.link is not None), key=of)
+    if not models:
+        return {}
+    names = list(dict.fromkeys(map(of, models)))
+    heads = [0, *(i for i in range(1, len(models)) if of(models[i]) != of(models[i - 1])), len(models)]
+    members = _Members(sorted({g for m in models for g in (*m.test, *m.skip)}))
+    tested, skipped = members.places([m.test for m in models]), members.places([m.skip for m in models])
+    links = np.stack([m.link for m in models])
+    n = rows.count()
+    ranges = min(MOST_RANGES, -(-n // RANGE))
+    cuts = np.zeros((len(names), 0))
+    if ranges > 1:
+        drawn = np.array(rows.select(*columns).sample(min(1.0, 2.0 * ranges * SAMPLE_EACH / n), 17).limit(4 * ranges * SAMPLE_EACH).collect()).reshape(-1, len(columns))
+        if len(drawn):
+            by = np.sort(np.stack([_linked(drawn, links[a : a + 1], np.arange(len(drawn)), np.zeros(len(drawn), int)) for a in heads[:-1]]), axis=1)
+            cuts = by[:, [i * len(drawn) // ranges for i in range(1, ranges)]]
+    width = cuts.shape[1] + 1
+    steps, at = [0], 0  # names of as many models as a block may hold
+    for g in range(len(names)):
+        if g > steps[-1] and heads[g + 1] - at > (16 * BLOCK) // RANKED:
+            steps.append(g)
+            at = heads[g]
+    steps.append(len(names))
+
+    def block(part: pa.RecordBatch) -> Iterator[tuple]:
+        inside, y = members.of(part.column(1)), part.column(0).to_numpy() == 1
+        x = np.column_stack([np.zeros((part.num_rows, 0)), *(c.to_numpy() for c in part.columns[2:])])
+        for a, b in zip(steps[:-1], steps[1:], strict=True):
+            first, last = heads[a], heads[b]
+            model, row = np.nonzero((_any(inside, tested[first:last]) & ~_any(inside, skipped[first:last])).T)
+            p, one = _linked(x, links, row, model + first), y[row]
+            ends = np.searchsorted(model, np.array(heads[a : b + 1]) - first)
+            for g in range(a, b):
+                own = slice(ends[g - a], ends[g - a + 1])
+                sides = [_counted(p[own][one[own] == c]) for c in (True, False)]
+                places = [[0, *np.searchsorted(v, cuts[g], "left").tolist(), len(v)] for v, _ in sides]
+                for r in range(width):
+                    spans = [slice(x[r], x[r + 1]) for x in places]
+                    if any(s.stop > s.start for s in spans):
+                        yield (g, r, *(x for (v, k), s in zip(sides, spans, strict=True) for x in (v[s].tobytes(), b"" if (k[s] == 1).all() else k[s].tobytes())))
+
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    labels = ["name", "range", "pos", "pos_n", "neg", "neg_n"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _blocks(batches, RANKED):
+            found = []
+            for row in block(part):
+                found.append(row)
+                if len(found) == 512:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=labels)
+                    found = []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names=labels)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            sides = []
+            for v, k in ((0, 1), (2, 3)):
+                values = [np.frombuffer(r[v]) for r in held]
+                sides += [np.concatenate(values), np.concatenate([np.frombuffer(r[k], np.int64) if r[k] else np.ones(len(x), np.int64) for r, x in zip(held, values, strict=True)])]
+            row = (*now, int(sides[1].sum()), int(sides[3].sum()), _above(*sides))
+            return pa.RecordBatch.from_pylist([dict(zip(("name", "range", "p", "n", "u"), row, strict=True))], schema)
+
+        schema = pa.schema([("name", pa.int32()), ("range", pa.int32()), ("p", pa.int64()), ("n", pa.int64()), ("u", pa.float64())])
+        for batch in batches:
+            for name, r, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is not None and now != (name, r):
+                    yield done()
+                    held = []
+                now = (name, r)
+                held.append(values)
+        if now is not None:
+            yield done()
+
+    parts = rows.mapInArrow(scan, "name int, range int, pos binary, pos_n binary, neg binary, neg_n binary")
+    sums = parts.repartition("name", "range").sortWithinPartitions("name", "range").mapInArrow(gather, "name int, range int, p long, n long, u double")
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = sums.withColumn("below", below).groupBy("name").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("u") + F.col("p") * F.col("below")).alias("u"))
+    return {names[r["name"]]: r["u"] / (float(r["p"]) * r["n"]) for r in whole.collect() if r["p"] and r["n"]}  # a row a name
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size``, whatever size they come in."""
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            while n + part.num_rows >= size:
+                held.append(part.slice(0, size - n))
+                yield joined()
+                part, held, n = part.slice(size - n), [], 0
+            if part.num_rows:
+                held.append(part)
+                n += part.num_rows
+    if n:
+        yield joined()
+
+
 def by_fold(fold: str = "fold") -> Column:
     return F.array(F.concat(F.lit("f"), F.col(fold).cast("string")))
 
@@ -451,13 +590,10 @@ def chosen(df: DataFrame, design: Design, key: str, label: str, wanted: list[Mod
         _, seed, k = m.name.split("|")
         groups = [f"s{seed}k{k}i{i}" for i in range(inner)]
         models += [Model(f"{m.name}|{i}|{c}", [*m.exclude, g], [g], c=c, use=m.use, ridges=m if design.residual else None) for i, g in enumerate(groups) for c in STRENGTHS]
-    scored = scores(df, design, key, label, fit_many(df, design, label, models)).filter("score is not null")
-    part = lambda i: F.split_part("name", F.lit("|"), F.lit(i))
-    named = scored.select(part(1).alias("_name"), part(2).alias("_seed"), part(3).cast("int").alias("_fold"), part(5).cast("double").alias("c"), "score", label)
+    found = aurocs(df, design, label, fit_many(df, design, label, models), lambda m: "|".join((*m.name.split("|")[:3], m.name.split("|")[4])))
     best: dict = {}
-    found = metrics.auroc(named, "score", label, ["_name", "_seed", "_fold", "c"]).collect()  # a row for each model wanted and strength
-    for r in sorted((r for r in found if r["auroc"] is not None), key=lambda r: (-round(r["auroc"], 12), r["c"])):
-        best.setdefault(f"{r['_name']}|{r['_seed']}|{r['_fold']}", r["c"])
+    for name, c, _ in sorted(((*name.rsplit("|", 1), value) for name, value in found.items()), key=lambda x: (-round(x[2], 12), float(x[1]))):
+        best.setdefault(name, float(c))
     for m in wanted:
         m.c = best.get(m.name, DEFAULT_STRENGTH)
 
@@ -468,20 +604,40 @@ def merged(comparisons: dict[str, Design]) -> Design:
     return Design(first("features"), first("residual"), first("controls"))
 
 
-def compared(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, stratum: str | None, seeds: tuple[str, ...] = ("2026",), folds: int = 5, fold: str | None = None, only: tuple[int, ...] = ()) -> tuple[DataFrame, list[Model]]:
-    """Out-of-fold scores (comparison, seed, fold, key, label, score) of several designs on several splits, each fold with its own strength; and its models.
+def fitted(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, stratum: str | None, seeds: tuple[str, ...] = ("2026",), folds: int = 5, fold: str | None = None, only: tuple[int, ...] = ()) -> tuple[DataFrame, Design, list[Model]]:
+    """The models of several designs on several splits, each fold with its own strength, with the rows and the design that they score.
 
     Models are named ``comparison|seed|fold``. All folds of all splits and designs are fitted together, first those that
     choose the strengths, on inner folds of each fold's training rows. With ``fold`` the split is given; with ``only``
-    no other folds are scored.
+    no other folds are scored. Rows are few bytes but much work each: they are dealt out by number, not by size.
     """
     whole = merged(comparisons)
-    rows = kept(dealt(df, label, stratum, key, seeds, folds, fold=fold).select(key, label, "groups", *whole.columns))
+    tasks = min(FEW, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    rows = kept(dealt(df, label, stratum, key, seeds, folds, fold=fold).select(key, label, "groups", *whole.columns).repartition(tasks, key))
     models = [Model(f"{name}|{seed}|{k}", [f"s{seed}f{k}"], [f"s{seed}f{k}"], use=tuple(d.all)) for name, d in comparisons.items() for seed in seeds for k in only or range(folds)]
     chosen(rows, whole, key, label, models)
-    scored = scores(rows, whole, key, label, fit_many(rows, whole, label, models))
+    return rows, whole, fit_many(rows, whole, label, models)
+
+
+def scored_by(rows: DataFrame, whole: Design, key: str, label: str, models: list[Model]) -> DataFrame:
+    """(comparison, seed, fold, key, label, score) of models of ``fitted``."""
+    scored = scores(rows, whole, key, label, models)
     part = lambda i: F.split_part("name", F.lit("|"), F.lit(i))
-    return scored.select(part(1).alias("comparison"), part(2).alias("seed"), part(3).cast("int").alias("fold"), key, label, "score"), models
+    return scored.select(part(1).alias("comparison"), part(2).alias("seed"), part(3).cast("int").alias("fold"), key, label, "score")
+
+
+def split_aurocs(rows: DataFrame, whole: Design, label: str, models: list[Model]) -> DataFrame:
+    """(comparison, seed, auroc) of the out-of-fold scores of each design and split of ``fitted``; null where a class is missing."""
+    of = lambda m: m.name.rsplit("|", 1)[0]
+    found = aurocs(rows, whole, label, models, of)
+    names = dict.fromkeys(of(m) for m in models if m.link is not None)
+    return rows.sparkSession.createDataFrame([(*name.split("|"), found.get(name)) for name in names], "comparison string, seed string, auroc double")  # a row a design and split
+
+
+def compared(df: DataFrame, comparisons: dict[str, Design], key: str, label: str, stratum: str | None, seeds: tuple[str, ...] = ("2026",), folds: int = 5, fold: str | None = None, only: tuple[int, ...] = ()) -> tuple[DataFrame, list[Model]]:
+    """Out-of-fold scores (comparison, seed, fold, key, label, score) of the models of ``fitted``; and these."""
+    rows, whole, models = fitted(df, comparisons, key, label, stratum, seeds, folds, fold, only)
+    return scored_by(rows, whole, key, label, models), models
 
 
 def fold_details(models: list[Model], comparisons: dict[str, Design]) -> list[tuple]:

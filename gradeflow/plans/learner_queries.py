@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import learners, metrics, resamples, sampling
 from ..operators.learners import Design
+from ..sources.shared import kept
 from .table_queries import _FOLD
 from .text_queries import read
 from .value_queries import _L, _scored
@@ -41,7 +42,7 @@ def featured(spark, sf):
     d = few.select("doc_id", F.col("text").alias("t"), T.tokens(F.col("text")).alias("w"))
     count = lambda pattern: F.length("t") - F.length(F.regexp_replace("t", pattern, ""))
     x = d.select("doc_id", F.size("w").alias("n_words"), (F.length("t") / F.greatest(F.size("w"), F.lit(1))).alias("mean_word"), count("\\n").alias("n_lines"), count("[A-Z]").alias("upper"), T.repetition(F.col("w")).alias("repeated"), count("[0-9]").alias("digits"))
-    return _scored(spark, sf).join(x, "doc_id")
+    return kept(_scored(spark, sf).join(x, "doc_id"))  # texts are read once, however often the features are
 
 
 def folded(spark, sf, seed: str = "2026"):
@@ -143,10 +144,9 @@ SEEDS = tuple(str(s) for s in range(2026, 2036))
 def family_comparisons(spark, sf):
     """Eleven comparisons of families, two of them on what length and words don't explain: metrics on one split, the range over ten, and the rank of the features."""
     rows, comparisons = featured(spark, sf), learners.designs(FAMILIES, NAMES, "L+W")
-    scored, _ = learners.compared(rows, comparisons, "doc_id", "err", "lang", SEEDS)
-    scored = scored.persist()  # read for the metrics and for the range
-    first = _bundled(scored.filter(F.col("seed") == SEEDS[0]))
-    parts = metrics.auroc(scored.filter("score is not null"), "score", "err", ["comparison", "seed"])
+    dealt, whole, models = learners.fitted(rows, comparisons, "doc_id", "err", "lang", SEEDS)
+    first = _bundled(learners.scored_by(dealt, whole, "doc_id", "err", [m for m in models if m.name.split("|")[1] == SEEDS[0]]))
+    parts = learners.split_aurocs(dealt, whole, "err", models)
     spread = parts.groupBy("comparison").agg(r6(F.min("auroc")).alias("auroc_low"), r6(F.max("auroc")).alias("auroc_high"), F.count("auroc").alias("splits"))
     columns = {name: [c.lstrip("~") for c in d.all] for name, d in comparisons.items()}
     found = learners.ranks(rows, columns)

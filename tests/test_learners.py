@@ -249,3 +249,26 @@ def test_queries_of_protocols_and_transfer(spark, featured):
             for name in ("L", "L+W~R"):
                 part = [(s, y[k[2]][0]) for k, s in moved.items() if k[0] == name and y[k[2]][1] == g]
                 assert close(out[name, g], brute_auroc(*zip(*part, strict=True)))
+
+
+def test_aurocs_of_many_models_without_a_row_a_score(spark, monkeypatch):
+    draw = random.Random(11)
+    rows = [(i, draw.choice([0.0, 0.0, 0.0, draw.random()]), float(draw.randrange(4)), int(draw.random() < 0.4), [f"g{draw.randrange(3)}", f"h{draw.randrange(2)}"]) for i in range(500)]
+    df = spark.createDataFrame([*rows, (500, None, 1.0, 1, ["g0"]), (501, 1.0, 1.0, None, ["g0"])], "id int, a double, b double, y int, groups array<string>").repartition(3)
+    design, models = Design(["a", "b"]), []
+    for name, test in (("both", "g0"), ("both", "g1"), ("other", "g2"), ("skipped", "h0"), ("none", "h9")):
+        models.append(learners.Model(f"{name}|{test}", [], [test], ["g1"] if name == "skipped" else []))
+        models[-1].link = np.array([draw.gauss(0, 1) for _ in range(3)])
+    models.append(learners.Model("unfitted|g0", [], ["g0"]))
+    same = lambda m: m.name.split("|")[0]
+    scored = learners.scores(df.filter("y is not null"), design, "id", "y", models).filter("score is not null").collect()
+    expected = {}
+    for name in ("both", "other", "skipped"):
+        own = [r for r in scored if r["name"].split("|")[0] == name]
+        expected[name] = pytest.approx(brute_auroc([r["score"] for r in own], [r["y"] for r in own]), abs=1e-12)
+    for ranges, block in ((1 << 16, 8192), (20, 7)):
+        monkeypatch.setattr(learners, "RANGE", ranges)
+        monkeypatch.setattr(learners, "RANKED", block)
+        assert learners.aurocs(df, design, "y", models, same) == expected
+    monkeypatch.setattr(learners.metrics, "auroc", None)  # strengths are chosen without it
+    learners.fitted(df.drop("groups").filter("a is not null").withColumn("y", F.coalesce("y", F.lit(0))), {"A": design}, "id", "y", None, ("1",), 3)
