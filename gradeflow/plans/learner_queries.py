@@ -210,8 +210,8 @@ def coefficient_stability(spark, sf):
 @query()
 def stability_audit(spark, sf):
     """AUROC of twelve sets of families over ten splits: mean and range."""
-    scored, _ = learners.compared(featured(spark, sf), learners.designs(FAMILIES, DEPTHS[:12], "L+W"), "doc_id", "err", "lang", SEEDS)
-    parts = metrics.auroc(scored.filter("score is not null"), "score", "err", ["comparison", "seed"])
+    rows, whole, models = learners.fitted(featured(spark, sf), learners.designs(FAMILIES, DEPTHS[:12], "L+W"), "doc_id", "err", "lang", SEEDS)
+    parts = learners.split_aurocs(rows, whole, "err", models)
     return parts.groupBy("comparison").agg(r6(F.avg("auroc")).alias("mean"), r6(F.max("auroc") - F.min("auroc")).alias("spread"), F.count("*").alias("splits"))
 
 
