@@ -134,7 +134,8 @@ METRICS = ("auroc", "average_precision", "aurc", "brier", "nll", "ece")
 
 
 def _bundled(scored, by=("comparison",)):
-    return learners.bundle(learners.averaged(scored, "doc_id", "err"), "doc_id", "err", list(by)).withColumns({c: r6(F.col(c)) for c in METRICS})
+    rows = kept(learners.averaged(scored, "doc_id", "err"))  # read for each metric
+    return learners.bundle(rows, "doc_id", "err", list(by)).withColumns({c: r6(F.col(c)) for c in METRICS})
 
 
 SEEDS = tuple(str(s) for s in range(2026, 2036))
