@@ -197,7 +197,7 @@ def group_protocols(spark, sf):
     for g in languages:
         own, _ = learners.compared(rows.filter(F.col("lang") == g), {"all": Design(SMALL)}, "doc_id", "err", None)
         scored = scored.unionByName(pick(own, "own", F.lit(g)))
-    return metrics.auroc(scored.filter("score is not null"), "score", "err", ["protocol", "lang"]).withColumn("auroc", r6(F.col("auroc")))
+    return metrics.auroc(kept(scored.filter("score is not null")), "score", "err", ["protocol", "lang"]).withColumn("auroc", r6(F.col("auroc")))
 
 
 @query()
