@@ -223,7 +223,7 @@ def target_analysis(spark, sf):
     for target in ("err", "toxic", "any_error"):
         base = rows.select("doc_id", "lang", F.col(target).alias("y"), *(c for f in FAMILIES.values() for c in f))
         scored, _ = learners.compared(base, learners.designs(FAMILIES, ["L", "L+W+S+R"]), "doc_id", "y", "lang")
-        wide = scored.groupBy("doc_id", "y").pivot("comparison", ["L", "L+W+S+R"]).agg(F.first("score")).toDF("doc_id", "y", "small", "large").dropna()
+        wide = kept(scored.groupBy("doc_id", "y").pivot("comparison", ["L", "L+W+S+R"]).agg(F.first("score")).toDF("doc_id", "y", "small", "large").dropna())
         gap = resamples.interval(resamples.paired(wide, "doc_id", 200, target, resamples.auroc("small", "y"), resamples.auroc("large", "y")))
         part = gap.select(F.lit(target).alias("target"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), r6(F.col("mean")).alias("gain"), "draws", "valid")
         out = part if out is None else out.unionByName(part)
