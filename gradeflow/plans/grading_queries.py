@@ -71,7 +71,9 @@ FROM (SELECT *, split(p_name, ' ')[{{second}}] AS second, CAST(p_size AS STRING)
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql(records_sql("array({})", "named_struct('name', {}, 'aliases', {})", "{part}").replace("{second}", "1"), part=read(spark, sf, "part"))
+    """Rows are few bytes but much work each: they are dealt out by number, as one file of them would be one task."""
+    part = read(spark, sf, "part").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return spark.sql(records_sql("array({})", "named_struct('name', {}, 'aliases', {})", "{part}").replace("{second}", "1"), part=part)
 
 
 _RECORDS = records_sql("[{}]", "{{'name': {}, 'aliases': {}}}").replace("{second}", "2").replace("AS STRING", "AS VARCHAR")

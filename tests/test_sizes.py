@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from gradeflow.functions import arrays as A
 from gradeflow.functions import text as T
-from gradeflow.plans import registry
+from gradeflow.operators import aliases
+from gradeflow.plans import grading_queries, registry
 
 
 def test_checksums_of_more_lines_than_a_tree_holds(spark, tmp_path):
@@ -53,3 +54,10 @@ def test_words_are_made_once_and_long_texts_sorted(spark):
         p, q = Counter(a.split()), Counter(b.split())
         n = sum(p.values()) + sum(q.values())
         assert r["f1"] == (2.0 * sum((p & q).values()) / n if n else 1.0)
+
+
+def test_records_of_one_file_are_many_tasks(spark, tmp_path):
+    columns = "p_partkey long, p_name string, p_type string, p_brand string, p_size int"
+    spark.createDataFrame([(i, "red bolt", "SMALL", "Brand#1", 3) for i in range(200)], columns).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    each = grading_queries.records(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(each) > 4 and sum(r["count"] for r in each) == 200
