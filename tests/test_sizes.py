@@ -61,3 +61,17 @@ def test_records_of_one_file_are_many_tasks(spark, tmp_path):
     spark.createDataFrame([(i, "red bolt", "SMALL", "Brand#1", 3) for i in range(200)], columns).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     each = grading_queries.records(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(each) > 4 and sum(r["count"] for r in each) == 200
+
+
+def test_equal_answers_are_compared_once(spark, monkeypatch):
+    texts = ["the red bolt", "Red  bolt!", "a hot ring", "", "nothing"]
+    answers = spark.createDataFrame([(1, i, texts[i % 5]) for i in range(100)], "q int, id int, response string")
+    listed = spark.createDataFrame([(1, "red bolt"), (1, "hot"), (2, "nothing")], "q int, alias string")
+    one, two = aliases.prepared(answers, listed, "q", "id", "response", "alias")
+    held, keep = [], aliases.kept
+    monkeypatch.setattr(aliases, "kept", lambda df: held.append(keep(df)) or held[-1])
+    best = {r["id"]: r["best_f1"] for r in aliases.best_overlap(one, two).collect()}
+    assert best == {i: [1.0, 1.0, 2 / 3, 0.0, 0.0][i % 5] for i in range(100)}
+    assert [x.count() for x in held if "best_f1" in x.columns] == [4]  # texts, of 100 answers
+    inside = sorted((r["id"], r["a"]) for r in aliases.contained(one, two).collect())
+    assert inside == sorted((i, ["red bolt", "red bolt", "hot"][i % 5]) for i in range(100) if i % 5 < 3)
